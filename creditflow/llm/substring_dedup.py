@@ -16,7 +16,9 @@ How it runs
 3. Start positions are gathered per row (bounded by the row's length), merged
    to maximal intervals, and cut from the text.
 
-The texts are shuffled once, by id; steps 2 and 3 read the same exchange.
+Rows whose whole text equals that of a row with a smaller id are set aside first:
+all their windows repeat, so none is hashed. The texts are shuffled once, by id;
+steps 2 and 3 read the same exchange.
 
 Defined cases: null text has no words; rows with a null id are returned
 unchanged and are never a source; rows with the same id do not remove each
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.storage import broadcast_if_small, stored
 
 GRAM = 16
 _BASE_GRAM, _BASE_1, _BASE_2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
@@ -79,13 +82,15 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, cuts = batch.column(0), batch.column(1), batch.column(2)
+        ids, texts, cuts, copied = batch.columns
         n_words, n_removed, kept = [], [], []
-        for text, starts in zip(texts, cuts, strict=True):
+        for text, starts, whole in zip(texts, cuts, copied.to_pylist(), strict=True):
             raw = text.as_py()
             parts = raw.encode().split() if raw else []  # bytes.split cuts at 0x20 and 0x09-0x0D
             n_words.append(len(parts))
-            if starts.is_valid:
+            if whole and len(parts) >= window:
+                parts = []
+            elif starts.is_valid:
                 edge = np.zeros(len(parts) + 1, dtype=np.int32)
                 begin = starts.values.to_numpy(zero_copy_only=False)
                 np.add.at(edge, begin, 1)
@@ -97,22 +102,38 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
 
-def removal_starts(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, starts: word positions at which a repeated window starts, per row that has any."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = rows.where("id is not null and text is not null")
+def _later_copies(rows: DataFrame) -> DataFrame:
+    """Ids of rows whose text also stands in a row with a smaller id (stored)."""
+    named = rows.where("text is not null").select("id", F.unhex(F.sha2("text", 256)).alias("address"))
+    first = named.groupBy("address").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("address", "lo")
+    return stored(named.join(first, "address").where("id > lo").select("id").distinct(), "copies")
+
+
+def removal_starts(rows: DataFrame, copies: DataFrame, window: int = 50) -> DataFrame:
+    """rows (id, text; no null id) -> id, starts: the word positions at which a repeated window starts.
+
+    copies: ids to leave out, as all of their windows repeat.
+    """
+    known = rows.where("text is not null").join(copies, "id", "left_anti")
     anchors = known.mapInArrow(lambda b: _anchors(b, window), "id long, anchor long")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = rows.join(wanted, "id").mapInArrow(lambda b: _windows(b, window), "id long, start int, h1 long, h2 long")
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "lo")
+    wanted = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("anchor"))).alias("later"))
+    wanted = stored(wanted, "anchors")
+    texts = rows.join(wanted, "id")
+    schema = "id long, start int, h1 long, h2 long"
+    windows = texts.select("id", "text", "anchors").mapInArrow(lambda b: _windows(b, window), schema)
     least = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    return windows.join(least, ["h1", "h2"]).where("id > lo").groupBy("id").agg(F.collect_set("start").alias("starts"))
+    repeats = texts.where(F.size("later") > 0).select("id", "text", "later").mapInArrow(lambda b: _windows(b, window), schema)
+    return repeats.join(least, ["h1", "h2"]).where("id > lo").groupBy("id").agg(F.collect_set("start").alias("starts"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = rows.join(removal_starts(docs, window, id_col, text_col), "id", "left").select("id", "text", "starts")
+    known = rows.where("id is not null")
+    copies = broadcast_if_small(_later_copies(known))
+    cut = known.join(removal_starts(known, copies, window), "id", "left").join(copies.withColumn("copied", F.lit(True)), "id", "left").select("id", "text", "starts", "copied")
+    cut = cut.unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copied")))
     return cut.mapInArrow(lambda b: _cut(b, window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
 
