@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from creditflow.llm import substring_dedup
+from creditflow.llm import bag_minhash, substring_dedup
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op9_bag_minhash": bag_minhash.op9_bag_minhash,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op9_bag_minhash": bag_minhash.ORACLE_SQL,
+    }
