@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from creditflow.llm import bag_minhash, substring_dedup
+from creditflow.llm import bag_minhash, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
+        "op10_differencing_packing": packing.op10_differencing_packing,
     }
 
 
