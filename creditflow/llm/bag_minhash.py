@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,6 +28,9 @@ from creditflow.llm.storage import broadcast_if_small, stored
 
 _U = np.uint64
 _BASE_SHINGLE, _BASE_TEXT = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
+#: A block of the last step: at most about so many rows, and words.
+BLOCK_ROWS, BLOCK_WORDS = 2000, 1_000_000
+_COLUMNS = 2048
 _STEP = _U(0xD6E8FEB86659FD93)
 
 
@@ -122,7 +126,8 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, n_bands: int, per
                 np.cumsum(h * p[: len(h)], out=run[1:])
                 keys.append(at.mix((run[words.first[1:]] - run[words.first[:-1]]) * q[words.first[:-1]] + n.astype(_U)))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, n_bands, dtype=np.int32)), pa.array(at.signed(band.ravel())), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(at.signed(keys[0])), pa.array(at.signed(keys[1])), bands], ["id", "c1", "c2", "bands"])
+            columns = [ids.slice(i, j - i), pa.array(at.signed(keys[0])), pa.array(at.signed(keys[1])), pa.array(n.astype(np.int64)), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "c1", "c2", "n_words", "bands"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -142,6 +147,54 @@ def _overlap(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
 
+def _block_links(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
+    """Links from the asked rows of a block to rows of other classes: one for each row and class."""
+    values, rows = [], []
+    for r, (u, n) in enumerate(bags(pa.array(pdf["text"], pa.string()), k)):
+        values.append(np.concatenate([u, *(at.mix(u[n > c] + _U(c)) for c in range(1, int(n.max(initial=1))))]))  # a multiset as a set
+        rows.append(np.full(len(values[-1]), r))
+    size = np.array([len(v) for v in values])
+    _, name, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    keep = count[name] > 1  # what one row has alone is common to no pair
+    column, row = (np.cumsum(count > 1) - 1)[name[keep]], np.concatenate(rows)[keep]
+    asked, others = np.flatnonzero(pdf["asked"]), np.flatnonzero(~pdf["asked"])
+    place = np.empty(len(pdf), dtype=np.int64)
+    place[asked], place[others] = np.arange(len(asked)), np.arange(len(others))
+    is_asked, common = pdf["asked"].to_numpy()[row], np.zeros((len(asked), len(others)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row, is_asked = column[order], row[order], is_asked[order]
+    for low in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, [low, low + _COLUMNS])
+        c, r, q = column[a:b] - low, row[a:b], is_asked[a:b]
+        left, right = np.zeros((len(asked), _COLUMNS), np.float32), np.zeros((len(others), _COLUMNS), np.float32)
+        left[place[r[q]], c[q]] = 1
+        right[place[r[~q]], c[~q]] = 1
+        common += left @ right.T
+    union = size[asked][:, None] + size[others][None, :] - common
+    group = pdf["g"].to_numpy()
+    x, y = np.nonzero((common >= threshold * union - 1e-4) & (group[asked][:, None] != group[others][None, :]))
+    ids = pdf["rep"].to_numpy()
+    return pd.DataFrame({"a": ids[asked[x]], "b": ids[others[y]], "g": group[others[y]]}).drop_duplicates(["a", "g"])[["a", "b"]]
+
+
+def _rest_links(placed: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links of the members outside their centre's class to the other members of its buckets.
+
+    A group (all that share a centre) is cut into blocks of bounded rows and
+    words; each block of asked rows meets each block of the group.
+    """
+    members = placed.where("rep <> centre").select("centre", "rep", "g", (F.col("g") != F.col("gc")).alias("out")).distinct().join(sizes, "rep")
+    groups = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"), F.max("out").alias("any"), F.countDistinct("g").alias("classes")).where("any and classes > 1")
+    groups = groups.select("centre", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("w") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    members = stored(members.join(groups, "centre").withColumn("own", F.pmod(F.hash("rep"), F.col("blocks"))), "rest")
+    wanted = stored(members.select(F.col("rep").alias("id")).distinct(), "candidates")
+    with_text = members.join(texts.join(broadcast_if_small(wanted), "id").withColumnRenamed("id", "rep"), "rep")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asked = with_text.where("out").select("centre", F.col("own").alias("x"), every.alias("y"), "rep", "g", "text", F.lit(True).alias("asked"))
+    others = with_text.select("centre", every.alias("x"), F.col("own").alias("y"), "rep", "g", "text", F.lit(False).alias("asked"))
+    return asked.unionByName(others).groupBy("centre", "x", "y").applyInPandas(lambda pdf: _block_links(pdf, k, threshold), "a long, b long")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts have a weighted Jaccard similarity of threshold or more."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
@@ -158,8 +211,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_bands
     weighted Jaccard similarity (k-word shingles) is threshold or more. Identical
     word sequences are merged first and never expanded. In a bucket of a band all
     members are compared with the most central one; members that end in another
-    class than it are then compared with every member of another class, so no
-    link that joins classes is left out. A pair of similarity 0.8 shares no bucket
+    class than it are then compared, block by block, with all other members that
+    have that centre, so no link that joins classes is left out. A pair of similarity 0.8 shares no bucket
     with probability (1 - 0.8**per_band)**n_bands, 3 in 100,000 by default.
 
     Defined cases: a text that is null or has no word is alone in its class;
@@ -169,8 +222,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_bands
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.where("id is not null and text is not null")
-    sig = stored(known.mapInArrow(lambda b: _signature_rows(b, k, n_bands, per_band), "id long, c1 long, c2 long, bands array<long>"), "signatures").where("bands is not null")
-    first = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    sig = stored(known.mapInArrow(lambda b: _signature_rows(b, k, n_bands, per_band), "id long, c1 long, c2 long, n_words long, bands array<long>"), "signatures").where("bands is not null")
+    first = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     members = first.select("rep", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(shared, "bucket"), "members")
@@ -186,12 +239,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_bands
         .select("bucket", "rep", "centre", F.coalesce("g", "rep").alias("g"), F.coalesce("gc", "centre").alias("gc"))
     )
     placed = stored(placed, "placed")
-    outside = placed.where("g <> gc").select("bucket", F.col("rep").alias("a"), F.col("g").alias("ga"))
-    others = placed.where("rep <> centre").select("bucket", F.col("rep").alias("b"), F.col("g").alias("gb"), "gc")
-    rest = outside.join(others, "bucket").where("ga <> gb and (gb = gc or a < b)").select("a", "b").distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        group = components(links.unionByName(verified(rest, known, k, threshold)))
+    if not placed.where("g <> gc").isEmpty():
+        sizes = first.select("rep", "n_words").groupBy("rep").agg(F.max("n_words").alias("n_words"))
+        more = stored(_rest_links(placed, sizes, known, k, threshold), "links")
+        if not more.isEmpty():
+            group = components(links.unionByName(more))
     # identical texts follow their least id
     same = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = sig.join(same, ["c1", "c2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
