@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from creditflow.llm import bag_minhash, packing, substring_dedup
+from creditflow.llm import bag_minhash, line_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_differencing_packing": packing.op10_differencing_packing,
     }
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_bag_minhash": bag_minhash.ORACLE_SQL,
     }
