@@ -29,10 +29,10 @@ from creditflow.llm.storage import stored
 
 WINDOW = 2048
 #: Remainders in a block (expected; dealt by hash, so a block's size varies by a few per cent).
-BLOCK = 3000
+BLOCK = 1500
 #: The last remainder of one text in CRUMB_EVERY ends in pieces of these lengths, which even out the windows.
 CRUMBS, CRUMB_EVERY = (8, 16, 32, 64), 4
-#: Words kept with their ids, in a task.
+#: Words kept with their ids in each of two generations.
 CACHE_WORDS = 400_000
 #: Splits at these characters only here, not in the tokenizer; texts with one are encoded whole.
 _TAIL = ".,;:!?|()[]{}<>\"#$%&*+-/=@\\^_`~"
@@ -61,6 +61,7 @@ class WordEncoder:
             stand_in[byte] = byte if byte in printable else 256 + len([b for b in range(byte) if b not in printable])
         self.stand_in = stand_in
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before: words still in use move on from it
         self.units: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -79,6 +80,8 @@ class WordEncoder:
                 other.append(word)
         if len(self.units) > CACHE_WORDS:
             self.units = {"": b""}
+        if len(self.units) > CACHE_WORDS:
+            self.units = {"": b""}
         units, rest = self.units, []
         for unit in {u for pair in split.values() for u in pair if u not in units}:
             if unit.isascii():
@@ -108,10 +111,11 @@ class WordEncoder:
         """Learns the words of some texts at once."""
         new = {w for words in texts for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             new = {w for words in texts for w in words}
         if new:
-            self._learn(list(new))
+            self.known.update({w: self.older[w] for w in new if w in self.older})
+            self._learn([w for w in new if w not in self.known])
         return True
 
 
