@@ -34,8 +34,8 @@ from creditflow.llm import arrow_text as at
 from creditflow.llm.storage import BROADCAST_ROWS, stored
 
 _U = np.uint64
-#: Words that get a rank by count: 12 bytes each, so 12 MB at most.
-FREQUENT = 1_000_000
+#: Words that get a rank by count: 16 bytes each, so 3.2 MB at most.
+FREQUENT = 200_000
 _TOKEN_BITS = 40
 
 
