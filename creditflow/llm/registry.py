@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from creditflow.llm import bag_minhash, line_dedup, packing, substring_dedup
+from creditflow.llm import bag_minhash, decontaminate, line_dedup, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_differencing_packing": packing.op10_differencing_packing,
     }
