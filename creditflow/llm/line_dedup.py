@@ -135,16 +135,11 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i + r].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["id", "line", "words"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_lines, n_removed, kept = [], [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = text.split("\n") if text is not None else []
-            left = [x for k, x in enumerate(lines) if k not in drop] if gone and (drop := set(gone)) else lines
-            n_lines.append(len(lines))
-            n_removed.append(len(lines) - len(left))
-            kept.append(None if text is None else "\n".join(left))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_lines", "n_removed", "kept_text"])
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers (null: none)."""
+    lines = F.split(text, "\n", -1)
+    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains(gone, e["i"]))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda e: e["x"]), "\n"))
 
 
 def _per_row(lines: DataFrame, name: str) -> DataFrame:
@@ -223,12 +218,19 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     return found if more.isEmpty() else found.unionByName(_verified(more, rows, threshold))
 
 
+def lines_by_row(lines: DataFrame) -> DataFrame:
+    """(id, line) -> id, gone: the numbers of the lines to remove."""
+    return _per_row(lines, "gone")
+
+
 def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text (kept lines, in order)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = _per_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold), "gone")
-    cut = rows.join(gone, "id", "left").select("id", "text", "gone")
-    return cut.mapInArrow(_cut, "id long, n_lines long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    gone = lines_by_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold))
+    cut = rows.join(gone, "id", "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return cut.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), without_lines(F.col("text"), F.col("gone")).alias("kept_text"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
