@@ -11,7 +11,7 @@ How it runs
    get a rank (a table of bounded size, broadcast); all others are rarer and follow
    their hash. Any fixed order gives exact results; this one keeps lists short.
 3. Each first line sends its prefix (the n - ceil(t n) + 1 rarest words) to the
-   lists of these words, with its size, the position and a 64-bit parity sketch of
+   lists of these words, with its size, the position and a 128-bit parity sketch of
    its set. Length, positional and sketch bounds (the parity of two sets differs in
    at most |A xor B| bits) drop pairs that cannot reach the threshold.
 4. Each line meets the first line of each list; then the lines still undecided
@@ -34,8 +34,8 @@ from creditflow.llm import arrow_text as at
 from creditflow.llm.storage import BROADCAST_ROWS, stored
 
 _U = np.uint64
-#: Words that get a rank by count: 16 bytes each, so 3.2 MB at most.
-FREQUENT = 200_000
+#: Words that get a rank by count: 16 bytes each, so 16 MB at most.
+FREQUENT = 1_000_000
 _TOKEN_BITS = 40
 
 
@@ -77,6 +77,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at.signed(word)), pa.array(np.bincount(place, weights=n, minlength=len(word)).astype(np.int64))], ["word", "n"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(batch.column(k).to_numpy(zero_copy_only=False)).tobytes()], pa.binary()) for k in (0, 1)], ["words", "counts"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, row, number, h, _, first in _sets(batch.column(1)):
@@ -107,8 +112,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> It
                 common = known[place] == h
                 order[common] = rank[place[common]].astype(_U) << _U(40)
             key = order | (h & _U((1 << 40) - 1))
-            sketch = np.zeros(len(n), dtype=_U)
-            np.bitwise_xor.at(sketch, line, _U(1) << (h >> _U(58)))
+            bit, half = _U(1) << (h >> _U(58)), (h >> _U(57)) & _U(1)
+            edges = np.append(first[:-1], len(h))
+            sketches = []
+            for side in (0, 1):
+                run = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(np.where(half == side, bit, _U(0)))])
+                sketches.append(run[edges[1:]] ^ run[edges[:-1]])
             length = prefix_length(n, threshold)
             out = []
             for k in np.flatnonzero(take).tolist():
@@ -121,7 +130,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> It
             position = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             ids = batch.column(0).take(pa.array(row[owner] + i))
             packed = (number[owner].astype(np.int64) << 32) | (np.minimum(n[owner], 0xFFFF) << 16) | np.minimum(position, 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array((h[words] >> _U(64 - _TOKEN_BITS)).astype(np.int64)), ids, pa.array(packed), pa.array(at.signed(sketch[owner]))], ["word", "id", "packed", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array((h[words] >> _U(64 - _TOKEN_BITS)).astype(np.int64)), ids, pa.array(packed), *(pa.array(at.signed(x[owner])) for x in sketches)], ["word", "id", "packed", "s1", "s2"])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,23 +164,24 @@ def _ranks(rows: DataFrame):
     counts = stored(rows.select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
     total = sizes.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("above") <= FREQUENT).agg(F.min("n")).first()[0]
-    table = counts.where(F.col("n") >= F.lit(total)).toPandas() if total is not None else None
-    if table is None or table.empty:
+    if total is None:
         return spark.sparkContext.broadcast((np.zeros(0, _U), np.zeros(0, np.int64)))
-    word, n = table["word"].to_numpy().view(_U), table["n"].to_numpy()
+    table = counts.where(F.col("n") >= F.lit(total)).mapInArrow(_packed, "words binary, counts binary").collect()
+    word, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], dtype=kind) for r in table)]) for c, kind in (("words", _U), ("counts", np.int64)))
+    del table
     by_word = np.argsort(word)
     rank = np.empty(len(word), dtype=np.int64)
     rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
     return spark.sparkContext.broadcast((word[by_word], rank[by_word]))
 
 
-def _may_match(n_a: Column, p_a: Column, s_a: Column, n_b: Column, p_b: Column, s_b: Column, t: float) -> Column:
+def _may_match(n_a: Column, p_a: Column, n_b: Column, p_b: Column, t: float) -> Column:
     """Length, positional and sketch bounds; sizes from 65,535 on are not told apart and always pass."""
     both = n_a + n_b
     large = F.greatest(n_a, n_b) >= 0xFFFF
     length = F.least(n_a, n_b) >= t * F.greatest(n_a, n_b) - 1e-9
     positional = F.least(n_a - p_a, n_b - p_b) >= t / (1 + t) * both - 1e-9
-    parity = F.bit_count(s_a.bitwiseXOR(s_b)) <= (1 - t) / (1 + t) * both + 1e-9
+    parity = F.bit_count(F.col("s1").bitwiseXOR(F.col("s10"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s20"))) <= (1 - t) / (1 + t) * both + 1e-9
     return large | (length & positional & parity)
 
 
@@ -179,6 +189,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """(id, line) of the later lines of pairs that reach the threshold."""
     ends = pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct(F.col("id0").alias("id"), F.col("line0").alias("line")))).alias("e")).select("e.*").distinct()
     sets = rows.join(_per_row(ends, "wanted"), "id").select("id", "text", "wanted").mapInArrow(_wanted_sets, "id long, line int, words array<long>")
+    sets = stored(sets, "sets")
     later = pairs.join(sets, ["id", "line"])
     both = later.join(sets.select(F.col("id").alias("id0"), F.col("line").alias("line0"), F.col("words").alias("words0")), ["id0", "line0"])
     common = F.size(F.array_intersect("words", "words0"))
@@ -195,23 +206,23 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     ranked = _ranks(rows)
     texts = rows.join(_per_row(copies, "decided"), "id", "left").select("id", "text", "decided")
-    entries = texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), "word long, id long, packed long, sketch long")
+    entries = texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), "word long, id long, packed long, s1 long, s2 long")
     order = Window.partitionBy("word").orderBy("id", "packed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     unpack = lambda c: (F.shiftright(c, 32).cast("int"), F.shiftright(c, 16).bitwiseAND(F.lit(0xFFFF)), F.col(c).bitwiseAND(F.lit(0xFFFF)))
-    listed = entries.select("*", F.first(F.struct("id", "packed", "sketch")).over(order).alias("f")).where("id <> f.id or packed <> f.packed")
-    listed = listed.select("word", "id", "packed", "sketch", F.col("f.id").alias("id0"), F.col("f.packed").alias("packed0"), F.col("f.sketch").alias("sketch0"))
+    listed = entries.select("*", F.first(F.struct("id", "packed", "s1", "s2")).over(order).alias("f")).where("id <> f.id or packed <> f.packed")
+    listed = listed.select("word", "id", "packed", "s1", "s2", *(F.col(f"f.{c}").alias(f"{c}0") for c in ("id", "packed", "s1", "s2")))
     line, n, p = unpack("packed")
     line0, n0, p0 = unpack("packed0")
-    met = _may_match(n, p, F.col("sketch"), n0, p0, F.col("sketch0"), threshold)
-    listed = stored(listed.select("word", "id", "packed", "sketch", F.when(met, F.col("id0")).alias("id0"), F.when(met, line0).alias("line0")), "lists")
+    met = _may_match(n, p, n0, p0, threshold)
+    listed = stored(listed.select("word", "id", "packed", "s1", "s2", F.when(met, F.col("id0")).alias("id0"), F.when(met, line0).alias("line0")), "lists")
     pairs = stored(listed.where("id0 is not null").select("id", line.alias("line"), "id0", "line0").distinct(), "pairs")
     near = stored(_verified(pairs, rows, threshold), "near")
 
-    rest = listed.select("word", "id", "packed", "sketch", line.alias("line"), n.alias("n"), p.alias("p"))
+    rest = listed.select("word", "id", "s1", "s2", line.alias("line"), n.alias("n"), p.alias("p"))
     small = near.count() <= BROADCAST_ROWS
     later = rest.join(F.broadcast(near) if small else near, ["id", "line"], "left_anti")
-    earlier = rest.select("word", *[F.col(c).alias(f"{c}0") for c in ("id", "line", "n", "p", "sketch")])
-    met = _may_match(F.col("n"), F.col("p"), F.col("sketch"), F.col("n0"), F.col("p0"), F.col("sketch0"), threshold)
+    earlier = rest.select("word", *[F.col(c).alias(f"{c}0") for c in ("id", "line", "n", "p", "s1", "s2")])
+    met = _may_match(F.col("n"), F.col("p"), F.col("n0"), F.col("p0"), threshold)
     more = later.join(earlier, (later["word"] == earlier["word"]) & ((F.col("id0") < F.col("id")) | ((F.col("id0") == F.col("id")) & (F.col("line0") < F.col("line")))) & met)
     more = stored(more.select("id", "line", "id0", "line0").distinct(), "pairs")
     found = copies.unionByName(near)
