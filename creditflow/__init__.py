@@ -1,0 +1 @@
+"""Credit-policy data jobs on Spark: DataFrame in, DataFrame out."""

@@ -1,0 +1 @@
+"""Column functions: null-safe predicates, repeatable uniforms, bins and ranks."""

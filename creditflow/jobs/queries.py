@@ -1,2 +1,680 @@
+"""One query per operator over the test tables, with the DuckDB SQL that has the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from creditflow.functions.binning import left_bin, position_bin, rank_bin, ranked
+from creditflow.functions.expressions import ratio, true
+from creditflow.operators import deploy, evaluate, models, ratings, reports, screening, search
+from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, rate_stage, segment_cutoff_stage
+from creditflow.sources.applicants import SQL as APP
+from creditflow.sources.applicants import applicants
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL (None: rows only)."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = "WITH " + sql.strip()
+        return fn
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+# The policy of most queries: two filters and a cutoff, swap-in PD by score decile.
+BASE = Policy("applicant_id", ("score_4", "score_5"), "approved", "actual_default", time="safra", hired="hired").with_stages(
+    filter_stage("cpf", "cpf_valido"), filter_stage("negativacao", "vl_negativacao <= 1500"), cutoff_stage("score", {"score_5": 600}))
+TAKE_UP = rate_stage("Take_up", 0.9)
+FULL = BASE.with_stages(TAKE_UP).with_stress(Stress("aggravation", factor=1.3))
+BANDS = [("A", 900, 1000), ("B", 750, 899), ("C", 600, 749)]
+
+
+def RATING():  # noqa: N802  a column needs a session
+    return ratings.predict_by_bands("score_5", BANDS)
+
+
+def DEV():  # noqa: N802
+    return F.col("safra") < "2000-01"
+
+
+PASS = "(cpf_valido AND vl_negativacao<=1500 AND score_5>=600)"
+
+
+def scen(new: str) -> str:
+    return f"CASE WHEN approved>0 AND {new} THEN 'keep_in' WHEN {new} THEN 'swap_in' WHEN approved>0 THEN 'swap_out' ELSE 'keep_out' END"
+
+
+def edges_sql(score: str, where: str, name: str = "e") -> str:
+    points = ",".join(str(i / 10) for i in range(11))
+    return f"{name} AS (SELECT list_sort(list_distinct(list_transform(quantile_cont({score}::DOUBLE, [{points}]), lambda x: round(x, 9))))[2:-2] AS inn FROM q WHERE {where})"
+
+
+RB = "len(list_filter(inn, lambda x: x < {score}))"
+Q = f"{APP}, q AS (SELECT *, {scen(PASS)} AS scenario, CASE WHEN {PASS} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pre FROM a)"
+DECILE_PD = f"""{Q}, {edges_sql('score_5', "scenario='keep_in'")},
+b AS (SELECT q.*, {RB.format(score='score_5')} AS bin FROM q, e),
+m AS (SELECT bin, avg(actual_default) AS m FROM b WHERE scenario='keep_in' GROUP BY bin),
+k AS (SELECT avg(actual_default) AS k FROM q WHERE scenario='keep_in'),
+w AS (SELECT b.*, coalesce(m.m, k.k) AS pd FROM b LEFT JOIN m USING (bin), k)"""
+RATE = "CASE WHEN approved=1 THEN hired::DOUBLE ELSE 0.9::DOUBLE END"
+SIM = f"""{DECILE_PD}, s AS (SELECT *, pre*{RATE} AS na, CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN least(pd*1.3::DOUBLE, 1.0::DOUBLE) END AS sd,
+CASE WHEN score_5 BETWEEN 600 AND 749 THEN 3 WHEN score_5 BETWEEN 750 AND 899 THEN 2 WHEN score_5 BETWEEN 900 AND 1000 THEN 1 END AS rating FROM w)"""
+WEIGHTS = f"""{SIM}, v AS (SELECT *, CASE WHEN scenario IN ('keep_in','swap_in') THEN na WHEN scenario='swap_out' THEN hired::DOUBLE ELSE 0 END AS vol,
+CASE scenario WHEN 'keep_in' THEN coalesce(actual_default,0)*na WHEN 'swap_in' THEN coalesce(sd,0)*na WHEN 'swap_out' THEN coalesce(actual_default,0)*hired::DOUBLE ELSE 0 END AS bad FROM s)"""
+OUT = "round(coalesce(sum(coalesce(sd,0)*pre)/nullif(sum(pre),0),0),6)"
+
+
+def base_sim(spark, sf):
+    return evaluate.simulate(applicants(spark, sf), FULL)
+
+
+# --- applicants, stages, funnel -------------------------------------------------
+
+
+@query(f"{APP} SELECT * FROM a")
+def applicant_table(spark, sf):
+    return applicants(spark, sf)
+
+
+@query(f"""{APP}, n AS (SELECT count(*)::DOUBLE AS n0, sum(CASE WHEN cpf_valido THEN 1 ELSE 0 END)::DOUBLE AS n1, sum(CASE WHEN cpf_valido AND vl_negativacao<=1500 THEN 1 ELSE 0 END)::DOUBLE AS n2,
+sum(CASE WHEN {PASS} THEN 1 ELSE 0 END)::DOUBLE AS n3 FROM a),
+r AS (SELECT unnest([0,1,2,3])::INTEGER AS step, unnest(['all','cpf','negativacao','score']) AS stage, unnest([n0,n1,n2,n3]) AS remaining, n0 FROM n)
+SELECT step, stage, remaining, round(remaining/n0,6) AS share, remaining-lag(remaining) OVER (ORDER BY step) AS change FROM r""")
+def funnel_report(spark, sf):
+    return rounded(reports.funnel(evaluate.simulate(applicants(spark, sf), BASE), BASE))
+
+
+@query(f"{APP} SELECT count(*)::BIGINT AS applicants, sum(approved)::BIGINT AS approved, sum(hired)::BIGINT AS hired, round(avg(actual_default),6) AS bad_rate, round(sum(hired)::DOUBLE/sum(approved),6) AS take_up FROM a")
+def legacy_panorama(spark, sf):
+    return rounded(reports.legacy_panorama(applicants(spark, sf), BASE))
+
+
+@query(f"{APP} SELECT applicant_id, CASE WHEN NOT coalesce(CASE WHEN applicant_id%97=0 THEN NULL ELSE score_5 END >= 500, false) OR age>=60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM a")
+def filter_stage_nulls(spark, sf):
+    df = applicants(spark, sf).withColumn("s", F.when(F.col("applicant_id") % 97 != 0, F.col("score_5")))
+    return df.select("applicant_id", filter_stage("f", ~true(F.col("s") >= 500) | (F.col("age") >= 60)).passes(df).alias("passed"))
+
+
+@query(f"{APP} SELECT applicant_id, CASE WHEN score_4>=500 AND score_5>=600 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS at_least, CASE WHEN age<=60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS at_most FROM a")
+def cutoff_stage_rows(spark, sf):
+    df = applicants(spark, sf)
+    return df.select("applicant_id", cutoff_stage("c", {"score_4": 500, "score_5": 600}).passes(df).alias("at_least"), cutoff_stage("m", {"age": 60}, "lte").passes(df).alias("at_most"))
+
+
+@query(f"{APP} SELECT applicant_id, CASE WHEN score_5 >= CASE region WHEN 'ASIA' THEN 650 WHEN 'EUROPE' THEN 600 WHEN 'AFRICA' THEN 700 END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM a")
+def segment_cutoff(spark, sf):
+    df = applicants(spark, sf)
+    return df.select("applicant_id", segment_cutoff_stage("r", "score_5", "region", {"ASIA": 650, "EUROPE": 600, "AFRICA": 700}).passes(df).alias("passed"))
+
+
+@query(f"{APP} SELECT applicant_id, round(greatest(least(0.7::DOUBLE*CASE WHEN income>=2000 THEN 1.0::DOUBLE ELSE 0 END,1),0),6) AS p, round(CASE WHEN vl_protestos=0 AND vl_vencido_scr>0 THEN 1.0::DOUBLE WHEN vl_protestos=0 THEN 0.0::DOUBLE ELSE least(vl_vencido_scr::DOUBLE/vl_protestos,1) END,6) AS r FROM a")
+def rate_column(spark, sf):
+    df = applicants(spark, sf)
+    p = rate_stage("x", 0.7, F.when(F.col("income") >= 2000, 1.0).otherwise(0.0)).rate(df)
+    return rounded(df.select("applicant_id", p.alias("p"), ratio(F.col("vl_vencido_scr"), F.col("vl_protestos")).alias("r")))
+
+
+ANTI = BASE.with_stages(rate_stage("Anti-fraude", 0.85), rate_stage("Conversao", 0.5, calibrate=True))
+
+
+@query(f"{Q} SELECT applicant_id, round(pre*CASE WHEN approved=1 THEN 1 ELSE 0.85::DOUBLE END,6) AS antifraud, round(pre*CASE WHEN approved=1 THEN hired::DOUBLE ELSE 0.85::DOUBLE*0.5::DOUBLE END,6) AS new_approval FROM q")
+def rate_keep_in_bypass(spark, sf):
+    return rounded(evaluate.simulate(applicants(spark, sf), ANTI).select("applicant_id", F.col("`stage_3_Anti-fraude`").alias("antifraud"), "new_approval"))
+
+
+def _uniform(salt: str) -> str:
+    return f"(('0x'||substr(md5(concat('{salt}|',applicant_id)),1,8))::UBIGINT::DOUBLE/4294967296.0::DOUBLE)"
+
+
+STOCHASTIC = f"""{DECILE_PD}, s AS (SELECT *, (pre*CASE WHEN approved=1 THEN hired::DOUBLE WHEN {_uniform('42-3')}<0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)::INTEGER AS na, pre::INTEGER AS pre_i,
+CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN CASE WHEN {_uniform('42-default')}<least(pd*1.3::DOUBLE,1.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS sd FROM w)"""
+
+
+@query(f"{STOCHASTIC} SELECT applicant_id, na AS new_approval, pre_i AS approved_pre_rate, scenario, sd AS simulated_default FROM s")
+def stochastic_rate(spark, sf):
+    return evaluate.simulate(applicants(spark, sf), FULL, "stochastic").select("applicant_id", "new_approval", "approved_pre_rate", "scenario", "simulated_default")
+
+
+CALIBRATED = BASE.with_stages(rate_stage("Conversao", 1.0, ("calibrated", lambda df: ratio(F.col("hired"), F.col("approved"))), calibrate=True))
+
+
+@query(f"""{Q}, {edges_sql('score_5', 'approved=1')}, b AS (SELECT q.*, {RB.format(score='score_5')} AS bin FROM q, e), m AS (SELECT bin, avg(hired::DOUBLE) AS m FROM b WHERE approved=1 GROUP BY bin),
+k AS (SELECT avg(hired::DOUBLE) AS k FROM q WHERE approved=1) SELECT applicant_id, round(pre*CASE WHEN approved=1 THEN hired::DOUBLE ELSE coalesce(m, k) END,6) AS new_approval FROM b LEFT JOIN m USING (bin), k""")
+def calibrated_rate(spark, sf):
+    return rounded(evaluate.simulate(applicants(spark, sf), CALIBRATED).select("applicant_id", "new_approval"))
+
+
+# --- quadrants, default rates, stress -------------------------------------------
+
+
+@query(f"{Q} SELECT scenario, count(*)::BIGINT AS n FROM q GROUP BY scenario")
+def quadrants(spark, sf):
+    return evaluate.simulate(applicants(spark, sf), BASE).groupBy("scenario").agg(F.count("*").alias("n"))
+
+
+def _swap_pd(spark, sf, policy, **options):
+    sim = evaluate.simulate(applicants(spark, sf), policy, **options)
+    return rounded(sim.where("scenario = 'swap_in'").select("applicant_id", F.col("simulated_default").alias("pd")))
+
+
+@query(f"{DECILE_PD} SELECT applicant_id, round(pd,6) AS pd FROM w WHERE scenario='swap_in'")
+def swap_in_pd_score_bins(spark, sf):
+    return _swap_pd(spark, sf, BASE)
+
+
+CUSTOM = DECILE_PD.replace(edges_sql("score_5", "scenario='keep_in'"), "e AS (SELECT [0,500,750,850,1000] AS inn)")
+
+
+@query(f"{CUSTOM} SELECT applicant_id, round(pd,6) AS pd FROM w WHERE scenario='swap_in'")
+def swap_in_pd_custom_edges(spark, sf):
+    from dataclasses import replace
+
+    return _swap_pd(spark, sf, replace(BASE, calibration_bins=(0, 500, 750, 850, 1000)))
+
+
+GLOBAL = DECILE_PD.replace(edges_sql("score_5", "scenario='keep_in'"), edges_sql("score_5", "true"))
+
+
+@query(f"{GLOBAL} SELECT applicant_id, round(pd,6) AS pd FROM w WHERE scenario='swap_in'")
+def swap_in_pd_global_base(spark, sf):
+    from dataclasses import replace
+
+    return _swap_pd(spark, sf, replace(BASE, calibration_base="all"))
+
+
+BY_BAND = "CASE WHEN score_5 BETWEEN 600 AND 749 THEN 3 WHEN score_5 BETWEEN 750 AND 899 THEN 2 WHEN score_5 BETWEEN 900 AND 1000 THEN 1 END"
+
+
+@query(f"""{Q}, r AS (SELECT *, {BY_BAND} AS rating FROM q), m AS (SELECT rating, avg(actual_default) AS m FROM r WHERE scenario='keep_in' GROUP BY rating), k AS (SELECT avg(actual_default) AS k FROM q WHERE scenario='keep_in')
+SELECT applicant_id, round(coalesce(m,k),6) AS pd FROM r LEFT JOIN m USING (rating), k WHERE scenario='swap_in'""")
+def swap_in_pd_rating(spark, sf):
+    return _swap_pd(spark, sf, BASE, rating=RATING())
+
+
+def _stressed(expression: str, where: str = "scenario='swap_in'") -> str:
+    return f"{DECILE_PD} SELECT applicant_id, round(greatest(least({expression},1.0::DOUBLE),0.0::DOUBLE),6) AS pd FROM w WHERE {where}"
+
+
+@query(_stressed("pd*1.5::DOUBLE"))
+def stress_aggravation(spark, sf):
+    return _swap_pd(spark, sf, BASE.with_stress(Stress("aggravation", factor=1.5)))
+
+
+@query(_stressed("pd*(1+(age%5)::DOUBLE)"))
+def stress_factor_col(spark, sf):
+    df = applicants(spark, sf).withColumn("factor", 1 + (F.col("age") % 5).cast("double"))
+    sim = evaluate.simulate(df, BASE.with_stress(Stress("aggravation", factor=9.0, column="factor")))
+    return rounded(sim.where("scenario = 'swap_in'").select("applicant_id", F.col("simulated_default").alias("pd")))
+
+
+@query(_stressed("0.5::DOUBLE-score_5/1000.0::DOUBLE*0.4::DOUBLE"))
+def stress_monotonic(spark, sf):
+    return _swap_pd(spark, sf, BASE.with_stress(Stress("monotonic", factor=0.4, score="score_5", baseline=0.5)))
+
+
+@query(_stressed(f"pd*CASE coalesce({BY_BAND},0) WHEN 1 THEN 1.1::DOUBLE WHEN 2 THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END"))
+def stress_by_rating(spark, sf):
+    factor = lambda df, pd: F.col(pd) * F.coalesce(F.when(RATING() == 1, 1.1).when(RATING() == 2, 1.5), F.lit(2.0))
+    return _swap_pd(spark, sf, BASE.with_stress(Stress("custom", fn=factor)))
+
+
+@query(f"""{DECILE_PD}, o AS (SELECT *, row_number() OVER (ORDER BY score_5, applicant_id) AS r, count(*) OVER () AS n FROM w WHERE scenario='swap_in')
+SELECT applicant_id, round(least(pd*1.2::DOUBLE*(1+greatest(ceil((r-1)*10/greatest(n-1,1)::DOUBLE)-1,0)),1.0::DOUBLE),6) AS pd FROM o""")
+def stress_by_decile(spark, sf):
+    sim = evaluate.simulate(applicants(spark, sf), BASE).where("scenario = 'swap_in'")
+    placed = ranked(sim.select("applicant_id", "score_5", "simulated_default"), [], "score_5", "applicant_id")
+    return rounded(placed.select("applicant_id", F.least(F.col("simulated_default") * 1.2 * (1 + rank_bin(F.col("rank"), F.col("rank_total"), 10)), F.lit(1.0)).alias("pd")))
+
+
+@query(_stressed("greatest(least(pd*1.5::DOUBLE,1),0.3::DOUBLE-score_5/1000.0::DOUBLE*0.2::DOUBLE)"))
+def stress_worst_case(spark, sf):
+    return _swap_pd(spark, sf, BASE.with_stress(Stress("aggravation", factor=1.5), Stress("monotonic", factor=0.2, score="score_5", baseline=0.3)))
+
+
+@query(f"""{SIM} SELECT applicant_id, CASE WHEN pre>=0.5 THEN 'Approved' ELSE 'Rejected' END AS decision,
+CASE WHEN NOT cpf_valido THEN '1: cpf' WHEN vl_negativacao>1500 THEN '2: negativacao' WHEN score_5<600 THEN '3: score' ELSE 'Approved' END AS reason, round(na,6) AS hired, round(sd,6) AS defaulted,
+CASE scenario WHEN 'keep_in' THEN 'Keep In' WHEN 'swap_in' THEN 'Swap In' WHEN 'swap_out' THEN 'Swap Out' ELSE 'Keep Out' END AS scenario, chr(64+rating) AS rating FROM s""")
+def decision_table(spark, sf):
+    out = evaluate.decisions(base_sim(spark, sf), FULL, rating=RATING())
+    return rounded(out.select("applicant_id", "decision", "reason", "hired", "defaulted", "scenario", "rating"))
+
+
+# --- reports --------------------------------------------------------------------
+
+_SUMMARY = """count(*)::BIGINT AS applicants, sum(pre) AS approved, round(sum(na),6) AS hired,
+round(CASE WHEN scenario IN ('keep_in','swap_in') THEN coalesce(sum(coalesce(sd,0)*na)/nullif(sum(na),0),0) WHEN scenario='swap_out' THEN coalesce(avg(actual_default),0) END,6) AS bad_rate"""
+
+
+@query(f"{SIM} SELECT scenario, {_SUMMARY} FROM s GROUP BY scenario")
+def summary_analytical(spark, sf):
+    return rounded(reports.summary(base_sim(spark, sf), FULL))
+
+
+@query(f"{SIM} SELECT region, scenario, {_SUMMARY} FROM s GROUP BY region, scenario")
+def summary_by_region(spark, sf):
+    return rounded(reports.summary(base_sim(spark, sf), FULL, ["region"]))
+
+
+@query(f"""{STOCHASTIC} SELECT scenario, count(applicant_id)::BIGINT AS applicants, sum(pre_i)::DOUBLE AS approved, sum(na)::DOUBLE AS hired,
+round(CASE WHEN scenario='swap_out' THEN avg(actual_default) WHEN scenario<>'keep_out' THEN avg(sd) END,6) AS bad_rate FROM s GROUP BY scenario""")
+def summary_stochastic(spark, sf):
+    return rounded(reports.summary(evaluate.simulate(applicants(spark, sf), FULL, "stochastic"), FULL, method="stochastic"))
+
+
+@query(f"""{SIM}, n AS (SELECT avg(pre) AS an, sum(coalesce(sd,0)*pre)/sum(pre) AS bn, avg(approved::DOUBLE) AS ao, sum(coalesce(actual_default,0)*approved)/sum(approved)::DOUBLE AS bo FROM s),
+r AS (SELECT unnest(['Approval Rate','Bad Rate']) AS metric, unnest([ao,bo]) AS old, unnest([an,bn]) AS new FROM n)
+SELECT metric, round(old,6) AS old, round(new,6) AS new, round(new-old,6) AS delta_abs, round((new-old)/greatest(old,1e-6::DOUBLE),6) AS delta_rel FROM r""")
+def compare_policies(spark, sf):
+    from dataclasses import replace
+
+    df = applicants(spark, sf)
+    old = evaluate.simulate(df, replace(BASE, stages=(filter_stage("legacy", "approved = 1"),)))
+    return rounded(reports.compare(evaluate.simulate(df, FULL), old))
+
+
+@query(f"{SIM} SELECT round(sum(CASE WHEN scenario='swap_in' THEN pre ELSE 0 END)/sum(CASE WHEN scenario='keep_in' THEN pre ELSE 0 END),6) AS swap_in_ratio FROM s")
+def swap_ratio(spark, sf):
+    return rounded(reports.swap_ratio(base_sim(spark, sf)))
+
+
+@query(f"""{SIM}, n AS (SELECT avg((approved>0)::INT::DOUBLE) AS al, avg((pre>0)::INT::DOUBLE) AS an, sum(CASE WHEN hired=1 THEN coalesce(actual_default,0) END)::DOUBLE/sum(hired) AS dl,
+sum(coalesce(sd,0)*na)/sum(na) AS dn, sum(hired)::DOUBLE AS vl, sum(na) AS vn FROM s), r AS (SELECT unnest(['approval','default_rate','hired']) AS metric, unnest([al,dl,vl]) AS legacy, unnest([an,dn,vn]) AS new FROM n)
+SELECT metric, round(legacy,6) AS legacy, round(new,6) AS new, round(new-legacy,6) AS delta FROM r""")
+def delta_table(spark, sf):
+    return rounded(reports.delta_table(base_sim(spark, sf), FULL))
+
+
+@query(f"{WEIGHTS} SELECT scenario, round(sum(vol),6) AS volume, round(CASE WHEN scenario<>'keep_out' THEN coalesce(sum(bad)/nullif(sum(vol),0),0) END,6) AS default_rate FROM v GROUP BY scenario")
+def quadrant_summary(spark, sf):
+    return rounded(reports.quadrant_summary(base_sim(spark, sf), FULL))
+
+
+@query(f"""{SIM}, g AS (SELECT rating, sum(na) AS volume, coalesce(sum(coalesce(sd,0)*na)/nullif(sum(na),0),0) AS stressed_rate FROM s WHERE scenario='swap_in' GROUP BY rating)
+SELECT rating, round(volume,6) AS volume, round(stressed_rate,6) AS stressed_rate, round(volume/sum(volume) OVER (),6) AS share FROM g""")
+def swap_in_by_rating(spark, sf):
+    return rounded(reports.swap_in_by_rating(base_sim(spark, sf), RATING()))
+
+
+@query(f"""{WEIGHTS} SELECT rating, scenario, sum(CASE WHEN scenario='swap_out' THEN approved::DOUBLE ELSE pre END) AS approved_volume, round(sum(vol),6) AS hired_volume,
+round(CASE WHEN scenario<>'keep_out' THEN coalesce(sum(bad)/nullif(sum(vol),0),0) END,6) AS bad_rate FROM v GROUP BY rating, scenario""")
+def rating_quadrant(spark, sf):
+    return rounded(reports.rating_quadrant(base_sim(spark, sf), FULL, RATING()))
+
+
+@query(f"{SIM} SELECT safra, rating, round(avg(actual_default),6) AS default_rate FROM s WHERE na>0 GROUP BY safra, rating")
+def vintage_stability(spark, sf):
+    return rounded(reports.vintage(base_sim(spark, sf), FULL, RATING()))
+
+
+@query(f"{SIM} SELECT region, round(avg(pre),6) AS approval_rate, {OUT} AS weighted_pd FROM s GROUP BY region")
+def segment_outcome(spark, sf):
+    return rounded(reports.segment_outcome(base_sim(spark, sf), "region"))
+
+
+@query(f"""{APP} SELECT {BY_BAND} AS rating, sum(CASE WHEN safra<'2000-01' THEN 1 ELSE 0 END)::BIGINT AS n_dev, sum(CASE WHEN safra<'2000-01' THEN 0 ELSE 1 END)::BIGINT AS n_oot,
+round(avg(CASE WHEN safra<'2000-01' THEN actual_default END),6) AS bad_dev, round(avg(CASE WHEN safra>='2000-01' THEN actual_default END),6) AS bad_oot FROM a GROUP BY 1""")
+def dev_oot_validation(spark, sf):
+    return rounded(reports.dev_oot(applicants(spark, sf), RATING(), DEV(), "actual_default"))
+
+
+@query(f"""{SIM} SELECT rating, {', '.join(f"round(coalesce(sum(na) FILTER (region='{r}'),0),6) AS {r.replace(' ', '_')}" for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))} FROM s WHERE scenario='swap_in' GROUP BY rating""")
+def swap_in_rating_region(spark, sf):
+    return rounded(reports.swap_in_matrix(base_sim(spark, sf), RATING(), "region", ["AFRICA", "AMERICA", "ASIA", "EUROPE"]))
+
+
+@query(f"""{SIM}, o AS (SELECT *, row_number() OVER (ORDER BY score_5, applicant_id) AS r, count(*) OVER () AS n FROM s WHERE actual_default IS NOT NULL)
+SELECT rating, count(*)::BIGINT AS volume, round(avg(actual_default),6) AS default_rate, round(avg(actual_default*1.2::DOUBLE*greatest(ceil((r-1)*10/greatest(n-1,1)::DOUBLE)-1,0)),6) AS stressed_rate FROM o GROUP BY rating""")
+def rating_summary_stressed(spark, sf):
+    rows = ranked(applicants(spark, sf).where("actual_default is not null").withColumn("rating", RATING()), [], "score_5", "applicant_id")
+    d = F.col("actual_default").cast("double")
+    return rounded(rows.groupBy("rating").agg(F.count("*").alias("volume"), F.avg(d).alias("default_rate"), F.avg(d * 1.2 * rank_bin(F.col("rank"), F.col("rank_total"), 10)).alias("stressed_rate")))
+
+
+@query(f"{APP} SELECT {BY_BAND} AS rating, min(score_5) AS min_score, max(score_5) AS max_score, sum(CASE WHEN safra<'2000-01' THEN 1 ELSE 0 END)::BIGINT AS n_dev, sum(CASE WHEN safra<'2000-01' THEN 0 ELSE 1 END)::BIGINT AS n_oot FROM a GROUP BY 1")
+def rating_ranges(spark, sf):
+    return reports.rating_ranges(applicants(spark, sf), "score_5", RATING(), DEV())
+
+
+@query(f"{APP} SELECT count(DISTINCT safra)::BIGINT AS safra_values, count(DISTINCT region)::BIGINT AS region_values, count(DISTINCT score_5)::BIGINT AS score_5_values FROM a")
+def cardinality(spark, sf):
+    return reports.cardinality(applicants(spark, sf), ["safra", "region", "score_5"])
+
+
+# --- score power ----------------------------------------------------------------
+
+SCORES = ["legacy_score", "score_4", "score_5"]
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS score_name, {c}::DOUBLE AS score, actual_default AS d FROM a WHERE actual_default IS NOT NULL" for c in SCORES)
+KS = f"""{APP}, l AS ({_LONG}), g AS (SELECT score_name, score, sum(d)::DOUBLE AS b, sum(1-d)::DOUBLE AS g FROM l GROUP BY ALL),
+c AS (SELECT score_name, abs(sum(b) OVER w/sum(b) OVER (PARTITION BY score_name)-sum(g) OVER w/sum(g) OVER (PARTITION BY score_name)) AS gap FROM g WINDOW w AS (PARTITION BY score_name ORDER BY score DESC)),
+k AS (SELECT score_name, max(gap) AS ks FROM c GROUP BY score_name)"""
+
+
+@query(f"{KS} SELECT score_name, round(ks,6) AS ks FROM k")
+def ks(spark, sf):
+    return rounded(models.ks(applicants(spark, sf), SCORES, "actual_default"))
+
+
+@query(f"""{APP}, q AS (SELECT * FROM a WHERE actual_default IS NOT NULL), {edges_sql('score_5', 'true')}, b AS (SELECT {RB.format(score='score_5')} AS bin, count(*)::BIGINT AS volume, sum(actual_default)::DOUBLE AS bads, avg(score_5) AS mean_score FROM q, e GROUP BY 1)
+SELECT row_number() OVER w::INTEGER AS bucket, volume, bads, round(mean_score,6) AS mean_score, round(sum(bads) OVER w/sum(bads) OVER (),6) AS cum_bad, round(sum(volume-bads) OVER w/sum(volume-bads) OVER (),6) AS cum_good,
+round(abs(sum(bads) OVER w/sum(bads) OVER ()-sum(volume-bads) OVER w/sum(volume-bads) OVER ()),6) AS ks FROM b WINDOW w AS (ORDER BY bin DESC)""".replace("row_number() OVER w::INTEGER", "(row_number() OVER w)::INTEGER"))
+def ks_table(spark, sf):
+    return rounded(models.ks_table(applicants(spark, sf), "score_5", "actual_default"))
+
+
+@query(f"{KS} SELECT score_name, round(ks,6) AS ks, CASE WHEN ks<0.2 THEN 'weak' WHEN ks<0.3 THEN 'fair' WHEN ks<0.45 THEN 'good' ELSE 'strong' END AS strength, (row_number() OVER (ORDER BY round(ks,9) DESC, score_name))::INTEGER AS position FROM k")
+def model_ranking(spark, sf):
+    return rounded(models.model_ranking(applicants(spark, sf), SCORES, "actual_default"))
+
+
+@query(f"""{APP}, l AS ({' UNION ALL '.join(f"SELECT '{c}' AS challenger, {c} AS v, applicant_id, actual_default AS d FROM a WHERE score_5>=600 AND actual_default IS NOT NULL" for c in ('legacy_score', 'score_4'))}),
+o AS (SELECT *, row_number() OVER (PARTITION BY challenger ORDER BY v, applicant_id) AS r, count(*) OVER (PARTITION BY challenger) AS n FROM l),
+g AS (SELECT challenger, greatest(ceil((r-1)*10/greatest(n-1,1)::DOUBLE)-1,0) AS bin, avg(d) AS rate FROM o GROUP BY 1,2) SELECT challenger, round(max(rate)-min(rate),6) AS amplitude FROM g GROUP BY challenger""")
+def challenger_amplitude(spark, sf):
+    rows = applicants(spark, sf).where("score_5 >= 600 and actual_default is not null")
+    return rounded(models.amplitude(rows, ["legacy_score", "score_4"], "actual_default", "applicant_id"))
+
+
+@query(f"""{APP} SELECT sum((score_5>=600)::INT)::BIGINT AS passed_first, round(1-avg((score_5>=600)::INT),6) AS calls_saved, round(avg(CASE WHEN score_5>=600 THEN actual_default END),6) AS bad_before,
+round(avg(CASE WHEN score_5>=600 AND score_4>=650 THEN actual_default END),6) AS bad_after FROM a""")
+def sequential_cutoff(spark, sf):
+    return rounded(models.sequential(applicants(spark, sf), F.col("score_5") >= 600, F.col("score_4") >= 650, "actual_default"))
+
+
+@query(f"{APP}, q AS (SELECT * FROM a), {edges_sql('score_5', 'true')} SELECT applicant_id, {RB.format(score='score_5')}::INTEGER AS decile FROM q, e")
+def value_deciles(spark, sf):
+    from creditflow.functions.binning import quantile_edges, right_bin, unique
+
+    df = applicants(spark, sf)
+    inner = unique(quantile_edges(df, ["score_5"], [i / 10 for i in range(11)])["score_5"])[1:-1]
+    return df.select("applicant_id", right_bin(F.col("score_5"), inner).cast("int").alias("decile"))
+
+
+@query(f"{APP}, o AS (SELECT applicant_id, row_number() OVER (ORDER BY score_5, applicant_id) AS r, count(*) OVER () AS n FROM a) SELECT applicant_id, greatest(ceil((r-1)*10/greatest(n-1,1)::DOUBLE)-1,0)::INTEGER AS decile, floor((r-1)*7/n::DOUBLE)::INTEGER AS part FROM o")
+def rank_deciles(spark, sf):
+    rows = ranked(applicants(spark, sf).select("applicant_id", "score_5"), [], "score_5", "applicant_id", id_buckets=4)
+    return rows.select("applicant_id", rank_bin(F.col("rank"), F.col("rank_total"), 10).alias("decile"), position_bin(F.col("rank"), F.col("rank_total"), 7).alias("part"))
+
+
+# --- ratings --------------------------------------------------------------------
+
+ONE = ratings.Recipe({"score_5": (750, 800, 900, 1000)}, {"0": 3, "1": 2, "2": 1})
+TWO = ratings.Recipe({"score_5": (500, 800, 1000), "score_4": (500, 750, 1000)}, {"0-0": 2, "1-1": 1})
+OTHER = ratings.Recipe({"score_5": (750, 820, 910, 1000)}, {"0": 3, "1": 2, "2": 1})
+
+
+@query(f"{APP} SELECT applicant_id, CASE WHEN s IS NULL THEN 2 ELSE (s>=800)::INT+(s>=900)::INT END AS bin FROM (SELECT applicant_id, CASE WHEN applicant_id%97=0 THEN NULL ELSE score_5 END AS s FROM a)")
+def rating_bins(spark, sf):
+    s = F.when(F.col("applicant_id") % 97 != 0, F.col("score_5"))
+    return applicants(spark, sf).select("applicant_id", left_bin(s, [800, 900]).alias("bin"))
+
+
+_KEY = "((score_5>=800)::INT)||'-'||((score_4>=750)::INT)"
+
+
+@query(f"{APP} SELECT {_KEY} AS key, count(*)::BIGINT AS volume, sum(actual_default)::BIGINT AS bads FROM a WHERE actual_default IS NOT NULL GROUP BY 1")
+def rating_microbins(spark, sf):
+    return ratings.micro_bins(applicants(spark, sf), TWO, "actual_default")
+
+
+@query(f"{APP} SELECT {_KEY} AS key, substr(safra,1,4) AS month, count(*)::BIGINT AS volume, sum(actual_default)::BIGINT AS bads FROM a WHERE actual_default IS NOT NULL GROUP BY 1,2")
+def rating_bin_months(spark, sf):
+    return ratings.micro_bins(applicants(spark, sf).withColumn("year", F.substring("safra", 1, 4)), TWO, "actual_default", "year")
+
+
+def _fit(spark, sf, method):
+    df = applicants(spark, sf).withColumn("year", F.substring("safra", 1, 4))
+    return ratings.fit_ratings(df, ["score_5"], "actual_default", bins=20, max_groups=5, min_vol_ratio=0.02, max_crossings=2, time="year", method=method, oot_date="2000").bins
+
+
+@query()
+def rating_fit_ward(spark, sf):
+    return _fit(spark, sf, "ward")
+
+
+@query()
+def rating_fit_distance(spark, sf):
+    return _fit(spark, sf, "distance")
+
+
+@query()
+def rating_fit_iv(spark, sf):
+    return _fit(spark, sf, "iv")
+
+
+@query()
+def rating_pairwise(spark, sf):
+    return ratings.fit_pairwise(applicants(spark, sf), "score_5", ["score_4", "legacy_score"], "actual_default", bins=6, min_vol_ratio=0.02)
+
+
+@query()
+def rating_report(spark, sf):
+    df = applicants(spark, sf).withColumn("year", F.substring("safra", 1, 4))
+    fitted = ratings.fit_ratings(df, ["score_5"], "actual_default", bins=20, min_vol_ratio=0.02, time="year", oot_date="2000")
+    return rounded(fitted.report(df, "actual_default", F.col("year") < "2000"))
+
+
+@query(f"{APP} SELECT applicant_id, 3-((score_5>=800)::INT+(score_5>=900)::INT) AS rating, CASE {_KEY} WHEN '0-0' THEN 2 WHEN '1-1' THEN 1 END AS rating_two FROM a")
+def rating_predict_breaks(spark, sf):
+    return applicants(spark, sf).select("applicant_id", ONE.predict().alias("rating"), TWO.predict().alias("rating_two"))
+
+
+@query(f"{APP} SELECT applicant_id, {BY_BAND} AS rating FROM a")
+def rating_predict_intervals(spark, sf):
+    return applicants(spark, sf).select("applicant_id", RATING().alias("rating"))
+
+
+@query(f"""{APP} SELECT applicant_id, CASE region WHEN 'ASIA' THEN 3-((score_5>=800)::INT+(score_5>=900)::INT) WHEN 'EUROPE' THEN 3-((score_5>=820)::INT+(score_5>=910)::INT) END AS by_breaks,
+CASE region WHEN 'ASIA' THEN CASE WHEN score_5 BETWEEN 700 AND 1000 THEN 1 WHEN score_5 BETWEEN 400 AND 699 THEN 2 END WHEN 'EUROPE' THEN CASE WHEN score_5 BETWEEN 600 AND 1000 THEN 1 END END AS by_bands FROM a""")
+def rating_predict_segmented(spark, sf):
+    df = applicants(spark, sf).withColumn("by_breaks", ratings.predict_by_segment("region", {"ASIA": ONE, "EUROPE": OTHER}))
+    table = spark.createDataFrame([("ASIA", 1, 700, 1000), ("ASIA", 2, 400, 699), ("EUROPE", 1, 600, 1000)], "segment string, rating int, min_score int, max_score int")
+    return ratings.rate_by_band_table(df, "score_5", table, "region").select("applicant_id", "by_breaks", F.col("rating").alias("by_bands"))
+
+
+@query(f"{APP}, g AS (SELECT 3-((score_5>=800)::INT+(score_5>=900)::INT) AS rating, avg(actual_default) AS rate FROM a GROUP BY 1) SELECT rating, chr((64+row_number() OVER (ORDER BY rate, rating))::INTEGER) AS label, round(rate,6) AS rate FROM g")
+def rating_relabel(spark, sf):
+    return rounded(ratings.relabel(applicants(spark, sf), ONE.predict(), "actual_default"))
+
+
+@query("""b AS (SELECT * FROM (VALUES ('ASIA', 800, 900), ('EUROPE', 820, 910)) t(segment, x, y)), s AS (SELECT segment, v::DOUBLE AS v, 3-((v>=x)::INT+(v>=y)::INT) AS r FROM b, range(0,1001) t(v))
+SELECT segment, chr(64+r) AS rating, min(v) AS min_score, max(v) AS max_score FROM s GROUP BY segment, r""")
+def rating_bands(spark, sf):
+    return ratings.bands(spark, {"ASIA": ONE, "EUROPE": OTHER}, "score_5")
+
+
+@query(f"{APP} SELECT applicant_id, CASE WHEN {BY_BAND} IS DISTINCT FROM 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM a")
+def exclude_riskiest(spark, sf):
+    df = applicants(spark, sf)
+    return df.select("applicant_id", filter_stage("not C", ratings.not_rating(RATING(), 3)).passes(df).alias("passed"))
+
+
+# --- screening ------------------------------------------------------------------
+
+CANDIDATES = ["income", "age", "vl_negativacao"]
+_TIERS = f"""{APP}, l AS ({' UNION ALL '.join(f"SELECT '{c}' AS variable, {BY_BAND} AS tier, applicant_id, {c}::DOUBLE AS v, actual_default AS d FROM a WHERE actual_default IS NOT NULL" for c in CANDIDATES)}), t AS (SELECT * FROM l WHERE tier IS NOT NULL),
+e AS (SELECT variable, tier, list_sort(list_distinct(list_transform(quantile_cont(v, [{','.join(str(i / 10) for i in range(11))}]), lambda x: round(x, 9)))) AS edges, count(*) AS n FROM t GROUP BY ALL),
+f AS (SELECT * FROM e WHERE n>=10 AND len(edges)>=2)"""
+
+
+def _screen(spark, sf):
+    df = applicants(spark, sf)
+    return df, screening.boundaries(df, RATING(), CANDIDATES, "actual_default", "applicant_id")
+
+
+@query(f"{_TIERS} SELECT variable, tier, len(edges)::INTEGER AS n_edges, round(edges[1],6) AS low, round(edges[-1],6) AS high, round(list_sum(edges),6) AS total FROM f")
+def tier_boundaries(spark, sf):
+    edges = _screen(spark, sf)[1]
+    total = F.aggregate("edges", F.lit(0.0), lambda a, x: a + x)
+    return rounded(edges.select("variable", "tier", F.size("edges").alias("n_edges"), F.element_at("edges", 1).alias("low"), F.element_at("edges", -1).alias("high"), total.alias("total")))
+
+
+@query(f"""{_TIERS}, o AS (SELECT *, row_number() OVER (PARTITION BY variable, tier ORDER BY v, applicant_id) AS r, count(*) OVER (PARTITION BY variable, tier) AS n FROM t),
+g AS (SELECT variable, tier, floor((r-1)*10/n::DOUBLE) AS bin, count(*)::DOUBLE AS n, sum(d)::DOUBLE AS b FROM o GROUP BY 1,2,3),
+h AS (SELECT *, (b+0.5)/(sum(b) OVER w+1.0) AS sb, (n-b+0.5)/(sum(n-b) OVER w+1.0) AS sg FROM g WINDOW w AS (PARTITION BY variable, tier))
+SELECT variable, tier, round(sum((sb-sg)*ln(sb/sg)),6) AS iv, round(min(b/n),6) AS pd_min, round(max(b/n),6) AS pd_max, round(max(b/n)-min(b/n),6) AS pd_spread, sum(n)::BIGINT AS tier_vol FROM h GROUP BY variable, tier""")
+def tier_metrics(spark, sf):
+    return rounded(screening.tier_metrics(applicants(spark, sf), RATING(), CANDIDATES, "actual_default", "applicant_id"))
+
+
+_BINS = f"{_TIERS}, c AS (SELECT variable, tier, len(list_filter(edges[2:-2], lambda x: x <= v))::INTEGER AS bin, count(*)::BIGINT AS volume, sum(d)::BIGINT AS bads FROM t JOIN f USING (variable, tier) GROUP BY ALL), u AS (SELECT *, (dense_rank() OVER (PARTITION BY variable, tier ORDER BY bin))::INTEGER AS subsegment FROM c)"
+
+
+@query(f"{_BINS} SELECT variable, tier, bin, subsegment FROM u")
+def tier_subsegments(spark, sf):
+    df, edges = _screen(spark, sf)
+    return screening.subsegments(screening.bin_counts(df, edges, RATING(), CANDIDATES, "actual_default", "applicant_id"))
+
+
+@query()
+def tier_subsegments_ward(spark, sf):
+    df, edges = _screen(spark, sf)
+    return screening.subsegments(screening.bin_counts(df, edges, RATING(), CANDIDATES, "actual_default", "applicant_id"), "ward")
+
+
+@query(f"""{_BINS}, z AS (SELECT applicant_id, income, {BY_BAND} AS tier FROM a), y AS (SELECT z.applicant_id, z.tier, len(list_filter(edges[2:-2], lambda x: x <= income))::INTEGER AS bin, edges FROM z LEFT JOIN (SELECT * FROM f WHERE variable='income') ff USING (tier))
+SELECT applicant_id, CASE WHEN y.tier IS NOT NULL THEN coalesce(subsegment,1) END::INTEGER AS subsegment FROM y LEFT JOIN (SELECT * FROM u WHERE variable='income') uu ON uu.tier=y.tier AND uu.bin=y.bin""")
+def tier_predict(spark, sf):
+    df, edges = _screen(spark, sf)
+    groups = screening.subsegments(screening.bin_counts(df, edges, RATING(), CANDIDATES, "actual_default", "applicant_id"))
+    return screening.predict(df, "income", RATING(), edges, groups).select("applicant_id", "subsegment")
+
+
+# --- search ---------------------------------------------------------------------
+
+CUTS = {"score_4": [400.0, 500.0, 600.0, 700.0], "score_5": [450.0, 550.0, 650.0, 750.0, 850.0]}
+OPEN = "(cpf_valido AND vl_negativacao<=1500)"
+_FREE = DECILE_PD.replace(PASS, OPEN)
+_POINTS = f"""{_FREE}, s AS (SELECT *, CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN pd END AS sd FROM w),
+p AS (SELECT (row_number() OVER (ORDER BY x, y))::INTEGER AS combination_id, x, y FROM unnest({CUTS['score_4']}::DOUBLE[]) t(x), unnest({CUTS['score_5']}::DOUBLE[]) v(y)),
+g AS (SELECT combination_id, x AS score_4, y AS score_5, sum(CASE WHEN s.score_4>=x AND s.score_5>=y THEN pre ELSE 0 END)/count(*) AS approval_rate,
+coalesce(sum(CASE WHEN s.score_4>=x AND s.score_5>=y THEN pre*coalesce(sd,actual_default,0) ELSE 0 END)/nullif(sum(CASE WHEN s.score_4>=x AND s.score_5>=y THEN pre ELSE 0 END),0),0) AS default_rate FROM s, p GROUP BY ALL),
+j AS (SELECT *, round(default_rate,9)<=0.04 AND round(approval_rate,9)>=0.0 AS constraints_met, approval_rate-5*default_rate AS tradeoff_score FROM g)"""
+_POINT = "combination_id, score_4, score_5, round(approval_rate,6) AS approval_rate, round(default_rate,6) AS default_rate"
+
+
+def _points(spark, sf):
+    return search.grid(search.evaluated(applicants(spark, sf), BASE), CUTS)
+
+
+
+@query(f"""{APP}, r AS (SELECT floor(quantile_cont(score_4::DOUBLE,0.05)) AS a4, ceil(quantile_cont(score_4::DOUBLE,0.95)) AS b4, floor(quantile_cont(score_5::DOUBLE,0.05)) AS a5, ceil(quantile_cont(score_5::DOUBLE,0.95)) AS b5 FROM a),
+s AS (SELECT 'score_4' AS score, i, a4+(b4-a4)*i/9 AS cutoff FROM r, range(0,10) t(i) UNION ALL SELECT 'score_5', i, a5+(b5-a5)*i/9 FROM r, range(0,10) t(i)) SELECT score, i::INTEGER AS step, round(cutoff,6) AS cutoff FROM s""")
+def cutoff_ranges(spark, sf):
+    found = search.cutoff_ranges(applicants(spark, sf), ["score_4", "score_5"], 10)
+    return rounded(spark.createDataFrame([(c, i, float(x)) for c, v in found.items() for i, x in enumerate(v)], "score string, step int, cutoff double"))
+
+
+@query(f"{_POINTS} SELECT {_POINT} FROM g")
+def grid_analytical(spark, sf):
+    return rounded(_points(spark, sf))
+
+
+@query(f"""{STOCHASTIC.replace(PASS, OPEN)}, p AS (SELECT (row_number() OVER (ORDER BY x, y))::INTEGER AS combination_id, x, y FROM unnest({CUTS['score_4']}::DOUBLE[]) t(x), unnest({CUTS['score_5']}::DOUBLE[]) v(y)),
+h AS (SELECT combination_id, x, y, CASE WHEN score_4>=x AND score_5>=y THEN na ELSE 0 END AS took, coalesce(sd,actual_default,0) AS pd FROM s, p)
+SELECT combination_id, x AS score_4, y AS score_5, round(avg(took),6) AS approval_rate, round(coalesce(sum(took*pd)/nullif(sum(took),0),0),6) AS default_rate FROM h GROUP BY ALL""".replace("'42-3'", "'42-2'").replace("42-3|", "42-2|"))
+def grid_stochastic(spark, sf):
+    return rounded(search.grid_stochastic(applicants(spark, sf), FULL, CUTS))
+
+
+@query(f"{_POINTS} SELECT {_POINT}, constraints_met, round(tradeoff_score,6) AS tradeoff_score FROM j ORDER BY constraints_met DESC, round(CASE WHEN constraints_met THEN approval_rate ELSE tradeoff_score END,9) DESC, combination_id LIMIT 1")
+def grid_best(spark, sf):
+    return rounded(search.best(search.judged(_points(spark, sf), 0.04)))
+
+
+@query(f"""{_POINTS} SELECT {_POINT} FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE round(o.approval_rate,9)>=round(g.approval_rate,9) AND round(o.default_rate,9)<=round(g.default_rate,9)
+AND (round(o.approval_rate,9)>round(g.approval_rate,9) OR round(o.default_rate,9)<round(g.default_rate,9)))""")
+def pareto_frontier(spark, sf):
+    return rounded(search.pareto(_points(spark, sf)))
+
+
+@query(f"""{_POINTS}, d AS (SELECT *, round(abs(approval_rate-0.2),9) AS diff, row_number() OVER (ORDER BY round(abs(approval_rate-0.2),9), combination_id) AS r FROM g)
+SELECT {_POINT}, round(diff,6) AS diff, r::INTEGER AS position FROM d WHERE diff<=0.05 OR r=1""")
+def find_equivalent(spark, sf):
+    return rounded(search.equivalent(_points(spark, sf), "approval_rate", 0.2, 0.05))
+
+
+def _tradeoff_sql(name: str, values: list[float], policies: list[str], stress: list[float]) -> str:
+    """A chain of full evaluations, one for each value."""
+    parts = []
+    for i, (value, passes, factor) in enumerate(zip(values, policies, stress, strict=True), 1):
+        chain = DECILE_PD.replace(APP + ", ", "").replace(PASS, passes)
+        parts.append(f"SELECT * FROM (WITH {chain} SELECT {i} AS combination_id, {value}::DOUBLE AS {name}, round(avg(pre),6) AS approval_rate, round(coalesce(sum(pre*coalesce(CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN least(pd*{factor}::DOUBLE,1) END,0))/nullif(sum(pre),0),0),6) AS default_rate FROM w)")
+    return f"{APP} " + " UNION ALL ".join(parts)
+
+
+@query(_tradeoff_sql("cutoff_score_5", [500.0, 650.0, 800.0], [PASS.replace("600", str(v)) for v in (500, 650, 800)], [1.0] * 3))
+def tradeoff_cutoff(spark, sf):
+    return rounded(search.tradeoff(applicants(spark, sf), BASE, {"cutoff:score_5": [500.0, 650.0, 800.0]}))
+
+
+@query(_tradeoff_sql("base_rate_Take_up", [0.5, 0.8], [PASS] * 2, [1.3] * 2))
+def tradeoff_base_rate(spark, sf):
+    return rounded(search.tradeoff(applicants(spark, sf), FULL, {"base_rate:Take_up": [0.5, 0.8]}))
+
+
+FACTORS = [1 + 0.25 * i for i in range(37)]
+_CRASH = f"""{DECILE_PD}, f AS (SELECT (1+0.25*i)::DOUBLE AS factor FROM range(0,37) t(i)),
+c AS (SELECT factor, sum(pre*coalesce(CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN least(pd*factor,1) END,0))/sum(pre) AS default_rate FROM w, f GROUP BY factor)"""
+
+
+@query(f"{_CRASH} SELECT factor, round(default_rate,6) AS default_rate FROM c")
+def crash_test(spark, sf):
+    return rounded(search.crash_test(applicants(spark, sf), BASE, FACTORS))
+
+
+@query(f"{_CRASH} SELECT min(CASE WHEN round(default_rate,9)>=0.06 THEN factor END) AS breakeven_factor FROM c")
+def breakeven(spark, sf):
+    return search.breakeven(search.crash_test(applicants(spark, sf), BASE, FACTORS), 0.06)
+
+
+_REGION_CUTS = [400.0 + 4 * i for i in range(150)]
+
+
+@query(f"""{_FREE}, s AS (SELECT *, CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN pd END AS sd FROM w), p AS (SELECT (i+1)::INTEGER AS combination_id, (400+4*i)::DOUBLE AS x FROM range(0,150) t(i)),
+g AS (SELECT region, combination_id, x AS score_5, sum(CASE WHEN score_5>=x THEN pre ELSE 0 END)/count(*) AS approval_rate,
+coalesce(sum(CASE WHEN s.score_5>=x THEN pre*coalesce(sd,actual_default,0) ELSE 0 END)/nullif(sum(CASE WHEN s.score_5>=x THEN pre ELSE 0 END),0),0) AS default_rate FROM s, p GROUP BY region, combination_id, x),
+j AS (SELECT *, round(default_rate,9)<=0.04 AND round(approval_rate,9)>=0 AS constraints_met, approval_rate-5*default_rate AS tradeoff_score FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY constraints_met DESC, round(CASE WHEN constraints_met THEN approval_rate ELSE tradeoff_score END,9) DESC, combination_id) AS r FROM j)
+SELECT region, combination_id, score_5, round(approval_rate,6) AS approval_rate, round(default_rate,6) AS default_rate, constraints_met, round(tradeoff_score,6) AS tradeoff_score FROM r WHERE r=1""".replace("sum(CASE WHEN score_5>=x", "sum(CASE WHEN s.score_5>=x"))
+def regional_flat_pd(spark, sf):
+    rows = search.evaluated(applicants(spark, sf), BASE)
+    return rounded(search.best(search.judged(search.grid(rows, {"score_5": _REGION_CUTS}, ["region"]), 0.04), ["region"]))
+
+
+_MODEL_CUTS = [300.0 + 20 * i for i in range(35)]
+_FRONT = f"""{_FREE}, s AS (SELECT *, CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN pd END AS sd FROM w), p AS (SELECT (i+1)::INTEGER AS combination_id, (300+20*i)::DOUBLE AS x FROM range(0,35) t(i)),
+u AS ({' UNION ALL '.join(f"SELECT '{c}' AS model, {c} AS v, pre, coalesce(sd,actual_default,0) AS d FROM s" for c in SCORES)}),
+g AS (SELECT model, combination_id, x AS cutoff, sum(CASE WHEN v>=x THEN pre ELSE 0 END)/count(*) AS approval_rate, coalesce(sum(CASE WHEN v>=x THEN pre*d ELSE 0 END)/nullif(sum(CASE WHEN v>=x THEN pre ELSE 0 END),0),0) AS default_rate FROM u, p GROUP BY model, combination_id, x)"""
+
+
+@query(f"{_FRONT} SELECT model, combination_id, cutoff, round(approval_rate,6) AS approval_rate, round(default_rate,6) AS default_rate FROM g")
+def model_frontier(spark, sf):
+    return rounded(search.model_frontier(applicants(spark, sf), BASE, dict.fromkeys(SCORES, _MODEL_CUTS)))
+
+
+@query(f"""{_FRONT}, h AS (SELECT * FROM g WHERE model='score_5'), x1 AS (SELECT *, 'same_approval' AS proposal FROM h ORDER BY round(abs(approval_rate-0.25),9), combination_id LIMIT 1), x2 AS (SELECT *, 'same_default' AS proposal FROM h ORDER BY round(abs(default_rate-0.06),9), combination_id LIMIT 1),
+x3 AS (SELECT *, 'between' AS proposal FROM h ORDER BY round(abs(cutoff-(SELECT avg(cutoff) FROM (SELECT cutoff FROM x1 UNION ALL SELECT cutoff FROM x2))),9), combination_id LIMIT 1)
+SELECT model, combination_id, cutoff, round(approval_rate,6) AS approval_rate, round(default_rate,6) AS default_rate, proposal FROM (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3)""")
+def proposals(spark, sf):
+    front = search.model_frontier(applicants(spark, sf), BASE, {"score_5": _MODEL_CUTS})
+    return rounded(search.proposals(front, 0.25, 0.06))
+
+
+# --- scoring --------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["decision_table"].removeprefix("WITH "))
+def deploy_predict(spark, sf):
+    df = applicants(spark, sf)
+    out = deploy.score(df, FULL, evaluate.fit(df, FULL), RATING())
+    return rounded(out.select("applicant_id", "decision", "reason", "hired", "defaulted", "scenario", "rating"))

@@ -1,0 +1 @@
+"""Policy evaluation, reports, model measures, ratings, screening and cutoff search."""

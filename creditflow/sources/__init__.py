@@ -1,0 +1 @@
+"""Input tables and saved rules."""
