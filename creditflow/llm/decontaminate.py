@@ -55,17 +55,17 @@ def _words(texts: pa.Array) -> at.Words:
     return at.words_of(*at.text_buffer(texts), fold=_FOLD)
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of equally long rows of word hashes: 3n symbols each."""
-    rows, n = windows.shape
+def walk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """CGK embeddings of rows of word hashes (``sizes`` words each, then padding): 3 symbols for each word of the longest."""
+    rows, width = windows.shape
     padded = np.concatenate([windows, np.full((rows, 1), _PAD, _U)], axis=1)
     place, every = np.zeros(rows, dtype=np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * n), dtype=_U)
-    for j in range(3 * n):
+    out = np.empty((rows, 3 * width), dtype=_U)
+    steps = at.mix(np.arange(1, 3 * width + 1, dtype=_U) + _U(seed * 1_000_003))
+    for j in range(3 * width):
         symbol = padded[every, place]
         out[:, j] = symbol
-        step = at.mix(symbol ^ at.mix(np.array([seed * 1_000_003 + j + 1], dtype=_U))) & _U(1)
-        place = np.minimum(place + step.astype(np.int64), n)
+        place = np.minimum(place + (at.mix(symbol ^ steps[j]) & _U(1)).astype(np.int64), sizes)
     return out
 
 
@@ -81,6 +81,18 @@ def distance(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+def _slices(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Rows in order of size, cut so that rows x longest stays below ``most`` words."""
+    order = np.argsort(sizes, kind="stable")
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * sizes[order[b]] <= most:
+            b += 1
+        yield order[a:b]
+        a = b
+
+
 class Items:
     """A block of items, ready to be found: parts by length, embeddings, sampled positions."""
 
@@ -99,16 +111,19 @@ class Items:
         for length, rows in parts.items():
             rows.sort()
             self.parts[length] = (np.array([r[0] for r in rows], dtype=_U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        self.seen = {length: np.zeros(1 << 20, dtype=bool) for length in self.parts}  # by the first 20 bits of a part's hash
+        for length, (hashes, _, _) in self.parts.items():
+            self.seen[length][hashes >> _U(44)] = True
         self.sampled, self.repetitions = sampled, self._repetitions(recall, sampled)
         draw = np.random.default_rng(7)
         self.positions = [draw.random(sampled) for _ in range(self.repetitions)]
-        self.embedded: list = [None] * len(self.items)
-        by_size: dict[int, list[int]] = {}
-        for k, (_, w) in enumerate(self.items):
-            by_size.setdefault(len(w), []).append(k)
-        for same in by_size.values():
-            for k, row in zip(same, self._sample(np.stack([self.items[k][1] for k in same])), strict=True):
-                self.embedded[k] = row
+        self.sizes = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        self.embedded = np.zeros((len(self.items), self.repetitions), dtype=_U)
+        for some in _slices(self.sizes):
+            table = np.full((len(some), self.sizes[some].max()), _PAD, _U)
+            for r, k in enumerate(some):
+                table[r, : self.sizes[k]] = self.items[k][1]
+            self.embedded[some] = self._sample(table, self.sizes[some])
 
     def _repetitions(self, recall: float, sampled: int) -> int:
         """From how often items agree with copies at the greatest distance (up to 64 items, 4 walks each)."""
@@ -116,17 +131,18 @@ class Items:
         for (_, w), k in list(zip(self.items, self.allowed, strict=True))[:64]:
             copy = w.copy()
             copy[draw.permutation(len(w))[:k]] = draw.integers(1, 1 << 62, k).astype(_U)
-            rates.append(np.mean([(walk(w[None, :], s) == walk(copy[None, :], s)).mean() for s in range(4)]))
+            both, size = np.stack([w, copy]), np.full(2, len(w))
+            rates.append(np.mean([(x := walk(both, size, s))[0] == x[1] for s in range(4)]))
         rate = float(np.quantile(rates, 0.1)) if rates else 1.0
         return max(4, min(64, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - rate**sampled))))) if rate < 1 else 4
 
-    def _sample(self, windows: np.ndarray) -> np.ndarray:
+    def _sample(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """One hash for each row and repetition."""
-        out = np.zeros((len(windows), self.repetitions), dtype=_U)
+        out, every = np.zeros((len(windows), self.repetitions), dtype=_U), np.arange(len(windows))
         for r, where in enumerate(self.positions):
-            symbols = walk(windows, r)
-            for p in (where * symbols.shape[1]).astype(np.int64):
-                out[:, r] = at.mix(out[:, r] * _U(3) + symbols[:, p])
+            symbols = walk(windows, sizes, r)
+            for p in where:
+                out[:, r] = at.mix(out[:, r] * _U(3) + symbols[every, (p * 3 * sizes).astype(np.int64)])
         return out
 
     def find(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -136,24 +152,26 @@ class Items:
             h = at.rolling(words, length, _BASE)
             if not len(h):
                 continue
-            low, high = np.searchsorted(parts, h, "left"), np.searchsorted(parts, h, "right")
-            hit = np.flatnonzero((high > low) & at.inside(first, length, len(words)))
-            times = high[hit] - low[hit]
+            hit = np.flatnonzero(self.seen[length][h >> _U(44)])  # a few words in a thousand
+            low, high = np.searchsorted(parts, h[hit], "left"), np.searchsorted(parts, h[hit], "right")
+            ok = (high > low) & at.inside(first, length, len(words))[hit]
+            hit, low, times = hit[ok], low[ok], (high - low)[ok]
             where = np.repeat(hit, times)
-            part = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            part = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             found.append(np.stack([np.searchsorted(first, where, "right") - 1, item[part], where - begin[part]]))
         if not found:
             return
         row, item, start = np.unique(np.concatenate(found, axis=1), axis=1)
-        n = np.array([len(w) for _, w in self.items])[item] if len(item) else np.zeros(0, np.int64)
         passed = np.zeros(len(item), dtype=bool)
-        for size in np.unique(n):  # windows at the text's edges are moved inside, or padded
-            mine = np.flatnonzero(n == size)
-            begin = np.maximum(np.minimum(start[mine], first[row[mine] + 1] - size), first[row[mine]])
-            at_ = begin[:, None] + np.arange(size)
-            windows = np.where(at_ < first[row[mine] + 1][:, None], words[np.minimum(at_, len(words) - 1)], _PAD)
-            same = self._sample(windows) == np.stack([self.embedded[k] for k in item[mine]])
-            passed[mine] = same.any(axis=1)
+        for some in _slices(self.sizes[item]):
+            r, k = row[some], item[some]
+            size = self.sizes[k]
+            # windows at a text's edges are moved inside; short texts are padded
+            begin = np.maximum(np.minimum(start[some], first[r + 1] - size), first[r])
+            at_ = begin[:, None] + np.arange(size.max())
+            ok = (np.arange(size.max()) < size[:, None]) & (at_ < first[r + 1][:, None])
+            windows = np.where(ok, words[np.minimum(at_, len(words) - 1)], _PAD)
+            passed[some] = (self._sample(windows, size) == self.embedded[k]).any(axis=1)
         best: dict[tuple[int, int], int] = {}
         for r, k, s in zip(row[passed].tolist(), item[passed].tolist(), start[passed].tolist(), strict=True):
             if best.get((r, k), 1 << 30) > 0:
