@@ -87,7 +87,7 @@ def fit_groups(bins: DataFrame, single: bool, max_groups: int = 5, min_vol_ratio
     """(keys, key, month, volume, bads) -> (keys, key, volume, bads, rating), one merge for each value of keys."""
     keys = keys or []
     schema = "".join(f"{k} string, " for k in keys) + "key string, volume long, bads long, rating int"
-    grouped = bins.groupBy(*keys) if keys else bins.groupBy(F.lit(1))
+    grouped = bins.groupBy(*keys) if keys else bins.withColumn("_all", F.lit(0)).groupBy("_all")
     return grouped.applyInPandas(lambda pdf: _fit_groups(pdf, single, max_groups, min_vol_ratio, max_crossings, method, keys), schema)
 
 
