@@ -14,7 +14,9 @@ hash of their id); scoring reads every whole text once and shuffles nothing.
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -132,6 +134,14 @@ def distinct_terms(found: dict[str, tuple[float, int]], margin: float = 0.7) ->
     return out
 
 
+def independent_terms(found: dict[str, tuple[float, int]], contexts: dict[str, int]) -> dict[str, float]:
+    """Weights of the terms that stand between different words in at least half of their toxic rows (4 at least).
+
+    Copies of a toxic text make all of its words look toxic; there they keep their neighbours.
+    """
+    return distinct_terms({t: f for t, f in found.items() if contexts.get(t, 0) >= max(4, 0.5 * f[1])})
+
+
 class Known(dict):
     """Each raw word's hit: None, or (weight, is fuzzy)."""
 
@@ -195,8 +205,30 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Candidate terms of each text with a hash of the words around their first place."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            words, seen = (text or "").split(), set()
+            for i, w in enumerate(words):
+                for p in parts(w):
+                    for t in {p, *(p[:k] + "*" for k in PREFIXES if len(p) >= k)} & shared.value - seen:
+                        seen.add(t)
+                        around = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
+                        out.append((t, zlib.crc32(around.encode())))
+        columns = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()), strict=True)], ["term", "context"])
+
+
+@functools.lru_cache(maxsize=2)
+def _known(weights: frozenset) -> Known:
+    """One for each lexicon in a Python worker: judged words stay known from task to task."""
+    return Known(Trie(dict(weights)))
+
+
 def _features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    known = Known(Trie(shared.value))
+    known = _known(frozenset(shared.value.items()))
     for batch in batches:
         x = [features(t, known) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "weight"])
@@ -204,7 +236,7 @@ def _features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    known = Known(Trie(model.weights))
+    known = _known(frozenset(model.weights.items()))
     w = np.array(model.coefficients)
     for batch in batches:
         x = np.array([features(t.as_py(), known) for t in batch.column(1)]).reshape(-1, N_FEATURES)
@@ -244,8 +276,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     g2 = 2 * (a * F.log(F.greatest(a, F.lit(0.5)) / (both * n_toxic)) + b * F.log(F.greatest(b, F.lit(0.5)) / F.greatest(both * n_clean, F.lit(1e-9))))
     terms = rows.select("text", "label").mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     terms = terms.withColumn("g2", g2).withColumn("weight", F.log(toxic_rate / clean_rate)).where((F.col("weight") >= math.log(MIN_RATIO)) & (F.col("g2") >= MIN_G2))
-    weights = distinct_terms({r["term"]: (r["weight"], r["toxic"]) for r in terms.orderBy(F.desc("g2"), "term").limit(TERMS).collect()})
+    candidates = {r["term"]: (r["weight"], r["toxic"]) for r in terms.orderBy(F.desc("g2"), "term").limit(TERMS).collect()}
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(set(candidates))
+    held = rows.where("label = 1").select("text").mapInArrow(lambda x, s=shared: _contexts(x, s), "term string, context long").distinct()
+    contexts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each candidate
+    weights = independent_terms(candidates, contexts)
     table = rows.mapInArrow(lambda x, s=spark.sparkContext.broadcast(weights): _features(x, s), "x array<double>, label int, weight double").collect()
     x, y, w = np.array([r["x"] for r in table]), np.array([r["label"] for r in table], float), np.array([r["weight"] for r in table])
     coefficients, intercept = _logistic(x, y, w)
