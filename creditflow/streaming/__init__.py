@@ -1,0 +1 @@
+"""Scoring of application streams."""
