@@ -77,11 +77,11 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
 
 def _search_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     asked = pdf["asked"].to_numpy()
+    if asked.all() or not asked.any():
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     side = lambda m: (np.array(pdf["v"][m].tolist(), dtype=np.float64).reshape(int(m.sum()), -1), pdf["id"][m].to_numpy(np.int64))
     queries, query_ids = side(asked)
     data, data_ids = side(~asked)
-    if not len(queries) or not len(data):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     best, names = search(queries, query_ids, data, data_ids, k)
     row, column = np.nonzero(np.isfinite(best))
     return pd.DataFrame({"query_id": query_ids[row], "vec_id": names[row, column], "score": best[row, column].astype(np.int64)})
@@ -91,8 +91,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """query_id, rank, vec_id, score: the k best inner products of each query row with all other rows.
 
     Vectors hold integers (any numeric type). Vectors that are null, empty or
-    hold null or non-finite values take no part, nor do null ids or vectors of
-    another length than most rows'; a row is no candidate of a query with the same
+    hold null or non-finite values take no part, nor do null ids; vectors of
+    different lengths do not meet; a row is no candidate of a query with the same
     id; repeated rows count once; fewer than k others give fewer rows.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))

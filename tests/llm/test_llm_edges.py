@@ -1,0 +1,96 @@
+"""Nulls, empty tables, repeated rows, clashing columns; and the pipeline, stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from creditflow.llm import bag_minhash, decontaminate, dual_tree, language_id, line_dedup, packing, secret_scan, substring_dedup, token_attribution, toxicity
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 1), (4, 1, 0), (4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+def apply(name, docs, labels, bench):
+    path = packing.public_tokenizer("word_bpe_49k.json")
+    return {
+        "substring": lambda: substring_dedup.substring_dedup(docs),
+        "secrets": lambda: secret_scan.report(docs, secret_scan.scan(docs)),
+        "tokens": lambda: token_attribution.attribute_tokens(docs, packing.public_tokenizer("byte_bpe_50k.tiktoken")),
+        "language": lambda: language_id.predict(docs, language_id.fit(docs, F.lit(True))),
+        "leaks": lambda: decontaminate.leaks(docs, bench),
+        "lines": lambda: line_dedup.line_dedup(docs),
+        "toxicity": lambda: toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))),
+        "near": lambda: bag_minhash.near_duplicates(docs),
+        "pack": lambda: packing.pack(docs, path),
+    }[name]()
+
+
+NAMES = ["substring", "secrets", "tokens", "language", "leaks", "lines", "toxicity", "near", "pack"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_and_empty_tables(name, spark, odd_docs, no_docs, labels):
+    bench = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(20))), (2, None), (None, "a b c d e f")], "item_id long, text string")
+    rows = apply(name, odd_docs, labels, bench).collect()
+    if name in ("substring", "secrets", "language", "lines", "toxicity", "near"):
+        assert len(rows) == odd_docs.count()
+    assert apply(name, no_docs, labels, bench).count() == 0
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    if name == "substring":
+        assert {k: {r.n_removed for r in v} for k, v in by.items() if k in (4, 5, None)} == {4: {0}, 5: {120}, None: {0}}
+        assert by[7][0].n_removed == 120 and by[6][0].n_removed == 0
+    if name == "lines":
+        assert by[1][0].kept_text is None and by[5][0].n_removed == 1 and by[7][0].n_removed == 1 and by[10][0].n_removed == 1
+    if name == "near":
+        assert {k: v[0].class_id for k, v in by.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 6: 6, 7: 4, 8: 8, 9: 9, 10: 9}
+    if name == "leaks":
+        assert sorted({r.doc_id for r in rows if r.doc_id}) == [4, 5, 7] and None in by
+    if name == "language":
+        assert by[1][0].lang_pred == by[8][0].lang_pred == "und"
+    if name == "pack":
+        assert by[1][0].doc_tokens == 1 and sum(r.length for r in by[6]) == by[6][0].doc_tokens
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [3.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, []), (6, [1.0]), (1, [3.0, 1.0]), (None, [1.0, 1.0]), (7, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.query_id: [] for r in dual_tree.top_k(df, F.col("vec_id") % 50 == 0, 3).collect()}
+    for r in dual_tree.top_k(df, F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {0: [(1, 5), (7, 5), (50, 5)], 50: [(0, 5), (1, 5), (7, 5)]}
+    assert dual_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    for name, stage in p.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        out = stage(spark, docs, sf).cache()
+        after = out.collect()
+        if name == "packing":
+            assert sum(r.length for r in after if r.start == 0 or True) == sum({r.doc_id: r.doc_tokens for r in after}.values()) and {r.doc_id for r in after} == set(before)
+            break
+        assert out.columns == names and {r.doc_id for r in after} <= set(before)
+        if name == "line_dedup":
+            assert len(after) == len(before) and all(r.n_chars == len(r.text) for r in after)
+            seen = set()
+            for r in sorted(after, key=lambda r: r.doc_id):
+                for line in r.text.split("\n"):
+                    key = frozenset(line.split(" "))
+                    assert not line.split() or key not in seen
+                    seen.add(key)
+        if name == "near_dedup":
+            kept = [r for r in after if len(r.text.split()) > 4]
+            assert len({r.text for r in kept}) == len(kept)
+        if name == "decontamination":
+            items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert not any(i in " ".join(r.text.split()) for r in after for i in items)
+        docs = out
+    assert p.run(spark, sf).count() == len(after)
