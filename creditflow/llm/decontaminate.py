@@ -194,26 +194,42 @@ def _find(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "item_id", "distance"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document row and item that leaks into it: id, item_id, distance (word edits)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+def _item_blocks(benchmark: DataFrame, threshold: float, recall: float, item_id: str, item_text: str) -> list:
+    """The items as broadcast variables of ITEM_BLOCK rows or so."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
-    out = None
+    out = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Items([r.i for r in block], [r.t for r in block], threshold, recall))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([r.i for r in block], [r.t for r in block], threshold, recall)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document row and item that leaks into it: id, item_id, distance (word edits)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    out = None
+    for shared in _item_blocks(benchmark, threshold, recall, item_id, item_text):
         found = rows.mapInArrow(lambda x, s=shared: _find(x, s), "id long, item_id long, distance long")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows into which an item leaks; rows with a null id stay unless their own text leaks."""
-    from creditflow.llm.storage import broadcast_if_small, stored
-
-    hit = stored(leaks(docs, benchmark, threshold, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_leak_id")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(hit), F.col(id_col).cast("long").eqNullSafe(F.col("_leak_id")), "left_anti")
+def _clean_rows(batches: Iterator[pa.RecordBatch], shared, column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for i, j in at.groups(texts):
+            words = _words(texts.slice(i, j - i))
+            keep[[i + r for r, _, _ in shared.value.find(words.h1, words.first)]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, recall: float = 0.999, text_col: str = "text") -> DataFrame:
+    """docs without the rows into which an item leaks, whatever their ids; one pass for each block of items."""
+    for shared in _item_blocks(benchmark, threshold, recall, "item_id", "text"):
+        docs = docs.mapInArrow(lambda b, s=shared: _clean_rows(b, s, text_col), docs.schema)
+    return docs
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -105,9 +105,10 @@ class WordEncoder:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            return b"".join(map(self.known.__getitem__, words)) if self.prepare([words]) else b""
+            self.prepare([words])
+            return b"".join(map(self.known.__getitem__, words))
 
-    def prepare(self, texts: list[list[str]]) -> bool:
+    def prepare(self, texts: list[list[str]]) -> None:
         """Learns the words of some texts at once."""
         new = {w for words in texts for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -116,7 +117,6 @@ class WordEncoder:
         if new:
             self.known.update({w: self.older[w] for w in new if w in self.older})
             self._learn([w for w in new if w not in self.known])
-        return True
 
 
 @functools.cache
@@ -140,8 +140,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, separator: int, window
                 total = len(data) // 4
                 cuts = list(range(0, total, window))
                 if total % window > 4 * crumbs and zlib.crc32(data) % CRUMB_EVERY == 0:
-                    at_ = total
-                    cuts += sorted(at_ := at_ - c for c in CRUMBS)
+                    cuts += sorted((total - np.cumsum(CRUMBS)).tolist())
                 for a, b in zip(cuts, [*cuts[1:], total], strict=True):
                     ids.append(id_)
                     starts.append(a)

@@ -299,6 +299,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _scores(b, shared), "id long, score double").withColumnRenamed("id", id_col)
 
 
+def _below(batches: Iterator[pa.RecordBatch], shared, column: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        scores = np.concatenate([np.zeros(0), *(s.column(1).to_numpy() for s in _scores(iter([pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])]), shared))])
+        yield batch.filter(pa.array(scores < threshold))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text scores threshold or more, whatever their ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda b: _below(b, shared, text_col, threshold), docs.schema)
+
+
 def held_out(id_col: str, buckets: int, left_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % buckets == left_out, F.lit(False))
 
