@@ -17,11 +17,9 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7 (learned as in op8; a null id is scored by its text like any other)."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels, ~toxicity.held_out("doc_id", 3, 1))
-    toxic = stored(toxicity.score(docs, model).where("score >= 0.7").select(F.col("doc_id").alias("_toxic_id")).distinct(), "toxic")
-    return docs.join(broadcast_if_small(toxic), F.col("doc_id").eqNullSafe(F.col("_toxic_id")), "left_anti")
+    """Documents whose toxicity score is below 0.7, learned as in op8."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity.held_out("doc_id", 3, 1))
+    return toxicity.drop_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
