@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditflow.functions.binning import BinnedMean, fit_binned_mean
-from creditflow.functions.expressions import all_of, clipped, quoted, resolve, uniform
+from creditflow.functions.expressions import quoted, resolve, uniform
 from creditflow.operators.policy import Policy, clipped_or_null
 
 
@@ -133,5 +133,3 @@ def decisions(sim: DataFrame, policy: Policy, method: str = "analytical", rating
         letter.alias("rating"),
     )
 
-
-__all__ = ["Fitted", "all_of", "baseline_pd", "clipped", "decisions", "fit", "quadrant", "simulate", "stage_name"]

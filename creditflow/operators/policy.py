@@ -120,15 +120,8 @@ class Policy:
         last = [c for s in self.stages if s.kind in ("cutoff", "segment") for c in s.cutoffs]
         return self.calibration_score or (last[-1] if last else self.score_cols[-1] if self.score_cols else None)
 
-    def conversion_stage(self, columns: list[str]) -> int | None:
-        """Index of the rate stage that takes approved to hired; None if the table has no hired column."""
-        if (self.hired or "hired") not in columns:
-            return None
-        rates = [i for i, s in enumerate(self.stages) if s.kind == "rate"]
-        named = [i for i in rates if self.stages[i].calibrate or self.stages[i].name.lower() in CONVERSION_NAMES]
-        return named[-1] if named and named[-1] == rates[-1] else (rates[-1] if rates else None)
-
     def conversion_stages(self, columns: list[str]) -> set[int]:
+        """The rate stages that take approved to hired: flagged, named so, or last; none without a hired column."""
         if (self.hired or "hired") not in columns:
             return set()
         rates = [i for i, s in enumerate(self.stages) if s.kind == "rate"]

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.functions.binning import quantile_edges
 from creditflow.functions.expressions import all_of, quoted
 from creditflow.operators.evaluate import fit, simulate
-from creditflow.operators.policy import Policy, Stage, Stress, cutoff_stage
+from creditflow.operators.policy import Policy, Stress, cutoff_stage
 
 MAX_CELLS = 5_000_000
 
@@ -150,8 +151,6 @@ def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> D
     Rows are first reduced to a histogram of all that the evaluation reads, so a
     point costs one pass over that table.
     """
-    from itertools import product
-
     histogram, weighted = _histogram(df, policy)
     parts = []
     for i, values in enumerate(product(*params.values()), 1):
@@ -230,5 +229,3 @@ def proposals(frontier: DataFrame, approval: float, default: float) -> DataFrame
     c = frontier.crossJoin(mean).orderBy(F.round(F.abs(F.col("cutoff") - F.col("_mean")), 9), "combination_id").limit(1).drop("_mean").withColumn("proposal", F.lit("between"))
     return a.unionByName(b).unionByName(c)
 
-
-__all__ = ["Stage", "best", "breakeven", "crash_test", "cutoff_ranges", "equivalent", "evaluated", "grid", "grid_stochastic", "judged", "model_frontier", "pareto", "proposals", "tradeoff"]
