@@ -2,7 +2,7 @@
 
 The lexicon (words, and stems that stand for all words that begin with them) is
 learned from labelled rows: terms far more frequent in toxic texts than in others,
-by a likelihood-ratio test. It is kept as a trie. A word that is not in it is run
+by a likelihood-ratio test in which equal texts count once. It is kept as a trie. A word that is not in it is run
 through a Levenshtein automaton (one edit, for words of ``FUZZY_FROM`` letters or
 more) intersected with the trie. Each hit is weighed by its context: inside
 quotation marks that open and close within ``CONTEXT`` words it counts as
@@ -135,9 +135,10 @@ def distinct_terms(found: dict[str, tuple[float, int]], margin: float = 0.7) ->
 
 
 def independent_terms(found: dict[str, tuple[float, int]], contexts: dict[str, int]) -> dict[str, float]:
-    """Weights of the terms that stand between different words in at least half of their toxic rows (4 at least).
+    """Weights of the terms that stand between different words in at least half of their toxic texts (4 at least).
 
-    Copies of a toxic text make all of its words look toxic; there they keep their neighbours.
+    Texts count once however many rows hold them. What is left are near copies of a
+    toxic text, which make all of its words look toxic; there they keep their neighbours.
     """
     return distinct_terms({t: f for t, f in found.items() if contexts.get(t, 0) >= max(4, 0.5 * f[1])})
 
@@ -259,6 +260,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta[:-1], float(beta[-1])
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row for each text and label, with the sum of the weights: copies say nothing new about words."""
+    return rows.groupBy(F.sha2("text", 256).alias("address"), "label").agg(F.any_value("text").alias("text"), F.sum("weight").alias("weight")).select("text", "label", "weight")
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns lexicon and weights from labelled rows for which ``usable`` (on the label table) holds."""
     labelled = labels.where(usable).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -266,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     share = F.when(F.col("label") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
     drawn = stored(labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("weight", 1 / share), "labels")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(broadcast_if_small(drawn), "id").select("text", "label", "weight")
-    rows = stored(rows, "labelled")
+    rows = stored(distinct_texts(rows), "labelled")
     n_toxic, n_clean = (rows.where(F.col("label") == k).count() for k in (1, 0))
     if not n_toxic:
         return Model()

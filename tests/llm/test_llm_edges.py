@@ -64,6 +64,31 @@ def test_top_k_of_odd_vectors(spark):
     assert dual_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """80 different toxic texts of two lexicon words, 80 clean texts of the same common words, and a function that adds a text n times."""
+    common = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "el", "or", "ut", "is")]
+    body = lambda k: [common[(k * 7 + i * (1 + k % 11)) % len(common)] for i in range(30)]
+    toxic = [" ".join([*body(k)[:9], "zwackel", *body(k)[9:20], "quirbus", *body(k)[20:]]) for k in range(80)]
+    clean = [" ".join(body(k)) for k in range(80)]
+
+    def tables(text, n):
+        rows = [(i, t, y) for i, (t, y) in enumerate([*((t, 1) for t in toxic + [text] * n), *((t, 0) for t in clean)])]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+    return tables
+
+
+def test_copies_do_not_outvote_a_lexicon_word(abuse):
+    docs, labels = abuse("xeno zwackel yolo quirbus wubba", 160)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert {"zwackel", "quirbus"} <= set(model.weights) and not {"xeno", "yolo", "wubba"} & set(model.weights)
+    scores = toxicity.score(docs, model).join(labels, "doc_id").groupBy("toxic").agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    by = {r.toxic: r for r in scores}
+    assert by[1].low >= 0.7 > by[0].high
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
