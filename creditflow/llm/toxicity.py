@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from creditflow.llm.storage import broadcast_if_small, stored
 
 SAMPLE = 6000
-#: Lexicon entries at most, best first.
+#: Lexicon entries at most, best first; taken from the terms that passed every test.
 TERMS = 5000
 FUZZY_FROM, CONTEXT = 5, 6
 MIN_RATIO, MIN_G2 = 8.0, 30.0
@@ -134,13 +134,13 @@ def distinct_terms(found: dict[str, tuple[float, int]], margin: float = 0.7) ->
     return out
 
 
-def independent_terms(found: dict[str, tuple[float, int]], contexts: dict[str, int]) -> dict[str, float]:
-    """Weights of the terms that stand between different words in at least half of their toxic texts (4 at least).
+def independent(contexts: Column, toxic: Column) -> Column:
+    """Whether a term stands between different words in at least half of its toxic texts (4 at least).
 
     Texts count once however many rows hold them. What is left are near copies of a
     toxic text, which make all of its words look toxic; there they keep their neighbours.
     """
-    return distinct_terms({t: f for t, f in found.items() if contexts.get(t, 0) >= max(4, 0.5 * f[1])})
+    return contexts >= F.greatest(F.lit(4), 0.5 * toxic)
 
 
 class Known(dict):
@@ -206,18 +206,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Candidate terms of each text with a hash of the words around their first place."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All terms of each text with a hash of the words around their first place."""
     for batch in batches:
-        out = []
+        out = set()
         for text in batch.column(0).to_pylist():
             words, seen = (text or "").split(), set()
             for i, w in enumerate(words):
                 for p in parts(w):
-                    for t in {p, *(p[:k] + "*" for k in PREFIXES if len(p) >= k)} & shared.value - seen:
-                        seen.add(t)
-                        around = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
-                        out.append((t, zlib.crc32(around.encode())))
+                    if p in seen:  # so are its stems
+                        continue
+                    new = {p, *(p[:k] + "*" for k in PREFIXES if len(p) >= k)} - seen
+                    seen |= new
+                    around = zlib.crc32(((words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")).encode())
+                    out.update((t, around) for t in new)
         columns = zip(*out, strict=True) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()), strict=True)], ["term", "context"])
 
@@ -282,12 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     g2 = 2 * (a * F.log(F.greatest(a, F.lit(0.5)) / (both * n_toxic)) + b * F.log(F.greatest(b, F.lit(0.5)) / F.greatest(both * n_clean, F.lit(1e-9))))
     terms = rows.select("text", "label").mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     terms = terms.withColumn("g2", g2).withColumn("weight", F.log(toxic_rate / clean_rate)).where((F.col("weight") >= math.log(MIN_RATIO)) & (F.col("g2") >= MIN_G2))
-    candidates = {r["term"]: (r["weight"], r["toxic"]) for r in terms.orderBy(F.desc("g2"), "term").limit(TERMS).collect()}
+    terms = stored(terms, "terms")
+    held = rows.where("label = 1").select("text").mapInArrow(_contexts, "term string, context long").join(broadcast_if_small(terms.select("term")), "term", "left_semi")
+    contexts = held.distinct().groupBy("term").agg(F.count("*").alias("contexts"))
+    found = terms.join(contexts, "term").where(independent(F.col("contexts"), a)).collect()  # no more than the labelled sample gives
+    best = {r["term"]: r["g2"] for r in found}
+    weights = distinct_terms({r["term"]: (r["weight"], r["toxic"]) for r in found})
+    weights = {t: weights[t] for t in sorted(weights, key=lambda t: (-best[t], t))[:TERMS]}
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(set(candidates))
-    held = rows.where("label = 1").select("text").mapInArrow(lambda x, s=shared: _contexts(x, s), "term string, context long").distinct()
-    contexts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each candidate
-    weights = independent_terms(candidates, contexts)
     table = rows.mapInArrow(lambda x, s=spark.sparkContext.broadcast(weights): _features(x, s), "x array<double>, label int, weight double").collect()
     x, y, w = np.array([r["x"] for r in table]), np.array([r["label"] for r in table], float), np.array([r["weight"] for r in table])
     coefficients, intercept = _logistic(x, y, w)

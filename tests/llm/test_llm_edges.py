@@ -89,6 +89,17 @@ def test_copies_do_not_outvote_a_lexicon_word(abuse):
     assert by[1].low >= 0.7 > by[0].high
 
 
+def test_words_of_near_copies_do_not_crowd_out_the_lexicon(abuse, spark, monkeypatch):
+    """300 near copies (each with another last word) of a text whose rare words have a greater g2 than the lexicon, and far more than TERMS terms."""
+    monkeypatch.setattr(toxicity, "TERMS", 40)
+    docs, labels = abuse("", 0)
+    copied = " ".join(f"{a}{b}{c}xyz" for a in "bdfgk" for b in "aeiou" for c in "lmnrs")
+    extra = spark.range(1000, 1300).select(F.col("id").alias("doc_id"), F.concat(F.lit(copied + " ban end"), "id").alias("text"))
+    docs, labels = docs.unionByName(extra), labels.unionByName(extra.select("doc_id", F.lit(1).alias("toxic")))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert {"zwackel", "quirbus"} <= set(model.weights) and not any("xyz" in t for t in model.weights)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
