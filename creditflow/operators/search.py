@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from creditflow.functions.binning import quantile_edges
 from creditflow.functions.expressions import all_of, quoted
 from creditflow.operators.evaluate import fit, simulate
-from creditflow.operators.policy import Policy, Stress, cutoff_stage
+from creditflow.operators.policy import Policy, Stress, clipped_or_null, cutoff_stage
 
 MAX_CELLS = 5_000_000
 
@@ -36,8 +36,8 @@ def cutoff_ranges(df: DataFrame, scores: list[str], steps: int = 10, percentiles
 
 
 def evaluated(df: DataFrame, policy: Policy) -> DataFrame:
-    """The policy without its cutoffs: columns _p (approval before rates) and _bad (expected bads) beside df's."""
-    free = replace(policy, stages=tuple(s for s in policy.stages if s.kind not in ("cutoff", "segment")), calibration_score=policy.score_for_calibration())
+    """The policy without its cutoffs (those by segment stay, as filters): columns _p (approval before rates) and _bad (expected bads) beside df's."""
+    free = replace(policy, stages=tuple(s for s in policy.stages if s.kind != "cutoff"), calibration_score=policy.score_for_calibration())
     sim = simulate(df, free)
     p = F.col("approved_pre_rate").cast("double")
     return sim.withColumn("_p", p).withColumn("_bad", p * F.coalesce(F.col("simulated_default"), quoted(policy.default).cast("double"), F.lit(0.0)))
@@ -108,7 +108,7 @@ def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float
     The draws of a row do not depend on the combination, so the curves are smooth;
     a cutoff only removes rows from those the rest of the policy takes.
     """
-    free = replace(policy, stages=tuple(s for s in policy.stages if s.kind not in ("cutoff", "segment")), calibration_score=policy.score_for_calibration())
+    free = replace(policy, stages=tuple(s for s in policy.stages if s.kind != "cutoff"), calibration_score=policy.score_for_calibration())
     sim = simulate(df, free, "stochastic")
     spark = df.sparkSession
     points = spark.range(1).select()
@@ -149,14 +149,22 @@ def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> D
     """Full evaluation of each grid point, calibration refitted: the parameters, approval_rate, default_rate.
 
     Rows are first reduced to a histogram of all that the evaluation reads, so a
-    point costs one pass over that table.
+    point costs one pass over that table. A custom stress may read any column, and
+    given calibration edges are no quantiles: with these each point is simulated
+    over the rows.
     """
-    histogram, weighted = _histogram(df, policy)
-    parts = []
-    for i, values in enumerate(product(*params.values()), 1):
+    policies = []
+    for values in product(*params.values()):
         p = policy
         for name, value in zip(params, values, strict=True):
             p = vary(p, name, value)
+        policies.append((values, p))
+    if isinstance(policy.calibration_bins, int) and all(s.kind != "custom" for _, p in policies for s in p.stresses):
+        histogram, weighted = _histogram(df, [p for _, p in policies])
+    else:
+        histogram, weighted = df, lambda rows, p: simulate(rows, p).agg(*outcome(rows))
+    parts = []
+    for i, (values, p) in enumerate(policies, 1):
         row = weighted(histogram, p)
         parts.append(row.select(F.lit(i).alias("combination_id"), *(F.lit(float(v)).alias(n.replace(":", "_")) for n, v in zip(params, values, strict=True)), "approval_rate", "default_rate"))
     out = parts[0]
@@ -165,29 +173,37 @@ def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> D
     return out
 
 
-def _histogram(df: DataFrame, policy: Policy):
-    """Fixed parts of the policy (filters) with the columns that vary, and their counts; and how to evaluate it."""
-    scores = sorted({c for c in [*policy.score_cols, policy.score_for_calibration()] if c})
-    fixed = all_of([s.passes(df) > 0 for s in policy.stages if s.kind == "filter"])
-    rows = df.select(fixed.alias("_fixed"), *map(quoted, scores), F.coalesce(quoted(policy.approved), F.lit(0)).alias("_old"), quoted(policy.default).cast("double").alias("_d"))
-    table = rows.groupBy("_fixed", *scores, "_old").agg(F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_nd"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("_bad")).persist()
+def _read_by(df: DataFrame, p: Policy) -> list[str]:
+    """Columns by which an evaluation tells rows apart, besides filters, segments, decision and default."""
+    cutoffs = [c for s in p.stages if s.kind == "cutoff" for c in s.cutoffs]
+    stress = [c for s in p.stresses for c in ([s.score] if s.kind == "monotonic" else [s.column] if s.column in df.columns else [])]
+    return [c for c in [*p.score_cols, p.score_for_calibration(), *cutoffs, *stress] if c]
+
+
+def _histogram(df: DataFrame, policies: list[Policy]):
+    """Fixed parts of the policies (filters, cutoffs by segment) with the columns that vary, and their counts; and how to evaluate one."""
+    read = sorted({c for p in policies for c in _read_by(df, p)})
+    fixed = all_of([s.passes(df) > 0 for s in policies[0].stages if s.kind in ("filter", "segment")])
+    rows = df.select(fixed.alias("_fixed"), *map(quoted, read), F.coalesce(quoted(policies[0].approved), F.lit(0)).alias("_old"), quoted(policies[0].default).cast("double").alias("_d"))
+    table = rows.groupBy("_fixed", *map(quoted, read), "_old").agg(F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_nd"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("_bad")).persist()
 
     def evaluate(h: DataFrame, p: Policy) -> DataFrame:
         cuts = all_of([s.passes(h) > 0 for s in p.stages if s.kind == "cutoff"])
         new = F.col("_fixed") & cuts
         keep, swap = new & (F.col("_old") > 0), new & (F.col("_old") <= 0)
-        score = p.score_for_calibration()
+        name = p.score_for_calibration()
+        score = quoted(name) if name else F.lit(None).cast("double")
         bins = int(p.calibration_bins)
         points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        edges = h.agg(F.percentile(F.when(keep, F.col(score)), points, F.col("_n")).alias("e"), F.sum(F.when(keep, F.col("_n"))).alias("k"), (F.sum(F.when(keep, F.col("_bad"))) / F.sum(F.when(keep, F.col("_nd")))).alias("mean"))
+        base = score if p.calibration_base in ("global", "all", "dataset") else F.when(keep, score)
+        edges = h.agg(F.percentile(base, points, F.col("_n")).alias("e"), F.sum(F.when(keep, F.col("_n"))).alias("k"), (F.sum(F.when(keep, F.col("_bad"))) / F.sum(F.when(keep, F.col("_nd")))).alias("mean"))
         edges = edges.select(F.array_sort(F.array_distinct(F.transform("e", lambda x: F.round(x, 9)))).alias("e"), "k", F.coalesce("mean", F.lit(0.0)).alias("mean"))
-        inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
-        binned = h.crossJoin(F.broadcast(edges)).withColumn("_bin", F.size(F.filter(inner, lambda x: x < F.col(score))))
+        inner = F.coalesce(F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0))), F.array().cast("array<double>"))
+        binned = h.crossJoin(F.broadcast(edges)).withColumn("_bin", F.when(score.isNotNull(), F.size(F.filter(inner, lambda x: x < score))))
         means = binned.where(keep).groupBy("_bin").agg(F.try_divide(F.sum("_bad"), F.sum("_nd")).alias("_m"))
-        pd = F.when(F.col("k") >= 50, F.coalesce("_m", F.col("mean"))).otherwise(F.col("mean"))
-        for s in p.stresses[:1]:
-            pd = F.least(F.greatest(pd * s.factor, F.lit(0.0)), F.lit(1.0))
-        full = binned.join(F.broadcast(means), "_bin", "left")
+        full = binned.join(F.broadcast(means), "_bin", "left").withColumn("_pd", F.when(F.col("k") >= 50, F.coalesce("_m", F.col("mean"))).otherwise(F.col("mean")))
+        stressed = [s.apply(full, "_pd") for s in p.stresses]
+        pd = clipped_or_null(F.greatest(*stressed) if len(stressed) > 1 else stressed[0] if stressed else F.col("_pd"))
         bad = F.sum(F.when(keep, F.col("_bad")).when(swap, pd * F.col("_n")).otherwise(0.0))
         took = F.sum(F.when(new, F.col("_n")).otherwise(0).cast("double"))
         return full.agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from creditflow.functions.expressions import differs, ratio, register, true
 from creditflow.operators import deploy, evaluate
-from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, from_json, rate_stage, to_json
-from creditflow.operators.search import vary
+from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, from_json, rate_stage, segment_cutoff_stage, to_json
+from creditflow.operators.search import evaluated, grid, grid_stochastic, outcome, tradeoff, vary
 from creditflow.streaming.score import score_stream
 
 ROLES = Policy("id", "score", "approved", "bad")
@@ -110,3 +110,39 @@ def test_scoring_without_labels_and_on_a_stream(spark, tiny, tmp_path):
     stream = spark.readStream.schema(new.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, policy, fitted, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert values(spark.read.parquet(str(tmp_path / "out")), "decision") == values(batch, "decision") == ["Rejected", "Approved", "Approved"]
+
+
+@pytest.fixture(scope="module")
+def applicants(spark):
+    """400 rows, one score in eleven missing, with a segment, a risk column and a stress factor."""
+    rows = [(i, None if i % 11 == 0 else (i * 37) % 1000, (i * 53) % 1000, "A" if i % 3 else "B", 1 + i % 4 / 2, int(i % 5 > 1), int((i * 37) % 1000 < 300 + i % 90), 0 if i % 7 else 1) for i in range(1, 401)]
+    return spark.createDataFrame(rows, "id long, score int, risk int, seg string, factor double, approved int, bad int, flag int")
+
+
+SEGMENT = segment_cutoff_stage("by segment", "risk", "seg", {"A": 300, "B": 600})
+POLICIES = {
+    "factor column": ROLES.with_stress(Stress("aggravation", factor=9.0, column="factor")),
+    "monotonic": ROLES.with_stress(Stress("monotonic", factor=0.8, score="risk", baseline=0.9)),
+    "worst of several": ROLES.with_stress(Stress("aggravation", factor=0.5), Stress("aggravation", factor=2.0), Stress("monotonic", factor=0.4, score="risk", baseline=0.3)),
+    "custom": ROLES.with_stress(Stress("custom", fn=lambda df, pd: F.col(pd) + F.col("flag") * 0.3)),
+    "segment": ROLES.with_stages(filter_stage("f", "flag = 0"), SEGMENT),
+    "base": replace(ROLES.with_stages(filter_stage("f", "risk > 400")), calibration_base="global"),
+    "edges": replace(ROLES, calibration_bins=(200.0, 400.0, 600.0)),
+    "other cutoff": ROLES.with_stages(cutoff_stage("r", {"risk": 700}, "lte")),
+    "plain": ROLES.with_stages(filter_stage("f", "flag = 0")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(POLICIES))
+def test_tradeoff_is_the_simulation(name, applicants):
+    policy = POLICIES[name]
+    for row in tradeoff(applicants, policy, {"cutoff:score": [150.0, 400.0]}).collect():
+        sim = evaluate.simulate(applicants, vary(policy, "cutoff:score", row["cutoff_score"]))
+        assert (row["approval_rate"], row["default_rate"]) == pytest.approx(tuple(sim.agg(*outcome(sim)).first()), abs=1e-12)
+
+
+def test_grids_keep_cutoffs_by_segment(applicants):
+    policy = ROLES.with_stages(SEGMENT, cutoff_stage("c", {"score": 900}))
+    passed = applicants.where("score >= 400 and risk >= if(seg = 'A', 300, 600)").count() / 400
+    assert grid(evaluated(applicants, policy), {"score": [400.0]}).first()["approval_rate"] == pytest.approx(passed)
+    assert grid_stochastic(applicants, policy, {"score": [400.0]}).first()["approval_rate"] == pytest.approx(passed)
