@@ -12,7 +12,6 @@ exceeds its capacity, the number of windows rises and the block is split anew.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 import os
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.held import held
 from creditflow.llm.storage import stored
 
 WINDOW = 2048
@@ -32,18 +32,37 @@ WINDOW = 2048
 BLOCK = 1500
 #: The last remainder of one text in CRUMB_EVERY ends in pieces of these lengths, which even out the windows.
 CRUMBS, CRUMB_EVERY = (8, 16, 32, 64), 4
-#: Words kept with their ids in each of two generations.
-CACHE_WORDS = 400_000
+#: Words kept with their ids in each of two generations (about 150 MB in all), and the longest word kept.
+CACHE_WORDS, LONG_WORD = 300_000, 64
 #: Splits at these characters only here, not in the tokenizer; texts with one are encoded whole.
 _TAIL = ".,;:!?|()[]{}<>\"#$%&*+-/=@\\^_`~"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+class Words(dict):
+    """Ids of words, learned as they are asked for; two generations, so that words in use stay."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts, for a tokenizer whose tokens never cross white space.
 
-    A text is cut at white space, and the ids of each word are looked up or
-    encoded once; together they are the ids of the whole text. A new word of
+    A text is cut at white space and walked once; the ids of each word are looked up
+    or encoded, and together they are the ids of the whole text. A new word of
     letters with punctuation behind it is two units, which the tokenizer also
     keeps apart. Units of Latin letters, which are their own normal form but for
     case, go to the tokenizer's model directly; other units and words take its whole
@@ -55,74 +74,45 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         stand_in, printable = {}, [*range(33, 127), *range(161, 173), *range(174, 256)]
         for byte in range(256):  # how a byte-level vocabulary writes bytes
             stand_in[byte] = byte if byte in printable else 256 + len([b for b in range(byte) if b not in printable])
         self.stand_in = stand_in
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the generation before: words still in use move on from it
-        self.units: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _model(self, unit: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(unit)])
-
-    def _learn(self, words: list[str]) -> None:
-        split, other = {}, []
-        for word in words:
-            head = word.rstrip(_TAIL)
-            if head.isalpha() or not head:
-                split[word] = (head, word[len(head) :])
-            else:
-                other.append(word)
-        if len(self.units) > CACHE_WORDS:
-            self.units = {"": b""}
-        if len(self.units) > CACHE_WORDS:
-            self.units = {"": b""}
-        units, rest = self.units, []
-        for unit in {u for pair in split.values() for u in pair if u not in units}:
-            if unit.isascii():
-                units[unit] = self._model(unit.lower())
-            elif max(unit) < "\u0250" and "\u0130" not in unit:
-                units[unit] = self._model(unit.lower().encode().decode("latin-1").translate(self.stand_in))
-            else:
-                rest.append(unit)
-        units.update(zip(rest, self._encode(rest), strict=True))
-        for word, (head, tail) in split.items():
-            self.known[word] = units[head] + units[tail]
-        self.known.update(zip(other, self._encode(other), strict=True))
+        self.written = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.words, self.tails = Words(self._word), Words(self._unit)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if unit.isascii():
+            plain = unit.lower()
+        elif max(unit) < "\u0250" and "\u0130" not in unit:
+            plain = unit.lower().encode().decode("latin-1").translate(self.stand_in)
+        else:
+            return self._encode(unit)
+        written = self.written
+        return b"".join([written[t.id] for t in self.tokenize(plain)]) if plain else b""
+
+    def _word(self, word: str) -> bytes:
+        head = word.rstrip(_TAIL)
+        if head.isalpha():
+            return self._unit(word) if len(head) == len(word) else self.words[head] + self.tails[word[len(head) :]]
+        return self._encode(word) if head else self._unit(word)
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         if not text:
             return b""
         if any(c in text for c in _ODD_SPACE):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.prepare([words])
-            return b"".join(map(self.known.__getitem__, words))
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Learns the words of some texts at once."""
-        new = {w for words in texts for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-            new = {w for words in texts for w in words}
-        if new:
-            self.known.update({w: self.older[w] for w in new if w in self.older})
-            self._learn([w for w in new if w not in self.known])
-
-
-@functools.cache
+            return self._encode(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker: its words stay known from task to task."""
-    return WordEncoder(path)
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, separator: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -133,9 +123,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, separator: int, window
         ids, starts, lengths, crcs, totals = [], [], [], [], []
         keys = batch.column(0).to_pylist()
         for i, j in at.groups(batch.column(1)):
-            texts = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
-            encode.prepare([x.split() for x in texts if not any(c in x for c in _ODD_SPACE)])
-            for id_, data in zip(keys[i:j], map(encode, texts), strict=True):
+            for id_, data in zip(keys[i:j], map(encode, batch.column(1).slice(i, j - i).to_pylist()), strict=True):
                 data += end
                 total = len(data) // 4
                 cuts = list(range(0, total, window))
