@@ -6,20 +6,27 @@ of ``threshold`` or more; lines are judged on the input, not on what is left.
 
 How it runs
 -----------
-1. Lines with equal sets are merged: the first stays, the others are decided.
-2. Words are ordered by rarity: counted over all texts, the FREQUENT most common
-   get a rank (a table of bounded size, broadcast); all others are rarer and follow
-   their hash. Any fixed order gives exact results; this one keeps lists short.
+1. One scan gives every line's place and the 128-bit key of its set, and counts
+   words. Lines with equal sets are merged: the first stays, the others are decided.
+2. Words are ordered by rarity: the FREQUENT most common get a rank (a table of
+   bounded size, broadcast); all others are rarer and follow their hash. Any fixed
+   order gives exact results; this one keeps lists short.
 3. Each first line sends its prefix (the n - ceil(t n) + 1 rarest words) to the
    lists of these words, with its size, the position and a 128-bit parity sketch of
-   its set. Length, positional and sketch bounds (the parity of two sets differs in
-   at most |A xor B| bits) drop pairs that cannot reach the threshold.
-4. Each line meets the first line of each list; then the lines still undecided
-   meet the others of their lists. Pairs are verified on the full sets.
+   its set. A word held by more than ``hot`` lines has no list of its own: lines
+   that share it must share a second word of a prefix one longer, so the pair of
+   words is the list.
+4. Lists are sorted by size and read as a stream, so that a line meets only those
+   within the length bound; positional and sketch bounds (the parity of two sets
+   differs in at most |A xor B| bits) drop pairs that cannot reach the threshold.
+   Of each line the NEAREST candidates of every list go on, and lists that
+   have more are kept; these are read again for lines that are still undecided.
+5. Pairs are verified on the full sets.
 
 Defined cases: a null text has no line and stays null; a line without words is
 kept and removes nothing; rows with a null id are returned unchanged; lines of
-rows with equal id and equal number do not remove each other.
+rows with equal id and equal number do not remove each other; rows with equal id
+and different texts are told apart by a hash of the text; equal rows are one.
 """
 
 from __future__ import annotations
@@ -28,18 +35,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.held import release
 from creditflow.llm.storage import BROADCAST_ROWS, stored
 
 _U = np.uint64
-#: Words that get a rank by count: 16 bytes each, so 16 MB at most.
+#: Words that get a rank by count: 12 bytes each, so 12 MB at most.
 FREQUENT = 1_000_000
-_TOKEN_BITS = 40
+#: Lines that may share a word before its list is split by second words.
+HOT = 100_000
+#: Candidates of a line that leave each list at once.
+NEAREST = 2
+#: Sizes and positions from here on are not told apart.
+_MOST = 0x7FFF
+#: Words that the scan counts before it sends them on; rows of lists, and pairs, that are compared at once.
+_COUNTED, _ROWS, _PAIRS = 1 << 20, 1 << 18, 1 << 21
 
 
-def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of rows: the first row, each line's row and number, distinct word hashes and their lines, and where each line's begin."""
     for i, j in at.groups(texts):
         raw, offsets = at.text_buffer(texts.slice(i, j - i))
@@ -68,50 +84,88 @@ def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[first[1:]] - run[first[:-1]]
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [np.unique(h, return_counts=True) for _, _, _, h, _, _ in _sets(batch.column(0))]
-        if parts:
-            word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            word, place = np.unique(word, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at.signed(word)), pa.array(np.bincount(place, weights=n, minlength=len(word)).astype(np.int64))], ["word", "n"])
+def _places(batch: pa.RecordBatch, i: int, row: np.ndarray, number: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Ids of lines, and number << 32 | tag of the text."""
+    rows = pa.array(row + i)
+    return batch.column(0).take(rows), (number.astype(np.int64) << 32) | (batch.column(1).take(rows).to_numpy().astype(np.int64) & 0xFFFFFFFF)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(batch.column(k).to_numpy(zero_copy_only=False)).tobytes()], pa.binary()) for k in (0, 1)], ["words", "counts"])
+class _Counts:
+    """Sums of word counts, merged now and then."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.merged = 0
+
+    def add(self, words: np.ndarray) -> None:
+        self.parts.append(np.unique(words, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > 2 * self.merged + _COUNTED // 2:
+            self.merge()
 
+    def merge(self) -> None:
+        word, place = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        self.parts = [(word, np.bincount(place, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(word)).astype(np.int64))]
+        self.size = self.merged = len(word)
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(self) -> pa.RecordBatch:
+        self.merge()
+        (word, n), none = self.parts[0], pa.nulls(self.size, pa.int64())
+        self.__init__()
+        return pa.RecordBatch.from_arrays([none, none, pa.array(at.signed(word)), pa.array(n)], ["id", "at", "a", "b"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with words (id, at, both halves of the set's key) and, without id, words (hash, count of lines)."""
+    release()
+    counts = _Counts()
     for batch in batches:
-        for i, row, number, h, _, first in _sets(batch.column(1)):
+        for i, row, number, h, _, first in _sets(batch.column(2)):
             some = np.flatnonzero(np.diff(first) > 0)
             k1, k2 = _sum_by(at.mix(h), first), _sum_by(at.mix(h ^ _U(0x5851F42D4C957F2D)), first)
-            ids = batch.column(0).take(pa.array(row[some] + i))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number[some].astype(np.int32)), pa.array(at.signed(k1[some])), pa.array(at.signed(k2[some]))], ["id", "line", "k1", "k2"])
+            ids, place = _places(batch, i, row[some], number[some])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(at.signed(k1[some])), pa.array(at.signed(k2[some]))], ["id", "at", "a", "b"])
+            counts.add(h)
+            if counts.merged > _COUNTED:
+                yield counts.take()
+    if counts.parts:
+        yield counts.take()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(batch.column(k).to_numpy(zero_copy_only=False)).tobytes()], pa.binary()) for k in (0, 1)], ["words", "counts"])
 
 
 def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def _marked(flags: pa.Array, i: int, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which lines are set in their row's flags (null, or too short: not set)."""
+    flags = flags.slice(i, int(row[-1]) + 1)
+    size = pc.fill_null(pc.list_value_length(flags), 0).to_numpy().astype(np.int64)
+    start, values = np.cumsum(size) - size, flags.flatten().to_numpy(zero_copy_only=False).astype(bool)
+    inside = number < size[row]
+    out = np.zeros(len(row), dtype=bool)
+    out[inside] = values[(start[row] + number)[inside]]
+    return out
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> Iterator[pa.RecordBatch]:
-    known, rank = ranked.value
+    """List entries: key, size << 16 | position, the line's place, its sketch."""
+    release()
+    known, rank, hot = ranked.value
     for batch in batches:
-        decided = batch.column(2)
-        for i, row, number, h, line, first in _sets(batch.column(1)):
+        for i, row, number, h, line, first in _sets(batch.column(2)):
             n = np.diff(first)
-            take = n > 0
-            for r, gone in enumerate(decided.slice(i, int(row[-1]) + 1)):
-                if gone.is_valid:
-                    lines = gone.values.to_numpy(zero_copy_only=False) + np.searchsorted(row, r)
-                    take[lines] = False
+            take = (n >= threshold * (n + 1) - 1e-9) & ~_marked(batch.column(3), i, row, number)  # shorter ones match equal sets only
             order = np.zeros(len(h), dtype=_U)  # rare words first, by hash; then the ranked
             if len(known):
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 common = known[place] == h
-                order[common] = rank[place[common]].astype(_U) << _U(40)
-            key = order | (h & _U((1 << 40) - 1))
+                order[common] = rank[place[common]].astype(_U)
+            key = (order << _U(40)) | (h & _U((1 << 40) - 1))
             bit, half = _U(1) << (h >> _U(58)), (h >> _U(57)) & _U(1)
             edges = np.append(first[:-1], len(h))
             sketches = []
@@ -119,129 +173,228 @@ def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> It
                 run = np.concatenate([np.zeros(1, _U), np.bitwise_xor.accumulate(np.where(half == side, bit, _U(0)))])
                 sketches.append(run[edges[1:]] ^ run[edges[:-1]])
             length = prefix_length(n, threshold)
-            out = []
-            for k in np.flatnonzero(take).tolist():
-                a, b = first[k], first[k + 1]
-                out.append(a + np.argsort(key[a:b], kind="stable")[: length[k]])
-            if not out:
+            lines = np.flatnonzero(take)
+            if not len(lines):
                 continue
+            out = [a + np.argsort(key[a:b], kind="stable")[:m] for a, b, m in zip(first[lines].tolist(), first[lines + 1].tolist(), (length[lines] + 1).tolist(), strict=True)]
             sizes = np.array([len(x) for x in out])
-            words, owner = np.concatenate(out), np.repeat(np.flatnonzero(take), sizes)
+            words, owner = np.concatenate(out), np.repeat(lines, sizes)
             position = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ids = batch.column(0).take(pa.array(row[owner] + i))
-            packed = (number[owner].astype(np.int64) << 32) | (np.minimum(n[owner], 0xFFFF) << 16) | np.minimum(position, 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array((h[words] >> _U(64 - _TOKEN_BITS)).astype(np.int64)), ids, pa.array(packed), *(pa.array(at.signed(x[owner])) for x in sketches)], ["word", "id", "packed", "s1", "s2"])
+            is_hot, in_prefix = order[words] >= _U(hot), position < length[owner]
+            single = np.flatnonzero(in_prefix & ~is_hot)
+            left, right = _second_words(owner, position, in_prefix & is_hot)
+            keys = np.concatenate([h[words[single]], at.mix(h[words[left]] * _U(3) + h[words[right]])])
+            which = np.concatenate([single, left])
+            owner, position = owner[which], np.minimum(position[which], _MOST)
+            ids, place = _places(batch, i, row[owner], number[owner])
+            size = (np.minimum(n[owner], _MOST) << 16) | position
+            yield pa.RecordBatch.from_arrays([pa.array(at.signed(keys)), pa.array(size.astype(np.int32)), ids, pa.array(place), *(pa.array(at.signed(x[owner])) for x in sketches)], ["key", "size", "id", "at", "s1", "s2"])
+
+
+def _second_words(owner: np.ndarray, position: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (earlier, later place) of the long prefix of which one is hot in the short prefix: hot ones are last in the order."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in np.flatnonzero(hot).tolist():
+        begin = x - position[x]
+        left.append(np.arange(begin, x))  # with all before it
+        right.append(np.full(x - begin, x))
+        if x + 1 < len(owner) and owner[x + 1] == owner[x] and not hot[x + 1]:  # and the one behind the short prefix
+            mine = np.flatnonzero(hot[begin : x + 1]) + begin
+            left.append(mine)
+            right.append(np.full(len(mine), x + 1))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _is_later(id_: np.ndarray, at_: np.ndarray, id0: np.ndarray, at0: np.ndarray) -> np.ndarray:
+    return (id_ > id0) | ((id_ == id0) & (at_ >> 32 > at0 >> 32))
+
+
+def _joined(columns: list[np.ndarray], fresh: int, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier) rows of lists that may match, with one row at least from ``fresh`` on; and the numbers of lists with more than ``most`` for a line.
+
+    Rows are in order of list and size. A seventh column says which lines are still asked for.
+    """
+    key, size, id_, at_, s1, s2 = *columns[:4], *(c.view(_U) for c in columns[4:6])
+    n, position = (size >> 16).astype(np.int64), (size & 0xFFFF).astype(np.int64)
+    which = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    low = np.searchsorted((which << 16) | n, (which << 16) | np.ceil(t * n - 1e-9).astype(np.int64))
+    many = np.arange(len(key)) - low
+    many[:fresh] = 0
+    if len(columns) > 6:  # lists in which no line is asked for
+        many[np.bincount(which, weights=columns[6])[which] == 0] = 0
+    upto, x0 = np.cumsum(many), 0
+    later, earlier, dense = [], [], []
+    while x0 < len(key):
+        x1 = max(x0 + 1, int(np.searchsorted(upto, (upto[x0 - 1] if x0 else 0) + _PAIRS, side="right")))
+        m = many[x0:x1]
+        x = np.repeat(np.arange(x0, x1), m)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[x0:x1], m)
+        x0 = x1
+        ok = np.minimum(n[x] - position[x], n[y] - position[y]) >= t / (1 + t) * (n[x] + n[y]) - 1e-9
+        ok |= n[x] >= _MOST
+        x, y = x[ok], y[ok]
+        far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
+        ok = (far <= (1 - t) / (1 + t) * (n[x] + n[y]) + 1e-9) | (n[x] >= _MOST)
+        x, y, far = x[ok], y[ok], far[ok]
+        swap = _is_later(id_[y], at_[y], id_[x], at_[x])
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        ok = swap | _is_later(id_[x], at_[x], id_[y], at_[y])
+        if len(columns) > 6:
+            ok &= columns[6][x]
+        x, y, far = x[ok], y[ok], far[ok]
+        if most is not None and len(x):
+            order = np.lexsort((far, x))
+            x, y = x[order], y[order]
+            begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            near = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) < most
+            dense.append(which[x[~near]])
+            x, y = x[near], y[near]
+        later.append(x)
+        earlier.append(y)
+    return np.concatenate(later), np.concatenate(earlier), np.isin(which, np.concatenate(dense)) if dense else np.zeros(len(key), bool)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (id, at, id0, at0) from lists in order; and, with their key, the entries of lists that had more than ``most`` for a line."""
+    release()
+    names = ["key", "size", "id", "at", "s1", "s2", "id0", "at0"]
+    held: list[np.ndarray] | None = None
+    fresh = 0
+
+    def found(columns):
+        later, earlier, dense = _joined(columns, fresh, t, most)
+        id_, at_ = columns[2], columns[3]
+        none = pa.nulls(len(later), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(id_[later]), pa.array(at_[later]), none, none, pa.array(id_[earlier]), pa.array(at_[earlier])], names)
+        if dense.any():
+            none = pa.nulls(int(dense.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[dense]) for c in columns[:6]), none, none], names)
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if len(held[0]) - fresh < _ROWS:
+            continue
+        yield from found(held)
+        keep = (held[0] == held[0][-1]) & (held[1] >> 16 >= t * (held[1][-1] >> 16) - 1)
+        held = [c[keep] for c in held]
+        fresh = len(held[0])
+    if held is not None and len(held[0]) > fresh:
+        yield from found(held)
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wanted = batch.column(2)
-        for i, row, number, h, _, first in _sets(batch.column(1)):
-            for r, lines in enumerate(wanted.slice(i, int(row[-1]) + 1)):
-                base = np.searchsorted(row, r)
-                some = [k for k in lines.as_py() if base + k < len(row) and row[base + k] == r]
-                sets = [at.signed(h[first[base + k] : first[base + k + 1]]) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i + r].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["id", "line", "words"])
+        for i, row, number, h, line, first in _sets(batch.column(2)):
+            some = np.flatnonzero(_marked(batch.column(3), i, row, number))
+            if not len(some):
+                continue
+            ids, place = _places(batch, i, row[some], number[some])
+            size = np.diff(first)[some]
+            words = pa.array(at.signed(h[np.isin(line, some)]))
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), words)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place), sets], ["id", "at", "words"])
 
 
-def without_lines(text: Column, gone: Column) -> Column:
-    """The text without the lines of these numbers (null: none)."""
-    lines = F.split(text, "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains(gone, e["i"]))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda e: e["x"]), "\n"))
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for numbers in batch.column(2):
+            numbers = numbers.values.to_numpy()
+            flags = np.zeros(int(numbers.max()) + 1, dtype=bool)
+            flags[numbers] = True
+            out.append(flags)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        flags = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flags], ["id", "tag", "flags"])
+
+
+def by_row(lines: DataFrame, name: str) -> DataFrame:
+    """(id, at) -> id, tag and, by line number, whether the line is among them (stored); with a broadcast hint while they are few."""
+    rows = lines.groupBy("id", F.shiftright(F.shiftleft("at", 32), 32).cast("int").alias("tag")).agg(F.collect_set(F.shiftright("at", 32).cast("int")).alias("lines"))
+    table = stored(rows.mapInArrow(_flags, "id long, tag int, flags array<boolean>").withColumnRenamed("flags", name), name)
+    total = table.agg(F.sum(F.size(name))).first()[0] or 0
+    return F.broadcast(table) if total <= 8 * BROADCAST_ROWS else table
 
 
-def _per_row(lines: DataFrame, name: str) -> DataFrame:
-    """(id, line) -> id, array of lines, stored; with a broadcast hint while the numbers are few."""
-    table = stored(lines.groupBy("id").agg(F.collect_set("line").alias(name)), name)
-    total = table.agg(F.sum(F.size(name))).first()[0] or 0
-    return F.broadcast(table) if total <= 4 * BROADCAST_ROWS else table
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose flag is set (null: none)."""
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def _ranks(rows: DataFrame):
-    """The FREQUENT most common words (hashes ascending) and their ranks, rarer first; as a broadcast variable."""
-    spark = rows.sparkSession
-    counts = stored(rows.select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+def _ranks(counts: DataFrame, hot: int):
+    """counts (word, n; stored) -> the FREQUENT most common words (hashes ascending), their ranks, rarer first, and the least rank of a hot one; as a broadcast variable."""
+    spark = counts.sparkSession
     sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
     total = sizes.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("above") <= FREQUENT).agg(F.min("n")).first()[0]
     if total is None:
-        return spark.sparkContext.broadcast((np.zeros(0, _U), np.zeros(0, np.int64)))
+        return spark.sparkContext.broadcast((np.zeros(0, _U), np.zeros(0, np.int32), 1))
     table = counts.where(F.col("n") >= F.lit(total)).mapInArrow(_packed, "words binary, counts binary").collect()
     word, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], dtype=kind) for r in table)]) for c, kind in (("words", _U), ("counts", np.int64)))
     del table
     by_word = np.argsort(word)
-    rank = np.empty(len(word), dtype=np.int64)
+    rank = np.empty(len(word), dtype=np.int32)
     rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
-    return spark.sparkContext.broadcast((word[by_word], rank[by_word]))
+    return spark.sparkContext.broadcast((word[by_word], rank[by_word], int((n <= hot).sum()) + 1))
 
 
-def _may_match(n_a: Column, p_a: Column, n_b: Column, p_b: Column, t: float) -> Column:
-    """Length, positional and sketch bounds; sizes from 65,535 on are not told apart and always pass."""
-    both = n_a + n_b
-    large = F.greatest(n_a, n_b) >= 0xFFFF
-    length = F.least(n_a, n_b) >= t * F.greatest(n_a, n_b) - 1e-9
-    positional = F.least(n_a - p_a, n_b - p_b) >= t / (1 + t) * both - 1e-9
-    parity = F.bit_count(F.col("s1").bitwiseXOR(F.col("s10"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s20"))) <= (1 - t) / (1 + t) * both + 1e-9
-    return large | (length & positional & parity)
+_LATER = "id > id0 or (id = id0 and shiftright(at, 32) > shiftright(at0, 32))"
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
-    """(id, line) of the later lines of pairs that reach the threshold."""
-    ends = pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct(F.col("id0").alias("id"), F.col("line0").alias("line")))).alias("e")).select("e.*").distinct()
-    sets = rows.join(_per_row(ends, "wanted"), "id").select("id", "text", "wanted").mapInArrow(_wanted_sets, "id long, line int, words array<long>")
-    sets = stored(sets, "sets")
-    later = pairs.join(sets, ["id", "line"])
-    both = later.join(sets.select(F.col("id").alias("id0"), F.col("line").alias("line0"), F.col("words").alias("words0")), ["id0", "line0"])
+    """(id, at) of the later lines of pairs that reach the threshold."""
+    ends = pairs.select(F.explode(F.array(F.struct("id", "at"), F.struct(F.col("id0").alias("id"), F.col("at0").alias("at")))).alias("e")).select("e.*").distinct()
+    sets = rows.join(by_row(ends, "wanted"), ["id", "tag"]).select("id", "tag", "text", "wanted").mapInArrow(_wanted_sets, "id long, at long, words array<long>")
+    sets = stored(sets, "sets").dropDuplicates(["id", "at"])
+    both = pairs.join(sets, ["id", "at"]).join(sets.select(F.col("id").alias("id0"), F.col("at").alias("at0"), F.col("words").alias("words0")), ["id0", "at0"])
     common = F.size(F.array_intersect("words", "words0"))
-    return both.where(common >= t * (F.size("words") + F.size("words0") - common) - 1e-9).select("id", "line").distinct()
+    return both.where(common >= t * (F.size("words") + F.size("words0") - common) - 1e-9).select("id", "at").distinct()
 
 
-def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """rows (id, text; no nulls) -> (id, line) of every line to remove."""
-    lines = rows.mapInArrow(_keys, "id long, line int, k1 long, k2 long")
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("f"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.col("f.id").alias("id0"), F.col("f.line").alias("line0"))
+def duplicate_lines(rows: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
+    """rows (id, text; no nulls) -> (id, at) of every line to remove; at is the line's number << 32 | tag, the tag F.hash(text)."""
+    rows = rows.select("id", F.hash("text").alias("tag"), "text")
+    scan = stored(rows.mapInArrow(_scan, "id long, at long, a long, b long"), "lines")
+    lines = scan.where("id is not null")
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("f.id").alias("id0"), F.col("f.at").alias("at0"))
     first = stored(first, "firsts")
     first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
-    copies = stored(lines.join(first, ["k1", "k2"]).where("id > id0 or (id = id0 and line > line0)").select("id", "line"), "copies")
-
-    ranked = _ranks(rows)
-    texts = rows.join(_per_row(copies, "decided"), "id", "left").select("id", "text", "decided")
-    entries = texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), "word long, id long, packed long, s1 long, s2 long")
-    order = Window.partitionBy("word").orderBy("id", "packed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    unpack = lambda c: (F.shiftright(c, 32).cast("int"), F.shiftright(c, 16).bitwiseAND(F.lit(0xFFFF)), F.col(c).bitwiseAND(F.lit(0xFFFF)))
-    listed = entries.select("*", F.first(F.struct("id", "packed", "s1", "s2")).over(order).alias("f")).where("id <> f.id or packed <> f.packed")
-    listed = listed.select("word", "id", "packed", "s1", "s2", *(F.col(f"f.{c}").alias(f"{c}0") for c in ("id", "packed", "s1", "s2")))
-    line, n, p = unpack("packed")
-    line0, n0, p0 = unpack("packed0")
-    met = _may_match(n, p, n0, p0, threshold)
-    listed = stored(listed.select("word", "id", "packed", "s1", "s2", F.when(met, F.col("id0")).alias("id0"), F.when(met, line0).alias("line0")), "lists")
-    pairs = stored(listed.where("id0 is not null").select("id", line.alias("line"), "id0", "line0").distinct(), "pairs")
+    copies = stored(lines.join(first, ["a", "b"]).where(_LATER).select("id", "at"), "copies")
+
+    counts = stored(scan.where("id is null").groupBy(F.col("a").alias("word")).agg(F.sum("b").alias("n")).where("n > 1"), "words")
+    ranked = _ranks(counts, hot if threshold > 0.5 else 1 << 62)  # below, a pair may have one word in common
+    texts = rows.join(by_row(copies, "decided"), ["id", "tag"], "left").select("id", "tag", "text", "decided")
+    entry = "key long, size int, id long, at long, s1 long, s2 long"
+    in_lists = lambda entries, most: stored(
+        entries.repartition("key").sortWithinPartitions("key", "size").mapInArrow(lambda b: _candidates(b, threshold, most), entry + ", id0 long, at0 long"), "lists")
+    found = in_lists(texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), entry), NEAREST)
+    pairs = stored(found.where("key is null").select("id", "at", "id0", "at0").distinct(), "pairs")
     near = stored(_verified(pairs, rows, threshold), "near")
+    gone = copies.unionByName(near)
 
-    rest = listed.select("word", "id", "s1", "s2", line.alias("line"), n.alias("n"), p.alias("p"))
+    rest = found.where("key is not null").select("key", "size", "id", "at", "s1", "s2").distinct()
     small = near.count() <= BROADCAST_ROWS
-    later = rest.join(F.broadcast(near) if small else near, ["id", "line"], "left_anti")
-    earlier = rest.select("word", *[F.col(c).alias(f"{c}0") for c in ("id", "line", "n", "p", "s1", "s2")])
-    met = _may_match(F.col("n"), F.col("p"), F.col("n0"), F.col("p0"), threshold)
-    more = later.join(earlier, (later["word"] == earlier["word"]) & ((F.col("id0") < F.col("id")) | ((F.col("id0") == F.col("id")) & (F.col("line0") < F.col("line")))) & met)
-    more = stored(more.select("id", "line", "id0", "line0").distinct(), "pairs")
-    found = copies.unionByName(near)
-    return found if more.isEmpty() else found.unionByName(_verified(more, rows, threshold))
+    decided = near.withColumn("asked", F.lit(False))
+    rest = rest.join(F.broadcast(decided) if small else decided, ["id", "at"], "left").select("key", "size", "id", "at", "s1", "s2", F.coalesce("asked", F.lit(True)).alias("asked"))
+    more = in_lists(rest, None).select("id", "at", "id0", "at0").distinct().join(pairs, ["id", "at", "id0", "at0"], "left_anti")
+    more = stored(more, "pairs")
+    return gone if more.isEmpty() else gone.unionByName(_verified(more, rows, threshold))
 
 
 def lines_by_row(lines: DataFrame) -> DataFrame:
-    """(id, line) -> id, gone: the numbers of the lines to remove."""
-    return _per_row(lines, "gone")
+    """(id, at) -> id, tag, gone: by line number, whether the line is to be removed."""
+    return by_row(lines, "gone")
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text (kept lines, in order)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = lines_by_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold))
-    cut = rows.join(gone, "id", "left")
+    gone = lines_by_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold, hot))
+    cut = rows.withColumn("tag", F.hash("text")).join(gone, ["id", "tag"], "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return cut.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"), without_lines(F.col("text"), F.col("gone")).alias("kept_text"))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x))).cast("long")
+    return cut.select(F.col("id").alias(id_col), n_lines.alias("n_lines"), n_removed.alias("n_removed"), without_lines(F.col("text"), F.col("gone")).alias("kept_text"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
