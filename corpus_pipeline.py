@@ -28,8 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     known = rows.where("id is not null and text is not null")
     gone = line_dedup.lines_by_row(line_dedup.duplicate_lines(known))
-    kept = docs.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("text", line_dedup.without_lines(F.col("text"), F.col("gone")))
-    return kept.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
+    gone = gone.select(F.col("id").alias("doc_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
+    kept = docs.withColumn("_tag", F.hash("text")).join(gone, ["doc_id", "_tag"], "left").withColumn("text", line_dedup.without_lines(F.col("text"), F.col("_gone")))
+    return kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
