@@ -23,7 +23,8 @@ steps 2 and 3 read the same exchange.
 Defined cases: null text has no words; rows with a null id are returned
 unchanged and are never a source; rows with the same id do not remove each
 other; a row with fewer words than the window loses none; other columns of the
-input do not matter.
+input do not matter. Rows of one id with different texts are told apart by a hash
+of the text, and each is judged by itself.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.held import release
 from creditflow.llm.storage import broadcast_if_small, stored
 
 GRAM = 16
@@ -49,8 +51,9 @@ def _anchors_of(words: at.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, tags, texts = batch.columns
         for i, j in at.groups(texts):
             words = at.words_of(*at.text_buffer(texts.slice(i, j - i)))
             least, ok = _anchors_of(words, window)
@@ -60,12 +63,13 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             row, value = words.row[at_], least[at_]
             new = np.ones(len(at_), dtype=bool)  # runs of one value; the few later repeats do no harm
             new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(row[new])), pa.array(value[new])], ["id", "anchor"])
+            rows = pa.array(row[new] + i)
+            yield pa.RecordBatch.from_arrays([ids.take(rows), tags.take(rows), pa.array(value[new])], ["id", "tag", "anchor"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, wanted = batch.column(0), batch.column(1), batch.column(2)
+        ids, tags, texts, wanted = batch.columns
         for i, j in at.groups(texts):
             words = at.words_of(*at.text_buffer(texts.slice(i, j - i)))
             least, ok = _anchors_of(words, window)
@@ -74,10 +78,9 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             at_ = np.flatnonzero(ok & (known[place] == least))
             row = words.row[at_]
             h1, h2 = at.rolling(words.h1, window, _BASE_1)[at_], at.rolling(words.h2, window, _BASE_2)[at_]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).take(pa.array(row)), pa.array((at_ - words.first[row]).astype(np.int32)), pa.array(at.signed(h1)), pa.array(at.signed(h2))],
-                ["id", "start", "h1", "h2"],
-            )
+            rows = pa.array(row + i)
+            place = ((at_ - words.first[row]) << 32) | (tags.take(rows).to_numpy().astype(np.int64) & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(place), pa.array(at.signed(h1)), pa.array(at.signed(h2))], ["id", "at", "h1", "h2"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -103,36 +106,41 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
 
 
 def _later_copies(rows: DataFrame) -> DataFrame:
-    """Ids of rows whose text also stands in a row with a smaller id (stored)."""
-    named = rows.where("text is not null").select("id", F.unhex(F.sha2("text", 256)).alias("address"))
+    """(id, tag) of rows whose text also stands in a row with a smaller id (stored)."""
+    named = rows.where("text is not null").select("id", "tag", F.unhex(F.sha2("text", 256)).alias("address"))
     first = named.groupBy("address").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("address", "lo")
-    return stored(named.join(first, "address").where("id > lo").select("id").distinct(), "copies")
+    return stored(named.join(broadcast_if_small(stored(first, "firsts")), "address").where("id > lo").select("id", "tag").distinct(), "copies")
 
 
 def removal_starts(rows: DataFrame, copies: DataFrame, window: int = 50) -> DataFrame:
-    """rows (id, text; no null id) -> id, starts: the word positions at which a repeated window starts.
+    """rows (id, tag, text; no null id) -> id, tag, starts: the word positions at which a repeated window starts.
 
-    copies: ids to leave out, as all of their windows repeat.
+    copies: rows (id, tag) to leave out, as all of their windows repeat. What many rows
+    hold is reduced to one record a task before it is shuffled, and is stored, so
+    that Spark may split the rows of a frequent hash when they are joined to it.
     """
-    known = rows.where("text is not null").join(copies, "id", "left_anti")
-    anchors = known.mapInArrow(lambda b: _anchors(b, window), "id long, anchor long")
+    known = rows.where("text is not null").join(copies, ["id", "tag"], "left_anti")
+    anchors = known.mapInArrow(lambda b: _anchors(b, window), "id long, tag int, anchor long")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor", "lo")
-    wanted = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("anchor"))).alias("later"))
+    shared = broadcast_if_small(stored(shared, "shared"))
+    wanted = anchors.join(shared, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("anchor"))).alias("later"))
     wanted = stored(wanted, "anchors")
-    texts = rows.join(wanted, "id")
-    schema = "id long, start int, h1 long, h2 long"
-    windows = texts.select("id", "text", "anchors").mapInArrow(lambda b: _windows(b, window), schema)
+    texts = rows.join(wanted, ["id", "tag"])
+    schema = "id long, at long, h1 long, h2 long"
+    windows = texts.select("id", "tag", "text", "anchors").mapInArrow(lambda b: _windows(b, window), schema)
     least = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    repeats = texts.where(F.size("later") > 0).select("id", "text", "later").mapInArrow(lambda b: _windows(b, window), schema)
-    return repeats.join(least, ["h1", "h2"]).where("id > lo").groupBy("id").agg(F.collect_set("start").alias("starts"))
+    least = broadcast_if_small(stored(least, "windows"))
+    repeats = texts.where(F.size("later") > 0).select("id", "tag", "text", "later").mapInArrow(lambda b: _windows(b, window), schema)
+    found = repeats.join(least, ["h1", "h2"]).where("id > lo")
+    return found.groupBy("id", F.shiftright(F.shiftleft("at", 32), 32).cast("int").alias("tag")).agg(F.collect_set(F.shiftright("at", 32).cast("int")).alias("starts"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
     known = rows.where("id is not null")
     copies = broadcast_if_small(_later_copies(known))
-    cut = known.join(removal_starts(known, copies, window), "id", "left").join(copies.withColumn("copied", F.lit(True)), "id", "left").select("id", "text", "starts", "copied")
+    cut = known.join(removal_starts(known, copies, window), ["id", "tag"], "left").join(copies.withColumn("copied", F.lit(True)), ["id", "tag"], "left").select("id", "text", "starts", "copied")
     cut = cut.unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("boolean").alias("copied")))
     return cut.mapInArrow(lambda b: _cut(b, window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
 
