@@ -9,7 +9,8 @@ versions appends: a text that is known there is not scanned again.
 
 Spans come from cutting: what lies between the matches of a pattern and the
 matches themselves alternate, so running sums of their lengths (in code points)
-give every start and end.
+give every start and end. Each match is a row of its own while these are summed,
+so the work grows with the matches of a text, not with their square.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from creditflow.llm.storage import shared_dir
 
@@ -37,22 +38,15 @@ RULE_VERSION = 1
 LEDGER = "blob string, rule_version int, spans array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end>> of the matches of a rule that are long enough."""
+def _steps(text: Column, kind: str) -> Column:
+    """The matches of a rule in order: kind, number, lengths of the text before it (since the match before) and of itself, and whether it is long enough."""
     pattern, least, group = RULES[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.transform(whole, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(counted, i)).alias("counted")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["size"]
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), (x["counted"] >= least).alias("ok")))).alias("spans"))
-
-    found = F.filter(F.aggregate(steps, zero, step)["spans"], lambda s: s["ok"])
-    return F.when(text.rlike(pattern), F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(list(RULES).index(kind)).alias("kind"), s["end"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    # zipped, so that a lambda needs nothing but its element; what lies behind the last match has none
+    rows = F.filter(F.arrays_zip(F.split(text, pattern, -1), whole, counted), lambda z: z["1"].isNotNull())
+    steps = F.transform(rows, lambda z, i: F.struct(F.lit(list(RULES).index(kind)).alias("kind"), i.alias("i"), F.length(z["0"]).alias("gap"), F.length(z["1"]).alias("size"), (F.length(z["2"]) >= least).alias("ok")))
+    return F.when(text.rlike(pattern), steps).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,ok:boolean>>"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
@@ -65,8 +59,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
     unseen = blobs.dropDuplicates(["blob"])
-    spans = F.array_sort(F.concat(*(_spans(F.col("text"), kind) for kind in RULES)))
-    return unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans.alias("spans"))
+    steps = unseen.select("blob", F.explode_outer(F.concat(*(_steps(F.col("text"), kind) for kind in RULES))).alias("s")).select("blob", "s.*")
+    so_far = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = steps.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
+    span = F.when(F.col("ok"), F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end"))
+    return ends.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans")).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
 def report(versions: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
