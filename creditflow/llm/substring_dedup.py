@@ -17,8 +17,8 @@ How it runs
    to maximal intervals, and cut from the text.
 
 Rows whose whole text equals that of a row with a smaller id are set aside first:
-all their windows repeat, so none is hashed. The texts are shuffled once, by id;
-steps 2 and 3 read the same exchange.
+all their windows repeat, so none is hashed. The texts are shuffled once, for step
+3; for step 2 they are only if the anchors that repeat are too many to broadcast.
 
 Defined cases: null text has no words; rows with a null id are returned
 unchanged and are never a source; rows with the same id do not remove each
@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
-from creditflow.llm.held import release
-from creditflow.llm.storage import broadcast_if_small, stored
+from creditflow.llm.held import lean, release
+from creditflow.llm.storage import BROADCAST_ROWS, broadcast_if_small, stored
 
 GRAM = 16
 _BASE_GRAM, _BASE_1, _BASE_2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
@@ -50,6 +50,7 @@ def _anchors_of(words: at.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at.signed(least), at.inside(words.first, window, len(words.h1))
 
 
+@lean
 def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
@@ -67,6 +68,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([ids.take(rows), tags.take(rows), pa.array(value[new])], ["id", "tag", "anchor"])
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, tags, texts, wanted = batch.columns
@@ -83,6 +85,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(place), pa.array(at.signed(h1)), pa.array(at.signed(h2))], ["id", "at", "h1", "h2"])
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, cuts, copied = batch.columns
@@ -125,6 +128,8 @@ def removal_starts(rows: DataFrame, copies: DataFrame, window: int = 50) -> Data
     shared = broadcast_if_small(stored(shared, "shared"))
     wanted = anchors.join(shared, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("id") > F.col("lo"), F.col("anchor"))).alias("later"))
     wanted = stored(wanted, "anchors")
+    total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    wanted = F.broadcast(wanted) if total <= 4 * BROADCAST_ROWS else wanted  # 8 bytes each
     texts = rows.join(wanted, ["id", "tag"])
     schema = "id long, at long, h1 long, h2 long"
     windows = texts.select("id", "tag", "text", "anchors").mapInArrow(lambda b: _windows(b, window), schema)
