@@ -139,7 +139,7 @@ def test_features_and_quotation():
 
 
 def test_toxicity_recall_of_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     rows = toxicity.op8_toxicity(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas())
     held = rows[rows["held_out"] & (rows["toxic"] == 1)]
     assert len(held) and (held["predicted"] == 1).mean() >= 0.9
