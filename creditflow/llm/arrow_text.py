@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 #: Rows of a batch are handled in groups of about this many text bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -95,8 +95,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    """Words of every row with two 64-bit hashes each.
+def words_of(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None, second: bool = True) -> Words:
+    """Words of every row with two 64-bit hashes each (the second is left out if it is not wanted).
 
     A word hash is a polynomial in its bytes, taken from running sums; equal
     bytes give equal hashes wherever they stand. fold maps bytes before hashing
@@ -124,12 +124,12 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = Non
         s, e = np.flatnonzero(start), np.flatnonzero(close) + 1
         bytes_ = piece.astype(_U) + _U(1)
         hashes = []
-        for base in _BASES:
+        for base in _BASES if second else _BASES[:1]:
             p, q = powers(base, n)
             run = np.zeros(n + 1, dtype=_U)
             np.cumsum(bytes_ * p, out=run[1:])
             hashes.append(mix((run[e] - run[s]) * q[s] + (e - s).astype(_U)) if len(s) else np.zeros(0, _U))
-        parts.append((s + at, e + at, *hashes))
+        parts.append((s + at, e + at, hashes[0], hashes[-1]))
         at = end
     if parts:
         starts, ends, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -72,7 +72,7 @@ def test_language_held_out(spark):
 
 
 def test_leaks_against_brute_force(spark):
-    from creditflow.llm.decontaminate import Items, distance, leaks
+    from creditflow.llm.decontaminate import item_groups, leaks
 
     rng = np.random.default_rng(4)
     words = [f"t{i}" for i in range(400)]
@@ -89,16 +89,46 @@ def test_leaks_against_brute_force(spark):
         docs.append((k, " ".join(body).upper() + "."))
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (10, "too short")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
-    code = {w: i + 1 for i, w in enumerate(words)}
     want = {}
     for k, text in docs:
-        x = np.array([code[w] for w in text.lower().rstrip(".").split()], dtype=np.uint64)
         for i, item in enumerate(items):
-            d = distance(np.array([code[w] for w in item], dtype=np.uint64), x)
+            d = _edits_to_any_run(item, text.lower().rstrip(".").split())
             if d <= int(0.2 * len(item) + 1e-9):
                 want[k, i] = d
     assert got == want and len(want) > 10
-    assert Items([1], ["a b"], 0.8, 0.99).items == []
+    assert item_groups([1], ["a b"], 0.8, 0.99) == []
+
+
+def _edits_to_any_run(item, words):
+    """Least number of word edits between the item and any run of the words."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        row = _row(row, x, words, i)
+    return min(row)
+
+
+def test_recall_of_walks_at_the_greatest_distance(spark):
+    """Items of all sizes with as many edits as are allowed, among common words: what an independent edit distance finds."""
+    from creditflow.llm import decontaminate as m
+
+    rng = np.random.default_rng(12)
+    words = [f"t{i}" for i in range(3000)]
+    weight = 1 / np.arange(1, 3001)
+    weight /= weight.sum()
+    items = [[str(w) for w in rng.choice(words, n, p=weight)] for n in (5, 7, 9, 12, 18, 30, 50, 80) for _ in range(6)]
+    docs, expected = [], set()
+    for k in range(600):
+        item = list(items[k % len(items)])
+        for _ in range(int(0.2 * len(item) + 1e-9)):
+            p = int(rng.integers(len(item)))
+            item[p : p + int(rng.integers(2))] = [str(rng.choice(words, p=weight))] * int(rng.integers(2))
+        body = [str(w) for w in rng.choice(words, 60, p=weight)]
+        docs.append((k, " ".join(body[:30] + item + body[30:])))
+        if _edits_to_any_run(items[k % len(items)], docs[-1][1].split()) <= int(0.2 * len(items[k % len(items)]) + 1e-9):
+            expected.add((k, k % len(items)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in m.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(expected) > 500 and len(expected & got) >= 0.995 * len(expected)
 
 
 def test_toxicity(spark):
