@@ -1,8 +1,8 @@
 """Merging of adjacent rating bins: a vectorised loop over a table of bins (numpy only).
 
 A forced merge repairs a broken rule (empty bin, default rate not rising, bin too
-small, too many months in which neighbours cross); otherwise the cheapest
-neighbours merge while there are more groups than allowed. Forced costs are
+small and, but for information value, too many months in which neighbours cross);
+otherwise the cheapest neighbours merge while there are more groups than allowed. Forced costs are
 negative, so that the first minimum is the next merge in either case.
 """
 
@@ -10,33 +10,38 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Costs of broken rules (fixed values): empty, not rising, too small, crossing months.
+#: Costs of broken rules, worst first (fixed values): empty, not rising, too small, crossing months.
 WARD_FORCED = (-2e9, -1e9, -1e6, -1e3)
+#: The same for information value: empty and not rising replace the cost, too small is added to it.
 IV_FORCED = (-1e9, -1e6, -1e3)
+#: Weights of crossing months and of the spread of monthly rates (fixed values).
+IV_CROSSING, IV_SPREAD = 0.5, 0.2
 
 
 def _crossings(vols: np.ndarray, bads: np.ndarray) -> np.ndarray:
-    """For each pair of neighbours: months in which both have rows and the left rate is above the right."""
+    """For each pair of neighbours: months in which both have rows and the left rate is not below the right."""
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = bads / vols
-    return ((vols[:-1] > 0) & (vols[1:] > 0) & (rate[:-1] > rate[1:])).sum(axis=1) if vols.shape[1] else np.zeros(len(vols) - 1, int)
+    return ((vols[:-1] > 0) & (vols[1:] > 0) & (rate[:-1] >= rate[1:])).sum(axis=1) if vols.shape[1] else np.zeros(len(vols) - 1, int)
 
 
 def _ward(v, b, vols, bads, least, crossings, method):
     pd = b / np.maximum(v, 1)
-    gap = (pd[:-1] - pd[1:]) ** 2
-    cost = gap if method == "distance" else v[:-1] * v[1:] / np.maximum(v[:-1] + v[1:], 1) * gap
-    empty, falling, small, crossing = WARD_FORCED
-    cost = np.where(_crossings(vols, bads) > crossings, crossing + gap, cost)
+    cost = (pd[:-1] - pd[1:]) ** 2
+    if method == "ward":
+        cost = v[:-1] * v[1:] / np.maximum(v[:-1] + v[1:], 1) * cost
     share = v / max(v.sum(), 1)
-    cost = np.where(np.minimum(share[:-1], share[1:]) < least, small + gap, cost)
-    cost = np.where(pd[:-1] >= pd[1:], falling + gap, cost)
-    return np.where(np.minimum(v[:-1], v[1:]) == 0, empty + gap, cost), 0.0
+    empty, falling, small, crossing = WARD_FORCED
+    broken = [np.minimum(v[:-1], v[1:]) == 0, pd[:-1] >= pd[1:], np.minimum(share[:-1], share[1:]) < least, _crossings(vols, bads) > crossings]
+    return cost + np.select(broken, [empty, falling, small, crossing], 0.0), 0.0
 
 
 def _iv_part(v, b, bad, good):
-    share_bad, share_good = (b + 0.5) / (bad + 1.0), (v - b + 0.5) / (good + 1.0)
-    return (share_bad - share_good) * np.log(share_bad / share_good)
+    """Information value of each group; 0 where it has only bads or only goods."""
+    share_bad, share_good = b / max(bad, 1), (v - b) / max(good, 1)
+    both = (share_bad > 0) & (share_good > 0)
+    ratio = np.divide(share_good, share_bad, out=np.ones_like(share_bad), where=both)
+    return np.where(both, (share_good - share_bad) * np.log(ratio), 0.0)
 
 
 def _iv(v, b, vols, bads, least, crossings, method):
@@ -45,13 +50,11 @@ def _iv(v, b, vols, bads, least, crossings, method):
     own = _iv_part(v, b, bad, good)
     mv, mb = vols[:-1] + vols[1:], bads[:-1] + bads[1:]
     spread = np.array([np.std(y[x > 0] / x[x > 0]) if (x > 0).any() else 0.0 for x, y in zip(mv, mb, strict=True)])
-    crossed = _crossings(vols, bads)
-    cost = own[:-1] + own[1:] - _iv_part(v[:-1] + v[1:], b[:-1] + b[1:], bad, good) + 0.5 * crossed + 0.2 * spread
-    empty, broken, small = IV_FORCED
-    cost = cost + np.where((pd[:-1] >= pd[1:]) | (crossed > crossings), broken, 0.0)
+    loss = own[:-1] + own[1:] - _iv_part(v[:-1] + v[1:], b[:-1] + b[1:], bad, good)
     share = v / max(v.sum(), 1)
-    cost = cost + np.where(np.minimum(share[:-1], share[1:]) < least, small, 0.0)
-    return np.where(np.minimum(v[:-1], v[1:]) == 0, empty, cost), -100.0
+    empty, falling, small = IV_FORCED
+    cost = loss + IV_CROSSING * _crossings(vols, bads) + IV_SPREAD * spread + np.where(np.minimum(share[:-1], share[1:]) < least, small, 0.0)
+    return np.select([np.minimum(v[:-1], v[1:]) == 0, pd[:-1] >= pd[1:]], [empty, falling], cost), -100.0
 
 
 def merge_bins(v, b, vols, bads, max_groups: int, min_vol_ratio: float, max_crossings: int, method: str = "ward") -> np.ndarray:

@@ -6,6 +6,7 @@ on that small table, one group per segment or pair, in parallel.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,10 @@ from creditflow.functions.expressions import quoted
 from creditflow.operators._merge import merge_bins
 
 
+#: Rows of a band table, which is broadcast.
+MAX_BANDS = 100_000
+
+
 @dataclass(frozen=True)
 class Recipe:
     """Breaks of each score (outer ones included) and the rating of each micro-bin key."""
@@ -34,6 +39,15 @@ class Recipe:
         return F.try_element_at(F.create_map(*(F.lit(x) for kv in self.mapping.items() for x in kv)), self.key())
 
 
+    def to_json(self) -> str:
+        return json.dumps({"breaks": self.breaks, "mapping": self.mapping})
+
+    @classmethod
+    def from_json(cls, text: str) -> Recipe:
+        data = json.loads(text)
+        return cls({c: tuple(b) for c, b in data["breaks"].items()}, data["mapping"])
+
+
 def predict_by_segment(segment: str, recipes: dict[str, Recipe]) -> Column:
     return F.coalesce(*(F.when(quoted(segment) == s, r.predict()) for s, r in recipes.items()), F.lit(None).cast("int"))
 
@@ -50,7 +64,12 @@ def predict_by_bands(score: str, bands: list[tuple[str, float, float]]) -> Colum
 
 
 def rate_by_band_table(df: DataFrame, score: str, bands: DataFrame, segment: str | None = None) -> DataFrame:
-    """df with rating, from a band table (segment, rating, min_score, max_score) by equality and range; no band: null."""
+    """df with rating, from a band table (segment, rating, min_score, max_score) by equality and range; no band: null.
+
+    A table of more than MAX_BANDS rows is refused: bands are a handful for each segment.
+    """
+    if bands.limit(MAX_BANDS + 1).count() > MAX_BANDS:
+        raise ValueError("too many bands")
     on = (F.col(f"l.`{score}`") >= F.col("r.min_score")) & (F.col(f"l.`{score}`") <= F.col("r.max_score"))
     if segment:
         on = on & (F.col(f"l.`{segment}`") == F.col("r.segment"))
@@ -105,10 +124,10 @@ class FittedRatings:
     bins: DataFrame  # key, volume, bads, rating
 
     def report(self, df: DataFrame, default: str, train: Column) -> DataFrame:
-        """Volume and default rate by period and rating."""
+        """Volume and default rate by period and rating; rows without a rating are left out."""
         period = F.when(train, "Train").otherwise("OOT")
         rows = df.select(period.alias("period"), self.recipe.predict().alias("rating"), F.col(default).cast("double").alias("d"))
-        return rows.groupBy("period", "rating").agg(F.count("d").alias("volume"), F.avg("d").alias("default_rate"))
+        return rows.where("rating is not null").groupBy("period", "rating").agg(F.count("d").alias("volume"), F.avg("d").alias("default_rate"))
 
 
 def fit_ratings(df: DataFrame, scores: list[str], default: str, bins: int = 20, max_groups: int = 5, min_vol_ratio: float = 0.05, max_crossings: int = 1, time: str | None = None, method: str = "ward", oot_date: str | None = None) -> FittedRatings:

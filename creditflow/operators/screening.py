@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from creditflow.functions.binning import left_bin_of, position_bin, ranked
+from creditflow.functions.binning import left_bin_of, position_bin, quantiles, ranked
 from creditflow.operators._merge import merge_bins
 from creditflow.operators.models import unpivoted
 
@@ -18,9 +18,9 @@ def _long(df: DataFrame, tier: Column, candidates: list[str], default: str, key:
 def boundaries(df: DataFrame, tier: Column, candidates: list[str], default: str, key: str, bins: int = 10) -> DataFrame:
     """variable, tier, edges: distinct quantiles; tiers with fewer rows than bins, or one value, are left out."""
     long = _long(df, tier, candidates, default, key)
-    points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = long.groupBy("variable", "tier").agg(F.transform(F.percentile("value", points), lambda x: F.round(x, 9)).alias("edges"), F.count(F.lit(1)).alias("n"))
-    return edges.where(F.col("n") >= bins).select("variable", "tier", F.array_sort(F.array_distinct("edges")).alias("edges")).where(F.size("edges") >= 2)
+    enough = long.groupBy("variable", "tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= bins)
+    edges = quantiles(long, ["variable", "tier"], "value", [i / bins for i in range(bins + 1)]).join(enough, ["variable", "tier"])
+    return edges.select("variable", "tier", F.array_sort(F.array_distinct("edges")).alias("edges")).where(F.size("edges") >= 2)
 
 
 def inner(edges: Column) -> Column:
@@ -29,24 +29,27 @@ def inner(edges: Column) -> Column:
 
 def bin_counts(df: DataFrame, edges: DataFrame, tier: Column, candidates: list[str], default: str, key: str) -> DataFrame:
     """variable, tier, bin, volume, bads by the boundaries' left-closed bins."""
-    long = _long(df, tier, candidates, default, key).join(F.broadcast(edges), ["variable", "tier"])
+    long = _long(df, tier, candidates, default, key).join(edges, ["variable", "tier"])
     return long.groupBy("variable", "tier", left_bin_of(F.col("value"), inner(F.col("edges"))).alias("bin")).agg(F.count(F.lit(1)).alias("volume"), F.sum(F.col(default).cast("bigint")).alias("bads"))
 
 
-def _merged(pdf: pd.DataFrame, method: str) -> pd.DataFrame:
+def _merged(pdf: pd.DataFrame, method: str, falling: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
-    down = (pdf["bads"] / pdf["volume"]).corr(pdf["bin"]) < 0
-    if down:
+    if falling and (pdf["bads"] / pdf["volume"]).corr(pdf["bin"]) < 0:
         pdf = pdf[::-1]
     none = pdf[[]].to_numpy()
     return pdf.assign(subsegment=merge_bins(pdf["volume"], pdf["bads"], none, none, 3, 0.1, 1, method))[["variable", "tier", "bin", "subsegment"]]
 
 
-def subsegments(counts: DataFrame, method: str = "quantiles") -> DataFrame:
-    """variable, tier, bin, subsegment: the bins present numbered, or merged to 3 groups at most."""
+def subsegments(counts: DataFrame, method: str = "quantiles", falling: bool = False) -> DataFrame:
+    """variable, tier, bin, subsegment: the bins present numbered, or merged to 3 groups at most.
+
+    Bins are merged in ascending order of the variable, so that a variable whose rate
+    falls ends in few groups; falling=True turns the bins of such a variable round.
+    """
     if method == "quantiles":
         return counts.select("variable", "tier", "bin", F.dense_rank().over(Window.partitionBy("variable", "tier").orderBy("bin")).alias("subsegment"))
-    return counts.groupBy("variable", "tier").applyInPandas(lambda pdf: _merged(pdf, method), "variable string, tier int, bin int, subsegment int")
+    return counts.groupBy("variable", "tier").applyInPandas(lambda pdf: _merged(pdf, method, falling), "variable string, tier int, bin int, subsegment int")
 
 
 def tier_metrics(df: DataFrame, tier: Column, candidates: list[str], default: str, key: str, bins: int = 10) -> DataFrame:
@@ -65,7 +68,7 @@ def predict(df: DataFrame, variable: str, tier: Column, edges: DataFrame, groups
     """df with subsegment: 1 for an unknown tier or bin, null for a null tier; a null value is in the top bin."""
     recipe = groups.where(F.col("variable") == variable).groupBy("tier").agg(F.map_from_entries(F.collect_list(F.struct("bin", "subsegment"))).alias("_map"))
     recipe = edges.where(F.col("variable") == variable).select("tier", "edges").join(recipe, "tier").select(F.col("tier").alias("_tier"), "edges", "_map")
-    rows = df.withColumn("_t", tier).join(F.broadcast(recipe), F.col("_t") == F.col("_tier"), "left")
+    rows = df.withColumn("_t", tier).join(recipe, F.col("_t") == F.col("_tier"), "left")
     place = F.when(F.col(variable).isNull(), F.size(inner(F.col("edges")))).otherwise(left_bin_of(F.col(variable).cast("double"), inner(F.col("edges"))))
     found = F.when(F.col("_t").isNotNull(), F.coalesce(F.try_element_at("_map", place), F.lit(1)))
     return rows.withColumn("subsegment", found).drop("_t", "_tier", "edges", "_map")
