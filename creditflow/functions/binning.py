@@ -3,25 +3,56 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def quantile_edges(df: DataFrame, columns: list[str], points: list[float], exact: bool = True) -> dict[str, list[float]]:
-    """Quantiles (linear interpolation) of several columns in one aggregate, rounded to 9 decimals.
+def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], weight: str | None = None) -> DataFrame:
+    """keys, edges: quantiles of value (linear interpolation, rounded to 9 decimals) for each value of keys; weight: a column of whole counts.
 
-    exact=False uses a sketch, for columns with very many distinct values.
+    Values are counted first, and running counts say which of them hold the ranks
+    asked for, so no task keeps a group's values in memory. Nulls are left out.
     """
-    at = F.array(*map(F.lit, map(float, points)))
-    one = (lambda c: F.percentile(F.col(c), at)) if exact else (lambda c: F.percentile_approx(F.col(c).cast("double"), at, 10000))
-    row = df.agg(*(one(c).alias(c) for c in columns)).first()
-    return {c: [round(float(x), 9) for x in row[c]] if row[c] else [] for c in columns}
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(n.alias("_n")).where("_n > 0")
+    every = Window.partitionBy(*keys)
+    counts = counts.withColumns({"_to": F.sum("_n").over(every.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(every)})
+    rank = [F.lit(float(p)) * (F.col("_all") - 1) for p in points]
+    holds = lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_n"))
+    some = counts.where(reduce(lambda a, b: a | b, (holds(f(r)) for r in rank for f in (F.floor, F.ceil))))
+    found = some.groupBy(*keys, "_all").agg(F.collect_list(F.struct("_v", "_n", "_to")).alias("_some"))
+    pick = lambda r: F.filter("_some", lambda x: (r < x["_to"]) & (r >= x["_to"] - x["_n"]))[0]["_v"]
+    low, high = [pick(F.floor(r)) for r in rank], [pick(F.ceil(r)) for r in rank]
+    return found.select(*keys, F.array(*(F.round(a + (r - F.floor(r)) * (b - a), 9) for r, a, b in zip(rank, low, high, strict=True))).alias("edges"))
+
+
+def quantile_edges(df: DataFrame, columns: list[str], points: list[float]) -> dict[str, list[float]]:
+    """Quantiles of several columns in one pass; none for a column of nulls."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "_c", "_value")
+    found = {r["_c"]: list(r["edges"]) for r in quantiles(long, ["_c"], "_value", points).collect()}
+    return {c: found.get(c, []) for c in columns}
+
+
+def equal_width_edges(low: float, high: float, bins: int) -> list[float]:
+    """Edges of bins of equal width, right-closed; a constant is widened by a thousandth of itself either way, and the lowest edge by a thousandth of the range."""
+    if low == high:
+        low, high = (low - 0.001 * abs(low), high + 0.001 * abs(high)) if low else (-0.001, 0.001)
+        return [low + (high - low) * i / bins for i in range(bins + 1)]
+    edges = [low + (high - low) * i / bins for i in range(bins + 1)]
+    return [edges[0] - 0.001 * (high - low), *edges[1:]]
 
 
 def unique(edges: list[float]) -> list[float]:
     return sorted(set(edges))
 
 
+def inner_edges(edges: Column) -> Column:
+    """Distinct edges, ascending, without the outer ones."""
+    e = F.array_sort(F.array_distinct(edges))
+    return F.slice(e, F.lit(2), F.greatest(F.size(e) - 2, F.lit(0)))
+
+
 def left_bin(x: Column, inner: list[float], null_bin: str = "top") -> Column:
     """Left-closed bin: how many inner edges are <= x; a null is in the top bin, or null."""
     n = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in inner), F.lit(0))
@@ -52,24 +83,40 @@ class BinnedMean:
         return F.coalesce(F.get(means, right_bin(score, list(self.inner))), F.lit(self.fallback))
 
 
-def fit_binned_mean(df: DataFrame, score: str | None, value: Column, edges_from: DataFrame | None = None, bins: int | list[float] = 10, least: int = 0) -> BinnedMean:
-    """Mean of value by score bin over df: quantile bins of edges_from (df itself by default), or given edges.
+    @classmethod
+    def of(cls, rows: list) -> BinnedMean:
+        """From the collected rows of one label of ``binned_means``."""
+        fallback = next((r["mean"] for r in rows if r["edges"] is not None), None)
+        edges = next((r["edges"] for r in rows if r["edges"] is not None), [])
+        means: list[float | None] = [None] * (len(edges) + 1)
+        for r in rows:
+            if r["edges"] is None and r["bin"] is not None:
+                means[r["bin"]] = r["mean"]
+        return cls(tuple(edges), tuple(means) if any(m is not None for m in means) else (), float(fallback or 0.0))
+
+
+def binned_means(histogram: DataFrame, score: str, total: str, count: str, edges_from: DataFrame | None = None, bins: int | list[float] = 10, least: int = 0, label: str = "", has_score: bool = True) -> DataFrame:
+    """Means by right-closed score bin from a histogram with n rows, sums and counts of a value: label, edges, bin, mean, n.
 
-    Fewer than ``least`` rows, or no score, give the overall mean; no value at all, 0.
+    One row has the inner edges (quantiles of edges_from, or of the histogram itself,
+    or given edges) and the mean of all; the others have a bin's mean. Fewer than
+    ``least`` rows, or no score, give the first row only, without edges in it.
     """
-    total = df.agg(F.count("*").alias("n"), F.avg(value).alias("m")).first()
-    mean = float(total["m"]) if total["m"] is not None else 0.0
-    if score is None or total["n"] < least or not total["n"]:
-        return BinnedMean((), (), mean)
+    whole = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"), F.try_divide(F.sum(total), F.sum(count)).alias("mean"))
+    none = F.array().cast("array<double>")
     if isinstance(bins, int):
-        edges = unique(quantile_edges(edges_from if edges_from is not None else df, [score], [i / bins for i in range(bins + 1)])[score])[1:-1]
+        base = (histogram if edges_from is None else edges_from).withColumn("_one", F.lit(1))
+        found = quantiles(base, ["_one"], score, [i / bins for i in range(bins + 1)], "n").select(inner_edges(F.col("edges")).alias("e"))
+        inner = F.coalesce("e", none)
+        whole = whole.join(F.broadcast(found), F.lit(True), "left")  # one row
     else:
-        edges = [float(e) for e in bins]
-    rows = df.groupBy(right_bin(F.col(score), edges).alias("bin")).agg(F.avg(value).alias("m")).where("bin is not null").collect()
-    means: list[float | None] = [None] * (len(edges) + 1)
-    for r in rows:
-        means[r["bin"]] = r["m"]
-    return BinnedMean(tuple(edges), tuple(means), mean)
+        inner = F.array(*(F.lit(float(e)) for e in bins))
+    enough = (F.col("k") >= max(least, 1)) & F.lit(has_score)
+    whole = whole.select("k", "mean", F.when(enough, inner).otherwise(none).alias("edges"), enough.alias("enough"))
+    binned = histogram.crossJoin(F.broadcast(whole.where("enough"))).where(F.col(score).isNotNull())
+    by = binned.groupBy(F.size(F.filter("edges", lambda e: e < F.col(score))).alias("bin")).agg(F.try_divide(F.sum(total), F.sum(count)).alias("mean"), F.sum("n").alias("n"))
+    first = whole.select(F.lit(label).alias("label"), "edges", F.lit(None).cast("int").alias("bin"), "mean", F.col("k").alias("n"))
+    return first.unionByName(by.select(F.lit(label).alias("label"), F.lit(None).cast("array<double>").alias("edges"), "bin", "mean", "n"))
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "rank", id_buckets: int = 1) -> DataFrame:

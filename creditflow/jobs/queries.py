@@ -6,12 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from creditflow.functions.binning import left_bin, position_bin, rank_bin, ranked
+from creditflow.functions.binning import equal_width_edges, left_bin, position_bin, quantiles, rank_bin, ranked, right_bin
 from creditflow.functions.expressions import ratio, true
 from creditflow.operators import deploy, evaluate, models, ratings, reports, screening, search
-from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, rate_stage, segment_cutoff_stage
+from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, from_json, load_text, rate_stage, save_text, segment_cutoff_stage, to_json
 from creditflow.sources.applicants import SQL as APP
 from creditflow.sources.applicants import applicants
+from creditflow.sources.tables import read_applications, write_decisions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,6 +157,12 @@ def calibrated_rate(spark, sf):
     return rounded(evaluate.simulate(applicants(spark, sf), CALIBRATED).select("applicant_id", "new_approval"))
 
 
+@query(ORACLE_SQL["calibrated_rate"].removeprefix("WITH "))
+def calibrated_flag(spark, sf):
+    policy = BASE.with_stages(rate_stage("Conversao", 1.0, ratio(F.col("hired"), F.col("approved")), calibrate=True))
+    return rounded(evaluate.simulate(applicants(spark, sf), policy).select("applicant_id", "new_approval"))
+
+
 # --- quadrants, default rates, stress -------------------------------------------
 
 
@@ -247,6 +254,50 @@ def decision_table(spark, sf):
     return rounded(out.select("applicant_id", "decision", "reason", "hired", "defaulted", "scenario", "rating"))
 
 
+@query(f"{SIM} SELECT applicant_id, CASE WHEN pre>=0.5 THEN 'Approved' ELSE 'Rejected' END AS decision, 9 AS stage_count, 9 AS kept FROM s")
+def decision_columns(spark, sf):
+    """Columns named as results, or as stages of another policy, are not passed through; others are."""
+    foreign = ("stage_7_other policy", "quadrant", "motivo", "Rating", "risk_rating", "stage_count", "kept")
+    df = applicants(spark, sf).select("applicant_id", "cpf_valido", "vl_negativacao", "score_4", "score_5", "approved", "hired", "actual_default", "safra", *(F.lit(9).alias(c) for c in foreign))
+    out = evaluate.decisions(evaluate.simulate(df, FULL), FULL)
+    return out.drop("cpf_valido", "vl_negativacao", "score_4", "score_5", "actual_default", "safra", "reason", "hired", "defaulted", "scenario", "rating")
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the session's shared one, or in its warehouse."""
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLE_SQL["decision_table"].removeprefix("WITH "))
+def saved_rules(spark, sf):
+    """The decision table of rules and a rating recipe that were saved and loaded."""
+    rules, recipe = _folder(spark, "rules"), _folder(spark, "recipe")
+    save_text(spark, to_json(FULL), rules)
+    save_text(spark, ratings.Recipe({"score_5": (0, 600, 750, 900, 1000)}, {"1": 3, "2": 2, "3": 1}).to_json(), recipe)
+    policy, rating = from_json(load_text(spark, rules))[0], ratings.Recipe.from_json(load_text(spark, recipe)).predict()
+    out = evaluate.decisions(evaluate.simulate(applicants(spark, sf), policy), policy, rating=rating)
+    return rounded(out.select("applicant_id", "decision", "reason", "hired", "defaulted", "scenario", "rating"))
+
+
+@query("a AS (SELECT o_orderkey, CASE WHEN o_orderkey%7<>0 THEN o_totalprice::DOUBLE END AS o_totalprice FROM orders) SELECT * FROM a")
+def applications_read(spark, sf):
+    """A table with NaN, read with nulls."""
+    path = _folder(spark, "applications")
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice").cast("double"))
+    spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", price.alias("o_totalprice"), F.lit(1).alias("unused")).write.parquet(path)
+    return read_applications(spark, path, ["o_orderkey", "o_totalprice"])
+
+
+@query(f"{SIM} SELECT region, CASE WHEN pre>=0.5 THEN 'Approved' ELSE 'Rejected' END AS decision, count(*)::BIGINT AS n FROM s GROUP BY ALL")
+def decisions_written(spark, sf):
+    """Decisions written by region and read again."""
+    path = _folder(spark, "decisions")
+    write_decisions(evaluate.decisions(base_sim(spark, sf), FULL).select("region", "decision"), path, "region")
+    return spark.read.parquet(path).groupBy("region", "decision").agg(F.count("*").alias("n"))
+
+
 # --- reports --------------------------------------------------------------------
 
 _SUMMARY = """count(*)::BIGINT AS applicants, sum(pre) AS approved, round(sum(na),6) AS hired,
@@ -386,9 +437,22 @@ def sequential_cutoff(spark, sf):
     return rounded(models.sequential(applicants(spark, sf), F.col("score_5") >= 600, F.col("score_4") >= 650, "actual_default"))
 
 
+@query(f"{APP}, e AS (SELECT min(score_5)::DOUBLE AS lo, max(score_5)::DOUBLE AS hi FROM a) SELECT applicant_id, len(list_filter([lo+(hi-lo)*i/10.0::DOUBLE for i in range(1,10)], lambda x: x < score_5))::INTEGER AS bin FROM a, e")
+def equal_width_bins(spark, sf):
+    df = applicants(spark, sf)
+    low, high = df.agg(F.min("score_5").cast("double"), F.max("score_5").cast("double")).first()
+    return df.select("applicant_id", right_bin(F.col("score_5"), equal_width_edges(low, high, 10)[1:-1]).cast("int").alias("bin"))
+
+
+@query(f"{APP}, q AS (SELECT actual_default AS d FROM a WHERE actual_default IS NOT NULL) SELECT 1 AS bucket, count(*)::BIGINT AS volume, sum(d)::DOUBLE AS bads, 500.0::DOUBLE AS mean_score, 1.0::DOUBLE AS cum_bad, 1.0::DOUBLE AS cum_good, 0.0::DOUBLE AS ks FROM q")
+def ks_table_constant(spark, sf):
+    """A score of one value: bins of equal width, of which one has rows."""
+    return rounded(models.ks_table(applicants(spark, sf).withColumn("constant", F.lit(500.0)), "constant", "actual_default"))
+
+
 @query(f"{APP}, q AS (SELECT * FROM a), {edges_sql('score_5', 'true')} SELECT applicant_id, {RB.format(score='score_5')}::INTEGER AS decile FROM q, e")
 def value_deciles(spark, sf):
-    from creditflow.functions.binning import quantile_edges, right_bin, unique
+    from creditflow.functions.binning import quantile_edges, unique
 
     df = applicants(spark, sf)
     inner = unique(quantile_edges(df, ["score_5"], [i / 10 for i in range(11)])["score_5"])[1:-1]
@@ -482,10 +546,24 @@ def rating_relabel(spark, sf):
     return rounded(ratings.relabel(applicants(spark, sf), ONE.predict(), "actual_default"))
 
 
-@query("""b AS (SELECT * FROM (VALUES ('ASIA', 800, 900), ('EUROPE', 820, 910)) t(segment, x, y)), s AS (SELECT segment, v::DOUBLE AS v, 3-((v>=x)::INT+(v>=y)::INT) AS r FROM b, range(0,1001) t(v))
-SELECT segment, chr(64+r) AS rating, min(v) AS min_score, max(v) AS max_score FROM s GROUP BY segment, r""")
+@query(f"""{APP}, e AS (SELECT region AS segment, list_sort(list_distinct(list_transform(quantile_cont(score_5::DOUBLE, [0.0, 0.5, 0.8, 1.0]), lambda x: round(x, 9)))) AS b FROM a GROUP BY region),
+s AS (SELECT segment, v::DOUBLE AS v, 3-((v>=b[2])::INT+(v>=b[3])::INT) AS r FROM e, range(0,1001) t(v)) SELECT segment, chr(64+r) AS rating, min(v) AS min_score, max(v) AS max_score FROM s GROUP BY segment, r""")
 def rating_bands(spark, sf):
-    return ratings.bands(spark, {"ASIA": ONE, "EUROPE": OTHER}, "score_5")
+    """Score bands by region, of recipes whose breaks are that region's quantiles."""
+    rows = quantiles(applicants(spark, sf), ["region"], "score_5", [0.0, 0.5, 0.8, 1.0]).collect()
+    recipes = {r["region"]: ratings.Recipe({"score_5": tuple(r["edges"])}, {"0": 3, "1": 2, "2": 1}) for r in rows}
+    return ratings.bands(spark, recipes, "score_5")
+
+
+@query(f"""{APP}, e AS (SELECT list_transform(quantile_cont(score_5::DOUBLE, [0.0, 0.5, 1.0]), lambda x: round(x, 9)) AS x, list_transform(quantile_cont(score_4::DOUBLE, [0.0, 0.5, 1.0]), lambda x: round(x, 9)) AS y FROM a),
+c AS (SELECT (score_5>=x[2])::INT AS i, (score_4>=y[2])::INT AS j, avg(actual_default) AS pd FROM a, e WHERE actual_default IS NOT NULL GROUP BY 1,2)
+SELECT i||'-'||j AS key, i AS bin_score_5, j AS bin_score_4, chr((64+row_number() OVER (ORDER BY pd, i||'-'||j))::INTEGER) AS rating FROM c""")
+def rating_matrix(spark, sf):
+    """Cells of a two-score recipe, rated by their default rate."""
+    df = applicants(spark, sf)
+    recipe = ratings.Recipe(ratings.breaks_of(df, ["score_5", "score_4"], 2), {})
+    cells = ratings.micro_bins(df, recipe, "actual_default").orderBy(F.col("bads") / F.col("volume"), "key").collect()
+    return ratings.matrix(spark, replace(recipe, mapping={r["key"]: i for i, r in enumerate(cells, 1)}))
 
 
 @query(f"{APP} SELECT applicant_id, CASE WHEN {BY_BAND} IS DISTINCT FROM 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM a")
@@ -575,9 +653,13 @@ def grid_analytical(spark, sf):
     return rounded(_points(spark, sf))
 
 
-@query(f"""{STOCHASTIC.replace(PASS, OPEN)}, p AS (SELECT (row_number() OVER (ORDER BY x, y))::INTEGER AS combination_id, x, y FROM unnest({CUTS['score_4']}::DOUBLE[]) t(x), unnest({CUTS['score_5']}::DOUBLE[]) v(y)),
-h AS (SELECT combination_id, x, y, CASE WHEN score_4>=x AND score_5>=y THEN na ELSE 0 END AS took, coalesce(sd,actual_default,0) AS pd FROM s, p)
-SELECT combination_id, x AS score_4, y AS score_5, round(avg(took),6) AS approval_rate, round(coalesce(sum(took*pd)/nullif(sum(took),0),0),6) AS default_rate FROM h GROUP BY ALL""".replace("'42-3'", "'42-2'").replace("42-3|", "42-2|"))
+@query(f"""{Q}, p AS (SELECT (row_number() OVER (ORDER BY x, y))::INTEGER AS combination_id, x, y FROM unnest({CUTS['score_4']}::DOUBLE[]) t(x), unnest({CUTS['score_5']}::DOUBLE[]) v(y)),
+h AS (SELECT p.*, q.* FROM q JOIN p ON pre>0 AND score_4>=x AND score_5>=y),
+e AS (SELECT combination_id, list_sort(list_distinct(list_transform(quantile_cont(score_5::DOUBLE, [{','.join(str(i / 10) for i in range(11))}]), lambda x: round(x, 9))))[2:-2] AS inn, count(*) AS k, avg(actual_default) AS mean FROM h WHERE approved>0 GROUP BY 1),
+b AS (SELECT h.*, k, mean, {RB.format(score='score_5')} AS bin FROM h LEFT JOIN e USING (combination_id)), m AS (SELECT combination_id, bin, avg(actual_default) AS m FROM b WHERE approved>0 GROUP BY ALL),
+w AS (SELECT b.*, coalesce(CASE WHEN k>=50 THEN m END, mean, 0) AS pd FROM b LEFT JOIN m USING (combination_id, bin)),
+s AS (SELECT combination_id, CASE WHEN approved=1 THEN hired WHEN {_uniform('42-3')}<0.9::DOUBLE THEN 1 ELSE 0 END AS took, CASE WHEN approved>0 THEN coalesce(actual_default,0)::DOUBLE WHEN {_uniform('42-default')}<least(pd*1.3::DOUBLE,1.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d FROM w)
+SELECT p.combination_id, x AS score_4, y AS score_5, round(coalesce(sum(took),0)::DOUBLE/(SELECT count(*) FROM q),6) AS approval_rate, round(coalesce(sum(took*d)/nullif(sum(took),0),0),6) AS default_rate FROM p LEFT JOIN s USING (combination_id) GROUP BY p.combination_id, x, y""")
 def grid_stochastic(spark, sf):
     return rounded(search.grid_stochastic(applicants(spark, sf), FULL, CUTS))
 
@@ -599,25 +681,54 @@ def find_equivalent(spark, sf):
     return rounded(search.equivalent(_points(spark, sf), "approval_rate", 0.2, 0.05))
 
 
-def _tradeoff_sql(name: str, values: list[float], policies: list[str], stress: list[float]) -> str:
-    """A chain of full evaluations, one for each value."""
+def _tradeoff_sql(points: list[tuple[dict[str, float], str, str]], chain: str = DECILE_PD) -> str:
+    """A chain of full evaluations: the values, the conditions and the stressed default rate of each point."""
     parts = []
-    for i, (value, passes, factor) in enumerate(zip(values, policies, stress, strict=True), 1):
-        chain = DECILE_PD.replace(APP + ", ", "").replace(PASS, passes)
-        parts.append(f"SELECT * FROM (WITH {chain} SELECT {i} AS combination_id, {value}::DOUBLE AS {name}, round(avg(pre),6) AS approval_rate, round(coalesce(sum(pre*coalesce(CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN least(pd*{factor}::DOUBLE,1) END,0))/nullif(sum(pre),0),0),6) AS default_rate FROM w)")
+    for i, (values, passes, stressed) in enumerate(points, 1):
+        shown = ", ".join(f"{v}::DOUBLE AS {k}" for k, v in values.items())
+        own = chain.replace(APP + ", ", "").replace(PASS, passes)
+        parts.append(f"SELECT * FROM (WITH {own} SELECT {i} AS combination_id, {shown}, round(avg(pre),6) AS approval_rate, round(coalesce(sum(pre*coalesce(CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN {stressed} END,0))/nullif(sum(pre),0),0),6) AS default_rate FROM w)")
     return f"{APP} " + " UNION ALL ".join(parts)
 
 
-@query(_tradeoff_sql("cutoff_score_5", [500.0, 650.0, 800.0], [PASS.replace("600", str(v)) for v in (500, 650, 800)], [1.0] * 3))
+def _at(cut: int) -> str:
+    return PASS.replace("600", str(cut))
+
+
+THREE = [500.0, 650.0, 800.0]
+
+
+@query(_tradeoff_sql([({"cutoff_score_5": v}, _at(int(v)), "pd") for v in THREE]))
 def tradeoff_cutoff(spark, sf):
-    return rounded(search.tradeoff(applicants(spark, sf), BASE, {"cutoff:score_5": [500.0, 650.0, 800.0]}))
+    return rounded(search.tradeoff(applicants(spark, sf), BASE, {"cutoff:score_5": THREE}))
 
 
-@query(_tradeoff_sql("base_rate_Take_up", [0.5, 0.8], [PASS] * 2, [1.3] * 2))
+@query(_tradeoff_sql([({"base_rate_Take_up": v}, PASS, "least(pd*1.3::DOUBLE,1)") for v in (0.5, 0.8)]))
 def tradeoff_base_rate(spark, sf):
     return rounded(search.tradeoff(applicants(spark, sf), FULL, {"base_rate:Take_up": [0.5, 0.8]}))
 
 
+@query(_tradeoff_sql([({"cutoff_score_5": c, "aggravation": f}, _at(int(c)), f"least(pd*{f}::DOUBLE,1)") for c in (500.0, 700.0) for f in (1.0, 1.5)]))
+def tradeoff_grid(spark, sf):
+    return rounded(search.tradeoff(applicants(spark, sf), FULL, {"cutoff:score_5": [500.0, 700.0], "aggravation": [1.0, 1.5]}))
+
+
+@query(_tradeoff_sql([({"cutoff_score_5": v}, _at(int(v)), "greatest(least(0.5::DOUBLE-score_4/1000.0::DOUBLE*0.4::DOUBLE,1),0)") for v in THREE]))
+def tradeoff_monotonic(spark, sf):
+    return rounded(search.tradeoff(applicants(spark, sf), BASE.with_stress(Stress("monotonic", factor=0.4, score="score_4", baseline=0.5)), {"cutoff:score_5": THREE}))
+
+
+@query(_tradeoff_sql([({"cutoff_score_5": v}, _at(int(v)), "pd") for v in THREE], CUSTOM))
+def tradeoff_given_edges(spark, sf):
+    return rounded(search.tradeoff(applicants(spark, sf), replace(BASE, calibration_bins=(0, 500, 750, 850, 1000)), {"cutoff:score_5": THREE}))
+
+
+@query(_tradeoff_sql([({"cutoff_score_5": v}, f"({_at(int(v))} AND score_4>=CASE region WHEN 'ASIA' THEN 500 WHEN 'EUROPE' THEN 450 WHEN 'AMERICA' THEN 400 END)", "pd") for v in THREE]))
+def tradeoff_segment(spark, sf):
+    policy = replace(BASE.with_stages(segment_cutoff_stage("region", "score_4", "region", {"ASIA": 500, "EUROPE": 450, "AMERICA": 400})), calibration_score="score_5")
+    return rounded(search.tradeoff(applicants(spark, sf), policy, {"cutoff:score_5": THREE}))
+
+
 FACTORS = [1 + 0.25 * i for i in range(37)]
 _CRASH = f"""{DECILE_PD}, f AS (SELECT (1+0.25*i)::DOUBLE AS factor FROM range(0,37) t(i)),
 c AS (SELECT factor, sum(pre*coalesce(CASE scenario WHEN 'keep_in' THEN actual_default::DOUBLE WHEN 'swap_in' THEN least(pd*factor,1) END,0))/sum(pre) AS default_rate FROM w, f GROUP BY factor)"""

@@ -6,12 +6,13 @@ means); ``simulate`` is then one narrow pass, which also runs on a stream.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creditflow.functions.binning import BinnedMean, fit_binned_mean
+from creditflow.functions.binning import BinnedMean, binned_means
 from creditflow.functions.expressions import quoted, resolve, uniform
 from creditflow.operators.policy import Policy, clipped_or_null
 
@@ -25,8 +26,14 @@ class Fitted:
     pd_by_rating: dict[int, float] | None = None
 
 
-def _is_calibrated(stage) -> bool:
-    return isinstance(stage.variable, (tuple, list)) and stage.variable[0] == "calibrated"
+def calibrated_value(stage, df: DataFrame) -> Column | None:
+    """What a rate stage averages by score: its ("calibrated", x), or with ``calibrate`` its expression (Column or SQL text that is no column's name)."""
+    v = stage.variable
+    if isinstance(v, (tuple, list)) and v[0] == "calibrated":
+        return resolve(v[1], df)
+    if stage.calibrate and (isinstance(v, Column) or (isinstance(v, str) and not v.startswith("@") and v not in df.columns)):
+        return resolve(v, df)
+    return None
 
 
 def _hard(policy: Policy, df: DataFrame) -> Column:
@@ -39,23 +46,38 @@ def quadrant(old: Column, new: Column) -> Column:
 
 
 def fit(df: DataFrame, policy: Policy, rating: Column | None = None) -> Fitted:
-    """Calibrates the policy: aggregates of tens of numbers each."""
-    score = policy.score_for_calibration()
-    approved = df.where(quoted(policy.approved) == 1)
+    """Calibrates the policy: aggregates of tens of numbers each.
+
+    The table is read once, for a histogram by score, past and new decision; edges
+    and means of all calibrations come from that and are collected together.
+    """
+    score, default = policy.score_for_calibration(), quoted(policy.default).cast("double")
     bins = policy.calibration_bins if isinstance(policy.calibration_bins, int) else list(policy.calibration_bins)
-    rates = {}
-    for i, stage in enumerate(policy.stages):
-        if stage.kind == "rate" and _is_calibrated(stage):
-            rates[i] = fit_binned_mean(approved, score, resolve(stage.variable[1], df), bins=bins)
-    tagged = df.withColumn("_quadrant", quadrant(quoted(policy.approved), _hard(policy, df)))
-    keep = tagged.where("_quadrant = 'keep_in'")
-    default = quoted(policy.default).cast("double")
-    if rating is not None:
-        rows = keep.groupBy(rating.alias("r")).agg(F.avg(default).alias("m")).where("r is not null and m is not null").collect()
-        mean = keep.agg(F.avg(default)).first()[0]
-        return Fitted(rates, BinnedMean((), (), float(mean or 0.0)), {int(r["r"]): r["m"] for r in rows})
-    base = tagged if policy.calibration_base in ("global", "all", "dataset") else None
-    return Fitted(rates, fit_binned_mean(keep, score, default, base, bins, least=50 if isinstance(bins, int) else 5))
+    values = {i: v for i, s in enumerate(policy.stages) if s.kind == "rate" and (v := calibrated_value(s, df)) is not None}
+    old, keep = F.coalesce(quoted(policy.approved) == 1, F.lit(False)), quadrant(quoted(policy.approved), _hard(policy, df)) == "keep_in"
+    narrow = df.select(
+        (quoted(score) if score else F.lit(None).cast("double")).alias("_score"), old.alias("_old"), keep.alias("_keep"),
+        (F.lit(None) if rating is None else rating).cast("int").alias("_rating"), default.alias("_pd"), *(F.when(old, v.cast("double")).alias(f"_{i}") for i, v in values.items()))
+    sums = [f for c in ("pd", *values) for f in (F.count(f"_{c}").alias(f"n_{c}"), F.sum(f"_{c}").alias(f"s_{c}"))]
+    histogram = narrow.groupBy("_score", "_old", "_keep", "_rating").agg(F.count(F.lit(1)).alias("n"), *sums).persist()
+    wanted = [binned_means(histogram.where("_old"), "_score", f"s_{i}", f"n_{i}", bins=bins, label=str(i), has_score=score is not None) for i in values]
+    if rating is None:
+        base = histogram if policy.calibration_base in ("global", "all", "dataset") else None
+        wanted.append(binned_means(histogram.where("_keep"), "_score", "s_pd", "n_pd", base, bins, 50 if isinstance(bins, int) else 5, "pd", score is not None))
+    else:
+        by = histogram.where("_keep").groupBy(F.col("_rating").alias("bin")).agg(F.try_divide(F.sum("s_pd"), F.sum("n_pd")).alias("mean"), F.sum("n_pd").alias("n"))
+        wanted.append(by.select(F.lit("pd").alias("label"), F.lit(None).cast("array<double>").alias("edges"), "bin", "mean", "n"))
+    try:
+        rows = reduce(DataFrame.unionByName, wanted).collect()
+    finally:
+        histogram.unpersist()
+    found = {label: [r for r in rows if r["label"] == label] for label in ("pd", *map(str, values))}
+    rates = {i: BinnedMean.of(found[str(i)]) for i in values}
+    if rating is None:
+        return Fitted(rates, BinnedMean.of(found["pd"]))
+    total = sum(r["n"] or 0 for r in found["pd"])
+    mean = sum(r["mean"] * r["n"] for r in found["pd"] if r["n"]) / total if total else 0.0
+    return Fitted(rates, BinnedMean((), (), mean), {int(r["bin"]): r["mean"] for r in found["pd"] if r["bin"] is not None and r["mean"] is not None})
 
 
 def baseline_pd(policy: Policy, fitted: Fitted, rating: Column | None = None) -> Column:
@@ -110,14 +132,20 @@ def simulate(df: DataFrame, policy: Policy, method: str = "analytical", fitted:
     return out.withColumn("simulated_default", value).drop("_pd")
 
 
-#: Input columns that a decision table replaces (fixed values).
-RESERVED = ("decision", "reason", "hired", "defaulted", "scenario", "rating", "approved", "new_approval", "approved_pre_rate", "simulated_default")
+#: Input columns that a decision table leaves out, besides all that are named stage_<number>_... (fixed values).
+RESERVED = (
+    "new_approval", "approved_pre_rate", "quadrant", "simulated_default", "approved", "decisao", "motivo", "decision", "reason", "contratou", "inadimplente",
+    "cenario", "hired", "defaulted", "scenario", "rating", "Rating", "risk_rating",
+)
+
+
+def is_reserved(column: str) -> bool:
+    return column in RESERVED or re.match(r"stage_\d+_", column) is not None
 
 
 def decisions(sim: DataFrame, policy: Policy, method: str = "analytical", rating: Column | None = None, labels: dict[int, str] | None = None) -> DataFrame:
     """The decision table: decision, reason of the first failed hard stage, hired, defaulted, scenario, rating letter."""
-    stage_columns = [stage_name(i, s) for i, s in enumerate(policy.stages)]
-    keep = [quoted(c) for c in sim.columns if c not in RESERVED and c not in stage_columns]
+    keep = [quoted(c) for c in sim.columns if not is_reserved(c)]
     failed = [F.when(quoted(stage_name(i, s)) < 0.5, F.lit(f"{i + 1}: {s.name}")) for i, s in enumerate(policy.stages) if s.kind != "rate"]
     approved = F.col("approved_pre_rate") >= 0.5
     title = F.coalesce(*(F.when(F.col("scenario") == q, t) for q, t in (("keep_in", "Keep In"), ("swap_in", "Swap In"), ("swap_out", "Swap Out"), ("keep_out", "Keep Out"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from creditflow.functions.binning import quantile_edges, rank_bin, ranked, right_bin, unique
+from creditflow.functions.binning import equal_width_edges, quantile_edges, rank_bin, ranked, right_bin, unique
 from creditflow.functions.expressions import true
 
 
@@ -26,9 +26,13 @@ def ks(df: DataFrame, scores: list[str], default: str) -> DataFrame:
 
 
 def ks_table(df: DataFrame, score: str, default: str, bins: int = 10) -> DataFrame:
-    """Buckets from the best score down: volume, bads, mean score, cumulative shares, gap. A constant score is one bucket."""
+    """Buckets from the best score down: volume, bads, mean score, cumulative shares, gap.
+
+    Buckets are quantiles; where these are all one value, bins of equal width.
+    """
     rows = df.where(F.col(default).isNotNull() & F.col(score).isNotNull())
-    inner = unique(quantile_edges(rows, [score], [i / bins for i in range(bins + 1)])[score])[1:-1]
+    edges = unique(quantile_edges(rows, [score], [i / bins for i in range(bins + 1)])[score])
+    inner = (edges if len(edges) != 1 else equal_width_edges(edges[0], edges[0], bins))[1:-1]
     bad = F.col(default).cast("double")
     groups = rows.groupBy(right_bin(F.col(score), inner).alias("bin")).agg(F.count(F.lit(1)).alias("volume"), F.sum(bad).alias("bads"), F.avg(score).alias("mean_score"))
     order = Window.partitionBy().orderBy(F.desc("bin"))  # a row for each bin

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from creditflow.functions.expressions import all_of, clipped, quoted, resolve, true
 
@@ -62,13 +63,21 @@ def segment_cutoff_stage(name: str, score: str, segment: str, minimum: dict[str,
 
 
 def rate_stage(name: str, base_rate: float = 1.0, variable=None, calibrate: bool = False) -> Stage:
-    """variable: none, number, column, expression, function of the frame, or ("calibrated", expression)."""
+    """variable: none, number, column, expression, function of the frame, or ("calibrated", expression).
+
+    calibrate=True makes it the step from approved to hired, and averages an expression
+    (a Column, or SQL text that is more than a column's name) by score, as ("calibrated", expression) does.
+    """
     return Stage("rate", name, base_rate=base_rate, variable=variable, calibrate=calibrate)
 
 
+#: Named stress functions (DataFrame, name of the PD column -> Column) that saved rules can refer to.
+STRESSES: dict[str, Callable[[DataFrame, str], Column]] = {}
+
+
 @dataclass(frozen=True)
 class Stress:
-    """``aggravation`` (factor, or a factor column if the table has it), ``monotonic`` (score, factor, baseline) or ``custom`` (function of frame and PD name)."""
+    """``aggravation`` (factor, or a factor column if the table has it), ``monotonic`` (score, factor, baseline) or ``custom`` (function of frame and PD name, or "@" and its name in STRESSES)."""
 
     kind: str
     factor: float = 1.0
@@ -79,10 +88,10 @@ class Stress:
 
     def apply(self, df: DataFrame, pd: str) -> Column:
         if self.kind == "aggravation":
-            return clipped_or_null(F.col(pd) * (quoted(self.column) if self.column in df.columns else F.lit(float(self.factor))))
+            return clipped_or_null(F.col(pd) * (quoted(self.column) if self.column in df.columns else F.lit(self.factor).cast("double")))
         if self.kind == "monotonic":
             return clipped_or_null(F.lit(float(self.baseline)) - quoted(self.score) / F.lit(1000.0) * F.lit(float(self.factor)))
-        return clipped_or_null(self.fn(df, pd))
+        return clipped_or_null((STRESSES[self.fn[1:]] if isinstance(self.fn, str) else self.fn)(df, pd))
 
 
 def clipped_or_null(x: Column) -> Column:
@@ -135,16 +144,26 @@ class Policy:
             raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def _stage_dict(stage: Stage) -> dict:
+    out = {f.name: getattr(stage, f.name) for f in fields(stage)}
+    if not isinstance(out["condition"], (str, type(None))) or not isinstance(out["variable"], (str, int, float, tuple, list, type(None))):
+        raise TypeError(f"stage {stage.name}: only SQL text, numbers and names can be saved")
+    return out
+
+
 def to_json(policy: Policy, rating_bands: list[dict] | None = None, clean: bool = False) -> str:
-    """The rules as JSON; clean keeps filters and cutoffs only. Conditions must be SQL text, column or registered names."""
-    stages = [asdict(s) for s in policy.stages if not clean or s.kind != "rate"]
-    for s in stages:
-        if not isinstance(s["condition"], (str, type(None))) or not isinstance(s["variable"], (str, int, float, tuple, list, type(None))):
-            raise TypeError(f"stage {s['name']}: only SQL text, numbers and names can be saved")
+    """The rules as JSON; clean keeps filters and cutoffs only.
+
+    Conditions must be SQL text, column or registered names (with @); so must the
+    function of a custom stress, as it has no other form that can be saved.
+    """
+    stages = [_stage_dict(s) for s in policy.stages if not clean or s.kind != "rate"]
     if clean:
         return json.dumps({"funnel_stages": stages})
     roles = {k: getattr(policy, k) for k in ("applicant_id", "score_cols", "approved", "default", "time", "hired", "calibration_score", "calibration_bins", "calibration_base", "seed")}
-    stress = [{k: v for k, v in asdict(s).items() if k != "fn"} for s in policy.stresses if s.kind != "custom"]
+    stress = [{f.name: getattr(s, f.name) for f in fields(s)} for s in policy.stresses]
+    if any(not isinstance(s["fn"], (str, type(None))) for s in stress):
+        raise TypeError("a custom stress can be saved by its registered name only")
     return json.dumps({"metadata": roles, "funnel_stages": stages, "stress": stress, "rating_classification": rating_bands or []})
 
 
@@ -154,3 +173,12 @@ def from_json(text: str) -> tuple[Policy, list[dict]]:
     listed = lambda v: tuple(v) if isinstance(v, list) else v
     stages = tuple(Stage(**{k: listed(v) for k, v in s.items()}) for s in data["funnel_stages"])
     return Policy(**{k: listed(v) for k, v in roles.items()}, stages=stages, stresses=tuple(Stress(**s) for s in data.get("stress", []))), data.get("rating_classification", [])
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """Rules or a recipe (JSON on one line) as a text table, wherever Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path).first()["value"]

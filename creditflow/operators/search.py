@@ -13,18 +13,27 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from creditflow.functions.binning import quantile_edges
-from creditflow.functions.expressions import all_of, quoted
+from creditflow.functions.binning import inner_edges, quantile_edges, quantiles
+from creditflow.functions.expressions import all_of, quoted, uniform
 from creditflow.operators.evaluate import fit, simulate
 from creditflow.operators.policy import Policy, Stress, clipped_or_null, cutoff_stage
 
-MAX_CELLS = 5_000_000
+#: Cells of an analytical grid, and combinations of a grid that meets rows.
+MAX_CELLS, MAX_POINTS = 5_000_000, 100_000
 
 
 def cutoff_ranges(df: DataFrame, scores: list[str], steps: int = 10, percentiles: tuple[float, float] | None = (0.05, 0.95)) -> dict[str, list[float]]:
     """Even steps from the floor of the low to the ceiling of the high quantile of each score; one step: the median."""
+    if steps < 1:
+        raise ValueError("steps must be 1 or more")
+    if not scores:
+        raise ValueError("no score to vary")
+    if missing := sorted(set(scores) - set(df.columns)):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     low, high = percentiles or (0.0, 1.0)
     edges = quantile_edges(df, scores, [low, 0.5, high])
+    if empty := [c for c in scores if not edges[c]]:
+        raise ValueError(f"no rows, or nulls only: {', '.join(empty)}")
     out = {}
     for c, (a, m, b) in edges.items():
         if steps == 1:
@@ -43,6 +52,12 @@ def evaluated(df: DataFrame, policy: Policy) -> DataFrame:
     return sim.withColumn("_p", p).withColumn("_bad", p * F.coalesce(F.col("simulated_default"), quoted(policy.default).cast("double"), F.lit(0.0)))
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys, of which nulls are equal too."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(other, all_of([quoted(k).eqNullSafe(quoted(f"_r_{k}")) for k in keys]), how).drop(*(f"_r_{k}" for k in keys))
+
+
 def grid(df: DataFrame, cutoffs: dict[str, list[float]], keys: list[str] | None = None) -> DataFrame:
     """Every combination's approval and default rate: keys, combination_id, one column per score, approval_rate, default_rate.
 
@@ -58,9 +73,9 @@ def grid(df: DataFrame, cutoffs: dict[str, list[float]], keys: list[str] | None
     for c, v in cutoffs.items():
         lattice = lattice.crossJoin(F.broadcast(spark.range(0, len(v) + 1).select(F.col("id").cast("int").alias(f"_{c}"))))
     places = [f"_{c}" for c in cutoffs]
-    full = lattice.join(sums, [*keys, *places], "left").fillna(0.0, ["_p", "_bad"]).fillna(0, ["_n"])
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    full = full.withColumn("_total", F.sum("_n").over(every))
+    full = _matched(lattice, sums, [*keys, *places], "left").fillna(0.0, ["_p", "_bad"]).fillna(0, ["_n"])
+    total = sums.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    full = _matched(full, total, keys) if keys else full.crossJoin(F.broadcast(total))
     for place in places:
         down = Window.partitionBy(*keys, *(x for x in places if x != place)).orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
         full = full.withColumns({"_p": F.sum("_p").over(down), "_bad": F.sum("_bad").over(down)})
@@ -74,6 +89,8 @@ def grid(df: DataFrame, cutoffs: dict[str, list[float]], keys: list[str] | None
 
 
 def judged(points: DataFrame, max_default: float, min_approval: float = 0.0) -> DataFrame:
+    if not 0.0 <= max_default <= 1.0 or not 0.0 <= min_approval <= 1.0:
+        raise ValueError("rates must lie within 0 and 1")
     met = (F.round("default_rate", 9) <= max_default) & (F.round("approval_rate", 9) >= min_approval)
     return points.withColumns({"constraints_met": met, "tradeoff_score": F.col("approval_rate") - 5 * F.col("default_rate")})
 
@@ -102,27 +119,61 @@ def equivalent(points: DataFrame, metric: str, value: float, tolerance: float =
     return rows.withColumn("_r", place).where((F.col("diff") <= tolerance) | (F.col("_r") == 1)).withColumn("position", F.row_number().over(Window.partitionBy().orderBy("diff", "combination_id"))).drop("_r")
 
 
+def _points(df: DataFrame, params: dict[str, list[float]]) -> DataFrame:
+    """One row for each combination: combination_id and the values as _v0, _v1, ...; to be broadcast, so their number is bounded."""
+    if math.prod(map(len, params.values())) > MAX_POINTS:
+        raise ValueError("the grid has too many combinations")
+    rows = [(i, *map(float, v)) for i, v in enumerate(product(*params.values()), 1)]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["combination_id int", *(f"_v{j} double" for j in range(len(params)))]))
+
+
+def _with_pd(full: DataFrame, keep: Column, policy: Policy) -> DataFrame:
+    """full (rows of weight _n, with _nd known defaults and _bad bads, for each combination_id) with _pd, calibrated on each combination's keep rows."""
+    name, bins = policy.score_for_calibration(), policy.calibration_bins
+    score = quoted(name).cast("double") if name else F.lit(None).cast("double")
+    in_keep = lambda c: F.sum(F.when(keep, F.col(c)))
+    some = [in_keep("_n").alias("_k"), F.coalesce(F.try_divide(in_keep("_bad"), in_keep("_nd")), F.lit(0.0)).alias("_mean")]
+    none = F.array().cast("array<double>")
+    if isinstance(bins, int):
+        base = full if policy.calibration_base in ("global", "all", "dataset") else full.where(keep)
+        edges = quantiles(base.withColumn("_score", score), ["combination_id"], "_score", [i / bins for i in range(bins + 1)], "_n")
+        fits = full.groupBy("combination_id").agg(*some).join(edges, "combination_id", "left").withColumn("_inner", F.coalesce(inner_edges(F.col("edges")), none)).drop("edges")
+    else:
+        fits = full.groupBy("combination_id").agg(*some).withColumn("_inner", F.array(*(F.lit(float(e)) for e in bins)))
+    binned = full.join(F.broadcast(fits), "combination_id").withColumn("_bin", F.when(score.isNotNull(), F.size(F.filter("_inner", lambda e: e < score))))
+    means = binned.where(keep).groupBy("combination_id", "_bin").agg(F.try_divide(F.sum("_bad"), F.sum("_nd")).alias("_m"))
+    least = 50 if isinstance(bins, int) else 5
+    joined = binned.join(F.broadcast(means), ["combination_id", "_bin"], "left")
+    return joined.withColumn("_pd", F.when((F.col("_k") >= least) & F.lit(name is not None), F.coalesce("_m", "_mean")).otherwise(F.col("_mean")))
+
+
+def _stressed(df: DataFrame, policy: Policy) -> Column:
+    all_ = [s.apply(df, "_pd") for s in policy.stresses]
+    return clipped_or_null(F.greatest(*all_) if len(all_) > 1 else all_[0] if all_ else F.col("_pd"))
+
+
 def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float]]) -> DataFrame:
-    """Full stochastic evaluation of each combination, one pass: rows meet the (small, broadcast) grid.
+    """Full stochastic evaluation of each combination, put before the policy's own stages, which all stay; one plan: rows meet the (small, broadcast) grid.
 
-    The draws of a row do not depend on the combination, so the curves are smooth;
-    a cutoff only removes rows from those the rest of the policy takes.
+    Default rates are calibrated anew on each combination's keep-ins. The draws of a
+    row do not depend on the combination, so the curves are smooth.
     """
-    free = replace(policy, stages=tuple(s for s in policy.stages if s.kind != "cutoff"), calibration_score=policy.score_for_calibration())
-    sim = simulate(df, free, "stochastic")
-    spark = df.sparkSession
-    points = spark.range(1).select()
-    for c, v in cutoffs.items():
-        points = points.crossJoin(spark.createDataFrame([(float(x),) for x in v], f"cut_{c} double"))
-    order = Window.partitionBy().orderBy(*(f"cut_{c}" for c in cutoffs))
-    points = points.withColumn("combination_id", F.row_number().over(order))
-    ok = all_of([F.coalesce(F.col(c) >= F.col(f"cut_{c}"), F.lit(False)) for c in cutoffs])
+    named = policy.calibration_score or any(s.kind in ("cutoff", "segment") for s in policy.stages)
+    policy = replace(policy, calibration_score=policy.score_for_calibration() if named else list(cutoffs)[-1])
+    sim = simulate(df, policy, "stochastic")
+    default = quoted(policy.default).cast("double")
+    read = {policy.calibration_score, *cutoffs, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)}
+    kept = [F.col("*")] if any(s.kind == "custom" for s in policy.stresses) else [quoted(c) for c in sorted(read)] + [F.col("new_approval"), F.col("approved_pre_rate")]
+    rows = sim.select(
+        *kept, F.coalesce(quoted(policy.approved), F.lit(0)).alias("_old"), F.lit(1).alias("_n"), default.isNotNull().cast("int").alias("_nd"),
+        F.coalesce(default, F.lit(0.0)).alias("_bad"), uniform(f"{policy.seed}-default", quoted(policy.applicant_id)).alias("_draw"))
+    full = rows.crossJoin(F.broadcast(_points(df, cutoffs)))
+    ok = all_of([F.coalesce(quoted(c) >= F.col(f"_v{j}"), F.lit(False)) for j, c in enumerate(cutoffs)])
+    full = _with_pd(full, ok & (F.col("approved_pre_rate") > 0) & (F.col("_old") > 0), policy)
     took = F.when(ok, F.col("new_approval")).otherwise(0).cast("double")
-    pd = F.coalesce(F.col("simulated_default"), quoted(policy.default).cast("double"), F.lit(0.0))
-    slim = sim.select(*cutoffs, "new_approval", pd.alias("_pd"))
-    rows = slim.crossJoin(F.broadcast(points)).groupBy("combination_id", *(f"cut_{c}" for c in cutoffs))
-    out = rows.agg(F.avg(took).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(took * F.col("_pd")), F.sum(took)), F.lit(0.0)).alias("default_rate"))
-    return out.select("combination_id", *(F.col(f"cut_{c}").alias(c) for c in cutoffs), "approval_rate", "default_rate")
+    bad = F.when(F.col("_old") > 0, F.col("_bad")).otherwise((F.col("_draw") < _stressed(full, policy)).cast("double"))
+    out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(cutoffs)))).agg(F.avg(took).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(took * bad), F.sum(took)), F.lit(0.0)).alias("default_rate"))
+    return out.select("combination_id", *(F.col(f"_v{j}").alias(c) for j, c in enumerate(cutoffs)), "approval_rate", "default_rate")
 
 
 def outcome(sim: DataFrame) -> list[Column]:
@@ -130,7 +181,7 @@ def outcome(sim: DataFrame) -> list[Column]:
     return [F.avg(p).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(p * F.coalesce(F.col("simulated_default"), F.lit(0.0))), F.sum(p)), F.lit(0.0)).alias("default_rate")]
 
 
-def vary(policy: Policy, name: str, value: float) -> Policy:
+def vary(policy: Policy, name: str, value: float | Column) -> Policy:
     """The policy with one parameter changed: ``cutoff:<score>``, ``base_rate:<stage>`` or ``aggravation``."""
     kind, _, target = name.partition(":")
     if kind == "aggravation":
@@ -148,67 +199,34 @@ def vary(policy: Policy, name: str, value: float) -> Policy:
 def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> DataFrame:
     """Full evaluation of each grid point, calibration refitted: the parameters, approval_rate, default_rate.
 
-    Rows are first reduced to a histogram of all that the evaluation reads, so a
-    point costs one pass over that table. A custom stress may read any column, and
-    given calibration edges are no quantiles: with these each point is simulated
-    over the rows.
+    One plan for any grid: the policy's parameters are columns of the (small,
+    broadcast) table of points, which meets a histogram of all that the evaluation
+    reads. A custom stress may read any column; with one, the points meet the rows.
     """
-    policies = []
-    for values in product(*params.values()):
-        p = policy
-        for name, value in zip(params, values, strict=True):
-            p = vary(p, name, value)
-        policies.append((values, p))
-    if isinstance(policy.calibration_bins, int) and all(s.kind != "custom" for _, p in policies for s in p.stresses):
-        histogram, weighted = _histogram(df, [p for _, p in policies])
-    else:
-        histogram, weighted = df, lambda rows, p: simulate(rows, p).agg(*outcome(rows))
-    parts = []
-    for i, (values, p) in enumerate(policies, 1):
-        row = weighted(histogram, p)
-        parts.append(row.select(F.lit(i).alias("combination_id"), *(F.lit(float(v)).alias(n.replace(":", "_")) for n, v in zip(params, values, strict=True)), "approval_rate", "default_rate"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _read_by(df: DataFrame, p: Policy) -> list[str]:
-    """Columns by which an evaluation tells rows apart, besides filters, segments, decision and default."""
+    points = _points(df, params)
+    for j, name in enumerate(params):
+        policy = vary(policy, name, F.col(f"_v{j}"))
+    full = _weighted(df, policy).crossJoin(F.broadcast(points))
+    new = F.col("_fixed") & all_of([s.passes(full) > 0 for s in policy.stages if s.kind == "cutoff"])
+    keep, swap = new & (F.col("_old") > 0), new & (F.col("_old") <= 0)
+    full = _with_pd(full, keep, policy)
+    bad = F.sum(F.when(keep, F.col("_bad")).when(swap, _stressed(full, policy) * F.col("_n")).otherwise(0.0))
+    took = F.sum(F.when(new, F.col("_n")).otherwise(0).cast("double"))
+    out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(params)))).agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))
+    return out.select("combination_id", *(F.col(f"_v{j}").alias(n.replace(":", "_")) for j, n in enumerate(params)), "approval_rate", "default_rate")
+
+
+def _weighted(df: DataFrame, p: Policy) -> DataFrame:
+    """Filters and cutoffs by segment (_fixed) and past decision (_old) with the columns that cutoffs, calibration and stress read, and counts; rows with a custom stress."""
+    fixed = all_of([s.passes(df) > 0 for s in p.stages if s.kind in ("filter", "segment")])
+    old, default = F.coalesce(quoted(p.approved), F.lit(0)), quoted(p.default).cast("double")
+    if any(s.kind == "custom" for s in p.stresses):
+        return df.withColumns({"_fixed": fixed, "_old": old, "_n": F.lit(1), "_nd": default.isNotNull().cast("int"), "_bad": F.coalesce(default, F.lit(0.0))})
     cutoffs = [c for s in p.stages if s.kind == "cutoff" for c in s.cutoffs]
     stress = [c for s in p.stresses for c in ([s.score] if s.kind == "monotonic" else [s.column] if s.column in df.columns else [])]
-    return [c for c in [*p.score_cols, p.score_for_calibration(), *cutoffs, *stress] if c]
-
-
-def _histogram(df: DataFrame, policies: list[Policy]):
-    """Fixed parts of the policies (filters, cutoffs by segment) with the columns that vary, and their counts; and how to evaluate one."""
-    read = sorted({c for p in policies for c in _read_by(df, p)})
-    fixed = all_of([s.passes(df) > 0 for s in policies[0].stages if s.kind in ("filter", "segment")])
-    rows = df.select(fixed.alias("_fixed"), *map(quoted, read), F.coalesce(quoted(policies[0].approved), F.lit(0)).alias("_old"), quoted(policies[0].default).cast("double").alias("_d"))
-    table = rows.groupBy("_fixed", *map(quoted, read), "_old").agg(F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_nd"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("_bad")).persist()
-
-    def evaluate(h: DataFrame, p: Policy) -> DataFrame:
-        cuts = all_of([s.passes(h) > 0 for s in p.stages if s.kind == "cutoff"])
-        new = F.col("_fixed") & cuts
-        keep, swap = new & (F.col("_old") > 0), new & (F.col("_old") <= 0)
-        name = p.score_for_calibration()
-        score = quoted(name) if name else F.lit(None).cast("double")
-        bins = int(p.calibration_bins)
-        points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        base = score if p.calibration_base in ("global", "all", "dataset") else F.when(keep, score)
-        edges = h.agg(F.percentile(base, points, F.col("_n")).alias("e"), F.sum(F.when(keep, F.col("_n"))).alias("k"), (F.sum(F.when(keep, F.col("_bad"))) / F.sum(F.when(keep, F.col("_nd")))).alias("mean"))
-        edges = edges.select(F.array_sort(F.array_distinct(F.transform("e", lambda x: F.round(x, 9)))).alias("e"), "k", F.coalesce("mean", F.lit(0.0)).alias("mean"))
-        inner = F.coalesce(F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0))), F.array().cast("array<double>"))
-        binned = h.crossJoin(F.broadcast(edges)).withColumn("_bin", F.when(score.isNotNull(), F.size(F.filter(inner, lambda x: x < score))))
-        means = binned.where(keep).groupBy("_bin").agg(F.try_divide(F.sum("_bad"), F.sum("_nd")).alias("_m"))
-        full = binned.join(F.broadcast(means), "_bin", "left").withColumn("_pd", F.when(F.col("k") >= 50, F.coalesce("_m", F.col("mean"))).otherwise(F.col("mean")))
-        stressed = [s.apply(full, "_pd") for s in p.stresses]
-        pd = clipped_or_null(F.greatest(*stressed) if len(stressed) > 1 else stressed[0] if stressed else F.col("_pd"))
-        bad = F.sum(F.when(keep, F.col("_bad")).when(swap, pd * F.col("_n")).otherwise(0.0))
-        took = F.sum(F.when(new, F.col("_n")).otherwise(0).cast("double"))
-        return full.agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))
-
-    return table, evaluate
+    read = sorted({c for c in [p.score_for_calibration(), *cutoffs, *stress] if c})
+    rows = df.select(fixed.alias("_fixed"), *map(quoted, read), old.alias("_old"), default.alias("_d"))
+    return rows.groupBy("_fixed", *map(quoted, read), "_old").agg(F.count(F.lit(1)).alias("_n"), F.count("_d").alias("_nd"), F.sum(F.coalesce("_d", F.lit(0.0))).alias("_bad"))
 
 
 def crash_test(df: DataFrame, policy: Policy, factors: list[float]) -> DataFrame:

@@ -145,4 +145,87 @@ def test_grids_keep_cutoffs_by_segment(applicants):
     policy = ROLES.with_stages(SEGMENT, cutoff_stage("c", {"score": 900}))
     passed = applicants.where("score >= 400 and risk >= if(seg = 'A', 300, 600)").count() / 400
     assert grid(evaluated(applicants, policy), {"score": [400.0]}).first()["approval_rate"] == pytest.approx(passed)
-    assert grid_stochastic(applicants, policy, {"score": [400.0]}).first()["approval_rate"] == pytest.approx(passed)
+    kept = applicants.where("score >= 900 and risk >= if(seg = 'A', 300, 600)").count() / 400  # the policy's own cutoff stays
+    assert grid_stochastic(applicants, policy, {"score": [400.0]}).first()["approval_rate"] == pytest.approx(kept)
+
+
+def test_calibrate_flag_averages_expressions_only(spark):
+    rows = [(i, 10 * i, 1, i % 3 % 2, int(i % 5 == 0)) for i in range(1, 61)] + [(100 + i, 10 * i, 0, None, None) for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "id long, score int, approved int, hired int, bad int")
+    wrapped = evaluate.fit(df, ROLES.with_stages(rate_stage("r", 1.0, ("calibrated", "hired / approved"))))
+    for variable in (F.col("hired") / F.col("approved"), "hired / approved"):
+        assert evaluate.fit(df, ROLES.with_stages(rate_stage("r", 1.0, variable, calibrate=True))).rates == wrapped.rates != {}
+        assert evaluate.fit(df, ROLES.with_stages(rate_stage("r", 1.0, variable))).rates == {}
+    for variable in ("hired", 0.5, lambda d: F.col("hired") * 1.0):
+        assert evaluate.fit(df, ROLES.with_stages(rate_stage("r", 1.0, variable, calibrate=True))).rates == {}
+
+
+def test_saved_rules_and_recipes(spark, tmp_path):
+    from creditflow.operators.policy import STRESSES, load_text, save_text
+    from creditflow.operators.ratings import Recipe
+
+    STRESSES["half"] = lambda df, pd: F.col(pd) * 0.5
+    policy = ROLES.with_stages(segment_cutoff_stage("s", "score", "seg", {"A": 1.5}), rate_stage("r", 0.5, "age / 100", calibrate=True)).with_stress(Stress("custom", fn="@half"), Stress("monotonic", factor=2.0, score="score"))
+    save_text(spark, to_json(policy), str(tmp_path / "rules"))
+    assert from_json(load_text(spark, str(tmp_path / "rules")))[0] == policy
+    with pytest.raises(TypeError):
+        to_json(ROLES.with_stress(Stress("custom", fn=lambda df, pd: F.col(pd))))
+    recipe = Recipe({"a": (1.0, 2.0, 3.0), "b": (0.0, 9.0)}, {"0-0": 2, "1-0": 1})
+    assert Recipe.from_json(recipe.to_json()) == recipe
+    df = spark.createDataFrame([(0.4,), (None,)], "p double")
+    assert [r[0] for r in df.select(policy.stresses[0].apply(df, "p")).collect()] == [0.2, None]
+
+
+def test_search_arguments(spark, tiny):
+    from creditflow.operators.search import cutoff_ranges, judged
+
+    for wrong in (lambda: cutoff_ranges(tiny, ["score"], 0), lambda: cutoff_ranges(tiny, []), lambda: cutoff_ranges(tiny, ["nope"]), lambda: cutoff_ranges(tiny.limit(0), ["score"]),
+                  lambda: cutoff_ranges(tiny.withColumn("score", F.lit(None).cast("int")), ["score"]), lambda: judged(tiny, 1.5), lambda: judged(tiny, 0.5, -0.1)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert cutoff_ranges(tiny, ["score"], 1) == {"score": [500.0]}
+
+
+def test_one_plan_for_any_grid(applicants):
+    values = [float(x) for x in range(0, 1000, 100)]
+    out = tradeoff(applicants, ROLES.with_stress(Stress("aggravation", factor=2.0)), {"cutoff:score": values, "aggravation": values, "cutoff:risk": values})
+    assert out.count() == 1000 and len(out._jdf.queryExecution().toString()) < 200_000
+
+
+def test_stochastic_grid_is_the_simulation(applicants):
+    policy = ROLES.with_stages(filter_stage("f", "flag = 0"), cutoff_stage("c", {"risk": 300}), rate_stage("r", 0.6)).with_stress(Stress("aggravation", factor=1.5))
+    for row in grid_stochastic(applicants, policy, {"score": [150.0, 400.0, 2000.0]}).collect():
+        sim = evaluate.simulate(applicants, replace(policy, stages=(*policy.stages, cutoff_stage("grid", {"score": row["score"]})), calibration_score="risk"), "stochastic")
+        took = F.col("new_approval").cast("double")
+        want = sim.agg(F.avg(took), F.coalesce(F.try_divide(F.sum(took * F.coalesce("simulated_default", F.lit(0.0))), F.sum(took)), F.lit(0.0))).first()
+        assert (row["approval_rate"], row["default_rate"]) == pytest.approx(tuple(want), abs=1e-12)
+
+
+def test_quantiles_are_interpolated(spark):
+    import numpy as np
+
+    from creditflow.functions.binning import equal_width_edges, quantile_edges, quantiles
+
+    draw = np.random.default_rng(2)
+    rows = [("a", int(x)) for x in draw.integers(0, 9, 40)] + [("b", int(x)) for x in draw.integers(0, 900, 41)] + [("b", None), ("c", None), ("d", 7)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    points = [i / 10 for i in range(11)]
+    got = {r.k: r.edges for r in quantiles(df, ["k"], "v", points).collect()}
+    for k in "abd":
+        assert got[k] == pytest.approx(np.quantile([v for n, v in rows if n == k and v is not None], points), abs=1e-9)
+    assert set(got) == {"a", "b", "d"} and quantile_edges(df.where("k = 'c'"), ["v"], points) == {"v": []}
+    twice = spark.createDataFrame([("a", 1, 3), ("a", 5, 1), ("a", 9, 0)], "k string, v int, n int")
+    assert quantiles(twice, ["k"], "v", [0.5, 1.0], "n").first().edges == [1.0, 5.0]
+    assert equal_width_edges(5.0, 5.0, 2) == pytest.approx([4.995, 5.0, 5.005]) and equal_width_edges(0.0, 10.0, 2) == pytest.approx([-0.01, 5.0, 10.0])
+
+
+def test_columns_of_other_policies_are_left_out(tiny):
+    df = tiny.withColumns({"stage_3_old": F.lit(1), "stage_x": F.lit(2), "motivo": F.lit("m")})
+    out = evaluate.decisions(evaluate.simulate(df, ROLES.with_stages(cutoff_stage("c", {"score": 400}))), ROLES)
+    assert "stage_x" in out.columns and not {"stage_3_old", "motivo", "stage_0_c"} & set(out.columns)
+
+
+def test_grid_by_a_key_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1, 1.0, 0.5), (None, 5, 1.0, 0.0), ("a", 5, 1.0, 1.0)], "k string, s int, _p double, _bad double")
+    rows = {(r.k, r.s): (r.approval_rate, r.default_rate) for r in grid(df, {"s": [0.0, 3.0]}, ["k"]).collect()}
+    assert rows == {(None, 0.0): (1.0, 0.25), (None, 3.0): (0.5, 0.0), ("a", 0.0): (1.0, 1.0), ("a", 3.0): (1.0, 1.0)}
