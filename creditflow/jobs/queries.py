@@ -623,6 +623,17 @@ def tier_predict(spark, sf):
     return screening.predict(df, "income", RATING(), edges, groups).select("applicant_id", "subsegment")
 
 
+@query(ORACLE_SQL["tier_predict"].removeprefix("WITH "))
+def tier_recipe_saved(spark, sf):
+    """Sub-segments by a screening recipe that was written and read again."""
+    df, edges = _screen(spark, sf)
+    groups = screening.subsegments(screening.bin_counts(df, edges, RATING(), CANDIDATES, "actual_default", "applicant_id"))
+    path = _folder(spark, "screening")
+    screening.recipe_table(edges, groups).write.parquet(path)
+    edges, groups = screening.from_recipe_table(spark.read.parquet(path))
+    return screening.predict(df, "income", RATING(), edges, groups).select("applicant_id", "subsegment")
+
+
 # --- search ---------------------------------------------------------------------
 
 CUTS = {"score_4": [400.0, 500.0, 600.0, 700.0], "score_5": [450.0, 550.0, 650.0, 750.0, 850.0]}

@@ -72,3 +72,13 @@ def predict(df: DataFrame, variable: str, tier: Column, edges: DataFrame, groups
     place = F.when(F.col(variable).isNull(), F.size(inner(F.col("edges")))).otherwise(left_bin_of(F.col(variable).cast("double"), inner(F.col("edges"))))
     found = F.when(F.col("_t").isNotNull(), F.coalesce(F.try_element_at("_map", place), F.lit(1)))
     return rows.withColumn("subsegment", found).drop("_t", "_tier", "edges", "_map")
+
+
+def recipe_table(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """What prediction needs as one table to keep, a row for each bin: variable, tier, edges, bin, subsegment."""
+    return edges.join(groups, ["variable", "tier"]).select("variable", "tier", "edges", "bin", "subsegment")
+
+
+def from_recipe_table(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and groups of a kept recipe."""
+    return table.select("variable", "tier", "edges").distinct(), table.select("variable", "tier", "bin", "subsegment")
