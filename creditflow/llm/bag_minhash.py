@@ -16,15 +16,19 @@ Bands of components give candidates; each is verified on the real multisets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.held import lean, release
 from creditflow.llm.components import components
-from creditflow.llm.storage import broadcast_if_small, stored
+from creditflow.llm.storage import broadcast_if_small, small_batches, stored
+
+if TYPE_CHECKING:  # only tasks that are given pandas frames load it
+    import pandas as pd
 
 _U = np.uint64
 _BASE_SHINGLE, _BASE_TEXT = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
@@ -108,7 +112,9 @@ def signatures(values: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     return out.reshape(rows, m)
 
 
+@lean
 def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, n_bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for i, j in at.groups(texts):
@@ -130,7 +136,9 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, n_bands: int, per
             yield pa.RecordBatch.from_arrays(columns, ["id", "c1", "c2", "n_words", "bands"])
 
 
+@lean
 def _overlap(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    release()
     last: tuple = (None, None)
     for batch in batches:
         a, b, ta, tb = batch.columns
@@ -149,6 +157,8 @@ def _overlap(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Ite
 
 def _block_links(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
     """Links from the asked rows of a block to rows of other classes: one for each row and class."""
+    import pandas as pd
+
     values, rows = [], []
     for r, (u, n) in enumerate(bags(pa.array(pdf["text"], pa.string()), k)):
         values.append(np.concatenate([u, *(at.mix(u[n > c] + _U(c)) for c in range(1, int(n.max(initial=1))))]))  # a multiset as a set
@@ -220,6 +230,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, n_bands
     of its texts can link it); a null id gives a null class_id; other columns do
     not matter.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.where("id is not null and text is not null")
     sig = stored(known.mapInArrow(lambda b: _signature_rows(b, k, n_bands, per_band), "id long, c1 long, c2 long, n_words long, bands array<long>"), "signatures").where("bands is not null")

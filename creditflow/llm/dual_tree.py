@@ -26,14 +26,17 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.llm.storage import stored
 
+if TYPE_CHECKING:  # only tasks that are given pandas frames load it
+    import pandas as pd
+
 #: Rows of a block on either side.
 DATA_BLOCK, QUERY_BLOCK = 20_000, 4_000
 LEAF = 256
@@ -107,6 +110,8 @@ def _reaches(bound, score):
 
 
 def _search_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    import pandas as pd
+
     asked = pdf["asked"].to_numpy()
     if asked.all() or not asked.any():
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")

@@ -7,7 +7,7 @@ support-vector machine per family (one against the rest) picks the family; withi
 it a machine for each pair of languages votes. All machines are linear, so a text
 is scored by looking up each n-gram's weights and adding them.
 
-Training draws at most about ``SAMPLE`` rows of each language.
+Training draws at most about ``SAMPLE`` rows of each language, fewer where there are very many.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
-from creditflow.llm.storage import stored
+from creditflow.llm.held import lean
+from creditflow.llm.storage import small_batches, stored
 
-SAMPLE = 400
+#: Training rows of each language, and of all languages together (32 KB each on the driver).
+SAMPLE, SAMPLE_OF_ALL = 400, 4_000
 BITS = 13
 ORDERS = (2, 3, 4)
 #: Languages are of one family when their profiles' cosine is at least this share of the way from the least to the greatest pair.
@@ -111,6 +113,7 @@ def _families(centres: np.ndarray) -> list[int]:
     return [next(k for k, g in enumerate(groups) if i in g) for i in range(len(centres))]
 
 
+@lean
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -125,10 +128,12 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "do
     Rows are drawn by a hash of their id. Their profiles (32 KB each, ``sample``
     for each language) come to the driver, which trains the machines.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
+    sample = min(sample, max(1, SAMPLE_OF_ALL // len(counts)))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))) for lang, n in sorted(counts.items())))
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
     table = stored(drawn.mapInArrow(_profiles, "lang string, profile binary"), "profiles").collect()
@@ -200,6 +205,7 @@ def _margins(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total / np.maximum(1, count)[:, None] + model.intercepts
 
 
+@lean
 def _predictions(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
     for batch in batches:
@@ -222,6 +228,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     prediction for all texts with letters. Null ids are kept; other columns do not
     matter.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _predictions(b, shared), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 

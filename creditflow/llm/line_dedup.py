@@ -39,8 +39,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.llm import arrow_text as at
-from creditflow.llm.held import release
-from creditflow.llm.storage import BROADCAST_ROWS, stored
+from creditflow.llm.held import lean, release
+from creditflow.llm.storage import BROADCAST_ROWS, small_batches, stored
 
 _U = np.uint64
 #: Words that get a rank by count: 12 bytes each, so 12 MB at most.
@@ -52,7 +52,7 @@ NEAREST = 2
 #: Sizes and positions from here on are not told apart.
 _MOST = 0x7FFF
 #: Words that the scan counts before it sends them on; rows of lists, and pairs, that are compared at once.
-_COUNTED, _ROWS, _PAIRS = 1 << 20, 1 << 18, 1 << 21
+_COUNTED, _ROWS, _PAIRS = 1 << 19, 1 << 17, 1 << 20
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -67,7 +67,7 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         begin = np.where(number == 0, offsets[row], 0)
         inner = number > 0
         begin[inner] = breaks[np.searchsorted(breaks, offsets[:-1], side="right")[row[inner]] + number[inner] - 1]
-        words = at.words_of(raw, np.append(begin, len(raw)))
+        words = at.words_of(raw, np.append(begin, len(raw)), second=False)
         edge, h = words.first, words.h1.copy()
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a > 1:
@@ -115,6 +115,7 @@ class _Counts:
         return pa.RecordBatch.from_arrays([none, none, pa.array(at.signed(word)), pa.array(n)], ["id", "at", "a", "b"])
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with words (id, at, both halves of the set's key) and, without id, words (hash, count of lines)."""
     release()
@@ -152,6 +153,7 @@ def _marked(flags: pa.Array, i: int, row: np.ndarray, number: np.ndarray) -> np.
     return out
 
 
+@lean
 def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> Iterator[pa.RecordBatch]:
     """List entries: key, size << 16 | position, the line's place, its sketch."""
     release()
@@ -254,14 +256,14 @@ def _joined(columns: list[np.ndarray], fresh: int, t: float, most: int | None) -
     return np.concatenate(later), np.concatenate(earlier), np.isin(which, np.concatenate(dense)) if dense else np.zeros(len(key), bool)
 
 
+@lean
 def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs (id, at, id0, at0) from lists in order; and, with their key, the entries of lists that had more than ``most`` for a line."""
     release()
     names = ["key", "size", "id", "at", "s1", "s2", "id0", "at0"]
-    held: list[np.ndarray] | None = None
     fresh = 0
 
-    def found(columns):
+    def found(columns, fresh):
         later, earlier, dense = _joined(columns, fresh, t, most)
         id_, at_ = columns[2], columns[3]
         none = pa.nulls(len(later), pa.int64())
@@ -270,19 +272,23 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None) -
             none = pa.nulls(int(dense.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(c[dense]) for c in columns[:6]), none, none], names)
 
+    waiting: list[list[np.ndarray]] = []
+    rows = 0
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if len(held[0]) - fresh < _ROWS:
+        waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < _ROWS:
             continue
-        yield from found(held)
+        held = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+        yield from found(held, fresh)
         keep = (held[0] == held[0][-1]) & (held[1] >> 16 >= t * (held[1][-1] >> 16) - 1)
-        held = [c[keep] for c in held]
-        fresh = len(held[0])
-    if held is not None and len(held[0]) > fresh:
-        yield from found(held)
+        waiting, rows = [[c[keep] for c in held]], 0
+        fresh = len(waiting[0][0])
+    if rows:
+        yield from found([np.concatenate(x) for x in zip(*waiting, strict=True)], fresh)
 
 
+@lean
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, row, number, h, line, first in _sets(batch.column(2)):
@@ -354,6 +360,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
 
 def duplicate_lines(rows: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """rows (id, text; no nulls) -> (id, at) of every line to remove; at is the line's number << 32 | tag, the tag F.hash(text)."""
+    small_batches(rows.sparkSession)
     rows = rows.select("id", F.hash("text").alias("tag"), "text")
     scan = stored(rows.mapInArrow(_scan, "id long, at long, a long, b long"), "lines")
     lines = scan.where("id is not null")

@@ -17,23 +17,26 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
-from creditflow.llm.held import held
-from creditflow.llm.storage import stored
+from creditflow.llm.held import held, lean
+from creditflow.llm.storage import small_batches, stored
+
+if TYPE_CHECKING:  # only tasks that are given pandas frames load it
+    import pandas as pd
 
 WINDOW = 2048
 #: Remainders in a block (expected; dealt by hash, so a block's size varies by a few per cent).
 BLOCK = 1500
 #: The last remainder of one text in CRUMB_EVERY ends in pieces of these lengths, which even out the windows.
 CRUMBS, CRUMB_EVERY = (8, 16, 32, 64), 4
-#: Words kept with their ids in each of two generations (about 150 MB in all), and the longest word kept.
-CACHE_WORDS, LONG_WORD = 300_000, 64
+#: Words kept with their ids in each of two generations (about 70 MB in all), and the longest word kept.
+CACHE_WORDS, LONG_WORD = 150_000, 64
 #: Splits at these characters only here, not in the tokenizer; texts with one are encoded whole.
 _TAIL = ".,;:!?|()[]{}<>\"#$%&*+-/=@\\^_`~"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -115,6 +118,7 @@ def encoder(path: str) -> WordEncoder:
     return held(("encoder", path), lambda: WordEncoder(path))
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, separator: int, window: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
     crumbs = sum(CRUMBS)
@@ -197,6 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, separator:
     kept; repeated rows are packed each; an empty table gives no row; other
     columns do not matter.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(lambda b: _pieces(b, tokenizer_path, separator, window), "id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = stored(pieces, "pieces").withColumn("row", F.monotonically_increasing_id())

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
 from creditflow.llm.held import lean, release
-from creditflow.llm.storage import BROADCAST_ROWS, broadcast_if_small, stored
+from creditflow.llm.storage import BROADCAST_ROWS, broadcast_if_small, small_batches, stored
 
 GRAM = 16
 _BASE_GRAM, _BASE_1, _BASE_2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
@@ -142,6 +142,7 @@ def removal_starts(rows: DataFrame, copies: DataFrame, window: int = 50) -> Data
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
     known = rows.where("id is not null")
     copies = broadcast_if_small(_later_copies(known))

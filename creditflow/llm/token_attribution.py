@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.llm import arrow_text as at
+from creditflow.llm.held import lean
+from creditflow.llm.storage import small_batches
 
 RULE = "most characters, then the earlier section"
 
@@ -63,6 +65,7 @@ def attribute(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high, np.bincount(home, minlength=n), given, taken - given
 
 
+@lean
 def _sections(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder, lengths = encoding(path)
     for batch in batches:
@@ -90,6 +93,7 @@ def attribute_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     do not matter. A token that holds only a part of a character counts as starting
     at that character's end or within it.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, section long, start long, end long, n_tokens long, n_given long, n_ceded long"
     return rows.mapInArrow(lambda b: _sections(b, tokenizer_path), schema).withColumnRenamed("id", id_col)

@@ -14,7 +14,6 @@ hash of their id); scoring reads every whole text once and shuffles nothing.
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections import Counter
@@ -25,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creditflow.llm.storage import broadcast_if_small, stored
+from creditflow.llm.held import held, lean
+from creditflow.llm.storage import broadcast_if_small, small_batches, stored
 
 SAMPLE = 6000
 #: Lexicon entries at most, best first; taken from the terms that passed every test.
@@ -33,7 +33,8 @@ TERMS = 5000
 FUZZY_FROM, CONTEXT = 5, 6
 MIN_RATIO, MIN_G2 = 8.0, 30.0
 PREFIXES = (4, 5, 6, 7, 8)
-CACHE_WORDS = 400_000
+#: Judged words a worker keeps, and rows of terms it gathers before it sends them on.
+CACHE_WORDS, GATHERED = 150_000, 50_000
 _QUOTES = "\"'“”„«»‘’"
 _NO_LETTER = {c: " " for c in range(0x250) if not chr(c).isalpha()}
 
@@ -196,22 +197,39 @@ class Model:
     intercept: float = -30.0
 
 
+@lean
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(terms_of(text or ""))
+    toxic, clean = Counter(), Counter()
+
+    def sent() -> pa.RecordBatch:
         terms = list(toxic.keys() | clean.keys())
         columns = [pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+        toxic.clear()
+        clean.clear()
+        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
+
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            (toxic if label else clean).update(terms_of(text.as_py() or ""))
+            if len(toxic) + len(clean) > GATHERED:
+                yield sent()
+    yield sent()
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All terms of each text with a hash of the words around their first place."""
+    out: set[tuple[str, int]] = set()
+
+    def sent() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ((), ())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()), strict=True)], ["term", "context"])
+        out.clear()
+        return batch
+
     for batch in batches:
-        out = set()
-        for text in batch.column(0).to_pylist():
-            words, seen = (text or "").split(), set()
+        for text in batch.column(0):
+            words, seen = (text.as_py() or "").split(), set()
             for i, w in enumerate(words):
                 for p in parts(w):
                     if p in seen:  # so are its stems
@@ -220,26 +238,28 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen |= new
                     around = zlib.crc32(((words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")).encode())
                     out.update((t, around) for t in new)
-        columns = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()), strict=True)], ["term", "context"])
+            if len(out) > GATHERED:
+                yield sent()
+    yield sent()
 
 
-@functools.lru_cache(maxsize=2)
-def _known(weights: frozenset) -> Known:
-    """One for each lexicon in a Python worker: judged words stay known from task to task."""
-    return Known(Trie(dict(weights)))
+def _known(weights: dict[str, float]) -> Known:
+    """One in a Python worker: judged words stay known from task to task."""
+    return held(("lexicon", frozenset(weights.items())), lambda: Known(Trie(weights)))
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    known = _known(frozenset(shared.value.items()))
+    known = _known(shared.value)
     for batch in batches:
-        x = [features(t, known) for t in batch.column(0).to_pylist()]
+        x = [features(t.as_py(), known) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "weight"])
 
 
+@lean
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    known = _known(frozenset(model.weights.items()))
+    known = _known(model.weights)
     w = np.array(model.coefficients)
     for batch in batches:
         x = np.array([features(t.as_py(), known) for t in batch.column(1)]).reshape(-1, N_FEATURES)
@@ -269,6 +289,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns lexicon and weights from labelled rows for which ``usable`` (on the label table) holds."""
+    small_batches(docs.sparkSession)
     labelled = labels.where(usable).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
@@ -305,10 +326,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     without hits; a model learned without any toxic row scores 0 throughout
     (1e-13); null ids are kept; other columns do not matter.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _scores(b, shared), "id long, score double").withColumnRenamed("id", id_col)
 
 
+@lean
 def _below(batches: Iterator[pa.RecordBatch], shared, column: str, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
@@ -318,6 +341,7 @@ def _below(batches: Iterator[pa.RecordBatch], shared, column: str, threshold: fl
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text scores threshold or more, whatever their ids."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda b: _below(b, shared, text_col, threshold), docs.schema)
 
