@@ -6,11 +6,13 @@ from creditflow.llm import (
     bag_minhash,
     decontaminate,
     dual_tree,
+    heap_clusters,
     language_id,
     line_dedup,
     packing,
     secret_scan,
     substring_dedup,
+    token_alignment,
     token_attribution,
     toxicity,
 )
@@ -28,6 +30,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_differencing_packing": packing.op10_differencing_packing,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_heap_clusters": heap_clusters.op13_heap_clusters,
     }
 
 
@@ -38,4 +42,5 @@ def oracle_sql() -> dict:
         "op6_dual_tree_topk": dual_tree.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
         "op9_bag_minhash": bag_minhash.ORACLE_SQL,
+        "op13_heap_clusters": heap_clusters.ORACLE_SQL,
     }
