@@ -10,6 +10,7 @@ from creditflow.llm import (
     language_id,
     line_dedup,
     packing,
+    rule_quality,
     secret_scan,
     substring_dedup,
     token_alignment,
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_bag_minhash": bag_minhash.op9_bag_minhash,
         "op10_differencing_packing": packing.op10_differencing_packing,
+        "op11_rule_quality": rule_quality.op11_rule_quality,
         "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_heap_clusters": heap_clusters.op13_heap_clusters,
     }
