@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
@@ -100,7 +101,8 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         head = word.rstrip(_TAIL)
-        if head.isalpha():
+        # a letter whose normal form ends in a mark would draw the punctuation to itself
+        if head.isalpha() and (head.isascii() or unicodedata.normalize("NFC", head).lower()[-1].isalpha()):
             return self._unit(word) if len(head) == len(word) else self.words[head] + self.tails[word[len(head) :]]
         return self._encode(word) if head else self._unit(word)
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from creditflow.llm import language_id, token_attribution, toxicity
+from creditflow.llm import language_id, packing, token_attribution, toxicity
 from creditflow.llm.packing import public_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +145,16 @@ def test_toxicity_recall_of_held_out_rows(spark):
     assert len(held) and (held["predicted"] == 1).mean() >= 0.9
     clean = rows[rows["held_out"] & (rows["toxic"] == 0)]
     assert (clean["predicted"] == 0).mean() >= 0.99
+
+
+def test_ids_of_letters_beside_punctuation():
+    """Every letter of the first planes before and behind punctuation, and inside a word, as the tokenizer has them."""
+    import numpy as np
+
+    path = packing.public_tokenizer("word_bpe_49k.json")
+    encode = packing.WordEncoder(path)
+    ideograms = (range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0x20000, 0x30000))
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (c % 64 == 0 or not any(c in r for r in ideograms))]
+    words = [w for c in letters for w in (f"{c},", f",{c}", f"a{c}.", f"{c}b)")] + ["TAKSİ,", "İKİ.", "é.", "<|endoftext|>,", "x<|endoftext|>."]
+    whole = encode.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, e in zip(words, whole, strict=True) if np.array(e.ids, dtype="<u4").tobytes() != encode(w)] == []
