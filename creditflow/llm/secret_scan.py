@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from creditflow.llm.storage import shared_dir
 
 #: Name -> (pattern, least length, group whose length counts). Matching is leftmost and non-overlapping for each.
+#: The header of a jwt has a greatest length, as every "eyJ" in a long run of its characters begins a search for the dot.
 RULES = {
     "assign": (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
     "access": (r"AKIA[A-Z0-9]+", 20, 0),
@@ -30,11 +31,11 @@ RULES = {
     "private_key": (r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 1, 0),
     "hub_token": (r"gh[opsu]_[A-Za-z0-9]{36,}", 40, 0),
     "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 36, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{10,500}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 36, 0),
 }
 BASE = ("assign", "access", "hex")
 #: Changes with RULES, so that old ledgers ask for a new scan.
-RULE_VERSION = 1
+RULE_VERSION = 2
 LEDGER = "blob string, rule_version int, spans array<struct<start:int,kind:int,end:int>>"
 
 

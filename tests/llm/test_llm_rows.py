@@ -100,3 +100,12 @@ def test_empty_lines_and_flags(spark):
     df = spark.createDataFrame([(1, "a b c\n\nd e f\n"), (2, "x\na b c\n\nd e f"), (3, "")], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(df.withColumn("id", F.lit(1))).collect()}
     assert got == {1: (4, 0, "a b c\n\nd e f\n"), 2: (4, 2, "x\n"), 3: (1, 0, "")}
+
+
+def test_long_runs_of_token_starts_take_linear_time(spark):
+    began = time.time()
+    texts = ["eyJ" * 350_000, "eyJ" * 1000 + ".eyJ" + "K" * 1_000_000, "x eyJ" + "K" * 40 + ".eyJ" + "L" * 40 + "." + "M" * 40 + " y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secret_scan.report(df, secret_scan.scan(df)).select("doc_id", secret_scan.written(F.col("spans")).alias("s"))
+    assert {r.doc_id: r.s for r in found.collect()} == {0: "", 1: "", 2: "jwt:2:130"}
+    assert time.time() - began < 60

@@ -188,7 +188,7 @@ def test_secret_ledger(spark):
 
     rows = {r["doc_id"]: r["s"] for r in report(new, found.unionByName(more)).select("doc_id", written(F.col("spans")).alias("s")).collect()}
     assert rows == {1: "assign:2:21", 2: "", 3: "", 4: "", 5: "access:2:22"}
-    assert scan(new, found, rule_version=2).count() == 4
+    assert scan(new, found, rule_version=9).count() == 4
 
 
 def test_registry_is_whole():
