@@ -24,13 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that repeat an earlier one; a text may become empty."""
-    names = docs.columns
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    known = rows.where("id is not null and text is not null")
-    gone = line_dedup.lines_by_row(line_dedup.duplicate_lines(known))
-    gone = gone.select(F.col("id").alias("doc_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
-    kept = docs.withColumn("_tag", F.hash("text")).join(gone, ["doc_id", "_tag"], "left").withColumn("text", line_dedup.without_lines(F.col("text"), F.col("_gone")))
-    return kept.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
+    gone = line_dedup.lines_by_row(line_dedup.duplicate_lines(rows.where("id is not null and text is not null")))
+    row = docs.select(F.struct("*").alias("row"))  # whatever its columns are called
+    kept = row.join(gone, (F.col("row.doc_id") == F.col("id")) & (F.hash("row.text") == F.col("tag")), "left")
+    text = line_dedup.without_lines(F.col("row.text"), F.col("gone"))
+    new = {"text": text, "n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("long"))}
+    return kept.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
