@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score.
 
-    Defined cases: a null text is the empty text, whose statistics are all 0; null ids
+    Defined cases: a null text is the empty text, one empty line without words; null ids
     are kept; repeated rows count each; an empty table gives no row; other columns do
     not matter.
     """
