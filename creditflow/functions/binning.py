@@ -7,21 +7,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from creditflow.functions.order import running
+
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], weight: str | None = None) -> DataFrame:
     """keys, edges: quantiles of value (linear interpolation, rounded to 9 decimals) for each value of keys; weight: a column of whole counts.
 
     Values are counted first, and running counts say which of them hold the ranks
-    asked for, so no task keeps a group's values in memory. Nulls are left out.
+    asked for; only the ranges of values that hold one are sorted. Nulls are left out.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(n.alias("_n")).where("_n > 0")
-    every = Window.partitionBy(*keys)
-    counts = counts.withColumns({"_to": F.sum("_n").over(every.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(every)})
-    rank = [F.lit(float(p)) * (F.col("_all") - 1) for p in points]
-    holds = lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_n"))
-    some = counts.where(reduce(lambda a, b: a | b, (holds(f(r)) for r in rank for f in (F.floor, F.ceil))))
+    ranks = lambda all_: [f(F.lit(float(p)) * (all_ - 1)) for p in points for f in (F.floor, F.ceil)]
+    holds = lambda low, high, all_: reduce(lambda a, b: a | b, ((r >= low) & (r < high) for r in ranks(all_)))
+    counts = running(counts, keys, ["_v"], ["_n"], wanted=holds).withColumnsRenamed({"_n_to": "_to", "_n_all": "_all"})
+    some = counts.where(holds(F.col("_to") - F.col("_n"), F.col("_to"), F.col("_all")))
     found = some.groupBy(*keys, "_all").agg(F.collect_list(F.struct("_v", "_n", "_to")).alias("_some"))
+    rank = [F.lit(float(p)) * (F.col("_all") - 1) for p in points]
     pick = lambda r: F.filter("_some", lambda x: (r < x["_to"]) & (r >= x["_to"] - x["_n"]))[0]["_v"]
     low, high = [pick(F.floor(r)) for r in rank], [pick(F.ceil(r)) for r in rank]
     return found.select(*keys, F.array(*(F.round(a + (r - F.floor(r)) * (b - a), 9) for r, a, b in zip(rank, low, high, strict=True))).alias("edges"))
@@ -122,7 +124,7 @@ def binned_means(histogram: DataFrame, score: str, total: str, count: str, edges
 def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "rank", id_buckets: int = 1) -> DataFrame:
     """Exact rank (from 1) by value and then tie, within keys, without one task per key.
 
-    Counts per distinct value give offsets; rows are numbered within a value only.
+    Running counts of the distinct values give offsets; rows are numbered within a value only.
     With id_buckets > 1 a value with very many ties is split by ranges of a numeric
     tie column.
     """
@@ -133,8 +135,8 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "ra
         df = df.withColumn("_slot", F.floor((F.col(tie) - F.lit(low or 0)) / step).cast("int"))
     df = df.withColumn("_slot", slot)
     groups = df.groupBy(*keys, value, "_slot").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(value, "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
+    groups = running(groups, keys, [value, "_slot"], ["_n"])
+    groups = groups.select(*keys, value, "_slot", (F.col("_n_to") - F.col("_n")).alias("_before"), F.col("_n_all").alias("_total"))
     on = F.lit(True)
     left, right = df.alias("l"), groups.alias("r")
     for c in [*keys, value, "_slot"]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.functions.binning import equal_width_edges, quantile_edges, rank_bin, ranked, right_bin, unique
 from creditflow.functions.expressions import true
+from creditflow.functions.order import running
 
 
 def unpivoted(df: DataFrame, columns: list[str], keep: list[str], name: str = "score_name", value: str = "score") -> DataFrame:
@@ -19,10 +20,10 @@ def ks(df: DataFrame, scores: list[str], default: str) -> DataFrame:
     """
     long = unpivoted(df.where(F.col(default).isNotNull()), scores, [default]).where("score is not null")
     groups = long.groupBy("score_name", "score").agg(F.sum(F.col(default).cast("double")).alias("bad"), F.sum(1.0 - F.col(default).cast("double")).alias("good"))
-    down = Window.partitionBy("score_name").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("score_name")
-    gap = F.abs(F.try_divide(F.sum("bad").over(down), F.sum("bad").over(every)) - F.try_divide(F.sum("good").over(down), F.sum("good").over(every)))
-    return groups.withColumn("gap", gap).groupBy("score_name").agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"))
+    sums = running(groups, ["score_name"], ["score"], ["bad", "good"])
+    from_top = lambda c: F.try_divide(F.col(f"{c}_all") - F.col(f"{c}_to") + F.col(c), F.col(f"{c}_all"))
+    gap = F.abs(from_top("bad") - from_top("good"))
+    return sums.groupBy("score_name").agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
 def ks_table(df: DataFrame, score: str, default: str, bins: int = 10) -> DataFrame:

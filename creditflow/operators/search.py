@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.functions.binning import inner_edges, quantile_edges, quantiles
 from creditflow.functions.expressions import all_of, quoted, uniform
+from creditflow.functions.order import running
 from creditflow.operators.evaluate import fit, simulate
 from creditflow.operators.policy import Policy, Stress, clipped_or_null, cutoff_stage
 
@@ -97,26 +98,31 @@ def judged(points: DataFrame, max_default: float, min_approval: float = 0.0) ->
 
 def best(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The feasible point of highest approval, else the highest trade-off score; ties to the lowest combination."""
-    order = Window.partitionBy(*(keys or [])).orderBy(
-        F.desc("constraints_met"), F.desc(F.round(F.when(F.col("constraints_met"), F.col("approval_rate")).otherwise(F.col("tradeoff_score")), 9)), "combination_id")
-    return points.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    worth = F.round(F.when(F.col("constraints_met"), F.col("approval_rate")).otherwise(F.col("tradeoff_score")), 9)
+    first = F.min(F.struct((~F.col("constraints_met")).alias("unmet"), (-worth).alias("loss"), "combination_id", F.struct(*points.columns).alias("point")))
+    return points.groupBy(*(keys or [])).agg(first.alias("first")).where("first is not null").select("first.point.*")
 
 
 def pareto(points: DataFrame) -> DataFrame:
-    """Combinations on the frontier of approval (up) and default (down); those that share a point all stay."""
-    a, d = F.round("approval_rate", 9), F.round("default_rate", 9)
-    rows = points.withColumns({"_a": a, "_d": d})
-    least = rows.groupBy("_a").agg(F.min("_d").alias("_d"))
-    higher = Window.partitionBy().orderBy(F.desc("_a")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each approval value of the grid
-    front = least.withColumn("_m", F.min("_d").over(higher)).where("_m is null or _d < _m").select("_a", "_d")
+    """Combinations on the frontier of approval (up) and default (down); those that share a point all stay.
+
+    Approval values are ranked in ranges: the least default of all higher ranges and
+    of the higher values of its own range decides on each.
+    """
+    rows = points.withColumns({"_a": F.round("approval_rate", 9), "_d": F.round("default_rate", 9)})
+    least = rows.groupBy("_a").agg(F.min("_d").alias("_d")).withColumn("_down", -F.col("_a"))
+    higher = running(least, [], ["_down"], ["_d"], least=True, before=True)
+    front = higher.where("_d_to is null or _d < _d_to").select("_a", "_d")
     return rows.join(front, ["_a", "_d"]).drop("_a", "_d")
 
 
 def equivalent(points: DataFrame, metric: str, value: float, tolerance: float = 0.01) -> DataFrame:
-    """Points whose metric is within tolerance of the value; if there is none, the nearest one."""
+    """Points whose metric is within tolerance of the value, numbered from the nearest (position); if there is none, the nearest one."""
     rows = points.withColumn("diff", F.round(F.abs(F.col(metric) - value), 9))
-    place = F.row_number().over(Window.partitionBy().orderBy("diff", "combination_id"))  # rows of a grid, not of the table
-    return rows.withColumn("_r", place).where((F.col("diff") <= tolerance) | (F.col("_r") == 1)).withColumn("position", F.row_number().over(Window.partitionBy().orderBy("diff", "combination_id"))).drop("_r")
+    nearest = rows.agg(F.min(F.struct("diff", "combination_id")).alias("_first"))
+    near = rows.crossJoin(F.broadcast(nearest)).where((F.col("diff") <= tolerance) | (F.struct("diff", "combination_id") == F.col("_first"))).drop("_first")  # one row is broadcast
+    placed = running(near.withColumn("_one", F.lit(1)), [], ["diff", "combination_id"], ["_one"])
+    return placed.withColumn("position", F.col("_one_to").cast("int")).drop("_one", "_one_to", "_one_all")
 
 
 def _points(df: DataFrame, params: dict[str, list[float]]) -> DataFrame:
@@ -245,13 +251,20 @@ def breakeven(curve: DataFrame, legacy_rate: float) -> DataFrame:
 
 
 def model_frontier(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float]]) -> DataFrame:
-    """One-score grids of several models side by side, from one evaluation."""
-    rows = evaluated(df, policy)
-    parts = [grid(rows, {c: v}).select(F.lit(c).alias("model"), "combination_id", F.col(c).alias("cutoff"), "approval_rate", "default_rate") for c, v in cutoffs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One-score grids of several models side by side: one evaluation and one aggregate, whose rows are (model, cutoffs reached)."""
+    width = max(map(len, cutoffs.values()))
+    if width * len(cutoffs) > MAX_CELLS:
+        raise ValueError("the grids have too many cells")
+    places = [F.struct(F.lit(c).alias("model"), sum((F.when(F.col(c) >= F.lit(x), 1).otherwise(0) for x in sorted(v)), F.lit(0)).alias("place")) for c, v in cutoffs.items()]
+    sums = evaluated(df, policy).select("_p", "_bad", F.explode(F.array(*places)).alias("at")).groupBy("at.model", "at.place").agg(F.sum("_p").alias("_p"), F.sum("_bad").alias("_bad"), F.count(F.lit(1)).alias("_n"))
+    steps = [(c, i, float(x)) for c, v in cutoffs.items() for i, x in enumerate(sorted(v), 1)]
+    lattice = df.sparkSession.createDataFrame(steps, "model string, place int, cutoff double")
+    every = lattice.select("model", "place", "cutoff").join(sums, ["model", "place"], "full").fillna(0.0, ["_p", "_bad"]).fillna(0, ["_n"])  # rows below the first cutoff count in the total
+    down = Window.partitionBy("model").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("_n").over(Window.partitionBy("model"))
+    found = every.withColumns({"_p": F.sum("_p").over(down), "_bad": F.sum("_bad").over(down), "_total": whole}).where("cutoff is not null")
+    rate = F.coalesce(F.try_divide(F.col("_bad"), F.col("_p")), F.lit(0.0))
+    return found.select("model", F.col("place").alias("combination_id"), "cutoff", (F.col("_p") / F.col("_total")).alias("approval_rate"), rate.alias("default_rate"))
 
 
 def proposals(frontier: DataFrame, approval: float, default: float) -> DataFrame:
