@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from creditflow.functions.binning import equal_width_edges, left_bin, position_bin, quantiles, rank_bin, ranked, right_bin
 from creditflow.functions.expressions import ratio, true
-from creditflow.operators import deploy, evaluate, models, ratings, reports, screening, search
+from creditflow.operators import bundle, deploy, evaluate, models, production, ratings, reports, screening, search
 from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, from_json, load_text, rate_stage, save_text, segment_cutoff_stage, to_json
 from creditflow.sources.applicants import SQL as APP
 from creditflow.sources.applicants import applicants
@@ -236,9 +237,17 @@ def stress_by_rating(spark, sf):
 @query(f"""{DECILE_PD}, o AS (SELECT *, row_number() OVER (ORDER BY score_5, applicant_id) AS r, count(*) OVER () AS n FROM w WHERE scenario='swap_in')
 SELECT applicant_id, round(least(pd*1.2::DOUBLE*(1+greatest(ceil((r-1)*10/greatest(n-1,1)::DOUBLE)-1,0)),1.0::DOUBLE),6) AS pd FROM o""")
 def stress_by_decile(spark, sf):
-    sim = evaluate.simulate(applicants(spark, sf), BASE).where("scenario = 'swap_in'")
-    placed = ranked(sim.select("applicant_id", "score_5", "simulated_default"), [], "score_5", "applicant_id")
-    return rounded(placed.select("applicant_id", F.least(F.col("simulated_default") * 1.2 * (1 + rank_bin(F.col("rank"), F.col("rank_total"), 10)), F.lit(1.0)).alias("pd")))
+    return _swap_pd(spark, sf, BASE.with_stress(Stress("quantile", factor=1.2, score="score_5")))
+
+
+NARROW = replace(BASE, stages=(*BASE.stages, filter_stage("few", "applicant_id % 97 = 0")), calibration_bins=4)
+_QUARTERS = DECILE_PD.replace(PASS, "(cpf_valido AND vl_negativacao<=1500 AND score_5>=600 AND applicant_id%97=0)").replace(",".join(str(i / 10) for i in range(11)), "0.0,0.25,0.5,0.75,1.0")
+
+
+@query(f"{_QUARTERS} SELECT applicant_id, round(CASE WHEN (SELECT count(*) FROM q WHERE scenario='keep_in')>=5 THEN pd ELSE (SELECT coalesce(k,0) FROM k) END,6) AS pd FROM w WHERE scenario='swap_in'")
+def swap_in_pd_few_keep_ins(spark, sf):
+    """Four bins that were asked for are fitted on few keep-ins."""
+    return _swap_pd(spark, sf, NARROW)
 
 
 @query(_stressed("greatest(least(pd*1.5::DOUBLE,1),0.3::DOUBLE-score_5/1000.0::DOUBLE*0.2::DOUBLE)"))
@@ -298,6 +307,54 @@ def decisions_written(spark, sf):
     return spark.read.parquet(path).groupBy("region", "decision").agg(F.count("*").alias("n"))
 
 
+@query(f"{SIM} SELECT substr(safra,1,4) AS year, CASE WHEN substr(safra,1,4)='1995' THEN 'second' ELSE 'first' END AS batch_id, CASE WHEN pre>=0.5 THEN 'Approved' ELSE 'Rejected' END AS decision, count(*)::BIGINT AS n FROM s GROUP BY ALL")
+def decisions_written_again(spark, sf):
+    """One year of the decisions is written twice: its rows are there once, and other years stay."""
+    path = _folder(spark, "decisions")
+    rows = evaluate.decisions(base_sim(spark, sf), FULL).select(F.substring("safra", 1, 4).alias("year"), "decision")
+    write_decisions(rows, path, "year", "first")
+    write_decisions(rows.where("year = '1995'"), path, "year", "second")
+    return spark.read.parquet(path).groupBy(F.col("year").cast("string").alias("year"), "batch_id", "decision").agg(F.count("*").alias("n"))
+
+
+STRESSED = BASE.with_stages(rate_stage("Antifraud", 0.9), rate_stage("Take_up", 0.8, ("calibrated", "hired"))).with_stress(Stress("aggravation", factor=1.3), Stress("quantile", factor=0.5, score="score_4", bins=4))
+_DEV_EDGES = "e AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(score_5::DOUBLE, [" + ",".join(str(i / 10) for i in range(11)) + "]), lambda x: round(x, 9))))[2:-2] AS inn FROM q WHERE scenario='keep_in' AND safra<'1996-01')"
+_BUNDLE = f"""{Q}, {_DEV_EDGES}, {_DEV_EDGES.replace("e AS", "t AS", 1).replace("AS inn", "AS tinn").replace("scenario='keep_in'", "approved=1")},
+b AS (SELECT q.*, {RB.format(score='score_5')} AS bin, len(list_filter(tinn, lambda x: x < score_5)) AS tbin FROM q, e, t),
+m AS (SELECT bin, avg(actual_default) AS m FROM b WHERE scenario='keep_in' AND safra<'1996-01' GROUP BY bin), k AS (SELECT avg(actual_default) AS k, count(*) AS kn FROM q WHERE scenario='keep_in' AND safra<'1996-01'),
+tm AS (SELECT tbin, avg(hired::DOUBLE) AS tm FROM b WHERE approved=1 AND safra<'1996-01' GROUP BY tbin), tk AS (SELECT avg(hired::DOUBLE) AS tk FROM q WHERE approved=1 AND safra<'1996-01'),
+o AS (SELECT score_4, applicant_id AS id, row_number() OVER (ORDER BY score_4, applicant_id) AS r, count(*) OVER () AS n FROM q WHERE scenario='swap_in' AND safra<'1996-01'),
+l AS (SELECT list(struct_pack(s := score_4, i := id)) AS edges FROM o WHERE r IN (floor((n-1)/4.0)+1, floor(2*(n-1)/4.0)+1, floor(3*(n-1)/4.0)+1)),
+w AS (SELECT b.*, coalesce(CASE WHEN kn>=50 THEN m END, k, 0) AS pd, coalesce(tm, tk) AS rate, len(list_filter(edges, lambda x: x.s < score_4 OR (x.s = score_4 AND x.i < applicant_id))) AS sbin FROM b LEFT JOIN m USING (bin) LEFT JOIN tm USING (tbin), k, tk, l),
+s AS (SELECT *, pre*CASE WHEN approved=1 THEN hired::DOUBLE ELSE 0.9::DOUBLE*least(0.8::DOUBLE*rate,1.0::DOUBLE) END AS na,
+CASE scenario WHEN 'keep_in' THEN 0.0::DOUBLE WHEN 'swap_in' THEN greatest(least(pd*1.3::DOUBLE,1.0::DOUBLE), least(pd*0.5::DOUBLE*(1+sbin),1.0::DOUBLE)) END AS sd FROM w)"""
+
+
+def _dev_bundle(spark, sf):
+    """Fitted on the applications of some years, saved, and loaded from its folder."""
+    path = _folder(spark, "bundle")
+    rating = ratings.Bands("score_5", tuple(BANDS))
+    bundle.Bundle.fit(applicants(spark, sf).where("safra < '1996-01'"), STRESSED, rating, version="dev").save(spark, path)
+    return path, bundle.load(spark, path, "dev")
+
+
+@query(f"""{_BUNDLE} SELECT applicant_id, CASE WHEN pre>=0.5 THEN 'Approved' ELSE 'Rejected' END AS decision, round(na,6) AS hired, round(sd,6) AS defaulted, scenario AS new_scenario,
+CASE WHEN score_5 BETWEEN 600 AND 749 THEN 'C' WHEN score_5 BETWEEN 750 AND 899 THEN 'B' WHEN score_5 BETWEEN 900 AND 1000 THEN 'A' END AS rating FROM s""")
+def scored_from_bundle(spark, sf):
+    """All applications without their defaults, by the stored rules, calibrations, stress edges and ratings."""
+    out = _dev_bundle(spark, sf)[1].score(applicants(spark, sf).drop("actual_default"))
+    return rounded(out.select("applicant_id", "decision", "hired", "defaulted", F.lower(F.replace("scenario", F.lit(" "), F.lit("_"))).alias("new_scenario"), "rating"))
+
+
+@query(f"{_BUNDLE} SELECT applicant_id, CASE WHEN applicant_id%3=0 THEN NULL ELSE round(pd,6) END AS pd FROM w")
+def calibrated_by_version(spark, sf):
+    """Each row's default rate by the stored version that it names; unknown versions have none."""
+    path, _ = _dev_bundle(spark, sf)
+    rows = applicants(spark, sf).select("applicant_id", "score_5", F.when(F.col("applicant_id") % 3 == 0, "other").otherwise("dev").alias("v"))
+    learned = spark.read.schema(bundle.LEARNED).parquet(f"{path}/learned")
+    return rounded(bundle.calibrated_by_version(rows, learned, "v", "score_5").select("applicant_id", "pd"))
+
+
 # --- reports --------------------------------------------------------------------
 
 _SUMMARY = """count(*)::BIGINT AS applicants, sum(pre) AS approved, round(sum(na),6) AS hired,
@@ -513,14 +570,37 @@ def rating_fit_iv(spark, sf):
 
 @query()
 def rating_pairwise(spark, sf):
-    return ratings.fit_pairwise(applicants(spark, sf), "score_5", ["score_4", "legacy_score"], "actual_default", bins=6, min_vol_ratio=0.02)
+    return ratings.fit_pairwise(applicants(spark, sf), "score_5", ["score_4", "legacy_score"], "actual_default", bins=6, min_vol_ratio=0.02).bins
 
 
 @query()
 def rating_report(spark, sf):
     df = applicants(spark, sf).withColumn("year", F.substring("safra", 1, 4))
     fitted = ratings.fit_ratings(df, ["score_5"], "actual_default", bins=20, min_vol_ratio=0.02, time="year", oot_date="2000")
-    return rounded(fitted.report(df, "actual_default", F.col("year") < "2000"))
+    return rounded(fitted.report(df, "actual_default"))
+
+
+@query(f"""{APP}, r AS (SELECT 3-((score_5>=800)::INT+(score_5>=900)::INT) AS rating, actual_default AS d, CASE WHEN applicant_id%5=0 THEN NULL ELSE safra<'1996-01' END AS train FROM a),
+p AS (SELECT 'All' AS period, rating, d FROM r UNION ALL SELECT CASE WHEN train THEN 'Train' ELSE 'OOT' END, rating, d FROM r WHERE train IS NOT NULL)
+SELECT period, rating, count(d)::BIGINT AS volume, round(avg(d),6) AS default_rate FROM p GROUP BY period, rating""")
+def rating_report_periods(spark, sf):
+    """Rows of no month count in the summary over all rows only."""
+    df = applicants(spark, sf).withColumn("safra", F.when(F.col("applicant_id") % 5 != 0, F.col("safra")))
+    return rounded(ratings.FittedRatings(ONE, None, "safra", "1996-01").report(df, "actual_default"))
+
+
+@query(f"""{APP}, q3 AS (SELECT list_transform(quantile_cont(score_5::DOUBLE, [0.0, 0.5, 1.0]), lambda x: round(x, 9)) AS e5, list_transform(quantile_cont(score_4::DOUBLE, [0.0, 0.5, 1.0]), lambda x: round(x, 9)) AS e4,
+list_transform(quantile_cont(legacy_score::DOUBLE, [0.0, 0.5, 1.0]), lambda x: round(x, 9)) AS el FROM a WHERE safra<'1996-01'),
+k AS (SELECT 'score_5_vs_score_4' AS pair, (score_5>=e5[2])::INT||'-'||(score_4>=e4[2])::INT AS key, * FROM a, q3 UNION ALL SELECT 'score_5_vs_legacy_score', (score_5>=e5[2])::INT||'-'||(legacy_score>=el[2])::INT, * FROM a, q3),
+c AS (SELECT pair, key, count(*)::BIGINT AS volume, sum(actual_default)::BIGINT AS bads FROM k WHERE safra<'1996-01' AND actual_default IS NOT NULL GROUP BY ALL),
+g AS (SELECT pair, key, 1 AS rating FROM c),
+p AS (SELECT k.pair, 'All' AS period, rating, actual_default AS d FROM k JOIN g USING (pair, key) UNION ALL SELECT k.pair, CASE WHEN safra<'1996-01' THEN 'Train' ELSE 'OOT' END, rating, actual_default FROM k JOIN g USING (pair, key))
+SELECT pair, period, rating::INTEGER AS rating, count(d)::BIGINT AS volume, round(avg(d),6) AS default_rate FROM p GROUP BY ALL""")
+def rating_pairwise_report(spark, sf):
+    """Pairs fitted before a date, reported by period; one group each, as the SQL has no merge."""
+    df = applicants(spark, sf)
+    pairs = ratings.fit_pairwise(df, "score_5", ["score_4", "legacy_score"], "actual_default", bins=2, max_groups=1, time="safra", oot_date="1996-01")
+    return rounded(pairs.report(df, "actual_default"))
 
 
 @query(f"{APP} SELECT applicant_id, 3-((score_5>=800)::INT+(score_5>=900)::INT) AS rating, CASE {_KEY} WHEN '0-0' THEN 2 WHEN '1-1' THEN 1 END AS rating_two FROM a")
@@ -566,6 +646,31 @@ def rating_matrix(spark, sf):
     return ratings.matrix(spark, replace(recipe, mapping={r["key"]: i for i, r in enumerate(cells, 1)}))
 
 
+REGIONS = {"ASIA": 0, "EUROPE": 50, "AFRICA": 100}
+
+
+def _cells(shift: int):
+    """A recipe of two scores for a region: 20 by 20 bins, rated 1 to 5 from high to low."""
+    breaks = tuple(float(x) for x in range(shift, 1001 + shift, 50))
+    return ratings.Recipe({"score_5": breaks, "score_4": breaks}, {f"{i}-{j}": 5 - min(4, (i + j) // 8) for i in range(20) for j in range(20) if (i + j) % 7})
+
+
+def _bin_sql(score: str) -> str:
+    return f"greatest(least(floor(({score}-shift)/50.0),19),0)::INTEGER"
+
+
+@query(f"""{APP}, r AS (SELECT *, CASE region {' '.join(f"WHEN '{k}' THEN {v}" for k, v in REGIONS.items())} END AS shift FROM a), b AS (SELECT *, {_bin_sql('score_5')} AS i, {_bin_sql('score_4')} AS j FROM r)
+SELECT applicant_id, CASE WHEN shift IS NOT NULL AND (i+j)%7<>0 THEN 5-least(4,(i+j)//8) END::INTEGER AS rating, CASE WHEN {PASS} THEN 'Approved' ELSE 'Rejected' END AS decision FROM b""")
+def segmented_matrix_scored(spark, sf):
+    """Cells of two scores by region, exported as production rules, imported, and joined as tables."""
+    rules = _folder(spark, "production")
+    policy = replace(BASE, stages=(filter_stage("cpf", "cpf_valido"), filter_stage("negativacao", "(vl_negativacao <= 1500)"), BASE.stages[2]))
+    save_text(spark, json.dumps(production.export_rules(policy, ratings.Segmented("region", {k: _cells(v) for k, v in REGIONS.items()}))), rules)
+    policy, rating = production.import_rules(load_text(spark, rules))
+    rows = ratings.rated(applicants(spark, sf), rating, "rating")
+    return evaluate.simulate(rows, policy, fitted=evaluate.Fitted()).select("applicant_id", "rating", F.when(F.col("approved_pre_rate") > 0, "Approved").otherwise("Rejected").alias("decision"))
+
+
 @query(f"{APP} SELECT applicant_id, CASE WHEN {BY_BAND} IS DISTINCT FROM 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS passed FROM a")
 def exclude_riskiest(spark, sf):
     df = applicants(spark, sf)

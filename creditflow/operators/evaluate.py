@@ -12,18 +12,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creditflow.functions.binning import BinnedMean, binned_means
+from creditflow.functions.binning import BinnedMean, binned_means, ranked
 from creditflow.functions.expressions import quoted, resolve, uniform
 from creditflow.operators.policy import Policy, clipped_or_null
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """What a policy learned from a table: calibrated rates by stage, baseline PD by score bin or by rating."""
+    """What a policy learned from a table: calibrated rates by stage, baseline PD by score bin or by rating, edges (score, id) of quantile stresses by number."""
 
     rates: dict[int, BinnedMean] = field(default_factory=dict)
     pd: BinnedMean = BinnedMean((), (), 0.0)
     pd_by_rating: dict[int, float] | None = None
+    stress: dict[int, tuple[tuple[float, int | str], ...]] = field(default_factory=dict)
 
 
 def calibrated_value(stage, df: DataFrame) -> Column | None:
@@ -52,7 +53,7 @@ def fit(df: DataFrame, policy: Policy, rating: Column | None = None) -> Fitted:
     and means of all calibrations come from that and are collected together.
     """
     score, default = policy.score_for_calibration(), quoted(policy.default).cast("double")
-    bins = policy.calibration_bins if isinstance(policy.calibration_bins, int) else list(policy.calibration_bins)
+    bins, least = policy.bins_and_least()
     values = {i: v for i, s in enumerate(policy.stages) if s.kind == "rate" and (v := calibrated_value(s, df)) is not None}
     old, keep = F.coalesce(quoted(policy.approved) == 1, F.lit(False)), quadrant(quoted(policy.approved), _hard(policy, df)) == "keep_in"
     narrow = df.select(
@@ -63,7 +64,7 @@ def fit(df: DataFrame, policy: Policy, rating: Column | None = None) -> Fitted:
     wanted = [binned_means(histogram.where("_old"), "_score", f"s_{i}", f"n_{i}", bins=bins, label=str(i), has_score=score is not None) for i in values]
     if rating is None:
         base = histogram if policy.calibration_base in ("global", "all", "dataset") else None
-        wanted.append(binned_means(histogram.where("_keep"), "_score", "s_pd", "n_pd", base, bins, 50 if isinstance(bins, int) else 5, "pd", score is not None))
+        wanted.append(binned_means(histogram.where("_keep"), "_score", "s_pd", "n_pd", base, bins, least, "pd", score is not None))
     else:
         by = histogram.where("_keep").groupBy(F.col("_rating").alias("bin")).agg(F.try_divide(F.sum("s_pd"), F.sum("n_pd")).alias("mean"), F.sum("n_pd").alias("n"))
         wanted.append(by.select(F.lit("pd").alias("label"), F.lit(None).cast("array<double>").alias("edges"), "bin", "mean", "n"))
@@ -73,11 +74,45 @@ def fit(df: DataFrame, policy: Policy, rating: Column | None = None) -> Fitted:
         histogram.unpersist()
     found = {label: [r for r in rows if r["label"] == label] for label in ("pd", *map(str, values))}
     rates = {i: BinnedMean.of(found[str(i)]) for i in values}
+    stress = swap_in_edges(df, policy)
     if rating is None:
-        return Fitted(rates, BinnedMean.of(found["pd"]))
+        return Fitted(rates, BinnedMean.of(found["pd"]), stress=stress)
     total = sum(r["n"] or 0 for r in found["pd"])
     mean = sum(r["mean"] * r["n"] for r in found["pd"] if r["n"]) / total if total else 0.0
-    return Fitted(rates, BinnedMean((), (), mean), {int(r["bin"]): r["mean"] for r in found["pd"] if r["bin"] is not None and r["mean"] is not None})
+    return Fitted(rates, BinnedMean((), (), mean), {int(r["bin"]): r["mean"] for r in found["pd"] if r["bin"] is not None and r["mean"] is not None}, stress)
+
+
+def edge_rows(rows: DataFrame, keys: list[str], score: str, tie: str, bins: int) -> DataFrame:
+    """keys and (score, tie) of the last row of each of ``bins`` equal bins but the highest, by score and then tie; rows without a score are in none."""
+    known = rows.select(*map(quoted, keys), quoted(score).cast("double").alias("_score"), quoted(tie).alias("_tie")).where("_score is not null")
+    placed = ranked(known, keys, "_score", "_tie")
+    last = [F.floor(F.lit(b) * (F.col("rank_total") - 1) / bins) + 1 for b in range(1, bins)]
+    edges = placed.withColumn("_edge", F.filter(F.array(*last), lambda r: r == F.col("rank"))).where(F.size("_edge") > 0)
+    # with fewer rows than bins one row ends several
+    return edges.select(*map(quoted, keys), F.explode("_edge").alias("_edge"), "_score", "_tie")
+
+
+def swap_in_edges(df: DataFrame, policy: Policy) -> dict[int, tuple[tuple[float, int | str], ...]]:
+    """Edges of each quantile stress over the policy's swap-ins."""
+    found = {}
+    for k, s in enumerate(policy.stresses):
+        if s.kind == "quantile":
+            swap = df.where(quadrant(quoted(policy.approved), _hard(policy, df)) == "swap_in")
+            edges = edge_rows(swap, [], s.score, policy.applicant_id, s.bins).collect()  # bins - 1 rows
+            found[k] = tuple(sorted((r["_score"], r["_tie"]) for r in edges))
+    return found
+
+
+def bin_by_edges(score: Column, tie: Column, edges: tuple[tuple[float, int | str], ...]) -> Column:
+    """How many edges lie below a row, by score and then tie; null without a score."""
+    above = [F.when((score > F.lit(float(e))) | ((score == F.lit(float(e))) & (tie > F.lit(t))), 1).otherwise(0) for e, t in edges]
+    return F.when(score.isNotNull(), sum(above, F.lit(0)))
+
+
+def stressed_pd(df: DataFrame, policy: Policy, pd: str, bins: dict[int, Column]) -> Column:
+    """The worst of all stresses of a PD column; bins: the row's bin of each quantile stress."""
+    each = [s.apply(df, pd, bins.get(k)) for k, s in enumerate(policy.stresses)]
+    return clipped_or_null(F.greatest(*each) if len(each) > 1 else each[0] if each else quoted(pd))
 
 
 def baseline_pd(policy: Policy, fitted: Fitted, rating: Column | None = None) -> Column:
@@ -122,14 +157,15 @@ def simulate(df: DataFrame, policy: Policy, method: str = "analytical", fitted:
     approval, pre = (so_far.cast("int"), (hard > 0).cast("int")) if stochastic else (so_far, hard)
     out = out.withColumns({"new_approval": approval, "approved_pre_rate": pre})
     out = out.withColumn("scenario", quadrant(quoted(policy.approved), F.col("approved_pre_rate")))
-    out = out.withColumn("_pd", baseline_pd(policy, fitted, rating))
-    stressed = [s.apply(out, "_pd") for s in policy.stresses]
-    worst = F.greatest(*stressed) if len(stressed) > 1 else stressed[0] if stressed else F.col("_pd")
-    new = clipped_or_null(worst)
+    pd = "_pd"
+    while pd in out.columns:  # a name that the input has not
+        pd += "_"
+    out = out.withColumn(pd, baseline_pd(policy, fitted, rating))
+    new = stressed_pd(out, policy, pd, {k: bin_by_edges(quoted(policy.stresses[k].score).cast("double"), quoted(policy.applicant_id), e) for k, e in fitted.stress.items()})
     if stochastic:
         new = F.when(uniform(f"{policy.seed}-default", quoted(policy.applicant_id)) < new, 1.0).otherwise(0.0)
     value = F.when(F.col("scenario") == "keep_in", quoted(policy.default).cast("double")).when(F.col("scenario") == "swap_in", new)
-    return out.withColumn("simulated_default", value).drop("_pd")
+    return out.withColumn("simulated_default", value).drop(pd)
 
 
 #: Input columns that a decision table leaves out, besides all that are named stage_<number>_... (fixed values).

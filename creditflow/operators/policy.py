@@ -77,7 +77,11 @@ STRESSES: dict[str, Callable[[DataFrame, str], Column]] = {}
 
 @dataclass(frozen=True)
 class Stress:
-    """``aggravation`` (factor, or a factor column if the table has it), ``monotonic`` (score, factor, baseline) or ``custom`` (function of frame and PD name, or "@" and its name in STRESSES)."""
+    """``aggravation`` (factor, or a factor column if the table has it), ``monotonic`` (score, factor, baseline), ``quantile`` (score, factor, bins) or ``custom`` (function of frame and PD name, or "@" and its name in STRESSES).
+
+    quantile multiplies the k-th of equal bins of the swap-ins, by score and then id, by
+    factor * k. Its edges are found with the other calibrations and then stay as they are.
+    """
 
     kind: str
     factor: float = 1.0
@@ -85,12 +89,16 @@ class Stress:
     score: str | None = None
     baseline: float = 0.0
     fn: Any = None
+    bins: int = 10
 
-    def apply(self, df: DataFrame, pd: str) -> Column:
+    def apply(self, df: DataFrame, pd: str, bin_: Column | None = None) -> Column:
+        """The stressed PD; bin_ is the row's bin (from 0) of a quantile stress."""
         if self.kind == "aggravation":
             return clipped_or_null(F.col(pd) * (quoted(self.column) if self.column in df.columns else F.lit(self.factor).cast("double")))
         if self.kind == "monotonic":
             return clipped_or_null(F.lit(float(self.baseline)) - quoted(self.score) / F.lit(1000.0) * F.lit(float(self.factor)))
+        if self.kind == "quantile":
+            return clipped_or_null(F.col(pd) * F.lit(float(self.factor)) * (1 + bin_))
         return clipped_or_null((STRESSES[self.fn[1:]] if isinstance(self.fn, str) else self.fn)(df, pd))
 
 
@@ -110,7 +118,7 @@ class Policy:
     stresses: tuple[Stress, ...] = ()
     rating: Any = None
     calibration_score: str | None = None
-    calibration_bins: int | tuple[float, ...] = 10
+    calibration_bins: int | tuple[float, ...] | None = None
     calibration_base: str = "keep_in"
     seed: int = 42
 
@@ -118,6 +126,11 @@ class Policy:
         if isinstance(self.score_cols, str):
             object.__setattr__(self, "score_cols", (self.score_cols,))
 
+    def bins_and_least(self) -> tuple[int | list[float], int]:
+        """The calibration's bins (a number or inner edges), and the keep-ins that it takes: 50 for the ten bins that stand where none are given, else 5."""
+        given = self.calibration_bins
+        return (10 if given is None else given if isinstance(given, int) else list(given)), (50 if given is None else 5)
+
     def with_stages(self, *stages: Stage) -> Policy:
         return replace(self, stages=(*self.stages, *stages))
 
@@ -168,6 +181,7 @@ def to_json(policy: Policy, rating_bands: list[dict] | None = None, clean: bool
 
 
 def from_json(text: str) -> tuple[Policy, list[dict]]:
+    """Policy and bands of ``to_json``'s text."""
     data = json.loads(text)
     roles = data.get("metadata") or {"applicant_id": "applicant_id", "score_cols": [], "approved": "approved", "default": "actual_default"}
     listed = lambda v: tuple(v) if isinstance(v, list) else v

@@ -7,7 +7,7 @@ on that small table, one group per segment or pair, in parallel.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,55 @@ def predict_by_segment(segment: str, recipes: dict[str, Recipe]) -> Column:
     return F.coalesce(*(F.when(quoted(segment) == s, r.predict()) for s, r in recipes.items()), F.lit(None).cast("int"))
 
 
+#: A row for each segment and score, and a row for each cell of a segment.
+BREAKS, CELLS = "segment string, position int, score string, breaks array<double>", "segment string, key string, rating int"
+#: Rows of breaks or cells that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_CELLS = 500_000
+
+
+def recipe_tables(spark, recipes: dict[str | None, Recipe]) -> tuple[DataFrame, DataFrame]:
+    """Recipes by segment (None: for all rows) as two tables, of breaks and of cells."""
+    breaks = [(seg, i, score, [float(x) for x in b]) for seg, r in recipes.items() for i, (score, b) in enumerate(r.breaks.items())]
+    cells = [(seg, k, int(g)) for seg, r in recipes.items() for k, g in r.mapping.items()]
+    return spark.createDataFrame(breaks, BREAKS), spark.createDataFrame(cells, CELLS)
+
+
+def recipes_from_tables(breaks: DataFrame, cells: DataFrame) -> dict[str | None, Recipe]:
+    """The recipes of two (small) tables."""
+    out: dict[str | None, Recipe] = {}
+    for r in sorted(breaks.collect(), key=lambda r: (r["segment"] or "", r["position"])):
+        out.setdefault(r["segment"], Recipe({}, {})).breaks[r["score"]] = tuple(r["breaks"])
+    for r in cells.collect():
+        out[r["segment"]].mapping[r["key"]] = r["rating"]
+    return out
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS else df
+
+
+def rate_by_recipe_table(df: DataFrame, breaks: DataFrame, cells: DataFrame, segment: str | None = None, name: str = "rating") -> DataFrame:
+    """df with a rating from tables of recipes: each row's bins by its segment's breaks, and the cell of their key by equality.
+
+    The plan has the scores in it, but no cell and no segment. Rows of an unknown
+    (or null) segment, and of a cell without a rating, get null; a null score is in the
+    top bin. Segments may use different scores of those in the table. It runs on a
+    stream as well.
+    """
+    scores = sorted(r["score"] for r in breaks.select("score").distinct().collect())  # columns of df
+    by_segment = breaks.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("position", "score", "breaks"))).alias("breaks"))
+    row = df.select(F.struct("*").alias("row"))  # whatever its columns are called
+    own = (lambda side: F.col("row").getField(segment).eqNullSafe(F.col(side)) & F.col(side).isNotNull()) if segment else (lambda side: F.col(side).isNull())
+    found = row.join(_few(by_segment), own("segment"), "left").drop("segment")
+    value = lambda b: F.coalesce(*(F.when(b["score"] == c, F.col("row").getField(c).cast("double")) for c in scores), F.lit(None).cast("double"))
+    inner = lambda b: F.slice(b["breaks"], F.lit(2), F.greatest(F.size(b["breaks"]) - 2, F.lit(0)))
+    place = lambda b: F.when(value(b).isNull(), F.size(inner(b))).otherwise(F.size(F.filter(inner(b), lambda e: e <= value(b))))
+    found = found.withColumn("key", F.array_join(F.transform("breaks", lambda b: place(b).cast("string")), "-")).drop("breaks")
+    cells = cells.select("segment", F.col("key").alias("cell"), F.col("rating").alias("found"))
+    found = found.join(_few(cells), own("segment") & (F.col("key") == F.col("cell")), "left")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != name), F.col("found").alias(name))
+
+
 def letter_number(letter: str) -> int:
     """A to E are 1 to 5; any other letter is 5."""
     return {"A": 1, "B": 2, "C": 3, "D": 4, "E": 5}.get(letter, 5)
@@ -63,6 +112,34 @@ def predict_by_bands(score: str, bands: list[tuple[str, float, float]]) -> Colum
     return F.coalesce(*cases, F.lit(None).cast("int"))
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Closed score bands (letter, least, greatest) of one score; the later band wins."""
+
+    score: str
+    bands: tuple[tuple[str, float, float], ...]
+
+    def predict(self) -> Column:
+        return predict_by_bands(self.score, list(self.bands)) if self.bands else F.lit(None).cast("int")
+
+
+@dataclass(frozen=True)
+class Segmented:
+    """A rating of its own (Recipe or Bands) for each value of a column."""
+
+    segment: str
+    parts: dict[str, Recipe | Bands]
+
+
+def rated(df: DataFrame, rating: Recipe | Bands | Segmented | None, name: str) -> DataFrame:
+    """df with the rating (null where there is none) in column ``name``; recipes by segment are joined as tables."""
+    if not isinstance(rating, Segmented):
+        return df.withColumn(name, F.lit(None).cast("int") if rating is None else rating.predict())
+    if all(isinstance(p, Recipe) for p in rating.parts.values()):
+        return rate_by_recipe_table(df, *recipe_tables(df.sparkSession, rating.parts), rating.segment, name)
+    return df.withColumn(name, predict_by_segment(rating.segment, rating.parts))
+
+
 def rate_by_band_table(df: DataFrame, score: str, bands: DataFrame, segment: str | None = None) -> DataFrame:
     """df with rating, from a band table (segment, rating, min_score, max_score) by equality and range; no band: null.
 
@@ -122,16 +199,33 @@ def breaks_of(df: DataFrame, scores: list[str], bins: int) -> dict[str, tuple[fl
 class FittedRatings:
     recipe: Recipe
     bins: DataFrame  # key, volume, bads, rating
+    time: str | None = None
+    oot_date: str | None = None
 
-    def report(self, df: DataFrame, default: str, train: Column) -> DataFrame:
-        """Volume and default rate by period and rating; rows without a rating are left out."""
-        period = F.when(train, "Train").otherwise("OOT")
-        rows = df.select(period.alias("period"), self.recipe.predict().alias("rating"), F.col(default).cast("double").alias("d"))
-        return rows.where("rating is not null").groupBy("period", "rating").agg(F.count("d").alias("volume"), F.avg("d").alias("default_rate"))
+    def report(self, df: DataFrame, default: str, train: Column | None = None) -> DataFrame:
+        """Volume and default rate by period (Train, OOT, and All over both) and rating.
 
+        The periods meet at oot_date, unless ``train`` tells them apart; rows for which that
+        is unknown (no month) are in All only. Rows without a rating are left out.
+        """
+        train = train_flag(self.time, self.oot_date) if train is None else train
+        return period_report(df.select(self.recipe.predict().alias("rating"), F.col(default).cast("double").alias("d"), train.alias("train")), [])
 
-def fit_ratings(df: DataFrame, scores: list[str], default: str, bins: int = 20, max_groups: int = 5, min_vol_ratio: float = 0.05, max_crossings: int = 1, time: str | None = None, method: str = "ward", oot_date: str | None = None) -> FittedRatings:
-    """Ratings from quantile bins of one score or several, on rows before oot_date."""
+
+def train_flag(time: str | None, oot_date: str | None) -> Column:
+    """Whether a row is older than oot_date; null without either."""
+    return quoted(time) < oot_date if time and oot_date else F.lit(None).cast("boolean")
+
+
+def period_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, period, rating, volume, default_rate of rows with rating, d (default) and train (null: of no period)."""
+    periods = F.array_compact(F.array(F.lit("All"), F.when(F.col("train"), "Train").when(~F.col("train"), "OOT")))
+    rows = rows.where("rating is not null").select(*keys, "rating", "d", F.explode(periods).alias("period"))
+    return rows.groupBy(*keys, "period", "rating").agg(F.count("d").alias("volume"), F.avg("d").alias("default_rate"))
+
+
+def _training_rows(df: DataFrame, scores: list[str], default: str, bins: int, max_groups: int, time: str | None, oot_date: str | None) -> DataFrame:
+    """The rows before oot_date, after the arguments are checked."""
     if max_groups > bins:
         raise ValueError("max_groups exceeds bins")
     if missing := {*scores, default, *([time] if time else [])} - set(df.columns):
@@ -139,19 +233,63 @@ def fit_ratings(df: DataFrame, scores: list[str], default: str, bins: int = 20,
     train = df.where(F.col(time) < oot_date) if time and oot_date else df
     if train.isEmpty():
         raise ValueError("no training rows")
+    return train
+
+
+def fit_ratings(df: DataFrame, scores: list[str], default: str, bins: int = 20, max_groups: int = 5, min_vol_ratio: float = 0.05, max_crossings: int = 1, time: str | None = None, method: str = "ward", oot_date: str | None = None) -> FittedRatings:
+    """Ratings from quantile bins of one score or several, on rows before oot_date."""
+    train = _training_rows(df, scores, default, bins, max_groups, time, oot_date)
     recipe = Recipe(breaks_of(train, scores, bins), {})
     groups = fit_groups(micro_bins(train, recipe, default, time), len(scores) == 1, max_groups, min_vol_ratio, max_crossings, method)
     rows = groups.collect()  # bins ** scores rows at most
-    return FittedRatings(Recipe(recipe.breaks, {r["key"]: r["rating"] for r in rows}), groups)
+    return FittedRatings(Recipe(recipe.breaks, {r["key"]: r["rating"] for r in rows}), groups, time, oot_date)
+
+
+@dataclass(frozen=True)
+class FittedPairs:
+    """Two-score fits, a pair each: ``bins`` (pair, key, volume, bads, rating) and their breaks."""
+
+    primary: str
+    breaks: dict[str, tuple[float, ...]]
+    challengers: tuple[str, ...]
+    bins: DataFrame
+    time: str | None
+    oot_date: str | None
+
+    def pair(self, challenger: str) -> str:
+        return f"{self.primary}_vs_{challenger}"
+
+    def _keys(self) -> list[Column]:
+        return [F.struct(F.lit(self.pair(c)).alias("pair"), Recipe({s: self.breaks[s] for s in (self.primary, c)}, {}).key().alias("key")) for c in self.challengers]
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """The recipes of all pairs as ``recipe_tables`` has them, the pair in place of the segment."""
+        rows = [(self.pair(c), i, s, list(self.breaks[s])) for c in self.challengers for i, s in enumerate((self.primary, c))]
+        return self.bins.sparkSession.createDataFrame(rows, BREAKS), self.bins.select(F.col("pair").alias("segment"), "key", "rating")
+
+    def recipe(self, challenger: str) -> Recipe:
+        cells = self.bins.where(F.col("pair") == self.pair(challenger)).collect()  # bins ** 2 rows at most
+        return Recipe({s: self.breaks[s] for s in (self.primary, challenger)}, {r["key"]: r["rating"] for r in cells})
+
+    def predict(self, df: DataFrame, id_col: str) -> DataFrame:
+        """id, pair, rating: every row once for each pair."""
+        rows = df.select(quoted(id_col), F.explode(F.array(*self._keys())).alias("k"))
+        return rows.join(_few(self.bins.select("pair", "key", "rating")), (F.col("k.pair") == F.col("pair")) & (F.col("k.key") == F.col("key")), "left").select(quoted(id_col), F.col("k.pair").alias("pair"), "rating")
+
+    def report(self, df: DataFrame, default: str) -> DataFrame:
+        """pair, period, rating, volume, default_rate; see ``period_report``."""
+        rows = df.select(F.explode(F.array(*self._keys())).alias("k"), F.col(default).cast("double").alias("d"), train_flag(self.time, self.oot_date).alias("train"))
+        rated = rows.join(_few(self.bins.select("pair", "key", "rating")), (F.col("k.pair") == F.col("pair")) & (F.col("k.key") == F.col("key")))
+        return period_report(rated, ["pair"])
 
 
-def fit_pairwise(df: DataFrame, primary: str, challengers: list[str], default: str, bins: int = 10, time: str | None = None, **options) -> DataFrame:
-    """One two-score fit for each challenger, all in one pass: pair, key, volume, bads, rating."""
-    breaks = breaks_of(df, [primary, *challengers], bins)
-    keys = [F.struct(F.lit(f"{primary}_vs_{c}").alias("pair"), Recipe({primary: breaks[primary], c: breaks[c]}, {}).key().alias("key")) for c in challengers]
-    rows = df.where(F.col(default).isNotNull()).select(F.explode(F.array(*keys)).alias("k"), *([F.col(time).alias("month")] if time else []), F.col(default).cast("bigint").alias("d"))
-    bins_ = rows.groupBy("k.pair", "k.key", *(["month"] if time else [])).agg(F.count(F.lit(1)).alias("volume"), F.sum("d").alias("bads"))
-    return fit_groups(bins_, False, keys=["pair"], **options)
+def fit_pairwise(df: DataFrame, primary: str, challengers: list[str], default: str, bins: int = 10, time: str | None = None, oot_date: str | None = None, max_groups: int = 5, **options) -> FittedPairs:
+    """One two-score fit for each challenger on the rows before oot_date: all breaks in one pass, all cells in another, a merge for each pair."""
+    train = _training_rows(df, [primary, *challengers], default, bins, max_groups, time, oot_date)
+    fitted = FittedPairs(primary, breaks_of(train, [primary, *challengers], bins), tuple(challengers), train, time, oot_date)
+    rows = train.where(F.col(default).isNotNull()).select(F.explode(F.array(*fitted._keys())).alias("k"), *([F.col(time).alias("month")] if time else []), F.col(default).cast("bigint").alias("d"))
+    cells = rows.groupBy("k.pair", "k.key", *(["month"] if time else [])).agg(F.count(F.lit(1)).alias("volume"), F.sum("d").alias("bads"))
+    return replace(fitted, bins=fit_groups(cells, False, max_groups, keys=["pair"], **options))
 
 
 def relabel(df: DataFrame, rating: Column, default: str) -> DataFrame:
@@ -162,9 +300,9 @@ def relabel(df: DataFrame, rating: Column, default: str) -> DataFrame:
 
 
 def bands(spark, recipes: dict[str, Recipe], score: str, top: int = 1000) -> DataFrame:
-    """Score bands of one-score recipes by segment: least and greatest whole score of each rating (E without a mapping)."""
+    """Score bands of one-score recipes by segment: least and greatest whole score of each rating (E without a mapping, and for the fifth group and all beyond it)."""
     scores = spark.range(0, top + 1).select(F.col("id").cast("double").alias(score))
-    parts = [scores.select(F.lit(s).alias("segment"), letter(F.coalesce(r.predict(), F.lit(5))).alias("rating"), score) for s, r in recipes.items()]
+    parts = [scores.select(F.lit(s).alias("segment"), letter(F.least(F.coalesce(r.predict(), F.lit(5)), F.lit(5))).alias("rating"), score) for s, r in recipes.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

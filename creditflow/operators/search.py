@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from creditflow.functions.binning import inner_edges, quantile_edges, quantiles
 from creditflow.functions.expressions import all_of, quoted, uniform
 from creditflow.functions.order import running
-from creditflow.operators.evaluate import fit, simulate
-from creditflow.operators.policy import Policy, Stress, clipped_or_null, cutoff_stage
+from creditflow.operators.evaluate import edge_rows, fit, simulate, stressed_pd
+from creditflow.operators.policy import Policy, Stress, cutoff_stage
 
 #: Cells of an analytical grid, and combinations of a grid that meets rows.
 MAX_CELLS, MAX_POINTS = 5_000_000, 100_000
@@ -135,7 +135,7 @@ def _points(df: DataFrame, params: dict[str, list[float]]) -> DataFrame:
 
 def _with_pd(full: DataFrame, keep: Column, policy: Policy) -> DataFrame:
     """full (rows of weight _n, with _nd known defaults and _bad bads, for each combination_id) with _pd, calibrated on each combination's keep rows."""
-    name, bins = policy.score_for_calibration(), policy.calibration_bins
+    name, (bins, least) = policy.score_for_calibration(), policy.bins_and_least()
     score = quoted(name).cast("double") if name else F.lit(None).cast("double")
     in_keep = lambda c: F.sum(F.when(keep, F.col(c)))
     some = [in_keep("_n").alias("_k"), F.coalesce(F.try_divide(in_keep("_bad"), in_keep("_nd")), F.lit(0.0)).alias("_mean")]
@@ -148,14 +148,20 @@ def _with_pd(full: DataFrame, keep: Column, policy: Policy) -> DataFrame:
         fits = full.groupBy("combination_id").agg(*some).withColumn("_inner", F.array(*(F.lit(float(e)) for e in bins)))
     binned = full.join(F.broadcast(fits), "combination_id").withColumn("_bin", F.when(score.isNotNull(), F.size(F.filter("_inner", lambda e: e < score))))
     means = binned.where(keep).groupBy("combination_id", "_bin").agg(F.try_divide(F.sum("_bad"), F.sum("_nd")).alias("_m"))
-    least = 50 if isinstance(bins, int) else 5
     joined = binned.join(F.broadcast(means), ["combination_id", "_bin"], "left")
     return joined.withColumn("_pd", F.when((F.col("_k") >= least) & F.lit(name is not None), F.coalesce("_m", "_mean")).otherwise(F.col("_mean")))
 
 
-def _stressed(df: DataFrame, policy: Policy) -> Column:
-    all_ = [s.apply(df, "_pd") for s in policy.stresses]
-    return clipped_or_null(F.greatest(*all_) if len(all_) > 1 else all_[0] if all_ else F.col("_pd"))
+def _stressed(full: DataFrame, swap: Column, policy: Policy) -> tuple[DataFrame, Column]:
+    """full with what quantile stresses need, and the stressed ``_pd``; their bins are those of each combination's swap-ins."""
+    bins = {}
+    for k, s in enumerate(policy.stresses):
+        if s.kind == "quantile":
+            edges = edge_rows(full.where(swap), ["combination_id"], s.score, policy.applicant_id, s.bins).groupBy("combination_id").agg(F.array_sort(F.collect_list(F.struct("_score", "_tie"))).alias(f"_edges{k}"))
+            full = full.join(F.broadcast(edges), "combination_id", "left")  # a row for each combination
+            own = F.struct(quoted(s.score).cast("double").alias("_score"), quoted(policy.applicant_id).alias("_tie"))
+            bins[k] = F.when(quoted(s.score).isNotNull(), F.size(F.filter(f"_edges{k}", lambda e, own=own: e < own)))
+    return full, stressed_pd(full, policy, "_pd", bins)
 
 
 def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float]]) -> DataFrame:
@@ -169,6 +175,7 @@ def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float
     sim = simulate(df, policy, "stochastic")
     default = quoted(policy.default).cast("double")
     read = {policy.calibration_score, *cutoffs, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)}
+    read |= {policy.applicant_id} if any(s.kind == "quantile" for s in policy.stresses) else set()
     kept = [F.col("*")] if any(s.kind == "custom" for s in policy.stresses) else [quoted(c) for c in sorted(read)] + [F.col("new_approval"), F.col("approved_pre_rate")]
     rows = sim.select(
         *kept, F.coalesce(quoted(policy.approved), F.lit(0)).alias("_old"), F.lit(1).alias("_n"), default.isNotNull().cast("int").alias("_nd"),
@@ -176,8 +183,9 @@ def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float
     full = rows.crossJoin(F.broadcast(_points(df, cutoffs)))
     ok = all_of([F.coalesce(quoted(c) >= F.col(f"_v{j}"), F.lit(False)) for j, c in enumerate(cutoffs)])
     full = _with_pd(full, ok & (F.col("approved_pre_rate") > 0) & (F.col("_old") > 0), policy)
+    full, stressed = _stressed(full, ok & (F.col("approved_pre_rate") > 0) & (F.col("_old") <= 0), policy)
     took = F.when(ok, F.col("new_approval")).otherwise(0).cast("double")
-    bad = F.when(F.col("_old") > 0, F.col("_bad")).otherwise((F.col("_draw") < _stressed(full, policy)).cast("double"))
+    bad = F.when(F.col("_old") > 0, F.col("_bad")).otherwise((F.col("_draw") < stressed).cast("double"))
     out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(cutoffs)))).agg(F.avg(took).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(took * bad), F.sum(took)), F.lit(0.0)).alias("default_rate"))
     return out.select("combination_id", *(F.col(f"_v{j}").alias(c) for j, c in enumerate(cutoffs)), "approval_rate", "default_rate")
 
@@ -207,7 +215,8 @@ def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> D
 
     One plan for any grid: the policy's parameters are columns of the (small,
     broadcast) table of points, which meets a histogram of all that the evaluation
-    reads. A custom stress may read any column; with one, the points meet the rows.
+    reads. A custom stress may read any column, and a quantile stress tells rows of one
+    score apart; with either, the points meet the rows.
     """
     points = _points(df, params)
     for j, name in enumerate(params):
@@ -215,8 +224,8 @@ def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> D
     full = _weighted(df, policy).crossJoin(F.broadcast(points))
     new = F.col("_fixed") & all_of([s.passes(full) > 0 for s in policy.stages if s.kind == "cutoff"])
     keep, swap = new & (F.col("_old") > 0), new & (F.col("_old") <= 0)
-    full = _with_pd(full, keep, policy)
-    bad = F.sum(F.when(keep, F.col("_bad")).when(swap, _stressed(full, policy) * F.col("_n")).otherwise(0.0))
+    full, stressed = _stressed(_with_pd(full, keep, policy), swap, policy)
+    bad = F.sum(F.when(keep, F.col("_bad")).when(swap, stressed * F.col("_n")).otherwise(0.0))
     took = F.sum(F.when(new, F.col("_n")).otherwise(0).cast("double"))
     out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(params)))).agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))
     return out.select("combination_id", *(F.col(f"_v{j}").alias(n.replace(":", "_")) for j, n in enumerate(params)), "approval_rate", "default_rate")
@@ -226,7 +235,7 @@ def _weighted(df: DataFrame, p: Policy) -> DataFrame:
     """Filters and cutoffs by segment (_fixed) and past decision (_old) with the columns that cutoffs, calibration and stress read, and counts; rows with a custom stress."""
     fixed = all_of([s.passes(df) > 0 for s in p.stages if s.kind in ("filter", "segment")])
     old, default = F.coalesce(quoted(p.approved), F.lit(0)), quoted(p.default).cast("double")
-    if any(s.kind == "custom" for s in p.stresses):
+    if any(s.kind in ("custom", "quantile") for s in p.stresses):
         return df.withColumns({"_fixed": fixed, "_old": old, "_n": F.lit(1), "_nd": default.isNotNull().cast("int"), "_bad": F.coalesce(default, F.lit(0.0))})
     cutoffs = [c for s in p.stages if s.kind == "cutoff" for c in s.cutoffs]
     stress = [c for s in p.stresses for c in ([s.score] if s.kind == "monotonic" else [s.column] if s.column in df.columns else [])]

@@ -13,6 +13,12 @@ def read_applications(spark: SparkSession, path: str, columns: list[str] | None
     return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating}) if floating else df
 
 
-def write_decisions(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
-    """One folder for each value of ``by``; rows of a value are brought together first, split where one is large."""
-    df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
+def write_decisions(df: DataFrame, path: str, by: str, batch_id: str | None = None) -> None:
+    """One folder for each value of ``by``; rows of a value are brought together first, split where one is large.
+
+    The values that df has replace what the table holds of them, and all others stay, so
+    that a month may be written again. batch_id, if given, is kept in a column of that
+    name and says which run wrote the rows. The first batch may be empty.
+    """
+    rows = df if batch_id is None else df.withColumn("batch_id", F.lit(batch_id))
+    rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
