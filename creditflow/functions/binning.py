@@ -18,15 +18,21 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float],
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(n.alias("_n")).where("_n > 0")
-    ranks = lambda all_: [f(F.lit(float(p)) * (all_ - 1)) for p in points for f in (F.floor, F.ceil)]
-    holds = lambda low, high, all_: reduce(lambda a, b: a | b, ((r >= low) & (r < high) for r in ranks(all_)))
+    asked = F.array(*(F.lit(float(p)) for p in points))
+    rank = lambda p, all_: p * (all_ - 1)
+    within = lambda r, low, high: (r >= low) & (r < high)
+    holds = lambda low, high, all_: F.exists(asked, lambda p: within(F.floor(rank(p, all_)), low, high) | within(F.ceil(rank(p, all_)), low, high))
     counts = running(counts, keys, ["_v"], ["_n"], wanted=holds).withColumnsRenamed({"_n_to": "_to", "_n_all": "_all"})
     some = counts.where(holds(F.col("_to") - F.col("_n"), F.col("_to"), F.col("_all")))
     found = some.groupBy(*keys, "_all").agg(F.collect_list(F.struct("_v", "_n", "_to")).alias("_some"))
-    rank = [F.lit(float(p)) * (F.col("_all") - 1) for p in points]
-    pick = lambda r: F.filter("_some", lambda x: (r < x["_to"]) & (r >= x["_to"] - x["_n"]))[0]["_v"]
-    low, high = [pick(F.floor(r)) for r in rank], [pick(F.ceil(r)) for r in rank]
-    return found.select(*keys, F.array(*(F.round(a + (r - F.floor(r)) * (b - a), 9) for r, a, b in zip(rank, low, high, strict=True))).alias("edges"))
+    pick = lambda r: F.filter("_some", lambda x: within(r, x["_to"] - x["_n"], x["_to"]))[0]["_v"]
+
+    def between(p: Column) -> Column:
+        r = rank(p, F.col("_all"))
+        low = pick(F.floor(r))
+        return F.round(low + (r - F.floor(r)) * (pick(F.ceil(r)) - low), 9)
+
+    return found.select(*keys, F.transform(asked, between).alias("edges"))
 
 
 def quantile_edges(df: DataFrame, columns: list[str], points: list[float]) -> dict[str, list[float]]:

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from creditflow.functions import sketches
 from creditflow.functions.binning import equal_width_edges, left_bin, position_bin, quantiles, rank_bin, ranked, right_bin
 from creditflow.functions.expressions import ratio, true
 from creditflow.operators import bundle, deploy, evaluate, models, production, ratings, reports, screening, search
@@ -677,6 +678,24 @@ def exclude_riskiest(spark, sf):
     return df.select("applicant_id", filter_stage("not C", ratings.not_rating(RATING(), 3)).passes(df).alias("passed"))
 
 
+_SKETCHED = ("score_5", "income")
+
+
+@query(f"{APP}, l AS ({' UNION ALL '.join(f"SELECT '{c}' AS variable, {c}::DOUBLE AS v FROM a WHERE {c} IS NOT NULL AND substr(safra,1,4) BETWEEN '1994' AND '1996'" for c in _SKETCHED)}) SELECT variable, count(*)::BIGINT AS n, unnest([0.0,0.1,0.5,0.9,1.0]::DOUBLE[]) AS point, true AS within FROM l GROUP BY variable")
+def sketched_quantiles(spark, sf):
+    """Quantiles of three years from kept sketches by year: whether the exact rank of each lies within the stated error."""
+    df, path = applicants(spark, sf).withColumn("year", F.substring("safra", 1, 4)), _folder(spark, "sketches")
+    sketches.keep(sketches.sketch(df, list(_SKETCHED), F.col("year")), path)
+    points = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = sketches.quantiles(sketches.kept(spark, path).where("vintage between '1994' and '1996'"), points)
+    edges = found.select("variable", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, points)).alias("point"), F.col("edges").alias("edge"))).alias("e")).select("variable", "n", "e.*")
+    rows = models.unpivoted(df.where("year between '1994' and '1996'"), list(_SKETCHED), [], "variable", "value").where("value is not null")
+    ranks = rows.join(F.broadcast(edges), "variable").groupBy("variable", "n", "point", "edge")  # ten edges
+    shares = ranks.agg(F.avg((F.col("value") < F.col("edge")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("edge")).cast("double")).alias("up_to"))
+    error = sketches.rank_error()
+    return shares.select("variable", "n", "point", ((F.col("below") - error <= F.col("point")) & (F.col("point") <= F.col("up_to") + error)).alias("within"))
+
+
 # --- screening ------------------------------------------------------------------
 
 CANDIDATES = ["income", "age", "vl_negativacao"]

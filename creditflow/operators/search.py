@@ -21,6 +21,8 @@ from creditflow.operators.policy import Policy, Stress, cutoff_stage
 
 #: Cells of an analytical grid, and combinations of a grid that meets rows.
 MAX_CELLS, MAX_POINTS = 5_000_000, 100_000
+#: Equal ranges of a draw.
+DRAWS = 256
 
 
 def cutoff_ranges(df: DataFrame, scores: list[str], steps: int = 10, percentiles: tuple[float, float] | None = (0.05, 0.95)) -> dict[str, list[float]]:
@@ -133,17 +135,26 @@ def _points(df: DataFrame, params: dict[str, list[float]]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ", ".join(["combination_id int", *(f"_v{j} double" for j in range(len(params)))]))
 
 
-def _with_pd(full: DataFrame, keep: Column, policy: Policy) -> DataFrame:
-    """full (rows of weight _n, with _nd known defaults and _bad bads, for each combination_id) with _pd, calibrated on each combination's keep rows."""
+def _with_pd(full: DataFrame, keep: Column, policy: Policy, every: DataFrame | None = None) -> DataFrame:
+    """full (rows of weight _n, with _nd known defaults and _bad bads, for each combination_id) with _pd, calibrated on each combination's keep rows.
+
+    every has all rows of the table, if full has only those that a combination takes.
+    """
     name, (bins, least) = policy.score_for_calibration(), policy.bins_and_least()
     score = quoted(name).cast("double") if name else F.lit(None).cast("double")
     in_keep = lambda c: F.sum(F.when(keep, F.col(c)))
     some = [in_keep("_n").alias("_k"), F.coalesce(F.try_divide(in_keep("_bad"), in_keep("_nd")), F.lit(0.0)).alias("_mean")]
     none = F.array().cast("array<double>")
     if isinstance(bins, int):
-        base = full if policy.calibration_base in ("global", "all", "dataset") else full.where(keep)
-        edges = quantiles(base.withColumn("_score", score), ["combination_id"], "_score", [i / bins for i in range(bins + 1)], "_n")
-        fits = full.groupBy("combination_id").agg(*some).join(edges, "combination_id", "left").withColumn("_inner", F.coalesce(inner_edges(F.col("edges")), none)).drop("edges")
+        points = [i / bins for i in range(bins + 1)]
+        wide = policy.calibration_base in ("global", "all", "dataset")
+        if wide and every is not None:
+            edges = quantiles(every.withColumn("_score", score), [], "_score", points, "_n")
+            fits = full.groupBy("combination_id").agg(*some).join(F.broadcast(edges), F.lit(True), "left")  # one row
+        else:
+            edges = quantiles((full if wide else full.where(keep)).withColumn("_score", score), ["combination_id"], "_score", points, "_n")
+            fits = full.groupBy("combination_id").agg(*some).join(edges, "combination_id", "left")
+        fits = fits.withColumn("_inner", F.coalesce(inner_edges(F.col("edges")), none)).drop("edges")
     else:
         fits = full.groupBy("combination_id").agg(*some).withColumn("_inner", F.array(*(F.lit(float(e)) for e in bins)))
     binned = full.join(F.broadcast(fits), "combination_id").withColumn("_bin", F.when(score.isNotNull(), F.size(F.filter("_inner", lambda e: e < score))))
@@ -152,6 +163,10 @@ def _with_pd(full: DataFrame, keep: Column, policy: Policy) -> DataFrame:
     return joined.withColumn("_pd", F.when((F.col("_k") >= least) & F.lit(name is not None), F.coalesce("_m", "_mean")).otherwise(F.col("_mean")))
 
 
+def _edges_below(edges: str, row: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < row))
+
+
 def _stressed(full: DataFrame, swap: Column, policy: Policy) -> tuple[DataFrame, Column]:
     """full with what quantile stresses need, and the stressed ``_pd``; their bins are those of each combination's swap-ins."""
     bins = {}
@@ -159,35 +174,81 @@ def _stressed(full: DataFrame, swap: Column, policy: Policy) -> tuple[DataFrame,
         if s.kind == "quantile":
             edges = edge_rows(full.where(swap), ["combination_id"], s.score, policy.applicant_id, s.bins).groupBy("combination_id").agg(F.array_sort(F.collect_list(F.struct("_score", "_tie"))).alias(f"_edges{k}"))
             full = full.join(F.broadcast(edges), "combination_id", "left")  # a row for each combination
-            own = F.struct(quoted(s.score).cast("double").alias("_score"), quoted(policy.applicant_id).alias("_tie"))
-            bins[k] = F.when(quoted(s.score).isNotNull(), F.size(F.filter(f"_edges{k}", lambda e, own=own: e < own)))
+            bins[k] = F.when(quoted(s.score).isNotNull(), _edges_below(f"_edges{k}", F.struct(quoted(s.score).cast("double").alias("_score"), quoted(policy.applicant_id).alias("_tie"))))
     return full, stressed_pd(full, policy, "_pd", bins)
 
 
 def grid_stochastic(df: DataFrame, policy: Policy, cutoffs: dict[str, list[float]]) -> DataFrame:
-    """Full stochastic evaluation of each combination, put before the policy's own stages, which all stay; one plan: rows meet the (small, broadcast) grid.
+    """Full stochastic evaluation of each combination, put before the policy's own stages, which all stay.
 
     Default rates are calibrated anew on each combination's keep-ins. The draws of a
-    row do not depend on the combination, so the curves are smooth.
+    row do not depend on the combination, so the curves are smooth. Rows are summed by
+    the cutoffs that they reach, scores, and ``DRAWS`` equal ranges of their draw: below
+    a combination's default rate a range counts whole, and only the rows of the
+    range that holds the rate are compared one by one. With a custom or quantile stress
+    the points (MAX_POINTS at most, broadcast) meet the rows.
     """
     named = policy.calibration_score or any(s.kind in ("cutoff", "segment") for s in policy.stages)
     policy = replace(policy, calibration_score=policy.score_for_calibration() if named else list(cutoffs)[-1])
-    sim = simulate(df, policy, "stochastic")
-    default = quoted(policy.default).cast("double")
-    read = {policy.calibration_score, *cutoffs, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)}
+    points = _points(df, cutoffs)
+    whole = any(s.kind in ("custom", "quantile") for s in policy.stresses)
+    out = (_stochastic_rows if whole else _stochastic_sums)(df, policy, points, cutoffs)
+    return out.select("combination_id", *(F.col(f"_v{j}").alias(c) for j, c in enumerate(cutoffs)), "approval_rate", "default_rate")
+
+
+def _drawn(df: DataFrame, policy: Policy, more: list[str]) -> DataFrame:
+    """The evaluated rows with what the grid reads: scores and columns of stress, past decision, default, draw."""
+    sim, default = simulate(df, policy, "stochastic"), quoted(policy.default).cast("double")
+    read = {policy.calibration_score, *more, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)}
     read |= {policy.applicant_id} if any(s.kind == "quantile" for s in policy.stresses) else set()
     kept = [F.col("*")] if any(s.kind == "custom" for s in policy.stresses) else [quoted(c) for c in sorted(read)] + [F.col("new_approval"), F.col("approved_pre_rate")]
-    rows = sim.select(
+    return sim.select(
         *kept, F.coalesce(quoted(policy.approved), F.lit(0)).alias("_old"), F.lit(1).alias("_n"), default.isNotNull().cast("int").alias("_nd"),
         F.coalesce(default, F.lit(0.0)).alias("_bad"), uniform(f"{policy.seed}-default", quoted(policy.applicant_id)).alias("_draw"))
-    full = rows.crossJoin(F.broadcast(_points(df, cutoffs)))
+
+
+def _stochastic_rows(df: DataFrame, policy: Policy, points: DataFrame, cutoffs: dict[str, list[float]]) -> DataFrame:
+    full = _drawn(df, policy, list(cutoffs)).crossJoin(F.broadcast(points))
     ok = all_of([F.coalesce(quoted(c) >= F.col(f"_v{j}"), F.lit(False)) for j, c in enumerate(cutoffs)])
     full = _with_pd(full, ok & (F.col("approved_pre_rate") > 0) & (F.col("_old") > 0), policy)
     full, stressed = _stressed(full, ok & (F.col("approved_pre_rate") > 0) & (F.col("_old") <= 0), policy)
     took = F.when(ok, F.col("new_approval")).otherwise(0).cast("double")
     bad = F.when(F.col("_old") > 0, F.col("_bad")).otherwise((F.col("_draw") < stressed).cast("double"))
-    out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(cutoffs)))).agg(F.avg(took).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(took * bad), F.sum(took)), F.lit(0.0)).alias("default_rate"))
-    return out.select("combination_id", *(F.col(f"_v{j}").alias(c) for j, c in enumerate(cutoffs)), "approval_rate", "default_rate")
+    return full.groupBy(*points.columns).agg(F.avg(took).alias("approval_rate"), F.coalesce(F.try_divide(F.sum(took * bad), F.sum(took)), F.lit(0.0)).alias("default_rate"))
+
+
+def _stochastic_sums(df: DataFrame, policy: Policy, points: DataFrame, cutoffs: dict[str, list[float]]) -> DataFrame:
+    rows = _drawn(df, policy, list(cutoffs))
+
+    def reached(score: str, values: list[float]) -> Column:
+        value = F.array(*(F.lit(float(v)) for v in values))
+        return F.filter(F.sequence(F.lit(0), F.lit(len(values) - 1)), lambda i: F.coalesce(quoted(score) >= F.get(value, i), F.lit(False)))
+
+    places = {f"_v{j}": reached(c, v) for j, (c, v) in enumerate(cutoffs.items())}
+    read = sorted({policy.calibration_score, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)})
+    kept = F.col("_old") > 0
+    # keep-ins calibrate whether they were hired or not; swap-ins count if they were drawn
+    some = rows.where((F.col("approved_pre_rate") > 0) & (kept | (F.col("new_approval") > 0))).select(
+        *map(quoted, read), kept.alias("_kept"), F.when(~kept, F.floor(F.col("_draw") * DRAWS).cast("int")).alias("_range"), "_draw", F.col("new_approval").alias("_take"), "_n",
+        F.when(kept, F.col("_nd")).otherwise(0).alias("_nd"), F.when(kept, F.col("_bad")).otherwise(0.0).alias("_bad"), *(c.alias(k) for k, c in places.items()),
+    )
+    sums = ["_n", "_nd", "_bad", "_took", "_lost"]
+    cells = some.withColumns({"_took": F.when(F.col("_kept"), F.col("_take")).otherwise(F.col("_n")).cast("double"), "_lost": F.col("_bad") * F.col("_take")})
+    cells = cells.groupBy(*map(quoted, read), "_kept", "_range", *places).agg(*(F.sum(c).alias(c) for c in sums))
+    full = _with_pd(_by_sets(cells, [*read, "_kept", "_range"], list(places), sums), F.col("_kept"), policy, rows)
+    full, stressed = _stressed(full, ~F.col("_kept"), policy)
+    full = full.withColumn("_rate", stressed).withColumn("_at", F.floor(F.col("_rate") * DRAWS).cast("int"))
+    below = F.when(F.col("_kept"), F.col("_lost")).when(F.col("_range") < F.col("_at"), F.col("_n").cast("double")).otherwise(0.0)
+    by_set = full.groupBy("combination_id").agg(F.sum("_took").alias("_took"), F.sum(below).alias("_lost"))
+    edge = full.where(~F.col("_kept") & (F.col("_range") == F.col("_at"))).select("combination_id", "_rate", F.col("_range").alias("_e_range"), *(quoted(c).alias(f"_e_{c}") for c in read), *(F.col(k).alias(f"_e{k}") for k in places))
+    on = all_of([F.col("_range") == F.col("_e_range"), *(quoted(c).eqNullSafe(quoted(f"_e_{c}")) for c in read), *(F.array_contains(k, F.col(f"_e{k}")) for k in places)])
+    close = some.where(~F.col("_kept")).join(edge, on).where("_draw < _rate").groupBy(F.col("combination_id").alias("_c")).agg(F.count(F.lit(1)).alias("_more"))
+    found = by_set.join(close, F.col("combination_id") == F.col("_c"), "left").select(F.col("combination_id").alias("_of"), "_took", (F.col("_lost") + F.coalesce("_more", F.lit(0))).alias("_lost"))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    took = F.coalesce("_took", F.lit(0.0))
+    placed = points.withColumn("_set", _set_of({f"_v{j}": v for j, v in enumerate(cutoffs.values())}))
+    out = placed.join(found, F.col("_set") == F.col("_of"), "left").crossJoin(F.broadcast(total))  # one row
+    return out.select(*points.columns, (took / F.col("_total")).alias("approval_rate"), F.coalesce(F.try_divide(F.col("_lost"), took), F.lit(0.0)).alias("default_rate"))
 
 
 def outcome(sim: DataFrame) -> list[Column]:
@@ -213,22 +274,88 @@ def vary(policy: Policy, name: str, value: float | Column) -> Policy:
 def tradeoff(df: DataFrame, policy: Policy, params: dict[str, list[float]]) -> DataFrame:
     """Full evaluation of each grid point, calibration refitted: the parameters, approval_rate, default_rate.
 
-    One plan for any grid: the policy's parameters are columns of the (small,
-    broadcast) table of points, which meets a histogram of all that the evaluation
-    reads. A custom stress may read any column, and a quantile stress tells rows of one
-    score apart; with either, the points meet the rows.
+    The table is read for a histogram of all that the evaluation reads, and that is summed
+    by the cutoffs that its rows reach. What a set of cutoffs takes in follows from
+    these sums, one cutoff after the other, so no row meets the grid; each set is
+    calibrated once, whatever the stress. A custom stress may read any column, and
+    a quantile stress tells rows of one score apart: with either, the points
+    (MAX_POINTS at most, broadcast) meet the rows.
     """
     points = _points(df, params)
+    varied = policy
     for j, name in enumerate(params):
-        policy = vary(policy, name, F.col(f"_v{j}"))
+        varied = vary(varied, name, F.col(f"_v{j}"))
+    whole = any(s.kind in ("custom", "quantile") for s in varied.stresses)
+    out = _tradeoff_rows(df, varied, points) if whole else _tradeoff_sums(df, varied, points, params)
+    return out.select("combination_id", *(F.col(f"_v{j}").alias(n.replace(":", "_")) for j, n in enumerate(params)), "approval_rate", "default_rate")
+
+
+def _tradeoff_rows(df: DataFrame, policy: Policy, points: DataFrame) -> DataFrame:
     full = _weighted(df, policy).crossJoin(F.broadcast(points))
     new = F.col("_fixed") & all_of([s.passes(full) > 0 for s in policy.stages if s.kind == "cutoff"])
     keep, swap = new & (F.col("_old") > 0), new & (F.col("_old") <= 0)
     full, stressed = _stressed(_with_pd(full, keep, policy), swap, policy)
     bad = F.sum(F.when(keep, F.col("_bad")).when(swap, stressed * F.col("_n")).otherwise(0.0))
     took = F.sum(F.when(new, F.col("_n")).otherwise(0).cast("double"))
-    out = full.groupBy("combination_id", *(f"_v{j}" for j in range(len(params)))).agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))
-    return out.select("combination_id", *(F.col(f"_v{j}").alias(n.replace(":", "_")) for j, n in enumerate(params)), "approval_rate", "default_rate")
+    return full.groupBy(*points.columns).agg((took / F.sum("_n")).alias("approval_rate"), F.coalesce(F.try_divide(bad, took), F.lit(0.0)).alias("default_rate"))
+
+
+def _reached(histogram: DataFrame, policy: Policy, params: dict[str, list[float]]) -> dict[str, Column]:
+    """For each varied cutoff (by its column of points): the numbers of its values that a row reaches, as an array."""
+
+    def reached(target: str, values: list[float]) -> Column:
+        stages = [s for s in policy.stages if s.kind == "cutoff" and target in s.cutoffs]
+        value = F.array(*(F.lit(float(v)) for v in values))
+        passes = lambda i: all_of([replace(s, cutoffs={target: F.get(value, i)}).passes(histogram) > 0 for s in stages])
+        return F.filter(F.sequence(F.lit(0), F.lit(len(values) - 1)), passes)
+
+    return {f"_v{j}": reached(name[7:], values) for j, (name, values) in enumerate(params.items()) if name.startswith("cutoff:")}
+
+
+def _by_sets(cells: DataFrame, keys: list[str], reached: list[str], sums: list[str]) -> DataFrame:
+    """cells (keys, an array of the values reached of each cutoff, sums) -> combination_id, keys, a value number of each cutoff, sums: what each set of cutoffs takes in.
+
+    One cutoff after the other, so that no step has more rows than the values of
+    one times the cells of the others.
+    """
+    for k in reached:
+        others = [F.col(x) for x in reached if x != k]
+        one = cells.select(*map(quoted, keys), *others, F.explode(k).alias(k), *sums)
+        cells = one.groupBy(*map(quoted, keys), *reached).agg(*(F.sum(c).alias(c) for c in sums))
+    return cells.withColumn("combination_id", F.concat_ws("-", *(F.col(k).cast("string") for k in reached)) if reached else F.lit(""))
+
+
+def _set_of(values: dict[str, list[float]]) -> Column:
+    """The combination_id of ``_by_sets`` from columns of values."""
+    places = [F.array_position(F.array(*(F.lit(float(x)) for x in v)), F.col(k)).cast("int") - 1 for k, v in values.items()]
+    return F.concat_ws("-", *(p.cast("string") for p in places)) if places else F.lit("")
+
+
+def _tradeoff_sums(df: DataFrame, policy: Policy, points: DataFrame, params: dict[str, list[float]]) -> DataFrame:
+    histogram = _weighted(df, policy)
+    total = histogram.agg(F.sum("_n").alias("_total"))
+    name = policy.score_for_calibration()
+    free = [f"_v{j}" for j, n in enumerate(params) if not n.startswith("cutoff:")]
+    fixed = [replace(s, cutoffs={c: v for c, v in s.cutoffs.items() if not isinstance(v, Column)}) for s in policy.stages if s.kind == "cutoff"]
+    reached = _reached(histogram, policy, params)
+    read = sorted({*([name] if name else []), *(c for s in policy.stresses for c in ([s.score] if s.kind == "monotonic" else [s.column] if s.column in df.columns else []))})
+    passed = histogram.where(F.col("_fixed") & all_of([s.passes(histogram) > 0 for s in fixed]))
+    keys = [*map(quoted, read), (F.col("_old") > 0).alias("_kept")]
+    sums = [F.sum(c).alias(c) for c in ("_n", "_nd", "_bad")]
+    taken = passed.groupBy(*keys, *(c.alias(k) for k, c in reached.items())).agg(*sums)
+    full = _with_pd(_by_sets(taken, [*read, "_kept"], list(reached), ["_n", "_nd", "_bad"]), F.col("_kept"), policy, histogram)
+    stress = [c for c in read if any(c in (s.score, s.column) for s in policy.stresses)]
+    cells = full.groupBy("combination_id", "_kept", "_pd", *map(quoted, stress)).agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"))
+    placed = points.withColumn("_set", _set_of({k: params[list(params)[int(k[2:])]] for k in reached}))
+    free_points = points.select(*free).distinct() if free else None
+    met = cells.crossJoin(F.broadcast(free_points)) if free else cells  # the values of rates and factors, not of cutoffs
+    met, stressed = _stressed(met, ~F.col("_kept"), policy)
+    n = F.col("_n").cast("double")
+    by_set = met.groupBy(F.col("combination_id").alias("_of"), *(F.col(c).alias(f"_f{c}") for c in free)).agg(F.sum(n).alias("_took"), F.sum(F.when(F.col("_kept"), F.col("_bad")).otherwise(stressed * n)).alias("_lost"))
+    on = all_of([F.col("_set") == F.col("_of"), *(F.col(c) == F.col(f"_f{c}") for c in free)])
+    took = F.coalesce("_took", F.lit(0.0))
+    out = placed.join(by_set, on, "left").crossJoin(F.broadcast(total))  # one row
+    return out.select(*points.columns, (took / F.col("_total")).alias("approval_rate"), F.coalesce(F.try_divide(F.col("_lost"), took), F.lit(0.0)).alias("default_rate"))
 
 
 def _weighted(df: DataFrame, p: Policy) -> DataFrame:

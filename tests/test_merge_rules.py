@@ -1,8 +1,10 @@
 """The merges against a plain version that goes by the rules one pair at a time, and rating fits against SQL-free counts."""
 
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,39 @@ def test_pairwise_fit(spark):
         fit_pairwise(applicants(spark, SF).withColumn("score_4", F.lit(1)), "score_5", ["score_4"], "actual_default")
 
 
+def test_pairs_predict_and_report(spark):
+    """A fit of pairs before a date: recipes and tables give the same ratings, and periods add up."""
+    from creditflow.operators.ratings import rate_by_recipe_table
+
+    df = applicants(spark, SF)
+    pairs = fit_pairwise(df, "score_5", ["score_4", "legacy_score"], "actual_default", bins=6, min_vol_ratio=0.02, time="safra", oot_date="1996-01")
+    alone = fit_ratings(df, ["score_5", "score_4"], "actual_default", bins=6, min_vol_ratio=0.02, time="safra", oot_date="1996-01")
+    assert pairs.recipe("score_4") == alone.recipe
+    by_pair = {(r.applicant_id, r.pair): r.rating for r in pairs.predict(df, "applicant_id").collect()}
+    for c in ("score_4", "legacy_score"):
+        assert {r.applicant_id: r.rating for r in df.select("applicant_id", pairs.recipe(c).predict().alias("rating")).collect()} == {i: g for (i, p), g in by_pair.items() if p == pairs.pair(c)}
+    joined = rate_by_recipe_table(df.withColumn("pair", F.lit(pairs.pair("score_4"))), *pairs.tables(), "pair")
+    assert {r.applicant_id: r.rating for r in joined.collect()} == {i: g for (i, p), g in by_pair.items() if p == pairs.pair("score_4")}
+    rows = pairs.report(df, "actual_default").collect()
+    volume = lambda pair, *periods: sum(r.volume for r in rows if r.pair == pair and r.period in periods)
+    assert all(volume(pairs.pair(c), "All") == volume(pairs.pair(c), "Train", "OOT") > 0 for c in ("score_4", "legacy_score"))
+    for wrong in ({"max_groups": 7}, {"oot_date": "0000"}):
+        with pytest.raises(ValueError):
+            fit_pairwise(df, "score_5", ["score_4"], "actual_default", **{"bins": 6, "time": "safra", "oot_date": "1996-01", **wrong})
+
+
+def test_many_cells_merge_quickly():
+    draw = np.random.default_rng(8)
+    vols = draw.integers(0, 60, (8000, 18))
+    bads = np.minimum(vols, draw.integers(0, 20, (8000, 18)))
+    order = np.argsort(bads.sum(1) / np.maximum(vols.sum(1), 1), kind="stable")
+    began = time.time()
+    for method in ("ward", "iv"):
+        groups = merge_bins(vols.sum(1)[order], bads.sum(1)[order], vols[order], bads[order], 5, 0.05, 1, method)
+        assert len(groups) == 8000 and groups.max() <= 5 and (np.diff(groups) >= 0).all()
+    assert time.time() - began < 30
+
+
 def test_rating_report(spark):
     df = applicants(spark, SF).withColumn("year", F.substring("safra", 1, 4))
     fitted = fit_ratings(df, ["score_5"], "actual_default", bins=20, min_vol_ratio=0.02, time="year", oot_date="2000")
@@ -138,7 +173,7 @@ def test_rating_report(spark):
     inner = fitted.recipe.breaks["score_5"][1:-1]
     rows["rating"] = [fitted.recipe.mapping.get(str(k)) for k in np.digitize(rows.score_5, inner)]
     rows["period"] = np.where(rows.year < "2000", "Train", "OOT")
-    want = rows.groupby(["period", "rating"]).actual_default.agg(["count", "mean"])
+    want = pd.concat([rows, rows.assign(period="All")]).groupby(["period", "rating"]).actual_default.agg(["count", "mean"])
     got = {(r.period, r.rating): (r.volume, r.default_rate) for r in QUERIES["rating_report"](spark, SF).collect()}
     assert got.keys() == set(want.index) and all(got[k][0] == want.loc[k, "count"] and (got[k][0] == 0 or abs(got[k][1] - want.loc[k, "mean"]) < 1e-6) for k in got)
 

@@ -124,6 +124,9 @@ POLICIES = {
     "factor column": ROLES.with_stress(Stress("aggravation", factor=9.0, column="factor")),
     "monotonic": ROLES.with_stress(Stress("monotonic", factor=0.8, score="risk", baseline=0.9)),
     "worst of several": ROLES.with_stress(Stress("aggravation", factor=0.5), Stress("aggravation", factor=2.0), Stress("monotonic", factor=0.4, score="risk", baseline=0.3)),
+    "quantile": ROLES.with_stress(Stress("quantile", factor=0.6, score="risk", bins=4), Stress("aggravation", factor=1.1)),
+    "quantile of the varied score": ROLES.with_stress(Stress("quantile", factor=0.4, score="score", bins=7)),
+    "ten bins asked for": replace(ROLES.with_stages(filter_stage("f", "id % 9 = 0")), calibration_bins=10),
     "custom": ROLES.with_stress(Stress("custom", fn=lambda df, pd: F.col(pd) + F.col("flag") * 0.3)),
     "segment": ROLES.with_stages(filter_stage("f", "flag = 0"), SEGMENT),
     "base": replace(ROLES.with_stages(filter_stage("f", "risk > 400")), calibration_base="global"),
@@ -141,6 +144,22 @@ def test_tradeoff_is_the_simulation(name, applicants):
         assert (row["approval_rate"], row["default_rate"]) == pytest.approx(tuple(sim.agg(*outcome(sim)).first()), abs=1e-12)
 
 
+def test_tradeoff_of_several_cutoffs_and_factors(applicants):
+    """Cutoffs of one stage and of two directions, values in any order, with a factor, a rate and sets that take nobody in."""
+    policy = ROLES.with_stages(filter_stage("f", "flag = 0"), cutoff_stage("c", {"score": 1, "risk": 1}), cutoff_stage("top", {"factor": 3}, "lte"), rate_stage("r", 0.5))
+    for base, some in (("keep_in", slice(0, 32, 9)), ("global", slice(3, 4))):
+        own = replace(policy, calibration_bins=4, calibration_base=base)
+        grid_ = {"cutoff:score": [400.0, 150.0], "aggravation": [1.0, 1.7], "cutoff:risk": [300.0, 5000.0], "cutoff:factor": [1.5, 3.0], "base_rate:r": [0.2, 0.4]}
+        rows = tradeoff(applicants, own, grid_).orderBy("combination_id").collect()
+        assert [r.combination_id for r in rows] == list(range(1, 33)) and [r.cutoff_score for r in rows[:17]] == [400.0] * 16 + [150.0]
+        for r in rows[some]:
+            one = own
+            for name in grid_:
+                one = vary(one, name, r[name.replace(":", "_")])
+            sim = evaluate.simulate(applicants, one)
+            assert (r.approval_rate, r.default_rate) == pytest.approx(tuple(sim.agg(*outcome(sim)).first()), abs=1e-12)
+
+
 def test_grids_keep_cutoffs_by_segment(applicants):
     policy = ROLES.with_stages(SEGMENT, cutoff_stage("c", {"score": 900}))
     passed = applicants.where("score >= 400 and risk >= if(seg = 'A', 300, 600)").count() / 400
@@ -187,13 +206,21 @@ def test_search_arguments(spark, tiny):
 
 
 def test_one_plan_for_any_grid(applicants):
+    """A thousand points take one plan, no larger than that of a single point but for the values themselves."""
     values = [float(x) for x in range(0, 1000, 100)]
-    out = tradeoff(applicants, ROLES.with_stress(Stress("aggravation", factor=2.0)), {"cutoff:score": values, "aggravation": values, "cutoff:risk": values})
-    assert out.count() == 1000 and len(out._jdf.queryExecution().toString()) < 200_000
+    policy = ROLES.with_stress(Stress("aggravation", factor=2.0))
+    large, small = (tradeoff(applicants, policy, {"cutoff:score": v, "aggravation": v, "cutoff:risk": v}) for v in (values, values[:1]))
+    plan = [df._jdf.queryExecution().optimizedPlan().toString() for df in (large, small)]
+    assert large.count() == 1000 and len(plan[0]) < 1.25 * len(plan[1])
+    assert plan[0].count("Join Cross") <= 3  # the total, the factors, and no rows
+
 
+@pytest.mark.parametrize(("stress", "ranges"), [(Stress("aggravation", factor=1.5), 256), (Stress("monotonic", factor=0.7, score="score", baseline=0.8), 3), (Stress("quantile", factor=0.8, score="risk", bins=3), 256)])
+def test_stochastic_grid_is_the_simulation(applicants, stress, ranges, monkeypatch):
+    from creditflow.operators import search
 
-def test_stochastic_grid_is_the_simulation(applicants):
-    policy = ROLES.with_stages(filter_stage("f", "flag = 0"), cutoff_stage("c", {"risk": 300}), rate_stage("r", 0.6)).with_stress(Stress("aggravation", factor=1.5))
+    monkeypatch.setattr(search, "DRAWS", ranges)
+    policy = ROLES.with_stages(filter_stage("f", "flag = 0"), cutoff_stage("c", {"risk": 300}), rate_stage("r", 0.6)).with_stress(stress)
     for row in grid_stochastic(applicants, policy, {"score": [150.0, 400.0, 2000.0]}).collect():
         sim = evaluate.simulate(applicants, replace(policy, stages=(*policy.stages, cutoff_stage("grid", {"score": row["score"]})), calibration_score="risk"), "stochastic")
         took = F.col("new_approval").cast("double")
@@ -219,6 +246,35 @@ def test_quantiles_are_interpolated(spark):
     assert equal_width_edges(5.0, 5.0, 2) == pytest.approx([4.995, 5.0, 5.005]) and equal_width_edges(0.0, 10.0, 2) == pytest.approx([-0.01, 5.0, 10.0])
 
 
+def test_bins_that_are_asked_for_take_five_keep_ins(spark):
+    df = spark.createDataFrame([(i, 10 * i, int(i % 2), int(i > 20)) for i in range(1, 41)], "id long, score int, approved int, bad int")
+    assert evaluate.fit(df, ROLES).pd.means == () and evaluate.fit(df, ROLES).pd.inner == ()
+    for bins in (10, 4):
+        assert len(evaluate.fit(df, replace(ROLES, calibration_bins=bins)).pd.means) == bins
+    assert evaluate.fit(df.where("id < 9"), replace(ROLES, calibration_bins=4)).pd.means == ()
+
+
+def test_quantile_stress_by_its_bins(spark):
+    """Equal bins of the swap-ins by score and then id; other rows are placed by the same edges, and a row without a score has no stress."""
+    from creditflow.functions.binning import rank_bin, ranked
+
+    rows = [(i, (i * 7) % 5 * 100 if i % 13 else None, 0, 0) for i in range(1, 60)] + [(i, 100, 1, int(i % 2)) for i in range(60, 80)]
+    df = spark.createDataFrame(rows, "id long, score int, approved int, bad int")
+    policy = ROLES.with_stress(Stress("quantile", factor=0.1, score="score", bins=6))
+    fitted = evaluate.fit(df, policy)
+    assert len(fitted.stress[0]) == 5
+    want = {r.id: r.b for r in ranked(df.where("approved = 0 and score is not null"), [], "score", "id").select("id", rank_bin(F.col("rank"), F.col("rank_total"), 6).alias("b")).collect()}
+    got = {r.id: r.simulated_default for r in evaluate.simulate(df, policy, fitted=fitted).where("approved = 0").collect()}
+    assert all(got[i] is None if s is None else got[i] == pytest.approx(0.5 * 0.1 * (1 + want[i])) for i, s, _, _ in rows[:59])
+    assert evaluate.fit(df.where("approved = 1"), policy).stress == {0: ()}
+    assert [len(evaluate.fit(df.where(f"id <= {n}"), policy).stress[0]) for n in (1, 3)] == [5, 5]  # one row may end several bins
+
+
+def test_columns_named_as_internal_ones_are_kept(tiny):
+    sim = evaluate.simulate(tiny.withColumn("_pd", F.lit("mine")), ROLES.with_stages(cutoff_stage("c", {"score": 400})))
+    assert values(sim, "_pd") == ["mine"] * 3
+
+
 def test_columns_of_other_policies_are_left_out(tiny):
     df = tiny.withColumns({"stage_3_old": F.lit(1), "stage_x": F.lit(2), "motivo": F.lit("m")})
     out = evaluate.decisions(evaluate.simulate(df, ROLES.with_stages(cutoff_stage("c", {"score": 400}))), ROLES)
