@@ -13,6 +13,7 @@ exceeds its capacity, the number of windows rises and the block is split anew.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import os
 import unicodedata
@@ -41,6 +42,8 @@ CACHE_WORDS, LONG_WORD = 150_000, 64
 #: Splits at these characters only here, not in the tokenizer; texts with one are encoded whole.
 _TAIL = ".,;:!?|()[]{}<>\"#$%&*+-/=@\\^_`~"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Ends a unit while it is merged; no unit that is merged here has it.
+END = "\x00"
 
 
 class Words(dict):
@@ -62,6 +65,37 @@ class Words(dict):
         return ids
 
 
+def word_merges(path: str):
+    """(function from a unit and END to ranks, id bytes by rank) of a byte-level tokenizer file with word ends.
+
+    Ranks are bytes, bytes with an end, and then the file's merges in their order. The
+    function merges whichever neighbours give the token of lowest rank, which is the same
+    if each token, spelt out, merges to itself: neighbours that make up a token but are no
+    listed merge would then be what this token ends as. That is checked here.
+    """
+    import tiktoken
+    from tokenizers import models
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    printable, byte_of = [*range(33, 127), *range(161, 173), *range(174, 256)], {}
+    for byte in range(256):  # how a byte-level vocabulary writes bytes
+        byte_of[chr(byte if byte in printable else 256 + len([b for b in range(byte) if b not in printable]))] = byte
+    end = model["end_of_word_suffix"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    tokens = [*byte_of, *(c + end for c in byte_of), *(a + b for a, b in pairs)]
+    mark = "\u2400"  # stands for an end, as a symbol of its own
+    spelt = lambda t: t.removesuffix(end) + mark if t.endswith(end) else t
+    vocab = {spelt(t): i for i, t in enumerate(tokens)} | {mark: len(tokens)}
+    merge = models.BPE(vocab, [*((c, mark) for c in byte_of), *((spelt(a), spelt(b)) for a, b in pairs)]).tokenize
+    if any(len(merge(t)) != 1 for t in vocab):
+        raise ValueError(f"{path}: tokens do not follow from the merges")
+    raw = lambda t: bytes(byte_of[c] for c in t.removesuffix(end)) + (END.encode() if t.endswith(end) else b"")
+    ranks = {raw(t): i for i, t in enumerate(tokens)}
+    encoding = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return encoding.encode_ordinary, [model["vocab"][t].to_bytes(4, "little") for t in tokens]
+
+
 class WordEncoder:
     """Ids of whole texts, for a tokenizer whose tokens never cross white space.
 
@@ -69,7 +103,7 @@ class WordEncoder:
     or encoded, and together they are the ids of the whole text. A new word of
     letters with punctuation behind it is two units, which the tokenizer also
     keeps apart. Units of Latin letters, which are their own normal form but for
-    case, go to the tokenizer's model directly; other units and words take its whole
+    case, are merged by themselves; other units and words take the tokenizer's whole
     route.
     """
 
@@ -78,26 +112,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        stand_in, printable = {}, [*range(33, 127), *range(161, 173), *range(174, 256)]
-        for byte in range(256):  # how a byte-level vocabulary writes bytes
-            stand_in[byte] = byte if byte in printable else 256 + len([b for b in range(byte) if b not in printable])
-        self.stand_in = stand_in
-        self.written = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.merge, self.written = word_merges(path)
         self.words, self.tails = Words(self._word), Words(self._unit)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        if unit.isascii():
-            plain = unit.lower()
-        elif max(unit) < "\u0250" and "\u0130" not in unit:
-            plain = unit.lower().encode().decode("latin-1").translate(self.stand_in)
-        else:
+        if not unit.isascii() and (max(unit) >= "\u0250" or "\u0130" in unit):
             return self._encode(unit)
-        written = self.written
-        return b"".join([written[t.id] for t in self.tokenize(plain)]) if plain else b""
+        return b"".join(map(self.written.__getitem__, self.merge(unit.lower() + END))) if unit else b""
 
     def _word(self, word: str) -> bytes:
         head = word.rstrip(_TAIL)
