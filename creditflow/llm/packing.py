@@ -172,9 +172,13 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Karmarkar-Karp: sizes (positive) into k windows; each item's window and each window's sum."""
     n = len(sizes)
     parent = np.arange(n)
-    heap = [(-int(s), i, np.array([s], dtype=np.int64), np.array([i])) for i, s in enumerate(sizes)] if k > 1 else []
     if k <= 1:
         return np.zeros(n, dtype=np.int64), np.array([int(sizes.sum())])
+    order = np.argsort(-sizes, kind="stable")
+    # while it has empty windows, the largest partial partition takes in the next largest item: the first k at once
+    top = order[:k]
+    heap = [(-int(sizes[i]), int(i), sizes[[i]].astype(np.int64), np.array([i])) for i in order[k:]]
+    heap.append((int((sizes[top[-1]] if len(top) == k else 0) - sizes[top[0]]), int(top[0]), sizes[top].astype(np.int64), top))
     heapq.heapify(heap)
     while len(heap) > 1:
         _, tie, a, ia = heapq.heappop(heap)
@@ -187,8 +191,8 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             parent[ib[meet_b][::-1]] = ia[meet_a]
             sums = np.concatenate([a[: k - q], a[meet_a] + b[meet_b][::-1], b[: k - p]])
             slots = np.concatenate([ia, ib[: k - p]])
-        order = np.argsort(-sums, kind="stable")
-        sums, slots = sums[order], slots[order]
+        by_sum = np.argsort(-sums, kind="stable")
+        sums, slots = sums[by_sum], slots[by_sum]
         heapq.heappush(heap, (int((sums[-1] if len(sums) == k else 0) - sums[0]), tie, sums, slots))
     _, _, sums, slots = heap[0]
     while (up := parent[parent] != parent).any():
