@@ -20,8 +20,13 @@ How it runs
    within the length bound; positional and sketch bounds (the parity of two sets
    differs in at most |A xor B| bits) drop pairs that cannot reach the threshold.
    Of each line the NEAREST candidates of every list go on, and lists that
-   have more are kept; these are read again for lines that are still undecided.
+   have more are kept. Where more than ``long`` lines are within the bound, a line
+   meets only the first PILOTS lines of its size and the PILOTS lines just before it,
+   and the list is kept too: of many lines made from one template nearly all are
+   decided by these.
 5. Pairs are verified on the full sets.
+6. Lines still undecided meet all lines of the lists that were kept. Long lists are
+   dealt into blocks: BLOCK undecided lines meet BLOCK lines of the list in a task.
 
 Defined cases: a null text has no line and stays null; a line without words is
 kept and removes nothing; rows with a null id are returned unchanged; lines of
@@ -40,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditflow.llm import arrow_text as at
 from creditflow.llm.held import lean, release
-from creditflow.llm.storage import BROADCAST_ROWS, small_batches, stored
+from creditflow.llm.storage import BROADCAST_ROWS, broadcast_if_small, small_batches, stored
 
 _U = np.uint64
 #: Words that get a rank by count: 12 bytes each, so 12 MB at most.
@@ -49,6 +54,10 @@ FREQUENT = 1_000_000
 HOT = 100_000
 #: Candidates of a line that leave each list at once.
 NEAREST = 2
+#: Lines within the length bound from which a line meets pilots only at first, and pilots at either end.
+LONG, PILOTS = 8_192, 64
+#: Lines on either side of a block.
+BLOCK = 20_000
 #: Sizes and positions from here on are not told apart.
 _MOST = 0x7FFF
 #: Words that the scan counts before it sends them on; rows of lists, and pairs, that are compared at once.
@@ -211,38 +220,60 @@ def _is_later(id_: np.ndarray, at_: np.ndarray, id0: np.ndarray, at0: np.ndarray
     return (id_ > id0) | ((id_ == id0) & (at_ >> 32 > at0 >> 32))
 
 
-def _joined(columns: list[np.ndarray], fresh: int, t: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier) rows of lists that may match, with one row at least from ``fresh`` on; and the numbers of lists with more than ``most`` for a line.
+def _bounded(x: np.ndarray, y: np.ndarray, entries: tuple[np.ndarray, ...], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows that may reach the threshold by position and by sketch, and in how many bits their sketches differ."""
+    n, position, s1, s2 = entries
+    ok = (np.minimum(n[x] - position[x], n[y] - position[y]) >= t / (1 + t) * (n[x] + n[y]) - 1e-9) | (np.maximum(n[x], n[y]) >= _MOST)
+    x, y = x[ok], y[ok]
+    far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
+    ok = (far <= (1 - t) / (1 + t) * (n[x] + n[y]) + 1e-9) | (np.maximum(n[x], n[y]) >= _MOST)
+    return x[ok], y[ok], far[ok]
 
-    Rows are in order of list and size. A seventh column says which lines are still asked for.
+
+def _ranges(row: np.ndarray, start: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with ``many`` rows from ``start`` on, about _PAIRS pairs at a time."""
+    upto, r0 = np.cumsum(many), 0
+    while r0 < len(row):
+        r1 = max(r0 + 1, int(np.searchsorted(upto, (upto[r0 - 1] if r0 else 0) + _PAIRS, side="right")))
+        m = many[r0:r1]
+        yield np.repeat(row[r0:r1], m), np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[r0:r1], m)
+        r0 = r1
+
+
+def _entries(size: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (size >> 16).astype(np.int64), (size & 0xFFFF).astype(np.int64), s1.view(_U), s2.view(_U)
+
+
+def _joined(columns: list[np.ndarray], fresh: int, t: float, most: int | None, long: int, pilots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier) rows of lists that may match, with one row at least from ``fresh`` on; and the rows of lists that have more pairs than these.
+
+    Rows are in order of list and size.
     """
-    key, size, id_, at_, s1, s2 = *columns[:4], *(c.view(_U) for c in columns[4:6])
-    n, position = (size >> 16).astype(np.int64), (size & 0xFFFF).astype(np.int64)
+    key, size, id_, at_, s1, s2 = columns
+    entries = _entries(size, s1, s2)
+    n = entries[0]
     which = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-    low = np.searchsorted((which << 16) | n, (which << 16) | np.ceil(t * n - 1e-9).astype(np.int64))
-    many = np.arange(len(key)) - low
+    code, row = (which << 16) | n, np.arange(len(key))
+    low = np.searchsorted(code, (which << 16) | np.ceil(t * n - 1e-9).astype(np.int64))
+    many = row - low
     many[:fresh] = 0
-    if len(columns) > 6:  # lists in which no line is asked for
-        many[np.bincount(which, weights=columns[6])[which] == 0] = 0
-    upto, x0 = np.cumsum(many), 0
-    later, earlier, dense = [], [], []
-    while x0 < len(key):
-        x1 = max(x0 + 1, int(np.searchsorted(upto, (upto[x0 - 1] if x0 else 0) + _PAIRS, side="right")))
-        m = many[x0:x1]
-        x = np.repeat(np.arange(x0, x1), m)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[x0:x1], m)
-        x0 = x1
-        ok = np.minimum(n[x] - position[x], n[y] - position[y]) >= t / (1 + t) * (n[x] + n[y]) - 1e-9
-        ok |= n[x] >= _MOST
-        x, y = x[ok], y[ok]
-        far = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
-        ok = (far <= (1 - t) / (1 + t) * (n[x] + n[y]) + 1e-9) | (n[x] >= _MOST)
-        x, y, far = x[ok], y[ok], far[ok]
+    wide = np.flatnonzero(many > long)
+    dense = [which[wide]]
+    if len(wide):  # the first rows of the own size, and the last before it
+        alike = np.searchsorted(code, code[wide])
+        end = np.minimum(alike + pilots, wide)
+        last = np.maximum(end, wide - pilots)
+        many[wide] = 0
+        start = np.concatenate([low, alike, last])
+        many, row = np.concatenate([many, end - alike, wide - last]), np.concatenate([row, wide, wide])
+        order = np.argsort(row, kind="stable")
+        row, low, many = row[order], start[order], many[order]
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in _ranges(row, low, many):
+        x, y, far = _bounded(x, y, entries, t)
         swap = _is_later(id_[y], at_[y], id_[x], at_[x])
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         ok = swap | _is_later(id_[x], at_[x], id_[y], at_[y])
-        if len(columns) > 6:
-            ok &= columns[6][x]
         x, y, far = x[ok], y[ok], far[ok]
         if most is not None and len(x):
             order = np.lexsort((far, x))
@@ -253,24 +284,27 @@ def _joined(columns: list[np.ndarray], fresh: int, t: float, most: int | None) -
             x, y = x[near], y[near]
         later.append(x)
         earlier.append(y)
-    return np.concatenate(later), np.concatenate(earlier), np.isin(which, np.concatenate(dense)) if dense else np.zeros(len(key), bool)
+    return np.concatenate(later), np.concatenate(earlier), np.isin(which, np.concatenate(dense))
 
 
 @lean
-def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs (id, at, id0, at0) from lists in order; and, with their key, the entries of lists that had more than ``most`` for a line."""
+def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None, long: int = LONG) -> Iterator[pa.RecordBatch]:
+    """Pairs (id, at, id0, at0) from lists in order; and, with their key, the entries of lists that have more pairs than these."""
     release()
     names = ["key", "size", "id", "at", "s1", "s2", "id0", "at0"]
-    fresh = 0
+    pilots = min(PILOTS, max(1, long // 4))
+    fresh, thinned = 0, None
 
-    def found(columns, fresh):
-        later, earlier, dense = _joined(columns, fresh, t, most)
+    def found(columns, fresh, thinned):
+        later, earlier, dense = _joined(columns, fresh, t, most, long, pilots)
         id_, at_ = columns[2], columns[3]
         none = pa.nulls(len(later), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(id_[later]), pa.array(at_[later]), none, none, pa.array(id_[earlier]), pa.array(at_[earlier])], names)
+        if thinned is not None:
+            dense |= columns[0] == thinned
         if dense.any():
             none = pa.nulls(int(dense.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[dense]) for c in columns[:6]), none, none], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[dense]) for c in columns), none, none], names)
 
     waiting: list[list[np.ndarray]] = []
     rows = 0
@@ -280,12 +314,76 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float, most: int | None) -
         if rows < _ROWS:
             continue
         held = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-        yield from found(held, fresh)
-        keep = (held[0] == held[0][-1]) & (held[1] >> 16 >= t * (held[1][-1] >> 16) - 1)
+        keep = np.flatnonzero((held[0] == held[0][-1]) & (held[1] >> 16 >= t * (held[1][-1] >> 16) - 1))
+        many = len(keep) > 2 * long
+        thinned = held[0][-1] if many else thinned
+        yield from found(held, fresh, thinned)
+        if many:  # the list is kept; from here on its pilots are enough
+            n = held[1][keep] >> 16
+            begin = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+            place = np.arange(len(n)) - np.repeat(begin, np.diff(np.append(begin, len(n))))
+            keep = keep[(place < pilots) | (np.arange(len(n)) >= len(n) - pilots)]
         waiting, rows = [[c[keep] for c in held]], 0
-        fresh = len(waiting[0][0])
+        fresh = len(keep)
     if rows:
-        yield from found([np.concatenate(x) for x in zip(*waiting, strict=True)], fresh)
+        yield from found([np.concatenate(x) for x in zip(*waiting, strict=True)], fresh, thinned)
+
+
+def _block_pairs(columns: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(later, earlier) rows of whole blocks that may match: rows asked for, and those that are not."""
+    key, x, y, size, id_, at_, s1, s2, asked = columns
+    entries = _entries(size, s1, s2)
+    n = entries[0]
+    which = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+    code, row = (which << 16) | n, np.flatnonzero(asked)
+    least, greatest = np.ceil(t * n[row] - 1e-9).astype(np.int64), np.minimum(np.floor(n[row] / t + 1e-9).astype(np.int64), _MOST)
+    low = np.searchsorted(code, (which[row] << 16) | least)
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _ranges(row, low, np.searchsorted(code, (which[row] << 16) | greatest, side="right") - low):
+        ok = ~asked[b]
+        a, b, _ = _bounded(a[ok], b[ok], entries, t)
+        ok = _is_later(id_[a], at_[a], id_[b], at_[b])
+        later.append(a[ok])
+        earlier.append(b[ok])
+    return np.concatenate(later), np.concatenate(earlier)
+
+
+@lean
+def _blocks(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (id, at, id0, at0) of blocks in order."""
+    release()
+
+    def found(columns):
+        later, earlier = _block_pairs(columns, t)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c][side]) for side in (later, earlier) for c in (4, 5)], ["id", "at", "id0", "at0"])
+
+    waiting: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < _ROWS:
+            continue
+        held = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+        whole = len(held[0]) - int(np.logical_and.reduce([c == c[-1] for c in held[:3]]).sum())  # the last block may go on
+        if whole:
+            yield found([c[:whole] for c in held])
+        waiting, rows = [[c[whole:] for c in held]], len(held[0]) - whole
+    if rows:
+        yield found([np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+
+def _undecided_pairs(entries: DataFrame, t: float) -> DataFrame:
+    """entries (key, size, id, at, s1, s2, asked; of whole lists) -> pairs of lines that are asked for and earlier lines that may match."""
+    per_list = entries.groupBy("key").agg(F.count_if("asked").alias("xs"), F.count(F.lit(1)).alias("ys")).where("xs > 0")
+    per_list = broadcast_if_small(stored(per_list.select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("xs", "ys"))), "asked"))
+    own = lambda m: F.pmod(F.xxhash64("id", "at"), F.col(m)).cast("int")
+    every = lambda m: F.sequence(F.lit(0), F.col(m) - 1)
+    cell = lambda x, y, asked: F.struct(x.alias("x"), y.alias("y"), F.lit(asked).alias("asked"))
+    as_asked = F.when(F.col("asked"), F.transform(every("ys"), lambda y: cell(own("xs"), y, True)))
+    cells = F.concat(F.coalesce(as_asked, F.array().cast("array<struct<x:int,y:int,asked:boolean>>")), F.transform(every("xs"), lambda x: cell(x, own("ys"), False)))
+    dealt = entries.distinct().join(per_list, "key").withColumn("c", F.explode(cells)).select("key", "c.x", "c.y", "size", "id", "at", "s1", "s2", "c.asked")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "size").mapInArrow(lambda b: _blocks(b, t), "id long, at long, id0 long, at0 long")
 
 
 @lean
@@ -358,7 +456,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     return both.where(common >= t * (F.size("words") + F.size("words0") - common) - 1e-9).select("id", "at").distinct()
 
 
-def duplicate_lines(rows: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
+def duplicate_lines(rows: DataFrame, threshold: float = 0.8, hot: int = HOT, long: int = LONG) -> DataFrame:
     """rows (id, text; no nulls) -> (id, at) of every line to remove; at is the line's number << 32 | tag, the tag F.hash(text)."""
     small_batches(rows.sparkSession)
     rows = rows.select("id", F.hash("text").alias("tag"), "text")
@@ -373,18 +471,16 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8, hot: int = HOT) ->
     ranked = _ranks(counts, hot if threshold > 0.5 else 1 << 62)  # below, a pair may have one word in common
     texts = rows.join(by_row(copies, "decided"), ["id", "tag"], "left").select("id", "tag", "text", "decided")
     entry = "key long, size int, id long, at long, s1 long, s2 long"
-    in_lists = lambda entries, most: stored(
-        entries.repartition("key").sortWithinPartitions("key", "size").mapInArrow(lambda b: _candidates(b, threshold, most), entry + ", id0 long, at0 long"), "lists")
-    found = in_lists(texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), entry), NEAREST)
+    most = NEAREST
+    entries = texts.mapInArrow(lambda b: _prefixes(b, ranked, threshold), entry).repartition("key").sortWithinPartitions("key", "size", "id")
+    found = stored(entries.mapInArrow(lambda b: _candidates(b, threshold, most, long), entry + ", id0 long, at0 long"), "lists")
     pairs = stored(found.where("key is null").select("id", "at", "id0", "at0").distinct(), "pairs")
     near = stored(_verified(pairs, rows, threshold), "near")
     gone = copies.unionByName(near)
 
-    rest = found.where("key is not null").select("key", "size", "id", "at", "s1", "s2").distinct()
-    small = near.count() <= BROADCAST_ROWS
-    decided = near.withColumn("asked", F.lit(False))
-    rest = rest.join(F.broadcast(decided) if small else decided, ["id", "at"], "left").select("key", "size", "id", "at", "s1", "s2", F.coalesce("asked", F.lit(True)).alias("asked"))
-    more = in_lists(rest, None).select("id", "at", "id0", "at0").distinct().join(pairs, ["id", "at", "id0", "at0"], "left_anti")
+    rest = found.where("key is not null").select("key", "size", "id", "at", "s1", "s2")
+    rest = rest.join(broadcast_if_small(near).withColumn("asked", F.lit(False)), ["id", "at"], "left").select("key", "size", "id", "at", "s1", "s2", F.coalesce("asked", F.lit(True)).alias("asked"))
+    more = _undecided_pairs(rest, threshold).distinct().join(pairs, ["id", "at", "id0", "at0"], "left_anti")
     more = stored(more, "pairs")
     return gone if more.isEmpty() else gone.unionByName(_verified(more, rows, threshold))
 
@@ -394,10 +490,10 @@ def lines_by_row(lines: DataFrame) -> DataFrame:
     return by_row(lines, "gone")
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, long: int = LONG) -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text (kept lines, in order)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = lines_by_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold, hot))
+    gone = lines_by_row(duplicate_lines(rows.where("id is not null and text is not null"), threshold, hot, long))
     cut = rows.withColumn("tag", F.hash("text")).join(gone, ["id", "tag"], "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x))).cast("long")

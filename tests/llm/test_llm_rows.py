@@ -78,6 +78,67 @@ def test_lists_that_go_on_in_the_next_buffer():
     assert pairs(1 << 18) == pairs(20) == want and want
 
 
+def test_long_lists_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    for seed, common, hot, long in ((4, 60, 100_000, 3), (5, 6, 3, 8), (6, 12, 10, 2)):
+        rows = line_tables(seed, common)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id, r.kept_text) for r in line_dedup.line_dedup(df, hot=hot, long=long).collect())
+        assert got == jaccard_removed(rows)
+
+
+def entries(n, lists, seed, sketch, least=8):
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    key, size = draw.integers(0, lists, n), draw.integers(least, least + 4, n) << 16
+    id_ = draw.permutation(n)
+    order = np.lexsort((id_, size, key))
+    return [key[order], size[order].astype(np.int32), id_[order], np.zeros(n, np.int64), sketch(draw, n), np.zeros(n, np.int64)]
+
+
+def first_and_open(columns, step, long):
+    """Pairs of the first reading; and those of a second one, of the lists that it kept, for all lines."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "id", "at", "s1", "s2"])
+    first, kept = set(), set()
+    for b in line_dedup._candidates((batch.slice(i, step) for i in range(0, len(columns[0]), step)), 0.8, 2, long):
+        for key, size, i, at, s1, s2, i0, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key is None:
+                first.add((i, i0))
+            else:
+                kept.add((key, size, i, at, s1, s2))
+    sides = np.array(sorted((k, 0, 0, n, i, at, s1, s2, asked) for k, n, i, at, s1, s2 in kept for asked in (0, 1)), dtype=np.int64).reshape(-1, 9).T
+    sides = pa.RecordBatch.from_arrays([pa.array(c.astype(bool) if k == 8 else c.astype(np.int32) if k in (1, 2, 3) else c) for k, c in enumerate(sides)], ["key", "x", "y", "size", "id", "at", "s1", "s2", "asked"])
+    second = {(a, b) for p in line_dedup._blocks((sides.slice(i, step) for i in range(0, sides.num_rows, step)), 0.8) for a, b in zip(p.column(0).to_pylist(), p.column(2).to_pylist(), strict=True)}
+    return first, second
+
+
+def test_thinned_lists_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_ROWS", 50)
+    for seed in (1, 2):
+        columns = entries(600, 3, seed, lambda draw, n: draw.integers(0, 64, n))
+        want = {(int(i), int(j)) for k, s, i, _, a, _ in zip(*columns, strict=True) for k0, s0, j, _, b, _ in zip(*columns, strict=True)
+                if k == k0 and i > j and min(s, s0) >> 16 >= 0.8 * (max(s, s0) >> 16) - 1e-9 and int(a ^ b).bit_count() <= 0.2 / 1.8 * ((s >> 16) + (s0 >> 16)) + 1e-9}
+        for long in (5, 40):
+            first, second = first_and_open(columns, 7, long)
+            assert first <= want and second <= want and first | second == want and len(first) < len(want)
+
+
+def test_a_list_of_one_template_takes_linear_time():
+    import pyarrow as pa
+
+    columns = entries(400_000, 1, 3, lambda draw, n: 1 << draw.integers(0, 60, n), 20)  # all within two bits
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "id", "at", "s1", "s2"])
+    start, decided = time.time(), set()
+    for b in line_dedup._candidates((batch.slice(i, 10_000) for i in range(0, 400_000, 10_000)), 0.8, 2):
+        decided.update(i for i, key in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), strict=True) if key is None)
+    assert time.time() - start < 120
+    assert len(decided) > 399_000
+
+
 def test_windows_of_rows_that_share_an_id(spark):
     text = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
     rows = [(1, text("a", 200)), (2, text("b", 60)), (2, text("c", 30) + " " + text("a", 200)), (2, text("a", 200)), (3, text("b", 60)), (3, text("d", 100)), (3, "x " + text("b", 60))]
