@@ -200,7 +200,8 @@ def search_table(rows: DataFrame, k: int, nodes: int | None = None) -> tuple[Dat
     if not first:
         return spark.createDataFrame([], schema), [], [], 0
     found = stored(_met(placed, None, first, blocks, k), "found")
-    rest = [(d, a, b) for d, (asked, held, _) in tables.items() for a in asked for b in held if (d, a, b) not in set(first)] if total > len(first) else []
+    met = set(first)
+    rest = [(d, a, b) for d, (asked, held, _) in tables.items() for a in asked for b in held if (d, a, b) not in met]
     if not rest:
         return found, first, [], total
     floors = stored(found.distinct().groupBy("query_id").agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).cast("double").alias("floor")).select(F.col("query_id").alias("id"), "floor"), "floors")
