@@ -3,8 +3,9 @@
 The values of a key are cut into ranges at approximate quantiles. Totals of the
 ranges, summed up over the few ranges of a key, are the offsets of their rows; within
 a range the rows are sorted by one task. The quantiles only balance the tasks: the sums
-are exact whatever they are. A value itself is never cut, so rows should be
-summed by value before.
+are exact whatever they are. They depend on the order in which rows arrive, so ranges are
+written once, and totals and rows are read from there: found twice they may differ. A
+value itself is never cut, so rows should be summed by value before.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from creditflow.sources.tables import staged
+
 #: Ranges of a key.
 RANGES = 32
 
@@ -43,7 +46,7 @@ def running(rows: DataFrame, keys: list[str], by: list[str], values: list[str],
     total = F.min if least else F.sum
     added = (lambda a, b: F.least(a, b)) if least else (lambda a, b: F.coalesce(a + b, a, b))
     one = [*keys, "_key"]
-    placed = placed_in_ranges(rows.withColumn("_key", F.lit(0)), one, by[0], {f"{v}_all": total(v) for v in values}, ranges)
+    placed = staged(placed_in_ranges(rows.withColumn("_key", F.lit(0)), one, by[0], {f"{v}_all": total(v) for v in values}, ranges), "ranges")
     down = Window.partitionBy(*one).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     parts = placed.groupBy(*one, "_range").agg(*(total(v).alias(f"_part_{v}") for v in values), *(F.first(f"{v}_all").alias(f"_whole_{v}") for v in values))
     parts = parts.withColumns({f"_low_{v}": total(f"_part_{v}").over(down) for v in values})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from creditflow.functions.binning import left_bin_of, position_bin, quantiles, ranked
 from creditflow.operators._merge import merge_bins
 from creditflow.operators.models import unpivoted
+from creditflow.sources.tables import staged
 
 
 def _long(df: DataFrame, tier: Column, candidates: list[str], default: str, key: str) -> DataFrame:
@@ -54,7 +55,7 @@ def subsegments(counts: DataFrame, method: str = "quantiles", falling: bool = Fa
 
 def tier_metrics(df: DataFrame, tier: Column, candidates: list[str], default: str, key: str, bins: int = 10) -> DataFrame:
     """Information value, least and greatest default rate, spread and volume by variable and tier, over equal-volume bins by position."""
-    long = ranked(_long(df, tier, candidates, default, key), ["variable", "tier"], "value", key)
+    long = ranked(staged(_long(df, tier, candidates, default, key), "screened"), ["variable", "tier"], "value", key)
     bad = F.col(default).cast("double")
     groups = long.groupBy("variable", "tier", position_bin(F.col("rank"), F.col("rank_total"), bins).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(bad).alias("b"))
     every = Window.partitionBy("variable", "tier")

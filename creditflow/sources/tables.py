@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -22,3 +25,19 @@ def write_decisions(df: DataFrame, path: str, by: str, batch_id: str | None = No
     """
     rows = df if batch_id is None else df.withColumn("batch_id", F.lit(batch_id))
     rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the session's shared folder (or its warehouse) and read back.
+
+    For rows that several branches of a job read: they are not computed again, and every
+    branch has the same ones.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        folder = tempfile.mkdtemp(prefix="creditflow-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

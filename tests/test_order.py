@@ -3,6 +3,7 @@
 import random
 from itertools import accumulate
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,23 @@ def test_running_sums(spark, ranges):
     assert running(df.limit(0), [], ["v"], ["n"]).count() == 0
 
 
+def test_sums_do_not_depend_on_the_order_of_arrival(spark):
+    def shuffled(batches):
+        for pdf in batches:
+            v = [1000.0 * i + j for i in pdf["id"] for j in range(1000)]
+            random.Random().shuffle(v)
+            yield pd.DataFrame({"v": v, "n": 1})
+
+    # a sketch sorts 50,000 values at a time, so fewer in a task are always cut alike
+    rows = spark.range(800, numPartitions=4).mapInPandas(shuffled, "v double, n int")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = running(rows, [], ["v"], ["n"]).where("n_to != v + 1 or n_all != 800000").count()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == 0
+
+
 def test_no_range_holds_much_of_a_continuous_column(spark):
     df = spark.range(60_000).select(F.lit("x").alias("k"), (F.rand(3) * F.rand(4) * 1e6).alias("v"), F.lit(1).alias("n"))
     sizes = [r["count"] for r in placed_in_ranges(df, ["k"], "v", {"all": F.sum("n")}).groupBy("_range").count().collect()]
