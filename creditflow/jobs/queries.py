@@ -14,7 +14,7 @@ from creditflow.operators import bundle, deploy, evaluate, models, production, r
 from creditflow.operators.policy import Policy, Stress, cutoff_stage, filter_stage, from_json, load_text, rate_stage, save_text, segment_cutoff_stage, to_json
 from creditflow.sources.applicants import SQL as APP
 from creditflow.sources.applicants import applicants
-from creditflow.sources.tables import read_applications, write_decisions
+from creditflow.sources.tables import read_applications, staged, write_decisions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,6 +79,11 @@ CASE scenario WHEN 'keep_in' THEN coalesce(actual_default,0)*na WHEN 'swap_in' T
 OUT = "round(coalesce(sum(coalesce(sd,0)*pre)/nullif(sum(pre),0),0),6)"
 
 
+def evaluated_rows(spark, sf):
+    """What a policy's evaluation reads of the applicants, written once for jobs that read it several times."""
+    return staged(applicants(spark, sf).select("applicant_id", "safra", "cpf_valido", "vl_negativacao", "score_4", "score_5", "approved", "hired", "actual_default"), "applicants")
+
+
 def base_sim(spark, sf):
     return evaluate.simulate(applicants(spark, sf), FULL)
 
@@ -174,7 +179,7 @@ def quadrants(spark, sf):
 
 
 def _swap_pd(spark, sf, policy, **options):
-    sim = evaluate.simulate(applicants(spark, sf), policy, **options)
+    sim = evaluate.simulate(evaluated_rows(spark, sf), policy, **options)
     return rounded(sim.where("scenario = 'swap_in'").select("applicant_id", F.col("simulated_default").alias("pd")))
 
 
@@ -796,7 +801,7 @@ w AS (SELECT b.*, coalesce(CASE WHEN k>=50 THEN m END, mean, 0) AS pd FROM b LEF
 s AS (SELECT combination_id, CASE WHEN approved=1 THEN hired WHEN {_uniform('42-3')}<0.9::DOUBLE THEN 1 ELSE 0 END AS took, CASE WHEN approved>0 THEN coalesce(actual_default,0)::DOUBLE WHEN {_uniform('42-default')}<least(pd*1.3::DOUBLE,1.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d FROM w)
 SELECT p.combination_id, x AS score_4, y AS score_5, round(coalesce(sum(took),0)::DOUBLE/(SELECT count(*) FROM q),6) AS approval_rate, round(coalesce(sum(took*d)/nullif(sum(took),0),0),6) AS default_rate FROM p LEFT JOIN s USING (combination_id) GROUP BY p.combination_id, x, y""")
 def grid_stochastic(spark, sf):
-    return rounded(search.grid_stochastic(applicants(spark, sf), FULL, CUTS))
+    return rounded(search.grid_stochastic(evaluated_rows(spark, sf), FULL, CUTS))
 
 
 @query(f"{_POINTS} SELECT {_POINT}, constraints_met, round(tradeoff_score,6) AS tradeoff_score FROM j ORDER BY constraints_met DESC, round(CASE WHEN constraints_met THEN approval_rate ELSE tradeoff_score END,9) DESC, combination_id LIMIT 1")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from creditflow.functions.binning import BinnedMean, binned_means, ranked
 from creditflow.functions.expressions import quoted, resolve, uniform
 from creditflow.operators.policy import Policy, clipped_or_null
+from creditflow.sources.tables import staged
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def swap_in_edges(df: DataFrame, policy: Policy) -> dict[int, tuple[tuple[float,
     found = {}
     for k, s in enumerate(policy.stresses):
         if s.kind == "quantile":
-            swap = df.where(quadrant(quoted(policy.approved), _hard(policy, df)) == "swap_in")
+            # written once: ranks read them several times
+            swap = staged(df.where(quadrant(quoted(policy.approved), _hard(policy, df)) == "swap_in").select(quoted(s.score), quoted(policy.applicant_id)), "swap_ins")
             edges = edge_rows(swap, [], s.score, policy.applicant_id, s.bins).collect()  # bins - 1 rows
             found[k] = tuple(sorted((r["_score"], r["_tie"]) for r in edges))
     return found
