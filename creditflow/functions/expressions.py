@@ -56,4 +56,4 @@ def clipped(x: Column) -> Column:
 
 def uniform(salt: str, key: Column) -> Column:
     """A number in [0, 1) from salt and key: the same under any partitioning."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), key.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), key.cast("string"))), 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)

@@ -18,6 +18,7 @@ from creditflow.functions.expressions import all_of, quoted, uniform
 from creditflow.functions.order import running
 from creditflow.operators.evaluate import edge_rows, fit, simulate, stressed_pd
 from creditflow.operators.policy import Policy, Stress, cutoff_stage
+from creditflow.sources.tables import staged
 
 #: Cells of an analytical grid, and combinations of a grid that meets rows.
 MAX_CELLS, MAX_POINTS = 5_000_000, 100_000
@@ -227,11 +228,11 @@ def _stochastic_sums(df: DataFrame, policy: Policy, points: DataFrame, cutoffs:
     places = {f"_v{j}": reached(c, v) for j, (c, v) in enumerate(cutoffs.items())}
     read = sorted({policy.calibration_score, *(c for s in policy.stresses for c in (s.score, s.column) if c in df.columns)})
     kept = F.col("_old") > 0
-    # keep-ins calibrate whether they were hired or not; swap-ins count if they were drawn
-    some = rows.where((F.col("approved_pre_rate") > 0) & (kept | (F.col("new_approval") > 0))).select(
+    # keep-ins calibrate whether they were hired or not; swap-ins count if they were drawn; written once, for the sums and for the rows that are compared
+    some = staged(rows.where((F.col("approved_pre_rate") > 0) & (kept | (F.col("new_approval") > 0))).select(
         *map(quoted, read), kept.alias("_kept"), F.when(~kept, F.floor(F.col("_draw") * DRAWS).cast("int")).alias("_range"), "_draw", F.col("new_approval").alias("_take"), "_n",
         F.when(kept, F.col("_nd")).otherwise(0).alias("_nd"), F.when(kept, F.col("_bad")).otherwise(0.0).alias("_bad"), *(c.alias(k) for k, c in places.items()),
-    )
+    ), "drawn")
     sums = ["_n", "_nd", "_bad", "_took", "_lost"]
     cells = some.withColumns({"_took": F.when(F.col("_kept"), F.col("_take")).otherwise(F.col("_n")).cast("double"), "_lost": F.col("_bad") * F.col("_take")})
     cells = cells.groupBy(*map(quoted, read), "_kept", "_range", *places).agg(*(F.sum(c).alias(c) for c in sums))
@@ -316,13 +317,14 @@ def _by_sets(cells: DataFrame, keys: list[str], reached: list[str], sums: list[s
     """cells (keys, an array of the values reached of each cutoff, sums) -> combination_id, keys, a value number of each cutoff, sums: what each set of cutoffs takes in.
 
     One cutoff after the other, so that no step has more rows than the values of
-    one times the cells of the others.
+    one times the cells of the others. The result is written once, as calibration and
+    stress read it several times.
     """
     for k in reached:
         others = [F.col(x) for x in reached if x != k]
         one = cells.select(*map(quoted, keys), *others, F.explode(k).alias(k), *sums)
         cells = one.groupBy(*map(quoted, keys), *reached).agg(*(F.sum(c).alias(c) for c in sums))
-    return cells.withColumn("combination_id", F.concat_ws("-", *(F.col(k).cast("string") for k in reached)) if reached else F.lit(""))
+    return staged(cells.withColumn("combination_id", F.concat_ws("-", *(F.col(k).cast("string") for k in reached)) if reached else F.lit("")), "sets")
 
 
 def _set_of(values: dict[str, list[float]]) -> Column:

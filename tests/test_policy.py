@@ -285,3 +285,21 @@ def test_grid_by_a_key_with_nulls(spark):
     df = spark.createDataFrame([(None, 1, 1.0, 0.5), (None, 5, 1.0, 0.0), ("a", 5, 1.0, 1.0)], "k string, s int, _p double, _bad double")
     rows = {(r.k, r.s): (r.approval_rate, r.default_rate) for r in grid(df, {"s": [0.0, 3.0]}, ["k"]).collect()}
     assert rows == {(None, 0.0): (1.0, 0.25), (None, 3.0): (0.5, 0.0), ("a", 0.0): (1.0, 1.0), ("a", 3.0): (1.0, 1.0)}
+
+
+@pytest.mark.parametrize(("job", "most"), [("grid", 3), ("fit", 2)])
+def test_jobs_of_many_branches_read_the_table_few_times(applicants, spark, job, most):
+    rows, read = applicants.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = applicants.mapInPandas(counted, applicants.schema)
+    policy = ROLES.with_stages(filter_stage("f", "flag = 0"), rate_stage("r", 0.6))
+    if job == "grid":  # the fit, the draws and the total
+        grid_stochastic(df, policy.with_stress(Stress("aggravation", factor=1.5)), {"score": [150.0, 400.0]}).collect()
+    else:  # the histogram and the swap-ins
+        evaluate.fit(df, policy.with_stress(Stress("quantile", factor=0.8, score="risk", bins=3)))
+    assert 0 < read.value <= most * rows
