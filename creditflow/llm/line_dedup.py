@@ -15,7 +15,8 @@ How it runs
    lists of these words, with its size, the position and a 128-bit parity sketch of
    its set. A word held by more than ``hot`` lines has no list of its own: lines
    that share it must share a second word of a prefix one longer, so the pair of
-   words is the list.
+   words is the list. A word of one line only has no list: a broadcast table of bits
+   by hash (of bounded size) marks the words that occur again and have no rank.
 4. Lists are sorted by size and read as a stream, so that a line meets only those
    within the length bound; positional and sketch bounds (the parity of two sets
    differs in at most |A xor B| bits) drop pairs that cannot reach the threshold.
@@ -50,6 +51,8 @@ from creditflow.llm.storage import BROADCAST_ROWS, broadcast_if_small, small_bat
 _U = np.uint64
 #: Words that get a rank by count: 12 bytes each, so 12 MB at most.
 FREQUENT = 1_000_000
+#: Bits, as a power of two, that mark the other words of more than one line: 8 MB. A bit that words share costs list entries only.
+AGAIN = 26
 #: Lines that may share a word before its list is split by second words.
 HOT = 100_000
 #: Candidates of a line that leave each list at once.
@@ -166,7 +169,7 @@ def _marked(flags: pa.Array, i: int, row: np.ndarray, number: np.ndarray) -> np.
 def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> Iterator[pa.RecordBatch]:
     """List entries: key, size << 16 | position, the line's place, its sketch."""
     release()
-    known, rank, hot = ranked.value
+    known, rank, hot, again = ranked.value
     for batch in batches:
         for i, row, number, h, line, first in _sets(batch.column(2)):
             n = np.diff(first)
@@ -192,8 +195,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> It
             words, owner = np.concatenate(out), np.repeat(lines, sizes)
             position = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             is_hot, in_prefix = order[words] >= _U(hot), position < length[owner]
-            single = np.flatnonzero(in_prefix & ~is_hot)
+            shared = (order[words] > 0) | _again(h[words], again)
+            single = np.flatnonzero(in_prefix & ~is_hot & shared)
             left, right = _second_words(owner, position, in_prefix & is_hot)
+            some = shared[left] & shared[right]
+            left, right = left[some], right[some]
             keys = np.concatenate([h[words[single]], at.mix(h[words[left]] * _U(3) + h[words[right]])])
             which = np.concatenate([single, left])
             owner, position = owner[which], np.minimum(position[which], _MOST)
@@ -202,6 +208,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], ranked, threshold: float) -> It
             yield pa.RecordBatch.from_arrays([pa.array(at.signed(keys)), pa.array(size.astype(np.int32)), ids, pa.array(place), *(pa.array(at.signed(x[owner])) for x in sketches)], ["key", "size", "id", "at", "s1", "s2"])
 
 
+def _again(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit of each word is set."""
+    place = words >> _U(64 - AGAIN)
+    return (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) > 0
+
+
 def _second_words(owner: np.ndarray, position: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (earlier, later place) of the long prefix of which one is hot in the short prefix: hot ones are last in the order."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -427,20 +439,29 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
+def _collected(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns (long) of a table of bounded size."""
+    parts = table.mapInArrow(_packed, "words binary, counts binary").collect()
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], dtype=np.int64) for r in parts)]) for c in ("words", "counts"))
+
+
 def _ranks(counts: DataFrame, hot: int):
-    """counts (word, n; stored) -> the FREQUENT most common words (hashes ascending), their ranks, rarer first, and the least rank of a hot one; as a broadcast variable."""
+    """counts (word, n; stored) -> the FREQUENT most common words (hashes ascending), their ranks, rarer first, the least rank of a hot one, and the bits of all others; as a broadcast variable."""
     spark = counts.sparkSession
     sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
     total = sizes.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("above") <= FREQUENT).agg(F.min("n")).first()[0]
-    if total is None:
-        return spark.sparkContext.broadcast((np.zeros(0, _U), np.zeros(0, np.int32), 1))
-    table = counts.where(F.col("n") >= F.lit(total)).mapInArrow(_packed, "words binary, counts binary").collect()
-    word, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], dtype=kind) for r in table)]) for c, kind in (("words", _U), ("counts", np.int64)))
-    del table
+    common = F.lit(False) if total is None else F.col("n") >= F.lit(total)
+    place = F.shiftrightunsigned("word", 64 - AGAIN)
+    rest = counts.where(~common).groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    again = np.zeros(1 << (AGAIN - 6), _U)
+    cell, bits = _collected(rest)
+    again[cell] = bits.view(_U)
+    word, n = _collected(counts.where(common).select("word", "n"))
+    word = word.view(_U)
     by_word = np.argsort(word)
     rank = np.empty(len(word), dtype=np.int32)
     rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
-    return spark.sparkContext.broadcast((word[by_word], rank[by_word], int((n <= hot).sum()) + 1))
+    return spark.sparkContext.broadcast((word[by_word], rank[by_word], int((n <= hot).sum()) + 1, again))
 
 
 _LATER = "id > id0 or (id = id0 and shiftright(at, 32) > shiftright(at0, 32))"

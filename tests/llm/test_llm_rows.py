@@ -3,6 +3,8 @@
 import random
 import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from creditflow.llm import line_dedup, secret_scan, substring_dedup
@@ -170,3 +172,26 @@ def test_long_runs_of_token_starts_take_linear_time(spark):
     found = secret_scan.report(df, secret_scan.scan(df)).select("doc_id", secret_scan.written(F.col("spans")).alias("s"))
     assert {r.doc_id: r.s for r in found.collect()} == {0: "", 1: "", 2: "jwt:2:130"}
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 1_000_000])
+def test_words_of_one_line_are_not_sent_to_lists(spark, frequent, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    draw = random.Random(5)
+    lines = [" ".join([*(draw.choice("abcdefghijklmnop") for _ in range(9)), *(f"w{draw.randint(0, 300)}" for _ in range(6))]) for _ in range(120)]
+    lines += [x.rsplit(" ", 1)[0] + f" only{i}" for i, x in enumerate(lines[:40])]
+    sets = [set(x.split()) for x in lines]
+    n_of = {w: sum(w in s for s in sets) for s in sets for w in s}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(160)), "tag": pa.array([0] * 160, pa.int32()), "text": lines, "decided": pa.array([None] * 160, pa.list_(pa.bool_()))})
+    counted = pa.concat_tables([pa.Table.from_batches([b]) for b in line_dedup._scan(iter([batch]))]).to_pylist()
+    counts = spark.createDataFrame([(r["a"], r["b"]) for r in counted if r["id"] is None and r["b"] > 1], "word long, n long")
+    entries = pa.Table.from_batches(line_dedup._prefixes(iter([batch]), line_dedup._ranks(counts, 1000), 0.8)).to_pylist()
+    words = dict(zip((r["a"] for r in counted if r["id"] is None), (r["b"] for r in counted if r["id"] is None), strict=True))
+    assert sorted(words.values()) == sorted(n_of.values())
+    assert entries and all(words[r["key"]] > 1 for r in entries)
+    assert len({r["key"] for r in entries}) <= np.sum([n > 1 for n in n_of.values()])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {i for i, s in enumerate(sets) if any(len(s & r) >= 0.8 * len(s | r) - 1e-9 for r in sets[:i])}
+    assert gone and {r.doc_id for r in line_dedup.line_dedup(df).where("n_removed = 1").collect()} == gone
